@@ -22,8 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidemark.llm.arrow import small_batches, wider, with_columns
+
 #: Unicode white space, as the vocabulary's splitter understands it.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NO_RANK = np.iinfo(np.int64).max
 #: Chunks between white space whose ids a worker keeps at most; beyond it the table starts anew.
 KEEP_CHUNKS = 200_000
@@ -167,33 +169,6 @@ def _encoder(path: str, vocabulary) -> Encoder:
     return _encoders[path]
 
 
-#: Rows and characters that a worker takes at a time.
-STEP_ROWS, STEP_CHARS = 256, 1_000_000
-
-
-def _steps(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that are small in rows and in characters (or one row)."""
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)) if pa.types.is_string(batch.schema.field(column).type) else np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch.column(column)), 0))
-    begin, total = 0, 0
-    for k, n in enumerate(size.tolist()):
-        if k > begin and (total + n > STEP_CHARS or k - begin >= STEP_ROWS):
-            yield batch.slice(begin, k - begin)
-            begin, total = k, 0
-        total += n
-    if batch.num_rows:
-        yield batch.slice(begin)
-
-
-def _with(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    kept = [n for n in batch.schema.names if n not in columns]
-    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *columns.values()], names=[*kept, *columns])
-
-
-def _schema(df: DataFrame, extra: list[T.StructField]) -> T.StructType:
-    names = {f.name for f in extra}
-    return T.StructType([*(f for f in df.schema.fields if f.name not in names), *extra])
-
-
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Adds n_tokens (long) and ids (array of int). path: the vocabulary file, read on the driver alone."""
     v = df.sparkSession.sparkContext.broadcast(Vocabulary(path))
@@ -201,14 +176,14 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, v)
         for big in batches:
-            for batch in _steps(big, text):
+            for batch in small_batches(big, text):
                 ids = encoder.encode([t or "" for t in batch.column(text).to_pylist()])
                 counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
                 flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(counts.sum()))
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(flat))
-                yield _with(batch, {"n_tokens": pa.array(counts), "ids": lists})
+                yield with_columns(batch, {"n_tokens": pa.array(counts), "ids": lists})
 
-    return df.mapInArrow(run, _schema(df, [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return df.mapInArrow(run, wider(df, [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -218,7 +193,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, size = v.value.tokens, v.value.size
         for big in batches:
-            for batch in _steps(big, ids):
+            for batch in small_batches(big, ids):
                 column, texts = batch.column(ids), []
                 flat, offsets = np.asarray(column.values), column.offsets.to_pylist()
                 valid = column.is_valid().to_pylist()
@@ -226,6 +201,6 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
                     own = flat[offsets[k] : offsets[k + 1]] if ok else flat[:0]
                     own = own[(own >= 0) & (own < size)].astype(np.int64)
                     texts.append(" ".join(tokens[own].tolist()))
-                yield _with(batch, {"decoded": pa.array(texts, pa.string())})
+                yield with_columns(batch, {"decoded": pa.array(texts, pa.string())})
 
-    return df.mapInArrow(run, _schema(df, [T.StructField("decoded", T.StringType())]))
+    return df.mapInArrow(run, wider(df, [T.StructField("decoded", T.StringType())]))

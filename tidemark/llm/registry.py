@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, rules
 from tidemark.llm.common import read
 
 VOCABULARY = "word_bpe_49k.json"
@@ -26,5 +26,34 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op8_bpe": op8_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    order = [e.rule for e in rules.estimate(docs)]
+    of, base = rules.features("text"), ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    counted = docs.select("doc_id", "text", *(of[c].alias(c) for c in base))
+    judged = rules.judge(counted, order, of | {c: F.col(c) for c in base})
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return judged.select("doc_id", *base, failed.alias("base_failed"), "kept")
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+p AS (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n FROM p),
+r AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM g, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY rid),
+f AS (SELECT d.doc_id, len(w.w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+             (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+             length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_capitals, len(l) AS n_lines
+      FROM d JOIN w USING (rid) LEFT JOIN r USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 20 * n_symbols > word_chars OR 2 * n_capitals > word_chars OR 10 * n_dup_lines > 3 * n_lines
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+FROM b
+"""
+
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op8_bpe": op8_bpe}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL}
