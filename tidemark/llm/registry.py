@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, rules
-from tidemark.llm.common import read
+from tidemark.llm import bpe, mixing, rules, secrets, urls
+from tidemark.llm.common import count_words, new_path, read, save
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -55,5 +55,72 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op8_bpe": op8_bpe}
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL}
+MIX_SEED = "mix-1"
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    found = secrets.scan(docs, secrets.Ledger(spark, new_path(spark, "secret-ledger")))
+    base = F.filter("found", lambda x: x["no"] < 3)
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        F.col("path").alias("doc_id"), count("assign"), count("access"), count("hex"),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("found")).alias("spans"),
+    )
+
+
+def _op4_sql() -> str:
+    found = " UNION ALL ".join(
+        f"""SELECT rid, {n} AS no, '{r.kind}' AS kind, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s, length(m[i]) AS n
+        FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rid, regexp_extract_all(text, $p${r.pattern}$p$) AS m, regexp_extract_all(text, $p${r.pattern}$p$, {r.group}) AS c, string_split_regex(text, $p${r.pattern}$p$) AS g FROM d))
+        WHERE length(c[i]) >= {r.least}"""
+        for n, r in enumerate(secrets.RULES)
+    )
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+    f AS (SELECT rid, no, kind, s::BIGINT AS s, (s + n)::BIGINT AS e FROM ({found})),
+    a AS (SELECT rid, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
+          string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) FILTER (no < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) AS spans FROM f GROUP BY rid)
+    SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN a USING (rid)"""
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", count_words("text").alias("size"), mixing.order_key("doc_id", MIX_SEED).alias("key"))
+    sized = save(docs, "mix-sized")
+    mixed = mixing.apply(sized, mixing.plan(sized))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+OP5_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  md5('{MIX_SEED}:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap FROM d GROUP BY source),
+w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM s),
+o AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+                / sum(w) OVER (ORDER BY cap::DOUBLE / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM w),
+l AS (SELECT max(level) AS level FROM o),
+t AS (SELECT source, source_size, CASE WHEN cap < l.level * w THEN cap::DOUBLE ELSE l.level * w END AS target FROM w, l),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target - whole * source_size ELSE 0 END AS part FROM p),
+c AS (SELECT d.*, source_size, target, whole, part, sum(size) OVER (PARTITION BY d.source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN part > 0 AND 2 * before + size <= 2 * part THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
+"""
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urls.judge(pages, urls.train(urls.labelled(spark)))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op4_secret_scans": op4_secret_scans,
+    "op5_mixing": op5_mixing,
+    "op6_url_filters": op6_url_filters,
+    "op8_bpe": op8_bpe,
+}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op4_secret_scans": _op4_sql(), "op5_mixing": OP5_SQL}
