@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, mixing, rules, secrets, urls
+from tidemark.llm import bpe, gam, mixing, rules, secrets, urls
 from tidemark.llm.common import count_words, new_path, read, save
 
 VOCABULARY = "word_bpe_49k.json"
@@ -26,6 +26,14 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = gam.train(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"))
+    scored = gam.score(docs, model)
+    held_out = F.coalesce(gam.remainder("doc_id") == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     order = [e.rule for e in rules.estimate(docs)]
@@ -117,6 +125,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
     "op4_secret_scans": op4_secret_scans,
     "op5_mixing": op5_mixing,
