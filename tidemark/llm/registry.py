@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, gam, mixing, rules, secrets, urls
+from tidemark.llm import bpe, gam, mixing, neardup, rules, secrets, urls
 from tidemark.llm.common import count_words, new_path, read, save
 
 VOCABULARY = "word_bpe_49k.json"
@@ -124,6 +124,23 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs, percent=85).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.doc_id),
+k AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN k USING (doc_id)
+"""
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
@@ -131,5 +148,6 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_url_filters": op6_url_filters,
     "op8_bpe": op8_bpe,
+    "op9_minhash": op9_minhash,
 }
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op4_secret_scans": _op4_sql(), "op5_mixing": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op4_secret_scans": _op4_sql(), "op5_mixing": OP5_SQL, "op9_minhash": OP9_SQL}
