@@ -7,7 +7,7 @@ bins are the buckets. In a bucket, edges go from centers to the other members on
 edges whose signatures differ too much are left out, the others are confirmed on the full sets.
 
 A star alone may miss a link between two members that both aren't linked to the center. So buckets whose members lie
-in several components stay open: in each further round they get twice as many new centers, until every member has
+in several components stay open: in each further round they get four times as many new centers, until every member has
 been a center or lies in one component with all others. Members that have been centers need no further look.
 
 Cases: null, empty and blank texts have empty sets and are linked with nothing; a text of fewer words than a shingle is
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE)
     roots, links, round_no = None, None, 0
     sets = None
     while True:
-        centers = 1 << round_no
+        centers = 4**round_no
         edges = star_edges(members, centers)
         a, b = (facts.select(F.col("class").alias(x), F.col("signature").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
         near = edges.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
@@ -227,9 +227,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE)
         near = save(agreeing(near.select("a", "b", "sa", "sb"), least), "near-edges")
         if sets is None:
             sets = sets_of(docs, base, members.select("class").distinct(), shingle)
-        found = confirmed(near, sets, percent)
-        links = save(found if links is None else links.union(found).distinct(), "near-links")
-        roots = components(links)
+        found = save(confirmed(near, sets, percent), "near-found")
+        if links is None or found.limit(1).count():
+            links = found if links is None else save(links.union(found).distinct(), "near-links")
+            roots = components(links)
         members = save(still_open(members, centers, roots), "near-open")
         round_no += 1
         if not members.limit(1).count():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, gam, mixing, neardup, rules, secrets, urls
+from tidemark.llm import bpe, chunks, gam, mixing, neardup, rules, secrets, urls
 from tidemark.llm.common import count_words, new_path, read, save
 
 VOCABULARY = "word_bpe_49k.json"
@@ -141,6 +141,10 @@ k AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN k USING (doc_id)
 """
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.spans(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("later")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
@@ -149,5 +153,6 @@ QUERIES = {
     "op6_url_filters": op6_url_filters,
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
+    "op10_substrings": op10_substrings,
 }
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op4_secret_scans": _op4_sql(), "op5_mixing": OP5_SQL, "op9_minhash": OP9_SQL}
