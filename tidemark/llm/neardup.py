@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.arrow import flat_text, small_batches
 from tidemark.llm.common import drop, save
 
-#: Words of a shingle; bands and bins of a band. A pair at 0.85 shares no band with probability 3e-7.
-SHINGLE, BANDS, ROWS = 5, 32, 6
-BINS = BANDS * ROWS
+#: Words of a shingle; bins of a signature; how likely a pair at the threshold may share no band.
+SHINGLE, BINS, MISSED = 5, 192, 1e-6
 #: Bins in which two signatures must agree: at a similarity of 0.85 fewer agree with probability under 1e-8; lower thresholds lower it alike.
 SLACK = 0.15
 #: Rows up to which a table of ids is broadcast to the scan of the texts.
@@ -116,10 +115,17 @@ def signature(own: np.ndarray) -> np.ndarray:
     return values
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
+def rows_of_band(percent: int) -> int:
+    """The most bins of a band at which a pair at the threshold is missed with a probability of MISSED at most: 6 at 85 %, 5 at 80 %."""
+    fits = [r for r in range(1, 20) if (1 - (percent / 100) ** r) ** (BINS // r) <= MISSED]
+    return max(fits, default=1)
+
+
+def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit key a band."""
-    rows = values.reshape(BANDS, ROWS) * _ODD[20 : 20 + ROWS]
-    return mixed(rows.sum(axis=1, dtype=U) + np.arange(BANDS, dtype=U) * _ODD[40])
+    bands = BINS // rows
+    own = values[: bands * rows].reshape(bands, rows) * _ODD[20 : 20 + rows]
+    return mixed(own.sum(axis=1, dtype=U) + np.arange(bands, dtype=U) * _ODD[50])
 
 
 def digest(own: np.ndarray) -> bytes:
@@ -130,7 +136,7 @@ def digest(own: np.ndarray) -> bytes:
 SIGNED = "doc_id long, n_shingles long, class binary, signature binary, bands array<long>"
 
 
-def signed(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def signed(docs: DataFrame, rows: int, shingle: int = SHINGLE) -> DataFrame:
     """docs: doc_id, text. A row a document: size of its set, digest of the set (its class), signature, band keys (null for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +148,7 @@ def signed(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     values = signature(own) if len(own) else None
                     classes.append(digest(own) if len(own) else None)
                     signatures.append((values & U(0xFFFF)).astype(np.uint16).tobytes() if len(own) else None)
-                    bands.append(band_keys(values).view(np.int64) if len(own) else None)
+                    bands.append(band_keys(values, rows).view(np.int64) if len(own) else None)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "class", "signature", "bands"],
@@ -203,7 +209,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE)
 
     Two documents are linked if 100 * |intersection of their sets| >= percent * |union|.
     """
-    base = save(signed(docs, shingle), "near-signed")
+    base = save(signed(docs, rows_of_band(percent), shingle), "near-signed")
     some = base.where("class is not null")
     # a row a class: the copies of a text never meet again
     classes = some.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))

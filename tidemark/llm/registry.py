@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chunks, gam, mixing, neardup, rules, secrets, urls
+from tidemark.llm import bpe, chunks, gam, language, mixing, nearest, neardup, rules, secrets, urls
 from tidemark.llm.common import count_words, new_path, read, save
 
 VOCABULARY = "word_bpe_49k.json"
@@ -145,12 +145,24 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.spans(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("later")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.train(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return language.identify(pages, model).select("page_id", "lang", "confidence", "text_lang", "declared")
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=20, every=20)
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
+    "op3_language": op3_language,
     "op4_secret_scans": op4_secret_scans,
     "op5_mixing": op5_mixing,
     "op6_url_filters": op6_url_filters,
+    "op7_neighbours": op7_neighbours,
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
     "op10_substrings": op10_substrings,
