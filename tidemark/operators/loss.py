@@ -48,8 +48,8 @@ def loss_trend(events: DataFrame) -> DataFrame:
     """Slope of the amount a day, correlation, p, and the trend; fewer than three events, or no spread, are stable."""
     day = F.unix_timestamp("event_date") / F.lit(86400.0) - F.lit(10000.0)
     amount = F.col("amount").cast("double")
-    fitted = events.groupBy("application_id").agg(F.count(F.lit(1)).alias("n_events"), F.regr_slope(amount, day).alias("slope"), F.corr(amount, day).alias("r"), F.max(day).alias("to"), F.min(day).alias("since"))
-    usable = (F.col("n_events") >= 3) & (F.col("to") > F.col("since")) & F.col("r").isNotNull() & ~F.isnan("r")
+    fitted = events.groupBy("application_id").agg(F.count(F.lit(1)).alias("n_events"), (F.covar_pop(amount, day) / F.nullif(F.var_pop(day), F.lit(0.0))).alias("slope"), (F.covar_pop(amount, day) / F.nullif(F.stddev_pop(day) * F.stddev_pop(amount), F.lit(0.0))).alias("r"), F.max(day).alias("to"), F.min(day).alias("since"))
+    usable = (F.col("n_events") >= 3) & (F.col("to") > F.col("since")) & F.col("r").isNotNull()
     fitted = fitted.withColumn("slope", F.when(usable, F.col("slope"))).withColumn("r", F.when(usable, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))))
     fitted = fitted.withColumn("p", p_value(F.col("r"), F.col("n_events")))
     trend = F.when(F.col("p") < SIGNIFICANT, F.when(F.col("slope") > 0, "increasing").otherwise("decreasing")).otherwise("stable")

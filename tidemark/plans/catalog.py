@@ -1,4 +1,16 @@
-"""All queries by name."""
+"""All queries by name: each a function of (spark, sf_dir)."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from tidemark.plans import risk_queries
+from tidemark.sources.adapters import Tables
+
+MODULES = (risk_queries,)
+
+
+def _bound(query):
+    return lambda spark, sf_dir: query(Tables(spark, sf_dir))
+
+
+QUERIES = {name: _bound(query) for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
