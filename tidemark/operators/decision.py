@@ -61,14 +61,14 @@ def total(x: str, value) -> Column:
 def decided(risk: DataFrame, limits: DataFrame, context: dict = CONTEXT) -> DataFrame:
     """Total, decision, confidence, terms, premium adjustment and texts; the factors stay in their row, so nothing is shuffled again."""
     c = F.col
-    out = factors(risk, limits, context).withColumn("total", F.round(total("factors", lambda f: f["score"] * f["weight"]), 6))
+    out = factors(risk, limits, context).withColumn("total", total("factors", lambda f: f["score"] * f["weight"]))
     decision = F.when(c("n_violations") > 0, "REJECT").when(c("total") >= 70, "APPROVE").when(c("total") <= 30, "REJECT").otherwise("CONDITIONAL")
     out = out.withColumn("decision", decision)
     sure = total("factors", lambda f: f["confidence"] * f["weight"])
     clear = F.when(c("decision") == "APPROVE", F.when(c("total") >= 80, 0.1).when(c("total") >= 70, 0.05).otherwise(-0.1)).when(c("decision") == "REJECT", F.when(c("total") <= 20, 0.1).when(c("total") <= 30, 0.05).otherwise(-0.1)).otherwise(-0.05)
     mean = total("factors", lambda f: f["score"]) / 8
     out = out.withColumn("mean_score", mean)
-    out = out.withColumn("variance", F.round(total("factors", lambda f: (f["score"] - c("mean_score")) * (f["score"] - c("mean_score"))) / 8, 6))
+    out = out.withColumn("variance", total("factors", lambda f: (f["score"] - c("mean_score")) * (f["score"] - c("mean_score"))) / 8)
     agree = F.when(c("variance") < 100, 0.1).when(c("variance") > 400, -0.1).otherwise(0.0)
     out = out.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(sure + clear + agree, 6))))
     score = lambda n: F.get("factors", F.lit(n))["score"]

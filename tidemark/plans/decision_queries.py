@@ -52,7 +52,7 @@ _scores = ["s0", "s1", "s2", "s3", "s4", "85.0::DOUBLE", "70.0::DOUBLE", "79.0::
 _sure = ["risk_confidence", "0.8", "0.9", "0.8", "0.95", "0.7", "0.6", "0.5"]
 _texts = ["t0", "t1", "t2", "t3", "t4", "'Standard regulatory requirements apply'", "'Market conditions are neutral with 75% capacity utilization'", "'Portfolio shows moderate concentration risk'"]
 STEPS["decision_factors"] = " UNION ALL ".join(f"SELECT application_id, {k} AS place, '{_names[k]}' AS factor, {_scores[k]} AS score, {_weights[k]}::DOUBLE AS weight, {_sure[k]}::DOUBLE AS confidence, {_texts[k]} AS rationale FROM decision_base" for k in range(8))
-STEPS["decision_total"] = "SELECT application_id, round(sum(score * weight), 6) AS total, sum(confidence * weight) AS sure, round(var_pop(score), 6) AS variance FROM decision_factors GROUP BY 1"
+STEPS["decision_total"] = "SELECT application_id, sum(score * weight) AS total, sum(confidence * weight) AS sure, var_pop(score) AS variance FROM decision_factors GROUP BY 1"
 STEPS["decision_full"] = """
     SELECT *, greatest(0, least(1, round(sure + CASE decision WHEN 'APPROVE' THEN CASE WHEN total >= 80 THEN 0.1 WHEN total >= 70 THEN 0.05 ELSE -0.1 END WHEN 'REJECT' THEN CASE WHEN total <= 20 THEN 0.1 WHEN total <= 30 THEN 0.05 ELSE -0.1 END ELSE -0.05 END
              + CASE WHEN variance < 100 THEN 0.1 WHEN variance > 400 THEN -0.1 ELSE 0 END, 6))) AS confidence,
@@ -98,8 +98,8 @@ QUERIES = {name: _one_type(kind) for name, kind in J_TYPES.items()} | {
     "f7_limits_lookup": lambda t: t.business_limits.where("active AND limit_type = 'asset_value'").select("limit_id", "category", F.col("max_amount").cast("double").alias("max_amount")),
     "f15_limit_updates": lambda t: limits.updated(t.business_limits, t.spark.sql(_updates, business_limits=t.business_limits)).select("limit_id", "limit_type", F.col("max_amount").cast("double").alias("max_amount"), "active"),
     "k14_factors": lambda t: decided_of(t).select("application_id", F.explode("factors").alias("f")).select("application_id", "f.factor", "f.score", "f.weight", F.round("f.confidence", 4).alias("confidence"), "f.rationale"),
-    "k15_decision": lambda t: decided_of(t).select("application_id", *R4("total"), "decision"),
-    "k16_decision_confidence": lambda t: decided_of(t).select("application_id", "confidence", *R4("variance")),
+    "k15_decision": lambda t: decided_of(t).select("application_id", F.round("total", 8).alias("total"), "decision"),
+    "k16_decision_confidence": lambda t: decided_of(t).select("application_id", "confidence", (F.col("variance") > 400).alias("disagree")),
     "k17_terms": lambda t: decided_of(t).select("application_id", _pipe("terms"), *R4("premium_adjustment")),
     "k18_rationale": lambda t: decision.explained(decided_of(t)).select("application_id", "rationale", *map(_pipe, LISTS)),
     "w2_top_factors": lambda t: decision.explained(decided_of(t)).select("application_id", F.array_join(F.transform("top", lambda f: f["factor"]), "|").alias("top")),
@@ -119,8 +119,8 @@ ORACLE = {name: f"SELECT application_id, limit_id, severity, message FROM limit_
     "f7_limits_lookup": "SELECT limit_id, category, max_amount::DOUBLE AS max_amount FROM business_limits WHERE active AND limit_type = 'asset_value'",
     "f15_limit_updates": "SELECT limit_id, limit_type, (CASE WHEN limit_id % 6 = 3 THEN 1234 ELSE max_amount END)::DOUBLE AS max_amount, CASE WHEN limit_id % 10 = 5 THEN false ELSE active END AS active FROM business_limits",
     "k14_factors": "SELECT application_id, factor, score, weight, round(confidence, 4) AS confidence, rationale FROM decision_factors",
-    "k15_decision": "SELECT application_id, round(total, 4) AS total, decision FROM decision_full",
-    "k16_decision_confidence": f"SELECT application_id, confidence, {SQL4('variance')} FROM decision_full",
+    "k15_decision": "SELECT application_id, round(total, 8) AS total, decision FROM decision_full",
+    "k16_decision_confidence": "SELECT application_id, confidence, variance > 400 AS disagree FROM decision_full",
     "k17_terms": f"SELECT application_id, {_p('terms')}, {SQL4('premium_adjustment')} FROM decision_full",
     "k18_rationale": f"""SELECT application_id, CASE decision WHEN 'APPROVE' THEN 'Recommendation: APPROVE. ' || {_some('good', 2, 'Strong supporting factors include: ')} || {_some('bad', 1, 'Minor concerns: ')} || 'Overall risk profile is acceptable for standard terms.'
         WHEN 'REJECT' THEN 'Recommendation: REJECT. ' || {_some('bad', 2, 'Significant concerns include: ')} || 'Risk profile exceeds acceptable thresholds.'

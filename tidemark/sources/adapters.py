@@ -134,6 +134,16 @@ VIEWS: dict[str, str] = {
                CAST(o_orderkey % 5000 AS double) AS taxes, CAST(o_orderkey % 2000 AS double) AS levies, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(o_orderkey % 100 AS double) END AS accepted_share,
                CAST(o_custkey * 10 AS double) AS paid_losses, CAST(o_custkey * 3 AS double) AS outstanding_reserves, CAST(o_custkey AS double) AS recoveries, CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE o_totalprice / 3 END AS earned_premium
         FROM {{orders}}""",
+    "analysis_rows": f"""
+        SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 10 < 9 THEN 'REF-' || CAST(o_orderkey AS varchar(20)) ELSE 'A' END AS reference_number, CASE WHEN o_orderkey % 6 > 0 THEN CAST(o_orderdate AS timestamp) END AS date_received,
+               {pick('o_orderkey % 6', INSURED + [None])} AS insured_name, {pick('o_orderkey % 4', CEDANTS + [None])} AS cedant_reinsured, {pick('o_orderkey % 4', BROKERS)} AS broker_name, {pick('o_orderkey % 5', PERILS)} AS perils_covered,
+               {pick('o_orderkey % 14', LOCATIONS)} AS geographical_limit, {pick('o_orderkey % 14', LOCATIONS[::-1])} AS situation_of_risk, {pick('o_orderkey % 11', OCCUPANCY)} AS occupation_of_insured, {pick('o_orderkey % 11', OCCUPANCY[::-1])} AS main_activities,
+               CASE WHEN o_orderkey % 9 > 0 THEN CAST(o_totalprice * 50 - 100000 AS decimal(15,2)) END AS total_sums_insured, {pick('o_orderkey % 5', ['USD', 'KES', 'EURO', 'GBP', None])} AS currency,
+               CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_totalprice - 1000 AS decimal(15,2)) END AS excess_retention, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderkey % 130 AS decimal(5,2)) END AS premium_rates,
+               CASE WHEN o_orderkey % 3 = 0 THEN '12 months' END AS period_of_insurance, CASE WHEN o_orderkey % 4 > 1 THEN CAST(o_orderkey % 105 AS decimal(5,2)) END AS pml_percentage, CASE WHEN o_orderkey % 5 = 0 THEN 'flood zone' END AS cat_exposure,
+               CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderkey % 900 AS decimal(15,2)) END AS reinsurance_deductions, CASE WHEN o_orderkey % 5 = 1 THEN 'Nil' END AS claims_experience_3_years, CASE WHEN o_orderkey % 4 < 3 THEN CAST(o_orderkey % 100 AS decimal(5,2)) END AS share_offered_percentage,
+               CASE WHEN o_orderkey % 8 = 0 THEN 'attached' END AS surveyors_report, CASE WHEN o_orderkey % 8 = 1 THEN '' END AS climate_change_risk, CASE WHEN o_orderkey % 8 = 2 THEN 'low' END AS esg_risk_assessment, CAST(o_orderkey % 100 AS double) / 100 AS confidence_score, CAST(o_custkey AS varchar(20)) AS source_document
+        FROM {{orders}}""",
     "predictions": """
         SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS truth, CASE WHEN d.n_chars >= 400 THEN 1 ELSE 0 END AS predicted FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL""",
     "messages": """
