@@ -71,7 +71,7 @@ QUERIES = {
     "a23_notes": lambda t: premium.notes(checked_of(t), "row_id"),
     "k24_consistency": lambda t: premium.consistency(t.spark.sql(_consistent, premium_rows=t.premium_rows)).select("row_id", "rate_fits", "shares_fit", "period_fits"),
     "k25_summary": lambda t: premium.executive_summary(risk_of(t)),
-    "k26_accepted_share": lambda t: premium.accepted(rows_of(t)).select("row_id", *R6("share_liability_kes", "share_premium_kes")),
+    "k26_accepted_share": lambda t: premium.accepted(rows_of(t)).select("row_id", *[F.round(n, 5).alias(n) for n in ("share_liability_kes", "share_premium_kes")]),
     "k28_defaults": lambda t: premium.report_row(rows_of(t)).select("row_id", "insured", F.when(F.col("loss_ratio_text") == "NIL", "NIL").otherwise("given").alias("ratio_kind"), F.when(F.col("share_text") == "Open", "Open").otherwise("given").alias("share_kind")),
     "f14_report_fields": lambda t: premium.report_row(rows_of(t)).select("row_id", "sum_insured", "premium"),
     "a24_merged_slips": lambda t: consolidate.merged_slips(t.analysis_rows.withColumn("reference_number", F.when(F.col("row_id") % 3 > 0, F.concat(F.lit("R"), (F.col("row_id") % 500).cast("string")))), MERGED).select("merge_key", *(F.col(m).cast("string").alias(m) for m in MERGED), "n_slips", "sources", *R4("confidence")),
@@ -98,7 +98,7 @@ ORACLE = {
     "a23_notes": "SELECT row_id, note, CASE WHEN note IS NULL THEN 'None' WHEN contains(lower(note), 'error') OR contains(lower(note), 'must be') THEN 'Error' WHEN contains(lower(note), 'missing') THEN 'Missing' WHEN contains(lower(note), 'completeness') THEN 'Completeness' ELSE 'Info' END AS kind FROM (SELECT row_id, unnest(CASE WHEN len(warnings) = 0 THEN [NULL] ELSE warnings END) AS note FROM row_checked)",
     "k24_consistency": "SELECT row_id, abs(premium - tsi * premium_rate / 100) <= 0.01 * abs(tsi * premium_rate / 100) AS rate_fits, row_id % 80 + coalesce(accepted_share, 0) <= 100 AS shares_fit, row_id % 7 <= row_id % 5 AS period_fits FROM premium_rows",
     "k25_summary": "SELECT application_id, 'Application ' || application_id || ' has ' || lower(risk_level) || ' risk. ' || remark AS summary, remark, CASE risk_level WHEN 'HIGH' THEN 'Accept with conditions' WHEN 'CRITICAL' THEN 'Decline' ELSE 'Accept' END AS proposal FROM (SELECT *, CASE risk_level WHEN 'LOW' THEN 'Risk is well within appetite.' WHEN 'MEDIUM' THEN 'Risk is within appetite on standard terms.' WHEN 'HIGH' THEN 'Risk needs enhanced terms.' ELSE 'Risk is outside appetite.' END AS remark FROM risk_full)",
-    "k26_accepted_share": "SELECT row_id, round(tsi_kes * (coalesce(nullif(accepted_share, 0), 1.0) / 100), 6) AS share_liability_kes, round(premium_kes * (coalesce(nullif(accepted_share, 0), 1.0) / 100), 6) AS share_premium_kes FROM premium_full",
+    "k26_accepted_share": "SELECT row_id, round(tsi_kes * (coalesce(nullif(accepted_share, 0), 1.0) / 100), 5) AS share_liability_kes, round(premium_kes * (coalesce(nullif(accepted_share, 0), 1.0) / 100), 5) AS share_premium_kes FROM premium_full",
     "k28_defaults": "SELECT row_id, coalesce(insured_name, 'TBA') AS insured, CASE WHEN loss_ratio IS NULL THEN 'NIL' ELSE 'given' END AS ratio_kind, CASE WHEN accepted_share IS NULL THEN 'Open' ELSE 'given' END AS share_kind FROM premium_full",
     "f14_report_fields": "SELECT row_id, original_currency || ' ' || coalesce(format('{:,.2f}', tsi), 'TBA') AS sum_insured, coalesce(format('{:,.2f}', premium), 'TBA') AS premium FROM premium_base",
     "a24_merged_slips": f"SELECT merge_key, {', '.join(map(_first, MERGED))}, count(*) AS n_slips, string_agg(DISTINCT source_document, '|' ORDER BY source_document) AS sources, round(avg(confidence_score) FILTER (confidence_score > 0), 4) AS confidence FROM (SELECT *, coalesce(CASE WHEN row_id % 3 > 0 THEN 'r:R' || row_id % 500 END, 'i:' || nullif(insured_name, ''), 'u:' || row_id) AS merge_key FROM analysis_rows) GROUP BY 1",
