@@ -6,9 +6,10 @@ an empty bin takes the value of a full one, found along a random order of its ow
 bins are the buckets. In a bucket, edges go from centers to the other members only (a star), never between all pairs;
 edges whose signatures differ too much are left out, the others are confirmed on the full sets.
 
-A star alone may miss a link between two members that both aren't linked to the center. So buckets whose members lie
-in several components stay open: in each further round they get four times as many new centers, until every member has
-been a center or lies in one component with all others. Members that have been centers need no further look.
+A star alone may miss a link between two members that both aren't linked to the center. So members of buckets in which
+several components remain are compared once more, exactly: their shingles are ordered by how rare they are among
+these members, and two sets that are similar enough must share one among the rarest of both (prefix filter), at places
+that leave enough for the rest (positional filter). Only pairs of different components are looked at.
 
 Cases: null, empty and blank texts have empty sets and are linked with nothing; a text of fewer words than a shingle is
 one shingle; rows with null ids take part in classes but never name a component; repeated rows are in one class;
@@ -23,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import flat_text, small_batches
@@ -219,28 +220,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE)
     members = save(keyed.join(shared.hint("merge"), "bucket"), "near-members")
     # how many others a member meets in all its buckets: the origin of many near copies meets most
     met = members.groupBy("class").agg(F.sum("members").alias("met"))
-    members = save(members.join(met.hint("merge"), "class").select("bucket", "class", (-F.col("met")).alias("met"), F.col("class").alias("root")), "near-open")
-    least = int(BINS * (percent / 100 - SLACK))
+    members = save(members.join(met.hint("merge"), "class").select("bucket", "class", (-F.col("met")).alias("met")), "near-met")
     facts = classes.select("class", "signature", "n")
-    roots, links, round_no = None, None, 0
-    sets = None
-    while True:
-        centers = 4**round_no
-        edges = star_edges(members, centers)
-        a, b = (facts.select(F.col("class").alias(x), F.col("signature").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-        near = edges.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
-        near = near.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-        near = save(agreeing(near.select("a", "b", "sa", "sb"), least), "near-edges")
-        if sets is None:
-            sets = sets_of(docs, base, members.select("class").distinct(), shingle)
-        found = save(confirmed(near, sets, percent), "near-found")
-        if links is None or found.limit(1).count():
-            links = found if links is None else save(links.union(found).distinct(), "near-links")
-            roots = components(links)
-        members = save(still_open(members, centers, roots), "near-open")
-        round_no += 1
-        if not members.limit(1).count():
-            break
+    sets = sets_of(docs, base, members.select("class").distinct(), shingle)
+    links = save(confirmed(alike(star_edges(members), facts, percent), sets, percent), "near-links")
+    roots = components(links)
+    rest = save(still_open(members, roots), "near-rest")
+    if rest.limit(1).count():
+        more = confirmed(alike(prefix_pairs(rest, sets, percent), facts, percent), sets, percent)
+        links = save(links.union(more), "near-links")
+        roots = components(links)
     # back to documents: the least id of each component
     rooted = classes.select("class", "first_id").join(roots.hint("merge"), classes["class"] == roots.node, "left").select("class", "first_id", F.coalesce("root", "class").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -249,29 +238,50 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def star_edges(members: DataFrame, centers: int) -> DataFrame:
-    """members: bucket, class, met, root. Distinct pairs (a, b) of a center and another member of another component; the centers of a bucket are its first members by met."""
-    hubs = first_of(members, centers).select("bucket", F.col("class").alias("hub"), F.col("root").alias("hub_root"))
-    pairs = members.select("bucket", "class", "root").join(hubs.hint("merge"), "bucket").where("root <> hub_root")
-    return pairs.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
+def alike(edges: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Edges whose sizes and signatures allow a link."""
+    a, b = (facts.select(F.col("class").alias(x), F.col("signature").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    near = edges.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return save(agreeing(near.select("a", "b", "sa", "sb"), int(BINS * (percent / 100 - SLACK))), "near-edges")
+
 
+def centers(members: DataFrame) -> DataFrame:
+    """The member of each bucket that meets most others: bucket, hub."""
+    return members.groupBy("bucket").agg(F.min(F.struct("met", "class")).alias("m")).select("bucket", F.col("m.class").alias("hub"))
 
-def first_of(members: DataFrame, centers: int) -> DataFrame:
-    """The first members of each bucket: bucket, class, root."""
-    if centers == 1:
-        return members.groupBy("bucket").agg(F.min(F.struct("met", "class", "root")).alias("m")).select("bucket", "m.class", "m.root")
-    # two steps, so that a large bucket is not sorted in one task
-    part = F.pmod(F.xxhash64("class"), F.lit(64))
-    few = lambda df, keys: df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("met", "class"))).where(F.col("place") <= centers).drop("place")
-    return few(few(members.withColumn("part", part), ["bucket", "part"]), ["bucket"]).select("bucket", "class", "root")
+
+def star_edges(members: DataFrame) -> DataFrame:
+    """members: bucket, class, met. Distinct pairs (a, b) of a bucket's center and another member."""
+    pairs = members.select("bucket", "class").join(centers(members).hint("merge"), "bucket").where("class <> hub")
+    return pairs.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
 
 
-def still_open(members: DataFrame, centers: int, roots: DataFrame) -> DataFrame:
-    """Members that have not been centers, of buckets in which these lie in several components."""
-    rest = members.join(first_of(members, centers).hint("merge"), ["bucket", "class"], "left_anti").drop("root")
-    rest = rest.join(roots.select("node", F.col("root").alias("new_root")).hint("merge"), F.col("class") == F.col("node"), "left").select("bucket", "class", "met", F.coalesce("new_root", "class").alias("root"))
+def still_open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """class, root of the members, centers apart, of buckets in which these lie in several components."""
+    rest = members.join(centers(members).withColumnRenamed("hub", "class").hint("merge"), ["bucket", "class"], "left_anti")
+    rest = rest.join(roots.hint("merge"), rest["class"] == roots.node, "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
     open_buckets = rest.groupBy("bucket").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("bucket")
-    return rest.join(open_buckets.hint("merge"), "bucket", "left_semi")
+    return rest.join(open_buckets.hint("merge"), "bucket", "left_semi").select("class", "root").distinct()
+
+
+def prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different roots that may be linked; none that is linked is missing."""
+    ceil = lambda x, y: F.ceil(x / F.lit(y)).cast("int")
+    own = sets.join(rest.hint("merge"), "class").select("class", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+    ordered = own.join(often.hint("merge"), "shingle").groupBy("class", "root", "n").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("all"))
+    longer = F.col("n") - ceil(percent * F.col("n"), 100) + 1
+    rarest = ordered.select("class", "root", "n", F.posexplode(F.slice("all", F.lit(1), longer)).alias("place", "x")).where("x.often > 1")
+    rarest = rarest.select("class", "root", "n", (F.col("place") + 1).alias("place"), F.col("x.shingle").alias("shingle"))
+    rarest = save(rarest, "near-rarest")
+    apart = rarest.groupBy("shingle").agg((F.min("root") < F.max("root")).alias("apart")).where("apart").select("shingle")
+    rarest = save(rarest.join(apart.hint("merge"), "shingle", "left_semi"), "near-apart")
+    shorter = F.col("n") - ceil(2 * percent * F.col("n"), 100 + percent) + 1
+    small = rarest.where(F.col("place") <= shorter).select("shingle", *(F.col(c).alias(f"{c}_s") for c in ("class", "root", "n", "place")))
+    common = ceil(percent * (F.col("n_s") + F.col("n")), 100 + percent)
+    fits = (F.col("root_s") != F.col("root")) & (F.col("n_s") <= F.col("n")) & (100 * F.col("n_s") >= percent * F.col("n")) & (F.least(F.col("n_s") - F.col("place_s"), F.col("n") - F.col("place")) + 1 >= common)
+    both = small.join(rarest.withColumnRenamed("shingle", "shingle_l").hint("merge"), (F.col("shingle") == F.col("shingle_l")) & fits)
+    return both.select(F.least("class_s", "class").alias("a"), F.greatest("class_s", "class").alias("b")).distinct()
 
 
 def sets_of(docs: DataFrame, base: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
