@@ -27,6 +27,7 @@ def oracle(select: str) -> str:
                 order.append(name)
 
     need(select)
+    if select.startswith("WITH RECURSIVE "):  # its own expressions come last
+        return "WITH RECURSIVE " + ", ".join([*(f"{n} AS ({known[n]})" for n in order), select.removeprefix("WITH RECURSIVE ")])
     head = ", ".join(f"{n} AS ({known[n]})" for n in order)
-    recursive = "RECURSIVE " if "RECURSIVE" in select or any("UNION ALL SELECT /*r*/" in known[n] for n in order) else ""
-    return f"WITH {recursive}{head} {select}" if head else select
+    return f"WITH {head} {select}" if head else select
