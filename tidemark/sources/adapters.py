@@ -115,7 +115,7 @@ VIEWS: dict[str, str] = {
                {pick('o_orderkey % 5', ['ri_slip.pdf', 'placement.docx', 'summary.xlsx', 'note.txt', 'mail.msg'])} AS filename, {pick('o_orderkey % 6', SUBJECTS)} AS subject,
                'desk@' || {pick('o_orderkey % 3', ['broker.co.uk', 'cedant.com', 'reinsurer.co.ke'])} AS sender,
                concat_ws(chr(10), 'Reference: FAC-' || CAST(o_orderkey AS varchar(20)) || '-A', 'Insured: ' || {pick('o_orderkey % 5', INSURED)}, 'Cedant: ' || {pick('o_orderkey % 3', CEDANTS)}, 'Broker: ' || {pick('o_orderkey % 4', BROKERS)},
-                   'Sum Insured: USD ' || CAST(CAST(o_totalprice AS bigint) AS varchar(20)) || ',000', 'Premium: ' || {pick('o_orderkey % 3', ['USD', 'EUR', 'KES'])} || ' ' || CAST(CAST(o_totalprice AS bigint) % 900 + 100 AS varchar(20)) || ',500.00',
+                   'Sum Insured: USD ' || CAST(CAST(floor(o_totalprice) AS bigint) AS varchar(20)) || ',000', 'Premium: ' || {pick('o_orderkey % 3', ['USD', 'EUR', 'KES'])} || ' ' || CAST(CAST(floor(o_totalprice) AS bigint) % 900 + 100 AS varchar(20)) || ',500.00',
                    'Location: ' || {pick('o_orderkey % 14', LOCATIONS)}, 'Perils: ' || {pick('o_orderkey % 5', PERILS)}, 'Class: ' || {pick('o_orderkey % 5', LINES)},
                    CASE WHEN o_orderkey % 4 = 0 THEN 'PML: ' || CAST(o_orderkey % 130 AS varchar(8)) || '%' WHEN o_orderkey % 4 = 1 THEN 'The PML is estimated at ' || CAST(o_orderkey % 60 AS varchar(8)) || '.5% of the total' WHEN o_orderkey % 4 = 2 THEN 'Maximum Probable Loss ' || CAST(o_orderkey % 40 AS varchar(8)) || ' percent' END,
                    CASE WHEN o_orderkey % 3 = 0 THEN 'Period of Insurance: From 01/0' || CAST(o_orderkey % 9 + 1 AS varchar(2)) || '/2024 to 31/12/2024' WHEN o_orderkey % 3 = 1 THEN 'Period: 12 months' END,
