@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import decision_queries, extract_queries, market_queries, metric_queries, premium_queries, risk_queries
+from tidemark.plans import decision_queries, extract_queries, io_queries, market_queries, metric_queries, premium_queries, risk_queries
 from tidemark.sources.adapters import Tables
 
-MODULES = (risk_queries, decision_queries, premium_queries, metric_queries, market_queries, extract_queries)
+MODULES = (risk_queries, decision_queries, premium_queries, metric_queries, market_queries, extract_queries, io_queries)
 
 
 def _bound(query):
