@@ -127,7 +127,7 @@ def pml(docs: DataFrame, text: str = "text") -> DataFrame:
     value = F.coalesce(given, near, by_pattern)
     base = F.when(given > 100, 0.3).when(given.isNotNull(), 0.9).when(near.isNotNull(), 0.7).when(by_pattern.isNotNull(), 0.9).otherwise(0.0)
     sure = F.when((base > 0.5) & (value >= 1), F.least(base + 0.1, F.lit(1.0))).when((base > 0.5) & (value < 1) & (value > 0), F.greatest(base - 0.2, F.lit(0.1))).otherwise(base)
-    return docs.withColumns({"pml": F.least(value, F.lit(100.0)), "pml_confidence": F.round(sure, 4)})
+    return docs.withColumns({"pml": F.when(value.isNotNull(), F.least(value, F.lit(100.0))), "pml_confidence": F.round(sure, 4)})
 
 
 def share_offered(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -135,7 +135,7 @@ def share_offered(docs: DataFrame, text: str = "text") -> DataFrame:
     value = number(first(F.coalesce(F.col(text), F.lit("")), "share"))
     value = F.when((value > 0) & (value < 1), value * 100).otherwise(value)
     sure = F.when(value.isNull(), 0.0).when(value > 100, 0.3).when(value >= 1, 1.0).otherwise(0.7)
-    return docs.withColumns({"share": F.least(value, F.lit(100.0)), "share_confidence": sure})
+    return docs.withColumns({"share": F.when(value.isNotNull(), F.least(value, F.lit(100.0))), "share_confidence": sure})
 
 
 def period(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -89,8 +89,8 @@ def financial_strength(fin: DataFrame, sentiment: str | None = None) -> DataFram
     out = financial_ratios(fin)
     rated = F.coalesce("credit_rating", F.lit("")) != ""
     out = out.withColumns({
-        "liquidity": F.coalesce(F.least(F.lit(1.0), c("equity_ratio") * 2), F.lit(0.5)), "solvency": F.coalesce(F.greatest(F.lit(0.0), 1 - c("debt_to_asset")), F.lit(0.5)),
-        "profitability": F.coalesce(F.least(F.lit(1.0), c("asset_turnover")), F.lit(0.5)), "stability": lookup(c("credit_rating"), STABILITY, 0.5), "sentiment": F.coalesce(c(sentiment), F.lit(0.5)) if sentiment else F.lit(0.5),
+        "liquidity": F.least(F.lit(1.0), F.coalesce(c("equity_ratio") * 2, F.lit(0.5))), "solvency": F.greatest(F.lit(0.0), F.coalesce(1 - c("debt_to_asset"), F.lit(0.5))),
+        "profitability": F.least(F.lit(1.0), F.coalesce(c("asset_turnover"), F.lit(0.5))), "stability": lookup(c("credit_rating"), STABILITY, 0.5), "sentiment": F.coalesce(c(sentiment), F.lit(0.5)) if sentiment else F.lit(0.5),
     })
     score = F.least(F.lit(100.0), (c("liquidity") * 0.2 + c("solvency") * 0.3 + c("profitability") * 0.2 + c("stability") * 0.2 + c("sentiment") * 0.1) * 100)
     out = out.withColumn("financial_score", F.round(score, 6))

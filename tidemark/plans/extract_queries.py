@@ -107,10 +107,10 @@ ORACLE = {
     "x8_texts": f"SELECT doc_id, {', '.join(f'{_f(n)} AS {n}' for n in ('perils', 'geo_limit', 'situation'))} FROM slips",
     "x9_terms": f"SELECT doc_id, {', '.join(f'{_n(n)} AS {n}' for n in NUMBERS)}, CASE WHEN {_n('rate')} BETWEEN 0 AND 100 THEN {_n('rate')} END AS rate, {_f('period')} AS period FROM slips",
     "x10_keyword_fallback": f"SELECT doc_id, array_to_string(({S.hits(_l, extract.PERIL_WORDS)})[1:10], '|') AS peril_words, {_kw(extract.OCCUPATIONS)} AS occupation FROM slips",
-    "x11_pml": "SELECT doc_id, least(v, 100) AS pml, round(CASE WHEN b > 0.5 AND v >= 1 THEN least(b + 0.1, 1) WHEN b > 0.5 AND v > 0 THEN greatest(b - 0.2, 0.1) ELSE b END, 4) AS pml_confidence FROM (SELECT doc_id, coalesce(nullif(p, 0), near, p) AS v, CASE WHEN p > 100 THEN 0.3 WHEN p <> 0 THEN 0.9 WHEN near IS NOT NULL THEN 0.7 WHEN p = 0 THEN 0.9 ELSE 0 END::DOUBLE AS b FROM pml_parts)",
+    "x11_pml": "SELECT doc_id, CASE WHEN v IS NOT NULL THEN least(v, 100) END AS pml, round(CASE WHEN b > 0.5 AND v >= 1 THEN least(b + 0.1, 1) WHEN b > 0.5 AND v > 0 THEN greatest(b - 0.2, 0.1) ELSE b END, 4) AS pml_confidence FROM (SELECT doc_id, coalesce(nullif(p, 0), near, p) AS v, CASE WHEN p > 100 THEN 0.3 WHEN p <> 0 THEN 0.9 WHEN near IS NOT NULL THEN 0.7 WHEN p = 0 THEN 0.9 ELSE 0 END::DOUBLE AS b FROM pml_parts)",
     "x14_deductions": f"SELECT doc_id, {_n('deduction')} AS deduction, CASE WHEN {_n('deduction')} IS NULL THEN 0 WHEN {_n('deduction')} <= 50 THEN 0.9 WHEN {_n('deduction')} <= 100 THEN 0.7 ELSE 0.8 END::DOUBLE AS deduction_confidence FROM slips",
     "x15_claims": f"SELECT doc_id, {_f('claims')} AS claims, CASE WHEN {_f('claims')} IS NULL THEN 0 WHEN regexp_matches({_f('claims')}, '(?i)nil|no claims') THEN 0.9 ELSE 0.8 END::DOUBLE AS claims_confidence FROM slips",
-    "x16_share": f"SELECT doc_id, least(v, 100) AS share, CASE WHEN v IS NULL THEN 0 WHEN v > 100 THEN 0.3 WHEN v >= 1 THEN 1 ELSE 0.7 END::DOUBLE AS share_confidence FROM (SELECT doc_id, CASE WHEN x > 0 AND x < 1 THEN x * 100 ELSE x END AS v FROM (SELECT doc_id, {_n('share')} AS x FROM slips))",
+    "x16_share": f"SELECT doc_id, CASE WHEN v IS NOT NULL THEN least(v, 100) END AS share, CASE WHEN v IS NULL THEN 0 WHEN v > 100 THEN 0.3 WHEN v >= 1 THEN 1 ELSE 0.7 END::DOUBLE AS share_confidence FROM (SELECT doc_id, CASE WHEN x > 0 AND x < 1 THEN x * 100 ELSE x END AS v FROM (SELECT doc_id, {_n('share')} AS x FROM slips))",
     "x22_labels": f"SELECT doc_id, {_f('insured')} AS insured, {_n('sum_insured')} AS sum_insured, {_n('retention')} AS retention, {_f('perils')} AS perils, {_f('situation')} AS situation FROM slips",
     "x23_largest_amount": f"SELECT doc_id, list_max(list_filter([{_amount(1)}, {_amount(2)}, {_amount(3)}], lambda x: x > 1000)) AS largest FROM slips",
     "x25_slip_indicators": "SELECT doc_id, " + ", ".join(f"n_{n}" for n in extract.SLIP_PATTERNS) + ", len(prim) AS n_primary, len(sec) AS n_secondary FROM slip_found",

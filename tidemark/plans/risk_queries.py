@@ -50,7 +50,7 @@ STEPS["fin_ratios"] = """
     FROM (SELECT *, nullif(assets::DOUBLE, 0) AS a, nullif(liabilities::DOUBLE, 0) AS d, nullif(revenue::DOUBLE, 0) AS r FROM financial_data)"""
 STEPS["fin_scores"] = f"""
     SELECT *, round(least(100, (liquidity * 0.2 + solvency * 0.3 + profitability * 0.2 + stability * 0.2 + 0.5 * 0.1) * 100), 6) AS financial_score
-    FROM (SELECT *, coalesce(least(1, equity_ratio * 2), 0.5) AS liquidity, coalesce(greatest(0, 1 - debt_to_asset), 0.5) AS solvency, coalesce(least(1, asset_turnover), 0.5) AS profitability, ({S.lookup('credit_rating', risk.STABILITY, 0.5)})::DOUBLE AS stability FROM fin_ratios)"""
+    FROM (SELECT *, CASE WHEN equity_ratio IS NULL THEN 0.5 ELSE least(1, equity_ratio * 2) END AS liquidity, CASE WHEN debt_to_asset IS NULL THEN 0.5 ELSE greatest(0, 1 - debt_to_asset) END AS solvency, CASE WHEN asset_turnover IS NULL THEN 0.5 ELSE least(1, asset_turnover) END AS profitability, ({S.lookup('credit_rating', risk.STABILITY, 0.5)})::DOUBLE AS stability FROM fin_ratios)"""
 
 
 def _bands(steps: list, last: str) -> str:
