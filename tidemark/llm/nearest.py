@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import save
 
-DIMS, CONFIDENCE, LEAF = 8, 0.98, 32
+DIMS, CONFIDENCE, LEAF = 8, 0.9, 32
 #: Vectors that the upper tree is fitted on at most; vectors a cell should hold; vectors of a block; queries of a group.
 SAMPLE_ROWS, CELL_ROWS, BLOCK_ROWS, QUERY_ROWS = 20_000, 8192, 16_384, 4096
 #: Leaves that a query takes at a time, and queries that go together.
-LEAVES, TOGETHER = 4, 64
+LEAVES, TOGETHER = 4, 128
 
 
 def chi_square_cdf(x: np.ndarray) -> np.ndarray:
@@ -145,15 +145,19 @@ class Tree:
                 if not len(active):
                     break
                 rows = self.leaves[order[active, t : t + LEAVES]].reshape(len(active), -1)
-                total = np.zeros(rows.shape)
-                seen = self.x[rows]
-                for d in range(x.shape[1]):  # in order, so that equal vectors have equal scores everywhere
-                    total += seen[:, :, d] * x[active, None, d]
+                total = np.einsum("qld,qd->ql", self.x[rows], x[active])
                 total[rows < 0] = -np.inf
-                rows = np.where(rows < 0, np.iinfo(np.int64).max, rows)
-                both, names = np.c_[scores[active], total], np.c_[found[active], rows]
+                better = total.max(axis=1) >= scores[active, -1]  # few after the first steps
+                own, total, rows = active[better], total[better], rows[better]
+                both, names = np.c_[scores[own], total], np.c_[found[own], np.where(rows < 0, np.iinfo(np.int64).max, rows)]
                 best = np.lexsort((names, -both), axis=1)[:, :keep]
-                scores[active], found[active] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
+                scores[own], found[own] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
+            held = np.isfinite(scores)
+            seen = self.x[np.where(held, found, 0)]
+            exact = np.zeros(scores.shape)
+            for d in range(x.shape[1]):  # summed up in order, so that equal vectors have equal scores everywhere
+                exact += seen[:, :, d] * x[:, None, d]
+            scores = np.where(held, exact, -np.inf)
             for k in range(len(x)):
                 ids, values = [], []
                 for row, s in zip(found[k][np.isfinite(scores[k])], scores[k][np.isfinite(scores[k])], strict=True):
@@ -162,7 +166,7 @@ class Tree:
                     values.append(np.full(len(more), s))
                 ids, values = np.concatenate(ids or [np.empty(0, np.int64)]), np.concatenate(values or [np.empty(0)])
                 best = np.lexsort((ids, -values))[: self.k]
-                best = best[values[best] >= floor[k]]
+                best = best[values[best] >= floor[k] - 1e-9]
                 yield a + k, ids[best], values[best]
 
     def _kth(self, scores: np.ndarray, found: np.ndarray) -> np.ndarray:
