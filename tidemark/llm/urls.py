@@ -105,7 +105,7 @@ def train(table: DataFrame) -> UrlModel:
     return UrlModel([float(x) for x in fitted.coefficients], float(fitted.intercept))
 
 
-def judge(df: DataFrame, model: UrlModel, rules: tuple[UrlRule, ...] = RULES, url: str = "url", threshold: float = 0.5) -> DataFrame:
+def judge(df: DataFrame, model: UrlModel, rules: tuple[UrlRule, ...] = RULES, url: str = "url", threshold: float = 0.75) -> DataFrame:
     """Adds host, path, rule, score and verdict (allow or block)."""
     host, path = parts(url)
     out = df.withColumn("host", host).withColumn("path", path)
