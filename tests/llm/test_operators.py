@@ -128,6 +128,9 @@ def test_secrets(spark, docs, empty, tmp_path):
     key, digest = "AKIA" + "Q" * 16, "0123456789abcdef" * 2
     texts = ["", None, f"é😀 password = '{digest}' and {key} x", "token=pwd secret: abc", "password=token: abcdefgh", f"{key}{key} {digest}", "-----BEGIN RSA PRIVATE KEY-----\napi_key:  \"A1b2C3d4\"", "clean text"]
     rows = [(i, t) for i, t in enumerate([*texts, *texts])]
+    twice = spark.createDataFrame([(1, texts[2]), (1, texts[2]), (None, texts[5]), (None, texts[5])], "path long, text string")
+    again = secrets.scan(twice, secrets.Ledger(spark, str(tmp_path / "twice"))).select(secrets.listed(F.col("found")).alias("s")).collect()
+    assert sorted(r.s for r in again) == sorted(brute_secrets(t) for t in (texts[2], texts[2], texts[5], texts[5]))
     table = spark.createDataFrame(rows, "path long, text string")
     ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
     got = secrets.scan(table, ledger)

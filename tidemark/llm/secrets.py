@@ -89,6 +89,7 @@ def spans(texts: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     """texts: blob, text, todo (keys of rules). Findings as rows; places in code points, end exclusive.
 
     The text is split at the matches: the lengths of what lies between and of the matches, summed up, are the places.
+    Rows that repeat a blob give equal pieces, which count once.
     """
     def lengths(r: SecretRule) -> Column:
         wanted = F.array_contains("todo", r.key) & (F.col("text").contains(r.hint) if r.hint else F.lit(True)) & F.col("text").rlike(r.pattern)
@@ -98,7 +99,7 @@ def spans(texts: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
         return F.when(wanted, shaped)
 
     none = F.array().cast("array<struct<rule:string,i:int,gap:int,match:int,ok:boolean>>")
-    pieces = texts.select("blob", F.inline(F.concat(*(F.coalesce(lengths(r), none) for r in rules))))
+    pieces = texts.select("blob", F.inline(F.concat(*(F.coalesce(lengths(r), none) for r in rules)))).distinct()
     so_far = Window.partitionBy("blob", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = pieces.withColumn("end", F.sum(F.col("gap") + F.coalesce("match", F.lit(0))).over(so_far).cast("int"))
     return ends.where("ok").select("blob", "rule", (F.col("end") - F.col("match")).alias("start"), "end")
@@ -114,7 +115,7 @@ def scan_unseen(docs: DataFrame, ledger: Ledger, rules: tuple[SecretRule, ...] =
     todo = save(todo.where(F.size("todo") > 0).select("blob", "one", "todo"), "secret-todo")
     texts = docs.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"), blob(text).alias("own"))
     texts = texts.join(todo.hint("shuffle_hash"), (texts.own == todo.blob) & texts.path.eqNullSafe(todo.one))
-    found = spans(texts.select("blob", "text", "todo"), rules).distinct()
+    found = spans(texts.select("blob", "text", "todo"), rules)
     ledger.append(found, todo.select("blob", F.explode("todo").alias("rule")))
     return versions
 
