@@ -227,6 +227,8 @@ def test_nearest(spark):
         assert [f[0] for f in found] == list(range(1, 21)) and all(f[2] == pytest.approx(s[f[1]], abs=1e-12) for f in found)
         hit += len({f[1] for f in found} & set(best.tolist()))
     assert hit / (20 * len(by)) >= 0.9
+    same = table.union(spark.createDataFrame([rows[901]] * 40 + [rows[20]] * 3, table.schema))  # equal rows change nothing
+    assert sorted(nearest.nearest(same).collect()) == sorted(got)
     assert nearest.nearest(table.limit(0)).count() == 0 and nearest.nearest(table.where("vec_id in (0, 1, 2)")).count() == 2
 
 

@@ -8,8 +8,9 @@ The model is fitted on the driver, on a bounded sample of labelled documents (SA
 ids); features are computed by Spark, from whole texts.
 
 Cases: null and empty texts have all features 0 and a score as any other text; rows whose label is null, or whose id is
-null or not in documents, teach nothing; several labels of a document all count; repeated rows are scored each; without
-any label all scores are 0.5; an empty table gives an empty table; other columns pass through.
+null or not in documents, teach nothing; several labels of a document all count, and so do several documents of an id,
+up to the sample's bound; repeated rows are scored each; without any label all scores are 0.5; an empty table gives an
+empty table; other columns pass through.
 """
 
 from __future__ import annotations
@@ -175,8 +176,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     usable = labels.where(F.col("quality").isin(0, 1) & (remainder("doc_id") != 0)).select(F.col("doc_id").alias("labelled"), "quality")
     sample = usable.orderBy(F.xxhash64("labelled"), "labelled", "quality").limit(sample_rows)  # bounded, so it can be broadcast
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"))
-    rows = joined.select("quality", *(c.alias(n) for n, c in features().items())).toPandas()
-    rows = rows.sort_values(list(rows.columns))  # the same sums in every run
+    known = joined.select("labelled", "quality", *(c.alias(n) for n, c in features().items()))
+    # the same rows in the same order in every run; bounded too where many documents have one id
+    rows = known.orderBy(F.xxhash64("labelled"), "labelled", "quality", *NAMES).limit(sample_rows).toPandas()
     return fit(rows[list(NAMES)].to_numpy(dtype=float), rows["quality"].to_numpy(dtype=float))
 
 

@@ -10,9 +10,10 @@ found there then tells, by the same test, which other cells it must still see.
 
 Cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, be
 it as query or as candidate; copies of a vector are indexed once with their ids, so ties go to the smaller id and a
-vector that fills a third of the table costs no more than others; rows with a null id take no part; rows of equal ids
-are never each other's neighbours, and an id comes once; fewer candidates than k give fewer rows; an empty table gives
-an empty table; other columns are not kept.
+vector that fills a third of the table costs no more than others; rows with a null id take no part; equal
+rows count once, and rows that repeat an id with another vector are candidates of their own; rows of equal ids are never
+each other's neighbours, and the least of their vectors asks; fewer candidates than k give fewer rows; an empty table
+gives an empty table; other columns are not kept.
 """
 
 from __future__ import annotations
@@ -105,8 +106,11 @@ class Tree:
         vectors, ids = np.ascontiguousarray(vectors[order]), ids[order]
         _, first, same = np.unique(vectors.view(np.dtype((np.void, vectors.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
         by = np.argsort(same, kind="stable")  # ids of each distinct vector, in order
-        begin = np.searchsorted(same[by], np.arange(len(first)))
-        self.ids = [ids[by[a : min(b, a + k + 1)]] for a, b in zip(begin, np.r_[begin[1:], len(by)], strict=True)]
+        ids, same = ids[by], same[by]
+        fresh = np.r_[True, (ids[1:] != ids[:-1]) | (same[1:] != same[:-1])]  # equal rows count once
+        ids, same = ids[fresh], same[fresh]
+        begin = np.searchsorted(same, np.arange(len(first)))
+        self.ids = [ids[a : min(b, a + k + 1)] for a, b in zip(begin, np.r_[begin[1:], len(ids)], strict=True)]
         self.x, self.projection, self.k = vectors[first], projection, k
         points = projection.base(self.x)
         leaves = [np.arange(len(points))]
@@ -194,7 +198,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
     rows = rows.where(F.size("x") == most["size"])
     projection = Projection(most["size"], most["longest"])
     ids = rows.select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS)
-    sample = rows.join(F.broadcast(ids), "vec_id").toPandas().sort_values("vec_id")
+    sample = rows.join(F.broadcast(ids), "vec_id").groupBy("vec_id").agg(F.min("x").alias("x")).toPandas().sort_values("vec_id")
     points = np.unique(projection.base(np.vstack(sample["x"].to_numpy())), axis=0)
     depth = max(0, min(ceil(log2(max(1, most["n"] / CELL_ROWS))), int(log2(max(1, len(points) / 16)))))
     cells = Cells(points, depth)
@@ -209,7 +213,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
     many = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a cell
     blocks = F.create_map(*(F.lit(v) for c, n in sorted(many.items()) for v in (c, ceil(n / BLOCK_ROWS))))
     base = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(blocks, F.col("cell"))).cast("int")).select("vec_id", "x", "cell", "block")
-    queries = placed.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"), "home")
+    asking = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("x", "home")).alias("own"))
+    queries = asking.select(F.col("vec_id").alias("query_id"), F.col("own.x").alias("q"), F.col("own.home").alias("home"))
 
     def search(wanted: DataFrame) -> DataFrame:
         """wanted: query_id, q, cell, kth. Neighbours found in the blocks of the cell."""
