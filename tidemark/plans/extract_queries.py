@@ -100,6 +100,16 @@ QUERIES = {
 _join = lambda c: f"array_to_string({c}, '|') AS {c}"
 STEPS["pml_parts"] = f"SELECT doc_id, {_n('pml')} AS p, coalesce({_near}) AS near FROM slips"
 ORACLE = {
+    "x3_dates": f"SELECT doc_id, given, try_strptime(given, ['%m/%d/%Y', '%d/%m/%Y', '%Y-%m-%d', '%m-%d-%Y', '%d-%m-%Y', '%d %b %Y', '%b %d, %Y']) AS parsed FROM (SELECT doc_id, unnest(string_split('{DATES}', '|')) AS given FROM slips)",
+    "x4_money": f"""
+    SELECT doc_id, given, try_cast(CASE WHEN european THEN replace(replace(digits, '.', ''), ',', '.') ELSE replace(digits, ',', '') END AS DOUBLE) AS amount,
+           coalesce(nullif(regexp_extract(upper(given), '\\b(USD|EUR|GBP|KES|JPY)\\b', 1), ''), CASE WHEN contains(given, '$') THEN 'USD' WHEN contains(given, '€') THEN 'EUR' WHEN contains(given, '£') THEN 'GBP' END) AS currency
+    FROM (SELECT *, CASE WHEN contains(digits, ',') AND contains(digits, '.') THEN length(split_part(digits, ',', -1)) < length(split_part(digits, '.', -1))
+                         WHEN contains(digits, ',') THEN length(split_part(digits, ',', -1)) <= 2 AND length(digits) - length(replace(digits, ',', '')) = 1 ELSE false END AS european
+          FROM (SELECT *, regexp_replace(given, '[^0-9.,]', '', 'g') AS digits FROM (SELECT doc_id, unnest({MONEY}) AS given FROM slips)))""",
+    "x7_clean_names": f"""
+    SELECT doc_id, array_to_string(list_transform(regexp_extract_all(joined, '[A-Za-z]+|[^A-Za-z]+'), lambda p: upper(p[1]) || lower(p[2:])), '') AS name
+    FROM (SELECT doc_id, regexp_replace(trim(regexp_replace(' ' || lower({_f('insured')}) || ' ,', '\\s+', ' ', 'g')), '^[ ,.;:-]+|[ ,;:-]+$', '', 'g') AS joined FROM slips)""",
     "x1_basic_fields": f"SELECT doc_id, {_f('reference')} AS reference, {_f('date')} AS first_date, {_f('location')} AS location, array_to_string(regexp_extract_all(text, $p${P['email']}$p$, 1), '|') AS mails FROM slips",
     "x2_amounts": f"SELECT doc_id, {_amount(1)} AS amount_1, {_amount(2)} AS amount_2, {_amount(3)} AS amount_3, list_filter(['KES', 'GBP', 'EUR', 'USD'], lambda c: contains(text, c))[1] AS currency FROM slips",
     "x5_parties": f"SELECT doc_id, {', '.join(f'{_f(n)} AS {n}' for n in ('insured', 'cedant', 'broker'))} FROM slips",
