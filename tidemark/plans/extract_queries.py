@@ -42,10 +42,27 @@ def answers(t):
     return t.slips.select("doc_id", wrapped.alias("answer"))
 
 
+#: Keywords, further evidence with its weight, and the longest text of each topic.
+TOPICS = {
+    "cat": (extract.CAT_WORDS, {"model|scenario": 0.15}, 300),
+    "climate": (extract.CLIMATE_WORDS, {"high|medium|low": 0.15, "tcfd|paris agreement|net zero": 0.1}, 500),
+    "esg": (extract.ESG_WORDS, {"rating|policy|reviewed": 0.15, "emissions|social|governance": 0.1}, 500),
+}
+
+
 def topics(t):
-    out = extract.topic(t.slips, "cat", extract.CAT_WORDS, {"model|scenario": 0.15}, 300)
-    out = extract.topic(out, "climate", extract.CLIMATE_WORDS, {"high|medium|low": 0.15, "tcfd|paris agreement|net zero": 0.1}, 500)
-    return extract.topic(out, "esg", extract.ESG_WORDS, {"rating|policy|reviewed": 0.15, "emissions|social|governance": 0.1}, 500)
+    out = t.slips
+    for name, (words, extra, most) in TOPICS.items():
+        out = extract.topic(out, name, words, extra, most)
+    return out
+
+
+def topic_sql(name):
+    words, extra, most = TOPICS[name]
+    sure = " + ".join(["0.6::DOUBLE", *(f"CASE WHEN {S.has(_l, *keys.split('|'))} THEN {w} ELSE 0 END" for keys, w in extra.items())])
+    return f"""
+    SELECT doc_id, CASE WHEN len(found) > 0 THEN substr(array_to_string(list_transform(found[1:3], lambda k: substr(text, greatest(1, instr({_l}, k) - 20), 60)), '; '), 1, {most}) END AS {name},
+           CASE WHEN len(found) > 0 THEN least(1::DOUBLE, round({sure}, 4)) ELSE 0::DOUBLE END AS {name}_confidence FROM (SELECT doc_id, text, {S.hits(_l, words)} AS found FROM slips)"""
 
 
 DATES = "01/05/2024|2023-7-9|25/12/2022|3 Mar 2021|none"
@@ -110,6 +127,15 @@ ORACLE = {
     "x7_clean_names": f"""
     SELECT doc_id, array_to_string(list_transform(regexp_extract_all(joined, '[A-Za-z]+|[^A-Za-z]+'), lambda p: upper(p[1]) || lower(p[2:])), '') AS name
     FROM (SELECT doc_id, regexp_replace(trim(regexp_replace(' ' || lower({_f('insured')}) || ' ,', '\\s+', ' ', 'g')), '^[ ,.;:-]+|[ ,;:-]+$', '', 'g') AS joined FROM slips)""",
+    "x12_cat_exposure": topic_sql("cat"),
+    "x18_climate": topic_sql("climate"),
+    "x19_esg": topic_sql("esg"),
+    "x13_period": f"""
+    SELECT doc_id, p AS period, CASE WHEN p IS NULL THEN 0 ELSE round(least(1::DOUBLE, CASE WHEN n >= 2 THEN 0.9 WHEN n = 1 THEN 0.8 WHEN regexp_matches(p, '(?i)[0-9]+ months?') THEN 0.7 ELSE 0.6 END::DOUBLE + CASE WHEN regexp_matches(p, '(?i)12 months|annual|from') THEN 0.1 ELSE 0 END), 4) END AS period_confidence
+    FROM (SELECT doc_id, p, len(regexp_extract_all(p, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}')) AS n FROM (SELECT doc_id, {_f('period')} AS p FROM slips))""",
+    "x17_survey": f"""
+    SELECT doc_id, substr(s, 1, 500) AS survey, file AS survey_file, CASE WHEN s IS NULL THEN 0 WHEN file IS NOT NULL THEN 0.9 ELSE 0.7 END::DOUBLE AS survey_confidence
+    FROM (SELECT doc_id, s, nullif(regexp_extract(coalesce(s, ''), '(?i)([a-z0-9_]+\\.(?:pdf|docx|xlsx))', 1), '') AS file FROM (SELECT doc_id, {_f('survey')} AS s FROM slips))""",
     "x1_basic_fields": f"SELECT doc_id, {_f('reference')} AS reference, {_f('date')} AS first_date, {_f('location')} AS location, array_to_string(regexp_extract_all(text, $p${P['email']}$p$, 1), '|') AS mails FROM slips",
     "x2_amounts": f"SELECT doc_id, {_amount(1)} AS amount_1, {_amount(2)} AS amount_2, {_amount(3)} AS amount_3, list_filter(['KES', 'GBP', 'EUR', 'USD'], lambda c: contains(text, c))[1] AS currency FROM slips",
     "x5_parties": f"SELECT doc_id, {', '.join(f'{_f(n)} AS {n}' for n in ('insured', 'cedant', 'broker'))} FROM slips",
