@@ -65,6 +65,16 @@ def topic_sql(name):
            CASE WHEN len(found) > 0 THEN least(1::DOUBLE, round({sure}, 4)) ELSE 0::DOUBLE END AS {name}_confidence FROM (SELECT doc_id, text, {S.hits(_l, words)} AS found FROM slips)"""
 
 
+def money_sql(key, given):
+    """given: a SELECT of the key and given."""
+    return f"""
+    SELECT {key}, try_cast(CASE WHEN european THEN replace(replace(digits, '.', ''), ',', '.') ELSE replace(digits, ',', '') END AS DOUBLE) AS amount,
+           coalesce(nullif(regexp_extract(upper(given), '\\b(USD|EUR|GBP|KES|JPY)\\b', 1), ''), CASE WHEN contains(given, '$') THEN 'USD' WHEN contains(given, '€') THEN 'EUR' WHEN contains(given, '£') THEN 'GBP' END) AS currency
+    FROM (SELECT *, CASE WHEN contains(digits, ',') AND contains(digits, '.') THEN length(split_part(digits, ',', -1)) < length(split_part(digits, '.', -1))
+                         WHEN contains(digits, ',') THEN length(split_part(digits, ',', -1)) <= 2 AND length(digits) - length(replace(digits, ',', '')) = 1 ELSE false END AS european
+          FROM (SELECT *, regexp_replace(given, '[^0-9.,]', '', 'g') AS digits FROM ({given})))"""
+
+
 DATES = "01/05/2024|2023-7-9|25/12/2022|3 Mar 2021|none"
 MONEY = ["USD 1,234.50", "1.234,50 EUR", "$ 99", "12,5", "1,000", "abc"]
 
@@ -118,12 +128,8 @@ _join = lambda c: f"array_to_string({c}, '|') AS {c}"
 STEPS["pml_parts"] = f"SELECT doc_id, {_n('pml')} AS p, coalesce({_near}) AS near FROM slips"
 ORACLE = {
     "x3_dates": f"SELECT doc_id, given, try_strptime(given, ['%m/%d/%Y', '%d/%m/%Y', '%Y-%m-%d', '%m-%d-%Y', '%d-%m-%Y', '%d %b %Y', '%b %d, %Y']) AS parsed FROM (SELECT doc_id, unnest(string_split('{DATES}', '|')) AS given FROM slips)",
-    "x4_money": f"""
-    SELECT doc_id, given, try_cast(CASE WHEN european THEN replace(replace(digits, '.', ''), ',', '.') ELSE replace(digits, ',', '') END AS DOUBLE) AS amount,
-           coalesce(nullif(regexp_extract(upper(given), '\\b(USD|EUR|GBP|KES|JPY)\\b', 1), ''), CASE WHEN contains(given, '$') THEN 'USD' WHEN contains(given, '€') THEN 'EUR' WHEN contains(given, '£') THEN 'GBP' END) AS currency
-    FROM (SELECT *, CASE WHEN contains(digits, ',') AND contains(digits, '.') THEN length(split_part(digits, ',', -1)) < length(split_part(digits, '.', -1))
-                         WHEN contains(digits, ',') THEN length(split_part(digits, ',', -1)) <= 2 AND length(digits) - length(replace(digits, ',', '')) = 1 ELSE false END AS european
-          FROM (SELECT *, regexp_replace(given, '[^0-9.,]', '', 'g') AS digits FROM (SELECT doc_id, unnest({MONEY}) AS given FROM slips)))""",
+    "x4_money": money_sql("doc_id, given", f"SELECT doc_id, unnest({MONEY}) AS given FROM slips"),
+    "x24_money_forms": money_sql("row_id", "SELECT row_id, coalesce(currency, '$') || ' ' || format('{:,.2f}', tsi::DOUBLE) AS given FROM premium_rows"),
     "x7_clean_names": f"""
     SELECT doc_id, array_to_string(list_transform(regexp_extract_all(joined, '[A-Za-z]+|[^A-Za-z]+'), lambda p: upper(p[1]) || lower(p[2:])), '') AS name
     FROM (SELECT doc_id, regexp_replace(trim(regexp_replace(' ' || lower({_f('insured')}) || ' ,', '\\s+', ' ', 'g')), '^[ ,.;:-]+|[ ,;:-]+$', '', 'g') AS joined FROM slips)""",
