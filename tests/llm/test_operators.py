@@ -205,6 +205,15 @@ def test_chunks(spark, docs, empty):
     assert chunks.spans(docs).count() > 0 and chunks.spans(empty).count() == 0
 
 
+def test_chunks_of_equal_texts_are_equal(spark):
+    short = base_text(26, 5)[:150]
+    rows = [(0, short), (1, base_text(60, 6)), (2, short), (3, base_text(50, 7)), (4, "é" * 3), (5, short)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (1, 6):
+        found = chunks.spans(table.repartition(n)).collect()
+        assert sorted((r.doc_id, r.start, r.end) for r in found) == [(i, 0, 150) for i in (0, 2, 5)]
+
+
 def test_nearest(spark):
     r = np.random.default_rng(1)
     x = r.standard_normal((1500, 16))

@@ -2,7 +2,8 @@
 
 A gear hash rolls over the bytes of a text (each step shifts the last value and adds a random number of the byte, so a
 value depends on the last 32 bytes). A chunk ends where the hash is the least within REACH bytes to either side, so
-chunks vary in size, and after an insertion the ends fall on the same places again. Chunks are compared by a 128-bit
+chunks vary in size, and after an insertion the ends fall on the same places again. Hash and windows start anew in
+every text, so equal texts have equal chunks whatever stands next to them. Chunks are compared by a 128-bit
 digest; a digest met twice is a repeat, and adjacent repeats form a span. Spans of fewer than `least_chars` characters
 are left alone: short phrases recur by chance.
 
@@ -34,11 +35,12 @@ _random = np.random.default_rng(20240602)
 _GEAR = _random.integers(0, 2**32, 256, dtype=np.uint32)
 _BYTES = _random.integers(0, 2**64, (2, 256), dtype=U)
 _NEVER = np.uint32(2**32 - 1)
+#: Empty places between texts: a hash is shifted out after 32, and no window of REACH places spans them.
+_APART = 32
 
 
-def gear(flat: np.ndarray) -> np.ndarray:
-    """h[i] = 2 * h[i - 1] + g[byte i], modulo 2^32, in five doublings."""
-    h = _GEAR[flat]
+def gear(h: np.ndarray) -> np.ndarray:
+    """h[i] = 2 * h[i - 1] + g[i], modulo 2^32, in five doublings; h holds the g and is changed."""
     for k in (1, 2, 4, 8, 16):
         h[k:] = h[k:] + (h[:-k] << np.uint32(k))
     return h
@@ -46,8 +48,13 @@ def gear(flat: np.ndarray) -> np.ndarray:
 
 def ends(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where chunks end (exclusive), in order; every text's end is one."""
-    h = gear(flat)
-    h[:-1][(flat[1:] & 0xC0) == 0x80] = _NEVER  # a character goes on
+    at = np.arange(len(flat)) + _APART * np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    wide = np.zeros(len(flat) + _APART * (len(offsets) - 1), dtype=np.uint32)
+    wide[at] = _GEAR[flat]
+    own = gear(wide)[at]
+    own[:-1][(flat[1:] & 0xC0) == 0x80] = _NEVER  # a character goes on
+    h = np.full(len(wide), _NEVER)
+    h[at] = own
     # least hash of the REACH places before and of those after, by doublings
     def least(x: np.ndarray) -> np.ndarray:
         """least[i] = min(x[i - REACH:i])"""
@@ -59,7 +66,7 @@ def ends(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return np.r_[_NEVER, low[:-1]]
 
     before, after = least(h), least(h[::-1])[::-1]
-    own = np.flatnonzero((h < before) & (h <= after)) + 1
+    own = np.flatnonzero(((h < before) & (h <= after))[at]) + 1
     return np.union1d(own, offsets[1:][np.diff(offsets) > 0])
 
 
