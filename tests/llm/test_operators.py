@@ -214,6 +214,19 @@ def test_chunks_of_equal_texts_are_equal(spark):
         assert sorted((r.doc_id, r.start, r.end) for r in found) == [(i, 0, 150) for i in (0, 2, 5)]
 
 
+def test_passages_of_short_words_repeat(spark):
+    r = random.Random(12)
+    words = lambda n, most: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, most))) for _ in range(n))
+    passages = [words(51, 2 + k % 3) for k in range(60)]
+    passages = [p if len(p) >= 120 else p + "é" * (120 - len(p)) for p in passages]
+    rows = [(1000 * side + k, f"{words(30, 9)} {'<>'[side]}{p}{'>]'[side]} {words(30, 9)}") for side in (0, 1) for k, p in enumerate(passages)]
+    table, text = spark.createDataFrame(rows, "doc_id long, text string"), dict(rows)
+    found = {(r.doc_id, text[r.doc_id][r.start : r.end]) for r in chunks.spans(table).collect()}
+    assert found == {(1000 * side + k, p) for side in (0, 1) for k, p in enumerate(passages)}
+    cut = {r.doc_id: r.text for r in chunks.without_repeats(table).collect()}
+    assert all(cut[k] == text[k] and cut[1000 + k] == text[1000 + k].replace(p, "") for k, p in enumerate(passages))
+
+
 def test_nearest(spark):
     r = np.random.default_rng(1)
     x = r.standard_normal((1500, 16))

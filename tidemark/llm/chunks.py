@@ -1,15 +1,19 @@
-"""Substring deduplication by content-defined chunks.
+"""Substring deduplication by content-defined anchors.
 
 A gear hash rolls over the bytes of a text (each step shifts the last value and adds a random number of the byte, so a
-value depends on the last 32 bytes). A chunk ends where the hash is the least within REACH bytes to either side, so
-chunks vary in size, and after an insertion the ends fall on the same places again. Hash and windows start anew in
-every text, so equal texts have equal chunks whatever stands next to them. Chunks are compared by a 128-bit
-digest; a digest met twice is a repeat, and adjacent repeats form a span. Spans of fewer than `least_chars` characters
-are left alone: short phrases recur by chance.
+value depends on the last 32 bytes). In every window of places the least hash is an anchor (winnowing); window and hash
+together are as long as the shortest span, so every passage of that length has an anchor, at the same place in all its
+occurrences. An anchor met at two places is a repeat: its bytes to both sides are compared with those of its first
+place, as far as the next anchor can be, and the pieces that touch form a span. Spans of fewer than `least_chars`
+characters are left alone: short phrases recur by chance. Then the borders of a span leave out a part of a word whose
+other letters differ. Equal texts are one text and wholly repeated.
 
-Cases: null and empty texts have no chunks; ends never cut a character; places are code points, end exclusive; a long
+`chunked` cuts texts where the hash is the least within REACH bytes to either side. Hash and windows start anew in
+every text, so equal texts have equal chunks and anchors whatever stands next to them.
+
+Cases: null and empty texts have no chunks; ends and spans never cut a character; places are code points, end exclusive; a long
 run of one character is one chunk; rows with a null id are compared with all others, under the id null; the chunks of
-rows that repeat an id are one document's, each row an occurrence; texts of any length are used whole; an empty table
+rows that repeat an id are one document's, each row an occurrence; a piece is compared with its first place only; texts of any length are used whole; an empty table
 gives an empty table; other columns are not kept by `spans`, and all are by `without_repeats`.
 """
 
@@ -19,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +33,17 @@ from tidemark.llm.neardup import U, _powers, mixed
 
 #: Bytes to either side within which a chunk's end has the least hash: chunks have 2 * REACH + 1 bytes on the average.
 REACH = 24
-#: Characters of the shortest span that counts as a repeat.
+#: Characters of the shortest span that counts as a repeat; every repeat of that length is found.
 LEAST_CHARS = 120
 
+#: Bytes up to which a part of a word (ASCII letters, digits, all beyond ASCII) at a span's border is left to the word.
+LONG_WORD = 24
+
 _random = np.random.default_rng(20240602)
 _GEAR = _random.integers(0, 2**32, 256, dtype=np.uint32)
 _BYTES = _random.integers(0, 2**64, (2, 256), dtype=U)
+_WORD = np.zeros(256, dtype=bool)
+_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _NEVER = np.uint32(2**32 - 1)
 #: Empty places between texts: a hash is shifted out after 32, and no window of REACH places spans them.
 _APART = 32
@@ -100,34 +110,153 @@ def chunked(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start int, end int, d1 long, d2 long")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """Every chunk that is met twice or more: doc_id, start, end, first_doc_id (the least id that has it), first (whether this is its first place)."""
-    chunks = save(chunked(docs), "chunk-all")
-    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "start")
-    twice = chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place")).where("n > 1").drop("n")
-    both = chunks.join(twice.hint("merge"), ["d1", "d2"])
-    return both.select("doc_id", "start", "end", F.col("place.doc_id").alias("first_doc_id"), (F.col("place") == place).alias("first"))
+def sizes(least_chars: int) -> tuple[int, int]:
+    """Bytes that a hash covers and places of a window: together one more than the shortest span."""
+    gram = max(1, min(_APART, least_chars - 3))
+    return gram, max(4, least_chars - gram + 1)
+
+
+def anchors(flat: np.ndarray, offsets: np.ndarray, gram: int, window: int) -> np.ndarray:
+    """Byte places after the anchors' hashed bytes, in order."""
+    if len(flat) < gram + window - 1:
+        return np.empty(0, np.int64)
+    h = gear(_GEAR[flat]) << np.uint32(_APART - gram)
+    h[:-1][(flat[1:] & 0xC0) == 0x80] = _NEVER  # a character goes on
+    low = (h.astype(U) << U(32)) | np.arange(len(h), dtype=U)
+    have = 1
+    while have < window:  # low[i] is the least of the places i, ..., i + have - 1
+        step = min(have, window - have)
+        low[:-step] = np.minimum(low[:-step], low[step:].copy())
+        have += step
+    # windows that lie, with the hashed bytes, in one text
+    inside = np.zeros(len(flat) + 1, dtype=np.int32)
+    first, last = offsets[:-1] + gram - 1, offsets[1:] - window + 1
+    np.add.at(inside, first[last > first], 1)
+    np.add.at(inside, last[last > first], -1)
+    return np.unique((low[np.cumsum(inside[:-1]) > 0] & U(2**32 - 1)).astype(np.int64)) + 1
+
+
+def anchored(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """docs: doc_id, t (digest of the text), text. A row an anchor: doc_id, t, at (code points before its end), d (digest of its bytes)."""
+    gram, window = sizes(least_chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in small_batches(big, "text"):
+                flat, offsets = flat_text(batch.column("text"))
+                end = anchors(flat, offsets, gram, window)
+                if not len(end):
+                    continue
+                owner = pa.array(np.searchsorted(offsets, end - 1, side="right") - 1)
+                letters = np.r_[0, np.cumsum((flat & 0xC0) != 0x80)]
+                at = letters[end] - letters[offsets[owner.to_numpy()]]
+                columns = [batch.column("doc_id").take(owner), batch.column("t").take(owner), pa.array(at.astype(np.int32)), pa.array(digests(flat, end - gram, end)[0])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "at", "d"])
+
+    return docs.select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, at int, d long")
+
+
+def with_sides(wanted: DataFrame, texts: DataFrame, least_chars: int) -> DataFrame:
+    """wanted: t, at and others. With the bytes before and after each place, whole characters."""
+    gram, window = sizes(least_chars)
+    names = wanted.columns
+    others = [c for c in names if c != "t"]
+    listed = wanted.groupBy("t").agg(F.collect_list(F.struct(*others)).alias("wants"))
+    both = listed.join(texts.withColumnRenamed("t", "_t").hint("merge"), F.col("t") == F.col("_t")).select("t", "wants", F.encode("text", "utf-8").alias("text"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in small_batches(big, "text"):
+                wants, left, right = batch.column("wants"), [], []
+                for ats, text in zip(wants.to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    starts = np.r_[np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80), len(text)]
+                    for x in ats:
+                        p = int(starts[x["at"]])
+                        left.append(text[max(0, p - gram - window + 1) : p])
+                        right.append(text[p : int(starts[np.searchsorted(starts, min(len(text), p + window - 1))])])
+                owner = pc.list_parent_indices(wants)
+                each = pc.list_flatten(wants)
+                columns = {"t": batch.column("t").take(owner)} | {c: each.field(k) for k, c in enumerate(others)}
+                yield pa.RecordBatch.from_arrays([*(columns[c] for c in names), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=[*names, "left", "right"])
+
+    return both.mapInArrow(run, f"{fields}, left binary, right binary")
+
+
+def alike(a: list[bytes], b: list[bytes], back: bool) -> tuple[np.ndarray, np.ndarray]:
+    """How many whole characters a and b share from their begin (or, going back, from their end), and how many of these belong to a word that a or b goes on with."""
+    n = np.minimum([len(x) for x in a], [len(x) for x in b])
+    wide = int(n.max(initial=0)) + 1
+    pad = (lambda x: x[-wide:][::-1].ljust(wide, b"\0")) if back else (lambda x: x[:wide].ljust(wide, b"\0"))
+    x, y = (np.frombuffer(b"".join(map(pad, z)), np.uint8).reshape(-1, wide) for z in (a, b))
+    same = np.logical_and.accumulate((x == y) & (np.arange(wide) < n[:, None]), axis=1)
+    starts, row, m = (x & 0xC0) != 0x80, np.arange(len(x)), same.sum(axis=1)
+    count = (same & starts).sum(axis=1)
+    if not back:  # the last character may go on
+        count -= ~starts[row, m]
+    word = np.where(same & ~_WORD[x], np.arange(1, wide + 1), 0).max(axis=1)
+    inner = count - (same & starts & (np.arange(wide) < word[:, None])).sum(axis=1)
+    inner[(m - word > LONG_WORD) | ~(_WORD[x[row, m]] | _WORD[y[row, m]])] = 0
+    return count.astype(np.int32), inner.astype(np.int32)
+
+
+def repeats(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """Every piece that is met twice or more: doc_id, start, end, inner_start, inner_end (without parts of words), first_doc_id (the least id that has it), first (whether this is its first place)."""
+    docs = docs.where(F.length("text") >= least_chars).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text")
+    ids = docs.select("doc_id", "t", F.xxhash64(F.lit(1), "text").alias("t2"), F.length("text").alias("end"))
+    known = F.coalesce("doc_id", F.lit(2**63 - 1))
+    copied = ids.groupBy("t", "t2", "end").agg(F.count(F.lit(1)).alias("n"), F.min(known).alias("first_doc_id")).where("n > 1").drop("n")
+    copies = ids.join(copied.hint("merge"), ["t", "t2", "end"]).select("doc_id", F.lit(0).alias("start"), "end", F.lit(0).alias("inner_start"), F.col("end").alias("inner_end"), "first_doc_id", (known == F.col("first_doc_id")).alias("first"))
+
+    places = anchored(docs, least_chars)
+    place, spot = F.struct(known.alias("doc_id"), "at", "t"), F.xxhash64("t", "at")
+    twice = places.groupBy("d").agg(F.min(spot).alias("low"), F.max(spot).alias("high"), F.min(place).alias("place")).where("low < high").select("d", "place")
+    both = places.join(twice.hint("merge"), "d").where((F.col("t") != F.col("place.t")) | (F.col("at") != F.col("place.at")))
+    later = save(both.select("t", "at", F.col("place.doc_id").alias("first_doc_id"), F.col("place.t").alias("first_t"), F.col("place.at").alias("first_at")).distinct(), "chunk-later")
+    texts = docs.select("t", "text").dropDuplicates(["t"])
+    own = with_sides(later, texts, least_chars)
+    origin = with_sides(later.select(F.col("first_t").alias("t"), F.col("first_at").alias("at")).distinct(), texts, least_chars).toDF("o_t", "o_at", "o_left", "o_right")
+    met = own.join(origin.hint("merge"), (F.col("first_t") == F.col("o_t")) & (F.col("first_at") == F.col("o_at"))).drop("o_t", "o_at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["t", "start", "end", "inner_start", "inner_end", "first_doc_id", "first"]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = {n: batch.column(n) for n in batch.schema.names}
+            of = {n: c[n].to_pylist() for n in ("left", "o_left", "right", "o_right")}
+            (back, back_words), (on, on_words) = alike(of["left"], of["o_left"], True), alike(of["right"], of["o_right"], False)
+            for t, at, first in ((c["t"], c["at"], False), (c["first_t"], c["first_at"], True)):
+                start, end = at.to_numpy() - back, at.to_numpy() + on
+                yield pa.RecordBatch.from_arrays([t, *map(pa.array, (start, end, start + back_words, end - on_words)), c["first_doc_id"], pa.array(np.full(len(on), first))], names=names)
+
+    pieces = met.mapInArrow(run, "t long, start int, end int, inner_start int, inner_end int, first_doc_id long, first boolean")
+    pieces = pieces.groupBy("t", "start", "end", "first_doc_id").agg(F.min("inner_start").alias("inner_start"), F.max("inner_end").alias("inner_end"), F.min("first").alias("first"))
+    # of equal texts the first stands for all; the others are wholly repeated
+    holders = ids.groupBy("t").agg(F.min(known).alias("holder"))
+    named = pieces.join(holders.hint("merge"), "t").select(F.nullif("holder", F.lit(2**63 - 1)).alias("doc_id"), "start", "end", "inner_start", "inner_end", "first_doc_id", "first")
+    return named.unionByName(copies)
 
 
 def spans(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """Repeated spans: doc_id, start, end, n_chunks, n_first (chunks that have their first place here), first_doc_ids."""
-    found = repeats(docs).groupBy("doc_id", "start", "end").agg(F.min("first_doc_id").alias("first_doc_id"), F.max("first").alias("first"))
+    """Repeated spans: doc_id, start, end, n_chunks (pieces), n_first (pieces that have their first place here), first_doc_ids."""
+    found = repeats(docs, least_chars).groupBy("doc_id", "start", "end").agg(F.min("inner_start").alias("inner_start"), F.max("inner_end").alias("inner_end"), F.min("first_doc_id").alias("first_doc_id"), F.min("first").alias("first"))
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     gap = (F.col("start") > F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int")
     run = found.withColumn("gap", gap).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     joined = run.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_chunks"), F.count_if("first").alias("n_first"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"),
-        F.array_sort(F.collect_list(F.when(~F.col("first"), F.struct("start", "end")))).alias("later"),
+        F.min("inner_start").alias("start"), F.max("inner_end").alias("end"), (F.max("end") - F.min("start")).alias("whole"), F.count(F.lit(1)).alias("n_chunks"), F.count_if("first").alias("n_first"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"),
+        F.array_sort(F.collect_list(F.when(~F.col("first"), F.struct(F.col("inner_start").alias("start"), F.col("inner_end").alias("end"))))).alias("later"),
     )
-    return joined.where(F.col("end") - F.col("start") >= least_chars).drop("run")
+    return joined.where(F.col("whole") >= least_chars).drop("run", "whole")
 
 
 def without_repeats(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """docs with texts from which the chunks of repeated spans are cut, but for their first places."""
+    """docs with texts from which the pieces of repeated spans are cut, but for their first places."""
     later = spans(docs, least_chars).groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("later"))).alias("_later"))
     both = docs.join(later.withColumnRenamed("doc_id", "_doc_id").hint("merge"), F.col("doc_id") == F.col("_doc_id"), "left")
     text = F.col("text")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda a, s: F.struct(F.concat(a["out"], text.substr(a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))).alias("out"), s["end"].alias("at"))
+    step = lambda a, s: F.struct(F.concat(a["out"], text.substr(a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
     cut = F.aggregate("_later", start, step, lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text))))
     return both.withColumn("text", F.when(F.size(F.coalesce("_later", F.array().cast("array<struct<start:int,end:int>>"))) > 0, cut).otherwise(text)).select(*docs.columns)
