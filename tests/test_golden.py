@@ -127,6 +127,18 @@ def test_clusters(spark):
     assert {x.vec_id: x.cluster for x in similarity.greedy_clusters(v, "block").collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
 
 
+def test_short_prompts_are_reused(spark):
+    from types import SimpleNamespace
+
+    from tidemark.plans import market_queries
+
+    many = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, "short text", "en"), (2, "short text", "en"), (4, "short text", "de"), (3, many, "en"), (5, None, "en"), (7, "", "en")]
+    t = SimpleNamespace(documents=spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    found = {(r.id, r.known_id, r.kind) for r in market_queries.QUERIES["j18_prompt_reuse"](t).collect()}
+    assert found == {(1, 1, "exact"), (2, 1, "exact"), (3, 3, "near"), (4, 4, "exact"), (7, 7, "exact")}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "kenya").mkdir()
     (tmp_path / "kenya" / "res_exposure.csv").write_text("REPL;BUILD;OCCUPANCY\n10;1;a\n20;x;b\n")

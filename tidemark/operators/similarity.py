@@ -57,11 +57,11 @@ def reused(new: DataFrame, known: DataFrame, percent: int = 95) -> DataFrame:
     b = known.select(F.col("id").alias("known_id"), F.col("model").alias("known_model"), key.alias("known_key"), word_set("text").alias("known_words"))
     exact = a.join(b.hint("merge"), (a.key == b.known_key) & (a.model == b.known_model)).groupBy("id").agg(F.min("known_id").alias("known_id")).withColumn("kind", F.lit("exact"))
     rest = a.join(exact.select("id").hint("merge"), "id", "left_anti")
-    sets = rest.select(F.struct(F.lit(0).alias("side"), "id").alias("who"), "words").unionByName(b.select(F.struct(F.lit(1).alias("side"), F.col("known_id").alias("id")).alias("who"), F.col("known_words").alias("words")))
+    sets = rest.select(F.struct(F.lit(0).alias("side"), "id", "model").alias("who"), "words").unionByName(b.select(F.struct(F.lit(1).alias("side"), F.col("known_id").alias("id"), F.col("known_model").alias("model")).alias("who"), F.col("known_words").alias("words")))
     rare = saved(rarest(sets.withColumn("n", F.size("words")), "who", percent), "reuse-rare")
-    ours, theirs = (rare.where(F.col("who.side") == k).select(F.col("who.id").alias(i), F.col("word").alias(w)) for k, i, w in ((0, "id", "word"), (1, "known_id", "known_word")))
-    pairs = ours.join(theirs.hint("merge"), F.col("word") == F.col("known_word")).select("id", "known_id").distinct()
-    pairs = pairs.join(rest.select("id", "model").hint("merge"), "id").join(b.select("known_id", "known_model").hint("merge"), "known_id").where("model = known_model").select("id", "known_id")
+    ours, theirs = (rare.where(F.col("who.side") == k).select(F.col("who.id").alias(i), F.col("who.model").alias(m), F.col("n").alias(n), F.col("word").alias(w)) for k, i, m, n, w in ((0, "id", "model", "n", "word"), (1, "known_id", "known_model", "known_n", "known_word")))
+    fits = (F.col("word") == F.col("known_word")) & (F.col("model") == F.col("known_model")) & (100 * F.least("n", "known_n") >= percent * F.greatest("n", "known_n"))
+    pairs = ours.join(theirs.hint("merge"), fits).select("id", "known_id").distinct()
     both = pairs.join(a.select("id", "words").hint("merge"), "id").join(b.select("known_id", "known_words").hint("merge"), "known_id")
     common = F.size(F.array_intersect("words", "known_words"))
     near = both.where(100 * common >= percent * (F.size("words") + F.size("known_words") - common)).groupBy("id").agg(F.min("known_id").alias("known_id")).withColumn("kind", F.lit("near"))

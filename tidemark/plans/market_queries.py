@@ -44,7 +44,7 @@ def vectors(t, size):
 
 def prompts(t, kind):
     text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text")) if kind else F.col("text")
-    return t.documents.where(F.length("text") > 2000).select(F.col("doc_id").alias("id"), F.col("lang").alias("model"), text.alias("text"))
+    return t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("model"), text.alias("text"))
 
 
 QUERIES = {
@@ -68,7 +68,7 @@ QUERIES = {
     "g2_cosine": lambda t: similarity.block_pairs(vectors(t, 20), "block").select("v1", "v2", F.round("cosine", 5).alias("cosine")),
     "g3_greedy_clusters": lambda t: similarity.greedy_clusters(vectors(t, 5), "block", NEAR).select("vec_id", "cluster"),
     "g4_density_clusters": lambda t: similarity.density_clusters(vectors(t, 20), "block", EPS),
-    "j18_prompt_reuse": lambda t: similarity.reused(prompts(t, 1), prompts(t, 0)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") == F.col("known_id")).alias("same")),
+    "j18_prompt_reuse": lambda t: similarity.reused(prompts(t, 1), prompts(t, 0)).select("id", "known_id", "kind"),
 }
 _low2 = lambda c, ks: f"({S.has(f'lower(a.{c})', *ks)} OR {S.has(f'lower(b.{c})', *ks)})"
 STEPS["slip_relations"] = f"""
