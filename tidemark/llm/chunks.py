@@ -1,20 +1,22 @@
-"""Substring deduplication by content-defined anchors.
+"""Substring deduplication by content-defined chunks.
 
 A gear hash rolls over the bytes of a text (each step shifts the last value and adds a random number of the byte, so a
-value depends on the last 32 bytes). In every window of places the least hash is an anchor (winnowing); window and hash
-together are as long as the shortest span, so every passage of that length has an anchor, at the same place in all its
-occurrences. An anchor met at two places is a repeat: its bytes to both sides are compared with those of its first
-place, as far as the next anchor can be, and the pieces that touch form a span. Spans of fewer than `least_chars`
-characters are left alone: short phrases recur by chance. Then the borders of a span leave out a part of a word whose
-other letters differ. Equal texts are one text and wholly repeated.
-
-`chunked` cuts texts where the hash is the least within REACH bytes to either side. Hash and windows start anew in
-every text, so equal texts have equal chunks and anchors whatever stands next to them.
-
-Cases: null and empty texts have no chunks; ends and spans never cut a character; places are code points, end exclusive; a long
-run of one character is one chunk; rows with a null id are compared with all others, under the id null; the chunks of
-rows that repeat an id are one document's, each row an occurrence; a piece is compared with its first place only; texts of any length are used whole; an empty table
-gives an empty table; other columns are not kept by `spans`, and all are by `without_repeats`.
+value depends on the last 32 bytes). In every window of places the least hash ends a chunk; window and hash together
+are as long as the shortest span, so every passage of that length holds a chunk's end, at the same place in all its
+occurrences, whatever was inserted before it. Chunk ends are matched by the digest of the hashed bytes with the first
+place that has it, and whole chunks by their digests: neighbouring chunks that are equal to neighbouring chunks of the
+same first place form a run. Only where a run begins or ends, texts are compared byte by byte with the first place, as
+far as the next chunk's end can be. Pieces that touch form a span. Spans of fewer than `least_chars` characters are left
+alone: short phrases recur by chance. Then the borders of a span leave out a part of a word whose other letters differ.
+Equal texts are one text and wholly repeated.
+
+Hash and windows start anew in every text, so equal texts have equal chunks whatever stands next to them.
+
+Cases: null and empty texts have no chunks; spans never cut a character; places are code points, end exclusive; inside
+a stretch that repeats itself every PERIOD bytes or faster no chunk ends, so it repeats as a whole or at its edges;
+rows with a null id are compared with all others, each text by itself, under the id null; rows that repeat an id are
+judged each by its own text; a piece is compared with its first place only; texts of any length are used whole; an empty
+table gives an empty table; other columns are not kept by `spans`, and all are, whatever their names, by `without_repeats`.
 """
 
 from __future__ import annotations
@@ -31,22 +33,28 @@ from tidemark.llm.arrow import flat_text, small_batches
 from tidemark.llm.common import save
 from tidemark.llm.neardup import U, _powers, mixed
 
-#: Bytes to either side within which a chunk's end has the least hash: chunks have 2 * REACH + 1 bytes on the average.
-REACH = 24
 #: Characters of the shortest span that counts as a repeat; every repeat of that length is found.
 LEAST_CHARS = 120
-
 #: Bytes up to which a part of a word (ASCII letters, digits, all beyond ASCII) at a span's border is left to the word.
 LONG_WORD = 24
+#: Bytes of the longest period that is passed over.
+PERIOD = 8
+#: Bytes that are hashed at a time: what is computed from them fits the processor's cache.
+STEP_BYTES = 200_000
+#: Groups of copies up to which their table is broadcast to the scan of the texts; windows that a worker cuts at a time.
+MANY_COPIES, MANY_WINDOWS = 1_000_000, 20_000
 
 _random = np.random.default_rng(20240602)
 _GEAR = _random.integers(0, 2**32, 256, dtype=np.uint32)
 _BYTES = _random.integers(0, 2**64, (2, 256), dtype=U)
 _WORD = np.zeros(256, dtype=bool)
-_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xF8)]] = True
 _NEVER = np.uint32(2**32 - 1)
-#: Empty places between texts: a hash is shifted out after 32, and no window of REACH places spans them.
-_APART = 32
+_HASHED = 32
+#: What stands beyond a text's ends in a window; no text has these bytes, and they never agree.
+_OUTSIDE = {"own": 0xFF, "first": 0xFE}
+#: An id that stands for null: it comes after all others.
+_NO_ID = 2**63 - 1
 
 
 def gear(h: np.ndarray) -> np.ndarray:
@@ -56,71 +64,21 @@ def gear(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def ends(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where chunks end (exclusive), in order; every text's end is one."""
-    at = np.arange(len(flat)) + _APART * np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    wide = np.zeros(len(flat) + _APART * (len(offsets) - 1), dtype=np.uint32)
-    wide[at] = _GEAR[flat]
-    own = gear(wide)[at]
-    own[:-1][(flat[1:] & 0xC0) == 0x80] = _NEVER  # a character goes on
-    h = np.full(len(wide), _NEVER)
-    h[at] = own
-    # least hash of the REACH places before and of those after, by doublings
-    def least(x: np.ndarray) -> np.ndarray:
-        """least[i] = min(x[i - REACH:i])"""
-        have, low = 1, x.copy()
-        while have < REACH:
-            step = min(have, REACH - have)
-            low[step:] = np.minimum(low[step:], low[:-step].copy())
-            have += step
-        return np.r_[_NEVER, low[:-1]]
-
-    before, after = least(h), least(h[::-1])[::-1]
-    own = np.flatnonzero(((h < before) & (h <= after))[at]) + 1
-    return np.union1d(own, offsets[1:][np.diff(offsets) > 0])
-
-
-def digests(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-    up, down = _powers(1 << max(16, len(flat).bit_length()))
-    out = []
-    for table in _BYTES:
-        sums = np.r_[U(0), np.cumsum(table[flat] * up[: len(flat)])]
-        out.append(mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U)).view(np.int64))
-    return out
-
-
-def chunked(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. A row a chunk: doc_id, start, end (code points), d1, d2 (digest)."""
-    names = ["doc_id", "start", "end", "d1", "d2"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for batch in small_batches(big, "text"):
-                flat, offsets = flat_text(batch.column("text"))
-                if not len(flat):
-                    continue
-                end = ends(flat, offsets)
-                begin = np.r_[0, end[:-1]]
-                owner = np.searchsorted(offsets, begin, side="right") - 1
-                letters = np.r_[0, np.cumsum((flat & 0xC0) != 0x80)]
-                at = letters[offsets[owner]]
-                columns = [batch.column("doc_id").take(pa.array(owner)), *(pa.array((letters[x] - at).astype(np.int32)) for x in (begin, end)), *map(pa.array, digests(flat, begin, end))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start int, end int, d1 long, d2 long")
-
-
 def sizes(least_chars: int) -> tuple[int, int]:
     """Bytes that a hash covers and places of a window: together one more than the shortest span."""
-    gram = max(1, min(_APART, least_chars - 3))
+    gram = max(1, min(_HASHED, least_chars - 3))
     return gram, max(4, least_chars - gram + 1)
 
 
-def anchors(flat: np.ndarray, offsets: np.ndarray, gram: int, window: int) -> np.ndarray:
-    """Byte places after the anchors' hashed bytes, in order."""
+def ends(flat: np.ndarray, offsets: np.ndarray, gram: int, window: int) -> np.ndarray:
+    """Where chunks end (exclusive), in order."""
     if len(flat) < gram + window - 1:
         return np.empty(0, np.int64)
-    h = gear(_GEAR[flat]) << np.uint32(_APART - gram)
+    h = gear(_GEAR[flat]) << np.uint32(_HASHED - gram)
+    same = np.zeros(len(h), dtype=bool)
+    for k in range(1, min(PERIOD, len(h) - 1) + 1):
+        same[k:] |= h[k:] == h[:-k]
+    h[same] = _NEVER
     h[:-1][(flat[1:] & 0xC0) == 0x80] = _NEVER  # a character goes on
     low = (h.astype(U) << U(32)) | np.arange(len(h), dtype=U)
     have = 1
@@ -133,130 +91,178 @@ def anchors(flat: np.ndarray, offsets: np.ndarray, gram: int, window: int) -> np
     first, last = offsets[:-1] + gram - 1, offsets[1:] - window + 1
     np.add.at(inside, first[last > first], 1)
     np.add.at(inside, last[last > first], -1)
-    return np.unique((low[np.cumsum(inside[:-1]) > 0] & U(2**32 - 1)).astype(np.int64)) + 1
+    low = low[np.cumsum(inside[:-1]) > 0]
+    low = low[np.r_[True, low[1:] != low[:-1]][: len(low)]]
+    return np.unique((low[(low >> U(32)) != U(_NEVER)] & U(2**32 - 1)).astype(np.int64)) + 1
 
 
-def anchored(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """docs: doc_id, t (digest of the text), text. A row an anchor: doc_id, t, at (code points before its end), d (digest of its bytes)."""
+def digests(flat: np.ndarray, begin: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
+    up, down = _powers(1 << max(16, len(flat).bit_length()))
+    sums = np.r_[U(0), np.cumsum(table[flat] * up[: len(flat)])]
+    return mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U)).view(np.int64)
+
+
+def chunked(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """docs: doc_id, t (digest of the text), text. A row a chunk: doc_id, t, at (bytes before its end), size (its bytes), d (digest of its last hashed bytes), c (digest of all its bytes)."""
     gram, window = sizes(least_chars)
+    names = ["doc_id", "t", "at", "size", "d", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for batch in small_batches(big, "text"):
+            for batch in small_batches(big, "text", size=STEP_BYTES):
                 flat, offsets = flat_text(batch.column("text"))
-                end = anchors(flat, offsets, gram, window)
+                end = ends(flat, offsets, gram, window)
                 if not len(end):
                     continue
-                owner = pa.array(np.searchsorted(offsets, end - 1, side="right") - 1)
-                letters = np.r_[0, np.cumsum((flat & 0xC0) != 0x80)]
-                at = letters[end] - letters[offsets[owner.to_numpy()]]
-                columns = [batch.column("doc_id").take(owner), batch.column("t").take(owner), pa.array(at.astype(np.int32)), pa.array(digests(flat, end - gram, end)[0])]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "at", "d"])
+                owner = np.searchsorted(offsets, end - 1, side="right") - 1
+                begin = np.maximum(np.r_[0, end[:-1]], offsets[owner])
+                at, size = ((end - x).astype(np.int32) for x in (offsets[owner], begin))
+                digest = digests(flat, end - gram, end, _BYTES[0]), digests(flat, begin, end, _BYTES[1])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(owner)) for c in ("doc_id", "t")), *map(pa.array, (at, size, *digest))], names=names)
+
+    return docs.select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, at int, size int, d long, c long")
 
-    return docs.select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, at int, d long")
 
+def runs(docs: DataFrame, least_chars: int) -> DataFrame:
+    """Runs of neighbouring chunks that have the same first place: doc_id, t, head and tail (ends of the first and the last chunk), first (doc_id, t), first_head, first_tail."""
+    chunks = chunked(docs, least_chars)
+    spot = F.xxhash64("t", "at")
+    twice = chunks.groupBy("d").agg(F.min(spot).alias("low"), F.max(spot).alias("high")).where("low < high").select("d")
+    some = save(chunks.join(twice.hint("merge"), "d", "left_semi"), "chunk-some")
+    first = some.groupBy("d").agg(F.min(F.struct("doc_id", "t", "at", "c")).alias("first"))
+    later = some.join(first.hint("merge"), "d").where((F.col("t") != F.col("first.t")) | (F.col("at") != F.col("first.at")))
+    later = later.repartition("t").dropDuplicates(["t", "at"])  # a text has as many rows as chunks
+    shift, order = F.col("at") - F.col("first.at"), Window.partitionBy("t").orderBy("at")
+    before = F.lag(F.struct("at", "first.t", shift.alias("shift"))).over(order)
+    goes_on = (before["at"] == F.col("at") - F.col("size")) & (before["t"] == F.col("first.t")) & (before["shift"] == shift) & (F.col("c") == F.col("first.c"))
+    numbered = later.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    grouped = numbered.groupBy("t", "run").agg(F.min("at").alias("head"), F.max("at").alias("tail"), F.min("doc_id").alias("doc_id"), F.min(F.struct("first.doc_id", "first.t")).alias("first"), F.min(shift).alias("shift"))
+    return grouped.select("doc_id", "t", "head", "tail", "first", (F.col("head") - F.col("shift")).alias("first_head"), (F.col("tail") - F.col("shift")).alias("first_tail"))
 
-def with_sides(wanted: DataFrame, texts: DataFrame, least_chars: int) -> DataFrame:
-    """wanted: t, at and others. With the bytes before and after each place, whole characters."""
+
+SIDE = "t long, at int, back boolean, doc_id long, head int, first_doc_id long, first_t long, first_at int"
+
+
+def with_windows(sides: DataFrame, texts: DataFrame, least_chars: int) -> DataFrame:
+    """sides: SIDE (those of a first place have no head). With letters (code points before the place) and bytes (what stands before it, nearest first, or after it)."""
     gram, window = sizes(least_chars)
-    names = wanted.columns
-    others = [c for c in names if c != "t"]
-    listed = wanted.groupBy("t").agg(F.collect_list(F.struct(*others)).alias("wants"))
-    both = listed.join(texts.withColumnRenamed("t", "_t").hint("merge"), F.col("t") == F.col("_t")).select("t", "wants", F.encode("text", "utf-8").alias("text"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema.fields)
+    wide = gram + window + 3  # up to four bytes more tell whether a character goes on
+    names = [f.split()[0] for f in SIDE.split(", ")]
+    listed = sides.groupBy("t").agg(F.collect_list(F.struct(*names[1:])).alias("sides"))  # some for each chunk of the text
+    both = listed.join(texts.select(F.col("t").alias("own_t"), "text").hint("merge"), F.col("t") == F.col("own_t")).select("t", "sides", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in small_batches(big, "text"):
-                wants, left, right = batch.column("wants"), [], []
-                for ats, text in zip(wants.to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    starts = np.r_[np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80), len(text)]
-                    for x in ats:
-                        p = int(starts[x["at"]])
-                        left.append(text[max(0, p - gram - window + 1) : p])
-                        right.append(text[p : int(starts[np.searchsorted(starts, min(len(text), p + window - 1))])])
-                owner = pc.list_parent_indices(wants)
-                each = pc.list_flatten(wants)
-                columns = {"t": batch.column("t").take(owner)} | {c: each.field(k) for k, c in enumerate(others)}
-                yield pa.RecordBatch.from_arrays([*(columns[c] for c in names), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=[*names, "left", "right"])
-
-    return both.mapInArrow(run, f"{fields}, left binary, right binary")
-
-
-def alike(a: list[bytes], b: list[bytes], back: bool) -> tuple[np.ndarray, np.ndarray]:
-    """How many whole characters a and b share from their begin (or, going back, from their end), and how many of these belong to a word that a or b goes on with."""
-    n = np.minimum([len(x) for x in a], [len(x) for x in b])
-    wide = int(n.max(initial=0)) + 1
-    pad = (lambda x: x[-wide:][::-1].ljust(wide, b"\0")) if back else (lambda x: x[:wide].ljust(wide, b"\0"))
-    x, y = (np.frombuffer(b"".join(map(pad, z)), np.uint8).reshape(-1, wide) for z in (a, b))
-    same = np.logical_and.accumulate((x == y) & (np.arange(wide) < n[:, None]), axis=1)
-    starts, row, m = (x & 0xC0) != 0x80, np.arange(len(x)), same.sum(axis=1)
-    count = (same & starts).sum(axis=1)
-    if not back:  # the last character may go on
-        count -= ~starts[row, m]
-    word = np.where(same & ~_WORD[x], np.arange(1, wide + 1), 0).max(axis=1)
-    inner = count - (same & starts & (np.arange(wide) < word[:, None])).sum(axis=1)
-    inner[(m - word > LONG_WORD) | ~(_WORD[x[row, m]] | _WORD[y[row, m]])] = 0
+                flat, offsets = flat_text(batch.column("text"))
+                letters = np.r_[0, np.cumsum((flat & 0xC0) != 0x80)]
+                owner, each = pc.list_parent_indices(batch.column("sides")), pc.list_flatten(batch.column("sides"))
+                for k in range(0, len(owner), MANY_WINDOWS):
+                    own, part = owner[k : k + MANY_WINDOWS], each[k : k + MANY_WINDOWS]
+                    column = dict(zip(names, (batch.column("t").take(own), *(part.field(n) for n in range(part.type.num_fields))), strict=True))
+                    row, at, back = (np.asarray(x.to_numpy(zero_copy_only=False)) for x in (own, column["at"], column["back"]))
+                    low, high = offsets[row], offsets[row + 1]
+                    place = low + at
+                    index = np.where(back[:, None], place[:, None] - 1 - np.arange(wide), place[:, None] + np.arange(wide))
+                    outside = (index < low[:, None]) | (index >= high[:, None])
+                    mark = np.where(column["head"].is_null().to_numpy(zero_copy_only=False), _OUTSIDE["first"], _OUTSIDE["own"]).astype(np.uint8)
+                    cut = np.where(outside, mark[:, None], flat[np.where(outside, 0, index)])
+                    data = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer((np.arange(len(cut) + 1) * wide).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(cut))])
+                    yield pa.RecordBatch.from_arrays([*column.values(), pa.array((letters[place] - letters[low]).astype(np.int32)), data], names=[*names, "letters", "bytes"])
+
+    return both.mapInArrow(run, f"{SIDE}, letters int, bytes binary")
+
+
+def alike(x: np.ndarray, y: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows row by row: how many whole characters they share, and how many of these belong to a word with which one of them goes on."""
+    rows, wide = np.arange(len(x)), x.shape[1]
+    m = np.logical_and.accumulate(x == y, axis=1)[:, :-4].sum(axis=1)
+    starts = (x & 0xC0) != 0x80
+    places = np.arange(wide)
+    # going on, the character that is cut begins at the last start; going back, the last start ends a whole character
+    last = lambda upto: np.where(starts & (places < upto[:, None]), places, -1).max(axis=1)
+    m = np.where(back, last(m) + 1, np.where(starts[rows, m] & ((y[rows, m] & 0xC0) != 0x80), m, np.maximum(last(m), 0)))
+    inside = places < m[:, None]
+    count = (starts & inside).sum(axis=1)
+    word = np.where(~_WORD[x] & inside, places + 1, 0).max(axis=1)
+    inner = count - (starts & (places < word[:, None])).sum(axis=1)
+    inner[(m - word > LONG_WORD) | ~(_WORD[x[rows, m]] | _WORD[y[rows, m]])] = 0
     return count.astype(np.int32), inner.astype(np.int32)
 
 
-def repeats(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """Every piece that is met twice or more: doc_id, start, end, inner_start, inner_end (without parts of words), first_doc_id (the least id that has it), first (whether this is its first place)."""
-    docs = docs.where(F.length("text") >= least_chars).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text")
-    ids = docs.select("doc_id", "t", F.xxhash64(F.lit(1), "text").alias("t2"), F.length("text").alias("end"))
-    known = F.coalesce("doc_id", F.lit(2**63 - 1))
-    copied = ids.groupBy("t", "t2", "end").agg(F.count(F.lit(1)).alias("n"), F.min(known).alias("first_doc_id")).where("n > 1").drop("n")
-    copies = ids.join(copied.hint("merge"), ["t", "t2", "end"]).select("doc_id", F.lit(0).alias("start"), "end", F.lit(0).alias("inner_start"), F.col("end").alias("inner_end"), "first_doc_id", (known == F.col("first_doc_id")).alias("first"))
-
-    places = anchored(docs, least_chars)
-    place, spot = F.struct(known.alias("doc_id"), "at", "t"), F.xxhash64("t", "at")
-    twice = places.groupBy("d").agg(F.min(spot).alias("low"), F.max(spot).alias("high"), F.min(place).alias("place")).where("low < high").select("d", "place")
-    both = places.join(twice.hint("merge"), "d").where((F.col("t") != F.col("place.t")) | (F.col("at") != F.col("place.at")))
-    later = save(both.select("t", "at", F.col("place.doc_id").alias("first_doc_id"), F.col("place.t").alias("first_t"), F.col("place.at").alias("first_at")).distinct(), "chunk-later")
-    texts = docs.select("t", "text").dropDuplicates(["t"])
-    own = with_sides(later, texts, least_chars)
-    origin = with_sides(later.select(F.col("first_t").alias("t"), F.col("first_at").alias("at")).distinct(), texts, least_chars).toDF("o_t", "o_at", "o_left", "o_right")
-    met = own.join(origin.hint("merge"), (F.col("first_t") == F.col("o_t")) & (F.col("first_at") == F.col("o_at"))).drop("o_t", "o_at")
+def compared(met: DataFrame) -> DataFrame:
+    """met: sides with o_letters and o_bytes of their first places. How far both are alike: `edge` and `inner` (without parts of words) in the text, and the same in the first place."""
+    names = ["doc_id", "t", "head", "back", "first_doc_id", "first_t", "edge", "inner", "o_edge", "o_inner"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["t", "start", "end", "inner_start", "inner_end", "first_doc_id", "first"]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            c = {n: batch.column(n) for n in batch.schema.names}
-            of = {n: c[n].to_pylist() for n in ("left", "o_left", "right", "o_right")}
-            (back, back_words), (on, on_words) = alike(of["left"], of["o_left"], True), alike(of["right"], of["o_right"], False)
-            for t, at, first in ((c["t"], c["at"], False), (c["first_t"], c["first_at"], True)):
-                start, end = at.to_numpy() - back, at.to_numpy() + on
-                yield pa.RecordBatch.from_arrays([t, *map(pa.array, (start, end, start + back_words, end - on_words)), c["first_doc_id"], pa.array(np.full(len(on), first))], names=names)
-
-    pieces = met.mapInArrow(run, "t long, start int, end int, inner_start int, inner_end int, first_doc_id long, first boolean")
-    pieces = pieces.groupBy("t", "start", "end", "first_doc_id").agg(F.min("inner_start").alias("inner_start"), F.max("inner_end").alias("inner_end"), F.min("first").alias("first"))
-    # of equal texts the first stands for all; the others are wholly repeated
-    holders = ids.groupBy("t").agg(F.min(known).alias("holder"))
-    named = pieces.join(holders.hint("merge"), "t").select(F.nullif("holder", F.lit(2**63 - 1)).alias("doc_id"), "start", "end", "inner_start", "inner_end", "first_doc_id", "first")
-    return named.unionByName(copies)
+        for big in batches:
+            for batch in (big.slice(k, MANY_WINDOWS) for k in range(0, big.num_rows, MANY_WINDOWS)):
+                of = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                x, y = (flat_text(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("bytes", "o_bytes"))
+                back = of("back")
+                count, word = alike(x, y, back)
+                moved = [np.where(back, of(c) - n, of(c) + n).astype(np.int32) for c in ("letters", "o_letters") for n in (count, count - word)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:6]), *map(pa.array, moved)], names=names)
+
+    return met.mapInArrow(run, "doc_id long, t long, head int, back boolean, first_doc_id long, first_t long, edge int, inner int, o_edge int, o_inner int")
+
+
+def repeats(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """Every piece that is met twice or more: doc_id, t (digest of the text), start, end, inner_start, inner_end (without parts of words), first_doc_id (the least id that has it), first (whether this is its first place). Null ids are the largest number."""
+    long = docs.where(F.length("text") >= least_chars)
+    long = long.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+    ids = long.select("doc_id", "t", "t2", F.length("text").alias("end"))
+    copied = save(ids.groupBy("t", "t2", "end").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc_id")).where("n > 1").drop("n"), "chunk-copied")
+    copies = ids.join(copied.hint("merge"), ["t", "t2", "end"])
+    copies = copies.select("doc_id", "t", F.lit(0).alias("start"), "end", F.lit(0).alias("inner_start"), F.col("end").alias("inner_end"), "first_doc_id", (F.col("doc_id") == F.col("first_doc_id")).alias("first"))
+
+    # of equal texts the first stands for all
+    many = copied.limit(MANY_COPIES + 1).count() > MANY_COPIES
+    side = copied.select(F.col("t").alias("_t"), F.col("t2").alias("_t2"), "first_doc_id")
+    held = long.join(side.hint("merge") if many else F.broadcast(side), (F.col("t") == F.col("_t")) & (F.col("t2") == F.col("_t2")), "left")
+    held = held.where("first_doc_id is null or doc_id = first_doc_id").select("doc_id", "t", "text")
+    held = save(held, "chunk-held") if many else held
+
+    found = save(runs(held, least_chars), "chunk-runs")
+    side = lambda back, head, first_head: found.select("t", F.col(head).alias("at"), F.lit(back).alias("back"), "doc_id", "head", F.col("first.doc_id").alias("first_doc_id"), F.col("first.t").alias("first_t"), F.col(first_head).alias("first_at"))
+    own = side(True, "head", "first_head").union(side(False, "tail", "first_tail"))
+    none = lambda kind: F.lit(None).cast(kind)
+    origin = own.select(F.col("first_t").alias("t"), F.col("first_at").alias("at"), "back").distinct().select("t", "at", "back", none("long").alias("doc_id"), none("int").alias("head"), none("long").alias("first_doc_id"), none("long").alias("first_t"), none("int").alias("first_at"))
+    cut = save(with_windows(own.union(origin), held, least_chars), "chunk-windows")
+    origin = cut.where("head is null").dropDuplicates(["t", "at", "back"]).select(F.col("t").alias("o_t"), F.col("at").alias("o_at"), F.col("back").alias("o_back"), F.col("letters").alias("o_letters"), F.col("bytes").alias("o_bytes"))
+    met = cut.where("head is not null").join(origin.hint("merge"), (F.col("first_t") == F.col("o_t")) & (F.col("first_at") == F.col("o_at")) & (F.col("back") == F.col("o_back")))
+    edges = compared(met)
+    at = lambda c, back: F.max(F.when(F.col("back") == back, F.col(c)))
+    pieces = edges.groupBy("doc_id", "t", "head", "first_doc_id", "first_t").agg(*(at(c, back).alias(f"{c}_{int(back)}") for c in ("edge", "inner", "o_edge", "o_inner") for back in (True, False)))
+    names = ("start", "end", "inner_start", "inner_end")
+    piece = lambda doc, t, o, first: F.struct(F.col(doc).alias("doc_id"), F.col(t).alias("t"), *(F.col(f"{o}{c}_{b}").alias(n) for n, (c, b) in zip(names, (("edge", 1), ("edge", 0), ("inner", 1), ("inner", 0)), strict=True)), "first_doc_id", F.lit(first).alias("first"))
+    pieces = pieces.select(F.inline(F.array(piece("doc_id", "t", "", False), piece("first_doc_id", "first_t", "o_", True))))
+    pieces = pieces.groupBy("doc_id", "t", "start", "end", "first_doc_id").agg(F.min("inner_start").alias("inner_start"), F.max("inner_end").alias("inner_end"), F.min("first").alias("first"))
+    return pieces.unionByName(copies)
 
 
 def spans(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """Repeated spans: doc_id, start, end, n_chunks (pieces), n_first (pieces that have their first place here), first_doc_ids."""
-    found = repeats(docs, least_chars).groupBy("doc_id", "start", "end").agg(F.min("inner_start").alias("inner_start"), F.max("inner_end").alias("inner_end"), F.min("first_doc_id").alias("first_doc_id"), F.min("first").alias("first"))
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    """Repeated spans of each text: doc_id, t (digest of the text), start, end, n_chunks (pieces), n_first (pieces that have their first place here), first_doc_ids, later (pieces that have it elsewhere)."""
+    found = repeats(docs, least_chars).groupBy("doc_id", "t", "start", "end").agg(F.min("inner_start").alias("inner_start"), F.max("inner_end").alias("inner_end"), F.min("first_doc_id").alias("first_doc_id"), F.min("first").alias("first"))
+    order = Window.partitionBy("doc_id", "t").orderBy("start", "end")
     gap = (F.col("start") > F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int")
     run = found.withColumn("gap", gap).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    joined = run.groupBy("doc_id", "run").agg(
-        F.min("inner_start").alias("start"), F.max("inner_end").alias("end"), (F.max("end") - F.min("start")).alias("whole"), F.count(F.lit(1)).alias("n_chunks"), F.count_if("first").alias("n_first"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"),
+    known = F.nullif("first_doc_id", F.lit(_NO_ID))
+    joined = run.groupBy("doc_id", "t", "run").agg(
+        F.min("inner_start").alias("start"), F.max("inner_end").alias("end"), (F.max("end") - F.min("start")).alias("whole"), F.count(F.lit(1)).alias("n_chunks"), F.count_if("first").alias("n_first"), F.array_sort(F.collect_set(known)).alias("first_doc_ids"),
         F.array_sort(F.collect_list(F.when(~F.col("first"), F.struct(F.col("inner_start").alias("start"), F.col("inner_end").alias("end"))))).alias("later"),
     )
-    return joined.where(F.col("whole") >= least_chars).drop("run", "whole")
+    return joined.where(F.col("whole") >= least_chars).withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID))).drop("run", "whole")
 
 
 def without_repeats(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """docs with texts from which the pieces of repeated spans are cut, but for their first places."""
-    later = spans(docs, least_chars).groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("later"))).alias("_later"))
-    both = docs.join(later.withColumnRenamed("doc_id", "_doc_id").hint("merge"), F.col("doc_id") == F.col("_doc_id"), "left")
-    text = F.col("text")
+    later = spans(docs, least_chars).groupBy("doc_id", "t").agg(F.array_sort(F.flatten(F.collect_list("later"))).alias("later"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_t"))
+    both = rows.join(later.hint("merge"), F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_t") == F.col("t")), "left")
+    text = F.col("row.text")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     step = lambda a, s: F.struct(F.concat(a["out"], text.substr(a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
-    cut = F.aggregate("_later", start, step, lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text))))
-    return both.withColumn("text", F.when(F.size(F.coalesce("_later", F.array().cast("array<struct<start:int,end:int>>"))) > 0, cut).otherwise(text)).select(*docs.columns)
+    cut = F.aggregate("later", start, step, lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text))))
+    kept = F.when(F.size("later") > 0, cut).otherwise(text)
+    return both.select(*((kept if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
