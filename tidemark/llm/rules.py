@@ -2,11 +2,13 @@
 
 Each rule's cost (seconds a row) and selectivity (share it rejects) are estimated on a bounded sample; rules then run
 in order of rejection per cost inside one CASE, so a later rule is not computed for a text that an earlier one
-rejects. The order never changes which texts are kept, only which rule is named for a text that several reject.
+rejects. What several rules look at (SHARED) is counted once and before the CASE, and its cost is no rule's. The order
+never changes which texts are kept, only which rule is named for a text that several reject.
 
 Cases: a null text has no words; texts of any length are read whole; repeated rows are judged each; an empty table
 gives an empty table (and the rules keep their given order); all other columns pass through untouched, and an
-existing column of a result's name is replaced.
+existing column of a result's name is replaced. A window's key has room for its place among 2^26 words; a text of more
+words than that (of over 134 million characters) would be counted wrongly, and fails instead.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 #: Low bits of a window's key that hold its place in the text.
 PLACE_BITS = 26
-#: Rows on which costs and selectivities are estimated.
-SAMPLE_ROWS = 400
+#: Texts on which costs and selectivities are estimated (8 MB at most), and how long they may be; one text in so many, by digest, may be of the sample.
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_EVERY = 400, 20_000, 8
 
 Features = dict[str, Column]
 
@@ -69,7 +71,8 @@ def repeat_words(text: str) -> Column:
         starts = F.sort_array(F.transform(twice, lambda x: x["i"]))
         return let(starts, lambda s: F.aggregate(F.transform(s, lambda p, j: F.least(F.lit(3), p - F.coalesce(F.get(s, j - 1), F.lit(-3)))), F.lit(0).cast("long"), lambda a, x: a + x))
 
-    return let(words(text), lambda w: F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(covered(w)))
+    too_long = F.raise_error(F.lit(f"a text of {1 << PLACE_BITS} words or more")).cast("long")
+    return let(words(text), lambda w: F.when(F.size(w) < 4, F.lit(0).cast("long")).when(F.size(w) >= 1 << PLACE_BITS, too_long).otherwise(covered(w)))
 
 
 def features(text: str = "text") -> Features:
@@ -99,6 +102,10 @@ RULES = (
 )
 
 
+#: Features of several rules.
+SHARED = ("n_words", "word_chars")
+
+
 @dataclass(frozen=True)
 class Estimate:
     rule: Rule
@@ -107,12 +114,16 @@ class Estimate:
 
 
 def estimate(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Cost and selectivity of each rule on the first sample_rows texts, best rejection per cost first."""
-    taken = df.select(F.col(text).alias("text")).take(sample_rows)
+    """Cost and selectivity of each rule on a sample of texts, best rejection per cost first."""
+    some = df.select(F.col(text).alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
+    taken = some.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_EVERY)) == 0).take(sample_rows) or some.take(sample_rows)
     if not taken:
         return [Estimate(r, 0.0, 0.0) for r in rules]
-    sample = df.sparkSession.createDataFrame(taken, "text string").coalesce(1)
     of, found = features("text"), []
+    spark = df.sparkSession
+    counted = spark.createDataFrame(taken, "text string").select("text", *(of[c].alias(c) for c in SHARED)).collect()
+    sample = spark.createDataFrame(counted, "text string, n_words long, word_chars long").coalesce(1)
+    of |= {c: F.col(c) for c in SHARED}
     for rule in rules:
         query = sample.agg(F.count_if(rule.rejects(of)).alias("n"))
         took = []
@@ -134,4 +145,8 @@ def judge(df: DataFrame, rules: list[Rule], of: Features) -> DataFrame:
 
 def cascade(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The table with failed_rule and kept, rules ordered by their estimates."""
-    return judge(df, [e.rule for e in estimate(df, rules, text, sample_rows)], features(text))
+    order = [e.rule for e in estimate(df, rules, text, sample_rows)]
+    of = features("_row." + text)
+    shared = df.select(F.struct(*df.columns).alias("_row"), *(of[c].alias(f"_{c}") for c in SHARED))
+    judged = judge(shared, order, of | {c: F.col(f"_{c}") for c in SHARED})
+    return judged.select(*(F.col("_row")[c].alias(c) for c in df.columns if c not in ("failed_rule", "kept")), "failed_rule", "kept")
