@@ -6,7 +6,7 @@ joins the findings back to all paths. A changed rule gets a new version and so i
 
 Cases: a null text is the empty blob, without findings; a null path keeps its row; copies share one scan; repeated
 rows stay; texts of any length are scanned whole; a text's matches may be any number (they are rows, not one array in
-one step); an empty table gives an empty table; columns other than path and text pass through `scan` untouched.
+one step); an empty table gives an empty table; `scan` gives path, blob and found, and keeps no other columns.
 """
 
 from __future__ import annotations
