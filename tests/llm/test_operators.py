@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, chunks, gam, language, mixing, nearest, neardup, registry, rules, secrets, urls
@@ -115,6 +116,45 @@ def test_near_duplicates(spark, docs, empty, percent):
     assert out.count() == len(odd_rows()) and neardup.near_duplicates(empty, percent).count() == 0
 
 
+def test_links_through_rows_without_an_id(spark):
+    w = base_text(204, 77).split()
+    a, b, c = w, [*w[:50], "x", *w[51:]], [*w[:50], "x", *w[51:150], "y", *w[151:]]
+    rows = [(1, " ".join(a)), (None, " ".join(b)), (3, " ".join(c)), (None, "alone " * 9), (None, base_text(80, 5))]
+    percent = 93  # neighbours are linked, a and c are not
+    assert brute_links([(1, rows[0][1]), (3, rows[2][1])], percent)[3][1] == 3
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("1", "1"), ("3", "1"), ("None", "1"), ("None", "None"), ("None", "None")]
+
+
+def test_one_row_of_each_group_stays(spark, docs, empty):
+    one, other = base_text(90, 1), base_text(90, 2)
+    near = one + " tail"
+    rows = [(5, one, 0), (5, one, 1), (7, near, 2), (7, other, 3), (None, near, 4), (None, None, 5), (8, None, 6), (8, "", 7), (None, base_text(70, 3), 8), (None, base_text(70, 3), 9), (9, base_text(60, 4), 10)]
+    table = spark.createDataFrame([(i, t, n, "x", 1) for i, t, n in rows], "doc_id long, text string, n int, class string, root int")
+    kept = neardup.without_near_duplicates(table, 80)
+    assert kept.columns == table.columns
+    left = sorted(r.n for r in kept.collect())
+    assert left in [[k, 3, 5, 6, 7, n, 10] for k in (0, 1) for n in (8, 9)]
+    assert neardup.without_near_duplicates(empty, 80).count() == 0 and neardup.without_near_duplicates(docs, 80).columns == docs.columns
+
+
+def test_hot_shingles_lose_no_link(spark, monkeypatch):
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "SALTS", 5)
+    r, rows = random.Random(13), []
+    for k in range(90):  # short texts that share most of their words, in many components
+        w = base_text(14, 31).split()
+        for _ in range(k % 4):
+            w[r.randrange(len(w))] = f"x{r.randrange(6)}"
+        rows.append((k, " ".join(w)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == brute_links(rows, 80)
+    table = spark.createDataFrame([(k, f"{base_text(20, k)} {base_text(40, 1)} {base_text(20, 500 + k)}") for k in range(40)], "doc_id long, text string")
+    assert {x.doc_id for x in chunks.spans(table).collect()} == set(range(40))
+
+
 def brute_secrets(text):
     out = []
     for no, r in enumerate(secrets.RULES):
@@ -164,17 +204,60 @@ def test_mixing(spark, docs, empty):
     assert all(abs(taken[s] - goal[s]) <= 25 for s in goal)
     again = mixing.apply(sized.repartition(5), mixing.plan(sized.repartition(3))).collect()
     assert sorted((x.doc_id, x.times) for x in again) == sorted((x.doc_id, x.times) for x in got)
+    clash = sized.selectExpr("*", *(f"'x' as {c}" for c in (*mixing.RESULTS, "whole", "cutoff", "plan_source")))
+    odd = mixing.apply(clash, mixing.plan(clash))
+    assert sorted((x.doc_id, x.times, x.target) for x in odd.select("doc_id", "times", "target").collect()) == sorted((x.doc_id, x.times, x.target) for x in got)
+    assert odd.select("whole", "cutoff").distinct().collect() == [("x", "x")]
+    silent = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "doc_id long, source string, size long").withColumn("key", mixing.order_key("doc_id", "s"))
+    assert [(x.target, x.size * x.times) for x in mixing.apply(silent, mixing.plan(silent)).collect()] == [(0.0, 0)] * 2
     none = empty.select("source", F.lit(0).cast("long").alias("size"), mixing.order_key("doc_id", "s").alias("key"))
     assert mixing.apply(none, mixing.plan(none)).count() == 0
 
 
-def test_urls(spark):
-    model = urls.train(urls.labelled(spark))
-    rows = [None, "", "no scheme", "http://", "https://A.B.Example.ORG/es/x?q#f", "http://example.org/en/1944", "http://x.com/fr/1", "http://x.com/de/1", "https://x.net/en/1", "http://notexample.org", "ftp://casino-win.example.net/en/1", "https://library.example.net/en/12"]
-    got = urls.judge(spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "page_id long, url string"), model).orderBy("page_id").collect()
-    assert [r.rule for r in got] == [None, None, None, None, "example.org/es/", "example.org/en/1", "com/fr/", "com/de/", None, None, None, None]
+def plain_score(url, model):
+    """The score of a url, n-gram by n-gram."""
+    m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = (m.group(1).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), m.group(2)) if m else ("", "")
+    slots = []
+    for salt, text in (("h", host), ("p", path)):
+        marked = f"^{text}$"
+        slots += [xxhash.xxh64_intdigest((salt + marked[i : i + n]).encode(), seed=42) % urls.WEIGHTS for n in urls.SIZES if text for i in range(len(marked) - n + 1)]
+    return 1 / (1 + np.exp(-(sum(model.weights[s] for s in slots) / max(1, len(slots)) ** 0.5 + model.bias)))
+
+
+@pytest.fixture(scope="module")
+def url_model(spark):
+    return urls.train(urls.labelled(spark))
+
+
+def test_urls(spark, url_model):
+    rows = [None, "", "no scheme", "http://", "https://A.B.Example.ORG/es/x?q#f", "http://example.org/en/1944", "http://x.com/fr/1", "http://x.com/de/1", "https://x.net/en/1", "http://notexample.org", "ftp://poker-casino.example.net/en/1", "https://library.example.net/en/12", "http://É漢.net/😀", "http://x.net/" + "ab1/" * 5000]
+    rows += rows[8:10]
+    names = "page_id long, url string, host int, path int, rule string, fitting string, score string, verdict long"
+    got = urls.judge(spark.createDataFrame([(i, u, 1, 2, "r", "f", "s", 3) for i, u in enumerate(rows)], names), url_model).orderBy("page_id").collect()
+    assert [r.rule for r in got[:12]] == [None, None, None, None, "example.org/es/", "example.org/en/1", "com/fr/", "com/de/", None, None, None, None]
     assert (got[4].host, got[4].path) == ("a.b.example.org", "/es/x") and (got[3].host, got[3].path) == ("", "")
-    assert got[10].verdict == "block" and got[11].verdict == "allow" and all(r.verdict in ("allow", "block") for r in got)
+    assert got[10].verdict == "block" and got[11].verdict == "allow" and all(r.verdict in ("allow", "block") and r.fitting == "f" for r in got)
+    for r in got:
+        assert r.score == pytest.approx(plain_score(rows[r.page_id], url_model), abs=1e-9)
+    assert [(r.host, r.score) for r in got[8:10]] == [(r.host, r.score) for r in got[-2:]]
+    assert urls.judge(spark.createDataFrame([], names), url_model).count() == 0
+
+
+def test_urls_held_out(spark, url_model):
+    host, path = urls.parts()
+
+    def reached(model, table):
+        rows = table.select("label", model.score(host, path).alias("s")).collect()
+        return [np.mean([r.s >= urls.THRESHOLD for r in rows if r.label == label]) for label in (0.0, 1.0)]
+
+    unseen = np.mean([reached(urls.train(urls.labelled(spark, fold, 3)), urls.labelled(spark, fold, 3, inside=False)) for fold in range(3)], axis=0)
+    assert unseen[0] <= 0.05
+    # hosts that weren't seen, of words that were
+    table = urls.labelled(spark)
+    wanted, unwanted = reached(urls.train(table.where("url not like '%-%'")), table.where("url like '%-%'"))
+    print("unseen words", unseen, "unseen hosts", wanted, unwanted)
+    assert wanted <= 0.02 and unwanted >= 0.5
 
 
 def test_gam(spark, docs, empty):

@@ -49,6 +49,16 @@ def test_stages(spark, folder):
     assert sorted((r.doc_id, r.ids) for r in last.collect()) == want
 
 
+def test_stages_keep_other_columns(spark, folder):
+    path, rows = folder
+    names = ["key", "times", "time", "target", "found", "blob", "kept", "failed_rule", "root", "t", "class", "row", "n_words"]
+    docs = spark.createDataFrame(rows[:40], COLUMNS).selectExpr("*", *(f"'{c}' as {c}" for c in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, path)
+    assert docs.columns == [c.split()[0] for c in COLUMNS.split(", ")] + names
+    assert docs.select(*names).distinct().collect() == [tuple(names)]
+
+
 def test_queries_have_their_columns(spark):
     if not os.path.isdir("/root/testdata/sf0.001"):
         pytest.skip("no test tables here")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import flat_text, small_batches
-from tidemark.llm.common import save
+from tidemark.llm.common import hot_keys, salted_join, save
 from tidemark.llm.neardup import U, _powers, mixed
 
 #: Characters of the shortest span that counts as a repeat; every repeat of that length is found.
@@ -127,10 +127,12 @@ def runs(docs: DataFrame, least_chars: int) -> DataFrame:
     """Runs of neighbouring chunks that have the same first place: doc_id, t, head and tail (ends of the first and the last chunk), first (doc_id, t), first_head, first_tail."""
     chunks = chunked(docs, least_chars)
     spot = F.xxhash64("t", "at")
-    twice = chunks.groupBy("d").agg(F.min(spot).alias("low"), F.max(spot).alias("high")).where("low < high").select("d")
-    some = save(chunks.join(twice.hint("merge"), "d", "left_semi"), "chunk-some")
+    twice = chunks.groupBy("d").agg(F.min(spot).alias("low"), F.max(spot).alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    twice = save(twice.select("d", "n"), "chunk-twice")
+    hot = hot_keys(twice, "d", "n")
+    some = save(salted_join(chunks, twice.select("d"), "d", hot, F.col("t"), "left_semi"), "chunk-some")
     first = some.groupBy("d").agg(F.min(F.struct("doc_id", "t", "at", "c")).alias("first"))
-    later = some.join(first.hint("merge"), "d").where((F.col("t") != F.col("first.t")) | (F.col("at") != F.col("first.at")))
+    later = salted_join(some, first, "d", hot, F.col("t")).where((F.col("t") != F.col("first.t")) | (F.col("at") != F.col("first.at")))
     later = later.repartition("t").dropDuplicates(["t", "at"])  # a text has as many rows as chunks
     shift, order = F.col("at") - F.col("first.at"), Window.partitionBy("t").orderBy("at")
     before = F.lag(F.struct("at", "first.t", shift.alias("shift"))).over(order)

@@ -7,13 +7,16 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than space and the controls 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: A key of more than this share of all rows (and so many rows) is dealt to SALTS tasks.
+HOT_SHARE, HOT_ROWS, SALTS = 1000, 1000, 64
+
 _own_dir: str | None = None
 
 
@@ -62,11 +65,27 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     return df.hint("merge") if many else F.broadcast(df)
 
 
-def words(text: str) -> F.Column:
+def hot_keys(counts: DataFrame, key: str, n: str) -> list:
+    """Keys that hold more than 1/HOT_SHARE of all rows (so HOT_SHARE at most) and more than HOT_ROWS of them. counts: a row a key."""
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    return [r[0] for r in counts.where((F.col(n) * HOT_SHARE > total) & (F.col(n) > HOT_ROWS)).select(key).collect()]
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list, by: Column, how: str = "inner") -> DataFrame:
+    """A sort-merge join on the key in which left's rows of hot keys are dealt to SALTS tasks by the column `by`; right's rows of hot keys are repeated for each."""
+    if not hot:
+        return left.join(right.hint("merge"), key, how)
+    is_hot = F.col(key).isin(hot)
+    own = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int"))
+    others = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return own.join(others.hint("merge"), [key, "_salt"], how).drop("_salt")
+
+
+def words(text: str) -> Column:
     """The words of a text column; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def count_words(text: str) -> F.Column:
+def count_words(text: str) -> Column:
     """How many words a text column has (long); 0 for null."""
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")

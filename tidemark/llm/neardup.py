@@ -12,8 +12,10 @@ these members, and two sets that are similar enough must share one among the rar
 that leave enough for the rest (positional filter). Only pairs of different components are looked at.
 
 Cases: null, empty and blank texts have empty sets and are linked with nothing; a text of fewer words than a shingle is
-one shingle; rows with null ids take part in classes but never name a component; repeated rows are in one class;
-texts of any length are used whole; an empty table gives an empty table; other columns are not kept by `near_duplicates`.
+one shingle; rows with null ids link and are linked as all others, but never name a component (one without any id has
+the name null); repeated rows are in one class; rows that repeat an id are judged each by its own text; texts of any
+length are used whole; an empty table gives an empty table; other columns are not kept by `near_duplicates`, and all
+are, whatever their names, by `without_near_duplicates`.
 """
 
 from __future__ import annotations
@@ -28,14 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import flat_text, small_batches
-from tidemark.llm.common import drop, save
+from tidemark.llm.common import drop, hot_keys, salted_join, save, small_side
 
 #: Words of a shingle; bins of a signature; how likely a pair at the threshold may share no band.
 SHINGLE, BINS, MISSED = 5, 192, 1e-6
 #: Bins in which two signatures must agree: at a similarity of 0.85 fewer agree with probability under 1e-8; lower thresholds lower it alike.
 SLACK = 0.15
-#: Rows up to which a table of ids is broadcast to the scan of the texts.
+#: Rows up to which a table of ids and text digests (two numbers a row, 32 MB in all) is broadcast to the scan of the texts.
 MANY_IDS = 2_000_000
+#: An id that stands for null: it comes after all others.
+_NO_ID = 2**63 - 1
 
 U = np.uint64
 _random = np.random.default_rng(20240601)
@@ -134,11 +138,16 @@ def digest(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-SIGNED = "doc_id long, n_shingles long, class binary, signature binary, bands array<long>"
+SIGNED = "doc_id long, t long, n_shingles long, class binary, signature binary, bands array<long>"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, t (digest of the text) and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
 
 
 def signed(docs: DataFrame, rows: int, shingle: int = SHINGLE) -> DataFrame:
-    """docs: doc_id, text. A row a document: size of its set, digest of the set (its class), signature, band keys (null for empty sets)."""
+    """docs: doc_id, text. A row a document: digest of its text, size of its set, digest of the set (its class), signature, band keys (null for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -151,11 +160,11 @@ def signed(docs: DataFrame, rows: int, shingle: int = SHINGLE) -> DataFrame:
                     signatures.append((values & U(0xFFFF)).astype(np.uint16).tobytes() if len(own) else None)
                     bands.append(band_keys(values, rows).view(np.int64) if len(own) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "class", "signature", "bands"],
+                    [batch.column("doc_id"), batch.column("t"), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["doc_id", "t", "n_shingles", "class", "signature", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
+    return keyed(docs).mapInArrow(run, SIGNED)
 
 
 def full_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -205,8 +214,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "root")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE) -> DataFrame:
-    """docs: doc_id, text. A row a document: doc_id, n_shingles, component_id (least doc_id that can be reached by links, its own included).
+def grouped(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE) -> DataFrame:
+    """docs: doc_id, text. A row a document: doc_id, t (digest of the text), n_shingles, root (what its component is known by; null for empty sets), component_id.
 
     Two documents are linked if 100 * |intersection of their sets| >= percent * |union|.
     """
@@ -215,9 +224,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE)
     # a row a class: the copies of a text never meet again
     classes = some.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = save(classes, "near-classes")
-    keyed = classes.select("class", F.explode("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = save(keyed.join(shared.hint("merge"), "bucket"), "near-members")
+    keys = classes.select("class", F.explode("bands").alias("bucket"))
+    shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = save(keys.join(shared.hint("merge"), "bucket"), "near-members")
     # how many others a member meets in all its buckets: the origin of many near copies meets most
     met = members.groupBy("class").agg(F.sum("members").alias("met"))
     members = save(members.join(met.hint("merge"), "class").select("bucket", "class", (-F.col("met")).alias("met")), "near-met")
@@ -233,9 +242,31 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE)
     # back to documents: the least id of each component
     rooted = classes.select("class", "first_id").join(roots.hint("merge"), classes["class"] == roots.node, "left").select("class", "first_id", F.coalesce("root", "class").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = save(rooted.join(named.hint("merge"), "root").select("class", "component_id"), "near-named")
-    out = base.select("doc_id", "n_shingles", "class").join(of_class.hint("merge"), "class", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_class = save(rooted.join(named.hint("merge"), "root").select("class", "root", "component_id"), "near-named")
+    out = base.select("doc_id", "t", "n_shingles", "class").join(of_class.hint("merge"), "class", "left")
+    return out.select("doc_id", "t", "n_shingles", "root", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE) -> DataFrame:
+    """docs: doc_id, text. A row a document: doc_id, n_shingles, component_id (least doc_id that can be reached by links, its own included)."""
+    return grouped(docs, percent, shingle).select("doc_id", "n_shingles", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE) -> DataFrame:
+    """docs with one row of each component: that of the least id (null comes last), then of the least digest of its text. Documents without words all stay."""
+    spot = F.struct("id", "t")
+    found = grouped(docs, percent, shingle).where("root is not null").select("root", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "t")
+    found = save(found.groupBy("root", "id", "t").agg(F.count(F.lit(1)).alias("n")), "near-found")
+    first = found.groupBy("root").agg(F.min(spot).alias("first"))
+    # rows that leave, and rows that stay but are met again
+    marked = found.join(first.hint("merge"), "root").select(F.col("id").alias("_id"), F.col("t").alias("_t"), (spot != F.col("first")).alias("_later"), "n")
+    marked = save(marked.where("_later or n > 1").drop("n"), "near-marked")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("t"))
+    kept = rows.join(small_side(marked, MANY_IDS), (F.col("id") == F.col("_id")) & (F.col("t") == F.col("_t")), "left").where("_later is null or not _later")
+    out = kept.where("_later is null").select("_row.*")
+    if marked.where("not _later").limit(1).count():
+        out = out.unionByName(kept.where("not _later").dropDuplicates(["id", "t"]).select("_row.*"))
+    return out
 
 
 def alike(edges: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
@@ -275,22 +306,28 @@ def prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rarest = rarest.select("class", "root", "n", (F.col("place") + 1).alias("place"), F.col("x.shingle").alias("shingle"))
     rarest = save(rarest, "near-rarest")
     apart = rarest.groupBy("shingle").agg((F.min("root") < F.max("root")).alias("apart")).where("apart").select("shingle")
-    rarest = save(rarest.join(apart.hint("merge"), "shingle", "left_semi"), "near-apart")
+    # sets that may be linked lie in one class of sizes or in two that follow each other
+    ratio = float(np.log(100 / percent) * (1 + 1e-9)) if percent < 100 else 1.0
+    rank = F.floor(F.log("n") / ratio)
+    key = lambda r: F.xxhash64("shingle", r)
+    rarest = save(rarest.join(apart.hint("merge"), "shingle", "left_semi").withColumn("bin", rank), "near-apart")
+    large = rarest.select(key("bin").alias("key"), *(F.col(c) for c in ("shingle", "class", "root", "n", "place")))
+    hot = hot_keys(large.groupBy("key").agg(F.count(F.lit(1)).alias("many")), "key", "many")
     shorter = F.col("n") - ceil(2 * percent * F.col("n"), 100 + percent) + 1
-    small = rarest.where(F.col("place") <= shorter).select("shingle", *(F.col(c).alias(f"{c}_s") for c in ("class", "root", "n", "place")))
+    small = rarest.where(F.col("place") <= shorter).withColumn("other", F.explode(F.array(F.col("bin"), F.col("bin") + 1)))
+    small = small.select(key("other").alias("key"), *(F.col(c).alias(f"{c}_s") for c in ("shingle", "class", "root", "n", "place")))
     common = ceil(percent * (F.col("n_s") + F.col("n")), 100 + percent)
-    fits = (F.col("root_s") != F.col("root")) & (F.col("n_s") <= F.col("n")) & (100 * F.col("n_s") >= percent * F.col("n")) & (F.least(F.col("n_s") - F.col("place_s"), F.col("n") - F.col("place")) + 1 >= common)
-    both = small.join(rarest.withColumnRenamed("shingle", "shingle_l").hint("merge"), (F.col("shingle") == F.col("shingle_l")) & fits)
+    fits = (F.col("shingle_s") == F.col("shingle")) & (F.col("root_s") != F.col("root")) & (F.col("n_s") <= F.col("n")) & (100 * F.col("n_s") >= percent * F.col("n")) & (F.least(F.col("n_s") - F.col("place_s"), F.col("n") - F.col("place")) + 1 >= common)
+    both = salted_join(large, small, "key", hot, F.col("class")).where(fits)
     return both.select(F.least("class_s", "class").alias("a"), F.greatest("class_s", "class").alias("b")).distinct()
 
 
 def sets_of(docs: DataFrame, base: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """The full sets of the wanted classes, from the text of one document each."""
-    one = base.join(wanted.hint("merge"), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("one")).where("one is not null")
-    one = save(one, "near-wanted")
-    many = one.limit(MANY_IDS + 1).count() > MANY_IDS
-    side = one.hint("merge") if many else F.broadcast(one)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, F.col("doc_id") == F.col("one"))
+    known = F.coalesce("doc_id", F.lit(_NO_ID))
+    one = base.join(wanted.hint("merge"), "class", "left_semi").groupBy("class").agg(F.min(F.struct(known.alias("id"), "t")).alias("one"))
+    one = save(one.select(F.col("one.id").alias("one_id"), F.col("one.t").alias("one_t")), "near-wanted")
+    texts = keyed(docs).join(small_side(one, MANY_IDS), (known == F.col("one_id")) & (F.col("t") == F.col("one_t")))
     return save(full_sets(texts, shingle).dropDuplicates(["class"]), "near-sets")
 
 
