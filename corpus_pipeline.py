@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; run() writes each result as
 Parquet to the shared folder and reads it back for the next one. All stages but the last return the columns of
 documents; the mixture repeats a document as often as it is taken. Empty tables, null texts and repeated rows behave
-as the operators say. No SQL expresses BPE, so the tests hold run() against a plain version.
+as the operators say; columns beyond those of documents pass through all stages but the last, whatever their names. No
+SQL expresses BPE, so the tests hold run() against a plain version.
 """
 
 from __future__ import annotations
@@ -20,23 +21,22 @@ PERCENT = 80
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
-    return rules.cascade(docs).where("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return rules.cascade(rows).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the least id."""
-    found = neardup.near_duplicates(docs, percent=PERCENT)
-    later = save(found.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-later")
-    return docs.join(small_side(later, neardup.MANY_IDS), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates one row: that of the least id."""
+    return neardup.without_near_duplicates(docs, percent=PERCENT)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets marked out of the texts."""
     ledger = secrets.Ledger(spark, new_path(spark, "pipeline-ledger"))
     secrets.scan_unseen(docs, ledger, path="doc_id")
-    found = save(secrets.summary(ledger), "pipeline-found").withColumnRenamed("blob", "_blob")
+    found = save(secrets.summary(ledger), "pipeline-found").select(F.col("blob").alias("_blob"), F.col("found").alias("_found"))
     both = docs.join(small_side(found, secrets.MANY_BLOBS), secrets.blob("text") == F.col("_blob"), "left")
-    clean = F.when(F.col("found").isNotNull(), secrets.redacted(F.col("text"), F.col("found"))).otherwise(F.col("text"))
+    clean = F.when(F.col("_found").isNotNull(), secrets.redacted(F.col("text"), F.col("_found"))).otherwise(F.col("text"))
     return both.withColumn("text", clean).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -44,8 +44,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them."""
     key = mixing.order_key("doc_id", registry.MIX_SEED)
     sized = save(docs.select("source", count_words("text").alias("size"), key.alias("key")), "pipeline-sized")
-    taken = mixing.apply(docs.withColumn("key", key), mixing.plan(sized))
-    return taken.where("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", key.alias("key"))
+    taken = mixing.apply(rows, mixing.plan(sized)).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
