@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,9 +38,14 @@ def first_class(text: Column, table: dict[str, list[str]], default: str | None =
     return out.otherwise(F.lit(default))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hits(text: Column, keywords: list[str]) -> Column:
     """The keywords that the text contains, in their order."""
-    return F.filter(F.array(*map(F.lit, keywords)), lambda k: text.contains(k))
+    return let(text, lambda t: F.filter(F.array(*map(F.lit, keywords)), lambda k: t.contains(k)))
 
 
 def lookup(key: Column, table: dict[str, float], default: float) -> Column:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import has, hits, low
+from tidemark.functions.text import has, hits, let, low
 
 # Patterns (in the syntax that Java and RE2 share) and keyword lists.
-COMPANY = r"((?i:[a-z][a-z&.,() -]*?)(?:Ltd|Inc|Corp|Company|Limited|Group|plc|LLC))"
+COMPANY = r"^(.*\b(?:Ltd|Inc|Corp|Company|Insurance|Reinsurance|Group|plc|LLC|AG|SA|SE|NV|BV)\b)"
 PATTERNS = {
     "reference": r"(?i)\b(?:policy|ref|reference|slip)(?: number| no)?\s*[:#]\s*([A-Z0-9/-]+)",
     "date": r"\b(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\b",
@@ -35,15 +35,48 @@ PATTERNS = {
     "amount": r"\b(?:USD|EUR|GBP|KES)\s*[0-9][0-9,]*(?:\.[0-9]+)?",
 }
 CURRENCIES = ["USD", "EUR", "GBP", "KES"]
-COVERAGES = ["property", "marine", "aviation", "cyber", "liability"]
-LINES = ["fire", "cargo", "hull", "engineering", "motor"]
-TREATIES = ["quota share", "surplus", "excess of loss", "stop loss", "facultative"]
-PERIL_WORDS = ["fire", "flood", "explosion", "earthquake", "wildfire", "machinery breakdown", "burglary", "theft", "storm", "terrorism", "hurricane", "lightning"]
-OCCUPATIONS = ["manufacturing", "shipping", "energy", "hotels", "steel", "retail"]
-PML_WORDS = ["pml", "probable maximum loss", "maximum probable loss", "estimated maximum loss", "eml"]
-CAT_WORDS = ["earthquake", "flood", "hurricane", "cyclone", "wildfire", "tsunami"]
-CLIMATE_WORDS, CLIMATE_LEVELS, CLIMATE_FRAMES = ["climate change", "global warming", "sea level", "adaptation"], ["high", "medium", "low"], ["tcfd", "paris agreement", "net zero"]
-ESG_WORDS, ESG_PARTS = ["esg", "sustainability", "carbon"], ["environmental", "emissions", "social", "governance"]
+COVERAGES = [
+    "property", "casualty", "marine", "aviation", "energy", "cyber", "political risk", "credit", "surety", "life", "health", "accident", "motor", "fire", "flood", "earthquake", "cat", "catastrophe", "wind", "storm", "terrorism",
+]
+TREATIES = ["quota share", "surplus", "excess of loss", "stop loss", "aggregate excess", "catastrophe", "per risk", "per occurrence", "working excess", "clash", "aggregate", "cat xl", "working xl"]
+PERIL_WORDS = [
+    "fire", "explosion", "earthquake", "flood", "windstorm", "hurricane", "typhoon", "tornado", "hail", "lightning", "theft", "burglary", "vandalism", "malicious damage", "terrorism", "war", "civil commotion", "riot", "strike", "impact", "aircraft",
+    "vehicle", "smoke", "water damage", "leakage", "burst pipes", "sprinkler leakage", "subsidence", "landslide", "volcanic eruption", "tsunami", "storm surge", "business interruption", "machinery breakdown", "boiler explosion", "cyber attack",
+    "data breach", "system failure", "power outage", "contamination", "pollution",
+]
+OCCUPATIONS = [
+    "manufacturing", "retail", "wholesale", "distribution", "logistics", "transportation", "construction", "real estate", "hospitality", "restaurant", "hotel", "healthcare", "education", "technology", "software", "telecommunications", "energy", "utilities",
+    "mining", "agriculture", "forestry", "fishing", "banking", "finance", "insurance", "consulting", "professional services", "government", "non-profit", "entertainment", "media", "publishing", "pharmaceutical", "chemical", "automotive", "aerospace",
+    "defense", "oil and gas", "renewable energy", "waste management", "recycling",
+]
+PML_WORDS = [
+    "pml", "probable maximum loss", "maximum probable loss", "mpl", "worst case scenario", "maximum foreseeable loss", "mfl", "estimated maximum loss", "eml", "maximum possible loss", "catastrophe loss", "single event loss", "aggregate loss", "occurrence loss",
+]
+CAT_WORDS = [
+    "catastrophe exposure", "cat exposure", "natural catastrophe", "nat cat", "peril exposure", "earthquake", "flood", "hurricane", "windstorm", "typhoon", "cyclone", "tsunami", "volcanic eruption", "wildfire", "hailstorm", "tornado", "storm surge", "landslide",
+    "subsidence", "drought", "freeze", "winter storm", "severe weather", "climate peril", "catastrophe zone", "hazard zone", "exposure zone", "risk zone", "peril zone", "rms model", "air model", "eqecat model", "karen clark model", "catastrophe model",
+]
+CAT_MODELS = ["rms", "air", "eqecat", "karen clark", "model"]
+CLIMATE_WORDS = [
+    "climate change", "climate risk", "global warming", "carbon footprint", "greenhouse gas", "emissions", "sustainability", "environmental impact", "physical climate risk", "transition risk", "stranded assets", "carbon pricing", "renewable energy",
+    "green technology", "climate adaptation", "climate resilience", "climate mitigation", "carbon neutral", "net zero", "decarbonization", "climate scenario", "tcfd",
+]
+CLIMATE_LEVELS = ["low", "medium", "high", "significant", "minimal", "moderate", "severe"]
+CLIMATE_FRAMES = ["tcfd", "task force", "scenario analysis", "physical risk", "transition risk"]
+ESG_WORDS = [
+    "esg", "environmental social governance", "environmental social and governance", "sustainability", "corporate responsibility", "csr", "social responsibility", "governance risk", "environmental risk", "social risk", "ethical risk",
+    "reputation risk", "stakeholder risk", "regulatory risk", "compliance risk", "diversity", "inclusion", "human rights", "labor practices", "supply chain", "board composition", "executive compensation", "transparency", "accountability",
+    "anti-corruption", "data privacy", "cybersecurity", "business ethics",
+]
+ESG_SIGNS = ["assessed", "evaluated", "rating", "score", "compliance", "framework"]
+ESG_PARTS = ["environmental", "social", "governance", "sustainability", "diversity"]
+DOCUMENT_TYPES = {
+    "property_survey": ["property survey", "survey report", "property inspection", "building survey"],
+    "ri_slip": ["ri slip", "reinsurance slip", "facultative slip", "treaty slip"],
+    "risk_placement": ["placement slip", "contract wording", "policy wording", "terms and conditions"],
+    "inspection_report": ["inspection report", "loss inspection", "claim inspection", "site inspection"],
+    "supporting_document": ["certificate", "valuation", "financial statement", "loss history"],
+}
 PRIMARY = ["ri slip", "reinsurance slip", "facultative slip", "fac slip", "treaty slip", "placement slip", "line slip", "open cover", "facultative certificate", "facultative reinsurance", "reinsurance placement", "risk placement", "cover note", "binding authority", "reinsurance contract", "ri contract", "reinsurance slip", "facultative placement", "treaty placement", "reinsurance offer", "facultative offer", "ri offer"]
 SECONDARY = ["cedant", "reinsured", "ceding company", "original insurer", "reinsurer", "accepting office", "lead underwriter", "quota share", "surplus", "excess of loss", "stop loss", "sum insured", "policy limit", "attachment point", "retention", "deductible", "excess", "coverage limit", "indemnity limit", "perils covered", "risks covered", "coverage territory", "geographical limit", "policy period", "period of insurance"]
 SLIP_TYPES = ["facultative", "treaty", "placement", "cover note", "binding authority", "line slip", "open cover"]
@@ -68,6 +101,12 @@ def parsed_money(text: Column) -> Column:
     return F.when(european, F.regexp_replace(F.regexp_replace(digits, r"\.", ""), ",", ".")).otherwise(F.regexp_replace(digits, ",", "")).try_cast("double")
 
 
+def percentage(text: str) -> Column:
+    """The first percentage of a text, if it lies between 0 and 100."""
+    value = number(F.nullif(F.regexp_extract(F.coalesce(F.col(text), F.lit("")), PATTERNS["percent"], 1), F.lit("")))
+    return F.when(value.between(0, 100), value)
+
+
 def currency_of(text: Column) -> Column:
     """An ISO code, else a symbol."""
     code = F.regexp_extract(F.upper(text), r"\b(USD|EUR|GBP|KES|JPY)\b", 1)
@@ -85,7 +124,7 @@ def basic_fields(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 #: In the order in which they are tried.
-DATE_FORMATS = ["M/d/yyyy", "d/M/yyyy", "yyyy-M-d", "M-d-yyyy", "d-M-yyyy", "d MMM yyyy", "MMM d, yyyy"]
+DATE_FORMATS = ["M/d/yyyy", "d/M/yyyy", "yyyy-M-d", "M-d-yyyy", "d-M-yyyy", "yyyy/M/d", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy"]
 
 
 def parsed_date(text: Column) -> Column:
@@ -99,9 +138,10 @@ def first_keyword(text: Column, words: list[str]) -> Column:
 def labelled_fields(docs: DataFrame, text: str = "text") -> DataFrame:
     t, lower = F.coalesce(F.col(text), F.lit("")), low(text)
     columns = {n: first(t, n) for n in ("insured", "cedant", "broker", "perils", "geo_limit", "situation", "period")}
+    columns |= {f"{n}_company": F.nullif(F.regexp_extract(F.coalesce(columns[n], F.lit("")), COMPANY, 1), F.lit("")) for n in ("insured", "cedant", "broker")}
     columns |= {n: number(first(t, n)) for n in ("sum_insured", "premium", "excess", "retention")}
     rate = number(first(t, "rate"))
-    columns |= {"rate": F.when(rate.between(0, 100), rate), "coverage": first_keyword(lower, COVERAGES), "line_of_business": first_keyword(lower, LINES), "treaty": first_keyword(lower, TREATIES)}
+    columns |= {"rate": F.when(rate.between(0, 100), rate), "coverage": first_keyword(lower, COVERAGES), "line_of_business": first_keyword(lower, COVERAGES), "treaty": first_keyword(lower, TREATIES)}
     columns |= {"peril_words": F.array_join(F.slice(hits(lower, PERIL_WORDS), 1, 10), "|"), "occupation": first_keyword(lower, OCCUPATIONS)}
     return docs.withColumns(columns)
 
@@ -116,18 +156,16 @@ def clean_name(text: Column) -> Column:
 def pml(docs: DataFrame, text: str = "text") -> DataFrame:
     """PML percentage and confidence: 0.9 by pattern, 0.7 near a keyword (50 characters before to 100 after), above 100 capped at 0.3; up 0.1 in the usual range, down 0.2 below 1."""
     t, lower = F.coalesce(F.col(text), F.lit("")), low(text)
-    by_pattern = number(first(t, "pml"))
-    near = None
-    for word in PML_WORDS:
-        at = F.instr(lower, word)
-        value = number(F.nullif(F.regexp_extract(t.substr(F.greatest(F.lit(1), at - 50), F.when(at > 50, 150).otherwise(at + 99)), PATTERNS["percent"], 1), F.lit("")))
-        found = F.when((at > 0) & value.isNotNull(), value)
-        near = found if near is None else F.coalesce(near, found)
+    near_word = lambda low_text, w: let(F.position(w, low_text), lambda at: number(F.nullif(F.regexp_extract(t.substr(F.greatest(F.lit(1), at - 50), F.when(at > 50, 150).otherwise(at + 99)), PATTERNS["percent"], 1), F.lit(""))))
+    found = let(lower, lambda x: F.transform(F.filter(F.array(*map(F.lit, PML_WORDS)), lambda w: x.contains(w)), lambda w: near_word(x, w)))
+    # each is computed once: later steps look at a column
+    docs = docs.withColumn("_pml", F.array(number(first(t, "pml")), F.get(F.array_compact(found), F.lit(0))))
+    by_pattern, near = F.get("_pml", F.lit(0)), F.get("_pml", F.lit(1))
     given = F.nullif(by_pattern, F.lit(0.0))
     value = F.coalesce(given, near, by_pattern)
     base = F.when(given > 100, 0.3).when(given.isNotNull(), 0.9).when(near.isNotNull(), 0.7).when(by_pattern.isNotNull(), 0.9).otherwise(0.0)
     sure = F.when((base > 0.5) & (value >= 1), F.least(base + 0.1, F.lit(1.0))).when((base > 0.5) & (value < 1) & (value > 0), F.greatest(base - 0.2, F.lit(0.1))).otherwise(base)
-    return docs.withColumns({"pml": F.when(value.isNotNull(), F.least(value, F.lit(100.0))), "pml_confidence": F.round(sure, 4)})
+    return docs.withColumns({"pml": F.when(value.isNotNull(), F.least(value, F.lit(100.0))), "pml_confidence": F.round(sure, 4)}).drop("_pml")
 
 
 def share_offered(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -158,16 +196,23 @@ def claims(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({"claims": F.substring(c, 1, 1000), "claims_confidence": F.when(c.isNull(), 0.0).when(c.rlike("(?i)nil|no claims"), 0.9).otherwise(0.8)})
 
 
-def topic(docs: DataFrame, name: str, words: list[str], extra: dict[str, float], most: int, text: str = "text") -> DataFrame:
-    """The first three keywords of a topic with what stands around them, and confidence: 0.6, and more for each kind of further evidence."""
+def joined(text: Column) -> Column:
+    """Blanks joined, outer ones off."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def topic(docs: DataFrame, name: str, words: list[str], before: int, after: int, most: int, extra: list[tuple[list[str], int, float]], text: str = "text") -> DataFrame:
+    """What stands around the first three keywords of a topic, and confidence: 0.6, 0.1 more for each further keyword, and for each kind of evidence (words, how many of them at least, weight) that the result holds."""
     t, lower = F.coalesce(F.col(text), F.lit("")), low(text)
-    found = hits(lower, words)
-    around = F.transform(F.slice(found, 1, 3), lambda k: t.substr(F.greatest(F.lit(1), F.position(k, lower) - 20), F.lit(60)))
-    sure = F.lit(0.6)
-    for keywords, weight in extra.items():
-        sure = sure + F.when(has(lower, *keywords.split("|")), weight).otherwise(0.0)
-    there = F.size(found) > 0
-    return docs.withColumns({name: F.when(there, F.substring(F.array_join(around, "; "), 1, most)), f"{name}_confidence": F.when(there, F.least(F.lit(1.0), F.round(sure, 4))).otherwise(0.0)})
+    cut = lambda x, k: let(F.position(k, x), lambda at: t.substr(F.greatest(F.lit(1), at - before), F.least(at - 1, F.lit(before)) + after))
+    around = let(lower, lambda x: F.transform(F.slice(F.filter(F.array(*map(F.lit, words)), lambda k: x.contains(k)), 1, 3), lambda k: F.regexp_replace(cut(x, k), r"^\s+|\s+$", "")))
+    docs = docs.withColumn("_around", around)
+    whole = joined(F.array_join("_around", "; "))
+    docs = docs.withColumn(name, F.when(F.size("_around") > 0, F.when(F.length(whole) > most, F.concat(F.substring(whole, 1, most - 3), F.lit("..."))).otherwise(whole)))
+    sure = F.lit(0.5) + 0.1 * F.size("_around")
+    for keywords, least, weight in extra:
+        sure = F.least(F.lit(1.0), sure + F.when(F.size(hits(low(name), keywords)) >= least, weight).otherwise(0.0))
+    return docs.withColumn(f"{name}_confidence", F.when(F.size("_around") > 0, F.round(sure, 4)).otherwise(0.0)).drop("_around")
 
 
 def survey(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -203,6 +248,26 @@ def document_format(filename: str) -> Column:
     return out.otherwise("other")
 
 
+def document_type(text: str, filename: str) -> Column:
+    """The first type of which the text or the file's name holds a keyword."""
+    both = F.concat_ws("\n", low(text), low(filename))
+    found = let(both, lambda t: F.filter(F.array(*(F.struct(F.lit(k).alias("type"), F.array(*map(F.lit, ws)).alias("words")) for k, ws in DOCUMENT_TYPES.items())), lambda d: F.exists(d["words"], lambda w: t.contains(w))))
+    return F.coalesce(F.get(found, F.lit(0))["type"], F.lit("supporting_document"))
+
+
+def largest_amount(docs: DataFrame, text: str = "text", least: float = 1000.0, window: int = 80) -> DataFrame:
+    """The largest number above `least` and the currency code that stands within so many characters of it."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    given = F.regexp_extract_all(t, F.lit(NUMBER), F.lit(0))
+    numbers = F.filter(F.transform(given, lambda g, i: F.struct(number(g).alias("value"), (-i).alias("i"), g.alias("given"))), lambda x: x["value"] > least)
+    docs = docs.withColumn("_largest", F.array_max(numbers))
+    at = F.position(F.col("_largest.given"), t)
+    near = t.substr(F.greatest(F.lit(1), at - window), F.least(at - 1, F.lit(window)) + F.length("_largest.given") + window)
+    code = F.nullif(F.regexp_extract(near, r"\b(USD|EUR|GBP|KES)\b", 1), F.lit(""))
+    return docs.withColumns({"largest": F.col("_largest.value"), "largest_currency": code}).drop("_largest")
+
+
+NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
 SLIP_PATTERNS = {
     "reference": r"(?i)(?:ref|reference|policy|slip|fac|ri)[\s#:-]*([A-Z0-9/-]+)", "percentage": r"(?i)(?:share|percentage|%|quota|surplus)[\s:]*(\d+(?:\.\d+)?%?)", "sum_insured": r"(?i)(?:sum insured|limit|coverage|indemnity)[\s:]*([A-Z]{3}[\s$]*[\d,]+(?:\.\d{2})?)",
     "period": r"(?i)(?:period|from|effective)[\s:]*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", "cedant": r"(?i)(?:cedant|reinsured|ceding company|original insurer)[\s:]*([A-Z][a-zA-Z\s&.,]+)",
@@ -220,7 +285,7 @@ def slips(docs: DataFrame, text: str = "text", filename: str = "filename") -> Da
     sure = F.least(F.lit(1.0), F.least(F.size("primary") * 0.3, F.lit(0.6)) + F.least(F.size("secondary") * 0.05, F.lit(0.2)) + F.least(patterns, F.lit(0.25)) + bonus)
     kind = None
     for t in SLIP_TYPES:
-        test = F.size(hits(F.array_join("primary", "|"), [t])) > 0
+        test = F.arrays_overlap("primary", F.array(*(F.lit(k) for k in PRIMARY if t in k))) if any(t in k for k in PRIMARY) else F.lit(False)
         kind = F.when(test, t) if kind is None else kind.when(test, t)
     kind = kind.when(F.size("primary") > 0, "unknown")
     checks = [
@@ -232,6 +297,12 @@ def slips(docs: DataFrame, text: str = "text", filename: str = "filename") -> Da
     out = out.withColumns({"confidence": F.round(sure, 4), "kind": kind, "quality": F.round(quality, 4), "issues": issues})
     is_slip = c("confidence") >= 0.3
     priority = F.when(~is_slip, 4).when((c("confidence") >= 0.7) & (c("quality") >= 0.6), 1).when(c("confidence") >= 0.5, 2).otherwise(3)
+    matched = sum((F.when(c(f"n_{n}") > 0, 1).otherwise(0) for n in SLIP_PATTERNS), F.lit(0))
+    reasons = F.array_compact(F.array(
+        F.when(F.size("primary") > 0, F.concat(F.lit("Primary RI keywords found: "), F.array_join(F.slice("primary", 1, 3), ", "))), F.when(matched > 0, F.concat(F.lit("RI patterns detected: "), matched.cast("string"), F.lit(" types"))),
+        F.when(c("format").isin("pdf", "docx"), F.concat(F.lit("Primary document format: "), c("format"))),
+    ))
+    out = out.withColumn("reasons", reasons)
     return out.withColumns({"is_slip": is_slip, "priority": priority, "valid": is_slip & (c("quality") >= 0.5) & (F.size("issues") <= 3)})
 
 

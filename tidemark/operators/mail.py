@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -47,8 +47,9 @@ def assembled(messages: DataFrame) -> DataFrame:
 def linearised(cells: DataFrame, most: int = 100) -> DataFrame:
     """cells: doc_id, row, col, value. Rows joined with bars under a header tag; the first rows only, as a preview."""
     rows = cells.groupBy("doc_id", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda c: c["value"]), " | ").alias("line"))
-    text = F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda r: r["line"]), 1, most), "\n")
-    return rows.groupBy("doc_id").agg(F.concat(F.lit("[TABLE]\n"), text).alias("text"))
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("row"))).where(F.col("place") <= most)  # before they are gathered
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda r: r["line"]), "\n")
+    return first.groupBy("doc_id").agg(F.concat(F.lit("[TABLE]\n"), text).alias("text"))
 
 
 def entity_fields(docs: DataFrame, least: float = 0.5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import has, low
+from tidemark.functions.text import has, hits, let, low
 
 # Fixed values.
 GEOGRAPHY = {
@@ -39,17 +39,12 @@ FOLLOW_UP, BROKER, AMENDMENT = ["follow up", "update", "status", "response"], ["
 THRESHOLD_WORDS, MOST_WORDS = 3, 10
 
 
-def words_matched(text: Column, keywords: list[str]) -> Column:
-    total = F.lit(0)
-    for k in keywords:
-        total = total + F.when(text.contains(k), len(k.split())).otherwise(0)
-    return F.least(total, F.lit(MOST_WORDS))
-
-
 def best_class(text: Column, table: dict[str, list[str]]) -> Column:
-    """The class of most words, the first of several; struct (words, name). Without a hit the first class with 0."""
-    scored = [F.struct(words_matched(text, ks).alias("words"), F.lit(-n).alias("order"), F.lit(name).alias("name")) for n, (name, ks) in enumerate(table.items())]
-    return F.array_max(F.array(*scored))
+    """The class of most words (of the keywords found, MOST_WORDS at most), the first of several; struct (words, order, name). Without a hit the first class with 0. The table is one constant, and the text is computed once."""
+    keyword = lambda k: F.struct(F.lit(k).alias("k"), F.lit(len(k.split())).alias("n"))
+    classes = F.array(*(F.struct(F.lit(-n).alias("order"), F.lit(name).alias("name"), F.array(*map(keyword, ks)).alias("ks")) for n, (name, ks) in enumerate(table.items())))
+    words = lambda t, c: F.least(F.aggregate(c["ks"], F.lit(0), lambda a, x: a + F.when(t.contains(x["k"]), x["n"]).otherwise(0)), F.lit(MOST_WORDS))
+    return let(text, lambda t: F.array_max(F.transform(classes, lambda c: F.struct(words(t, c).alias("words"), c["order"].alias("order"), c["name"].alias("name")))))
 
 
 def document_text(*columns: str) -> Column:
@@ -70,7 +65,7 @@ def classified(docs: DataFrame) -> DataFrame:
     overall = (F.col("g.words") + F.col("i.words") + F.col("l.words")) / 30.0
     return out.select(
         *docs.columns, F.col("g.name").alias("geography"), F.col("g.words").alias("geography_words"), F.col("i.name").alias("industry"), F.col("i.words").alias("industry_words"), F.col("l.name").alias("line"), F.col("l.words").alias("line_words"), overall.alias("overall"),
-        F.filter(F.array(*map(F.lit, INDICATORS)), lambda k: text.contains(k)).alias("indicators"), F.when(F.col("g.words") > 0, F.col("g.name")).otherwise("unknown").alias("geography_or_unknown"), grouped("g", "unknown").alias("geo_group"), grouped("i", "other").alias("industry_group"), grouped("l", "other").alias("line_group"),
+        hits(text, INDICATORS).alias("indicators"), F.when(F.col("g.words") > 0, F.col("g.name")).otherwise("unknown").alias("geography_or_unknown"), grouped("g", "unknown").alias("geo_group"), grouped("i", "other").alias("industry_group"), grouped("l", "other").alias("line_group"),
     )
 
 
