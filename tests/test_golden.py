@@ -123,7 +123,7 @@ def test_plan_is_a_permutation(spark):
 
 def test_clusters(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.9, 0.1], 0), (2, [0.0, 1.0], 0), (3, [0.0, 1.0], 0), (4, [-1.0, 0.0], 0)], "vec_id long, embedding array<double>, block int")
-    assert {x.vec_id: x.cluster for x in similarity.density_clusters(v, "block").collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: -1}
+    assert {x.vec_id: x.cluster for x in similarity.density_clusters(v).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: -1}
     assert {x.vec_id: x.cluster for x in similarity.greedy_clusters(v, "block").collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
 
 
@@ -150,3 +150,64 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.pdf").write_bytes(b"MZ")
     got = {x.path.rpartition("/")[2]: x for x in files.scanned(spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(str(tmp_path))).collect()}
     assert got["a.pdf"].errors == [] and got["b.pdf"].errors == ["content does not fit the extension", "executable content"]
+
+
+def test_keyword_tables_are_whole(spark):
+    """Texts and what is expected of them are stated here, apart from the operators' tables."""
+    texts = ["Casualty treaty, cat xl layer, for a logistics and pharmaceutical group; MPL is 12.5% of the sum; smoke and riot", "working xl on aerospace, volcanic eruption", "surety", "nothing of the kind"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    r = {x.doc_id: x for x in extract.pml(extract.labelled_fields(docs)).collect()}
+    assert [r[k].coverage for k in range(4)] == ["casualty", None, "surety", None]
+    assert [r[k].treaty for k in range(4)] == ["cat xl", "working xl", None, None]
+    assert [r[k].occupation for k in range(4)] == ["logistics", "aerospace", None, None]
+    assert r[0].peril_words == "riot|smoke" and r[1].peril_words == "volcanic eruption"
+    assert (r[0].pml, r[3].pml) == (12.5, None)
+
+
+def test_topics(spark):
+    text = "x" * 100 + " The NAT CAT zone has flood \n and   storm surge per the RMS model. " + "y" * 400
+    docs = spark.createDataFrame([(1, text), (2, "quiet"), (3, None)], "doc_id int, text string")
+    out = {x.doc_id: x for x in extract.topic(docs, "cat", ["nat cat", "flood", "storm surge", "model"], 30, 150, 300, [(["rms", "air"], 1, 0.15)]).collect()}
+    low, parts = text.lower(), []
+    for word in ("nat cat", "flood", "storm surge"):
+        at = low.find(word)
+        parts.append(text[max(0, at - 30) : at + 150].strip())
+    want = " ".join("; ".join(parts).split())
+    assert out[1].cat == want[:297] + "..." and out[1].cat_confidence == pytest.approx(0.95)
+    assert out[2].cat is None and out[3].cat is None and out[2].cat_confidence == 0
+
+
+@pytest.mark.parametrize("given", ["02/29/2024", "29/02/2024", "2024-02-29", "02-29-2024", "29-02-2024", "2024/02/29", "29 Feb 2024", "29 February 2024", "Feb 29, 2024"])
+def test_nine_date_forms(spark, given):
+    got = spark.createDataFrame([(given,), ("30 Feb 2024",)], "given string").select(extract.parsed_date(F.col("given")).alias("d")).collect()
+    assert [x.d for x in got] == [dt.datetime(2024, 2, 29), None]
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "latin.csv").write_bytes("id;name\n1;Peña\n2;Ünal\n".encode("latin-1"))
+    (tmp_path / "a" / "utf.csv").write_bytes("id|name\n1|Peña\n".encode())
+    read = lambda name: [(x.id, x.name) for x in files.read_csv(spark, str(tmp_path / "a" / name)).collect()]
+    assert read("latin.csv") == [("1", "Peña"), ("2", "Ünal")] and read("utf.csv") == [("1", "Peña")]
+    for folder, name, text in (("South Africa", "exposure_summary.csv", "x,y\n1,2\n"), ("south-africa", "adm1.csv", "x;z\n3;4\n"), ("Kenya", "summary.csv", "x,y\n5,6\n"), ("South Africa", "notes.csv", "x,y\n7,8\n")):
+        (tmp_path / "tree" / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / folder / name).write_text(text)
+    tree = files.csv_tree(spark, str(tmp_path / "tree"), "South Africa")
+    assert sorted((x.x, x.y, x.z) for x in tree.collect()) == [("1", "2", None), ("3", None, "4")]
+    assert files.csv_tree(spark, str(tmp_path / "tree"), "Peru").count() == 0
+
+
+def test_near_vectors_are_all_found(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = r.standard_normal((300, 16))
+    x[100:140] = x[:40] + 0.3 * r.standard_normal((40, 16))
+    x[200] = x[201] = x[7]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16)]
+    classes, members = similarity.vector_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    own = [i for i in range(300) if i not in (200, 201)]
+    want = {(a, b) for a in own for b in own if a < b and y[a] @ y[b] >= 0.7}
+    assert {(p.a, p.b) for p in similarity.near_vectors(classes, 0.7, 0.9999).collect()} == want and len(want) >= 35
+    assert {m.vec_id: m.class_id for m in members.collect()}[201] == 7 and members.count() == 300

@@ -142,6 +142,23 @@ def report_row(rows: DataFrame) -> DataFrame:
     return rows.select("row_id", F.coalesce("insured_name", F.lit("TBA")).alias("insured"), F.concat(F.col("original_currency"), F.lit(" "), money("tsi")).alias("sum_insured"), money("premium").alias("premium"), F.when(F.col("loss_ratio").isNull(), "NIL").otherwise(F.concat(F.format_number("loss_ratio", 1), F.lit("%"))).alias("loss_ratio_text"), F.coalesce(F.concat(F.format_number("accepted_share", 2), F.lit("%")), F.lit("Open")).alias("share_text"))
 
 
+#: The 23 fields of a report in their order, and how each is written.
+REPORT_FIELDS = {
+    "reference_number": "text", "date_received": "date", "insured_name": "text", "cedant_reinsured": "text", "broker_name": "text", "perils_covered": "text", "geographical_limit": "text", "situation_of_risk": "text", "occupation_of_insured": "text",
+    "main_activities": "text", "total_sums_insured": "money", "currency": "text", "excess_retention": "money", "premium_rates": "percent", "period_of_insurance": "text", "pml_percentage": "percent", "cat_exposure": "text",
+    "reinsurance_deductions": "money", "claims_experience_3_years": "text", "share_offered_percentage": "percent", "surveyors_report": "text", "climate_change_risk": "text", "esg_risk_assessment": "text",
+}
+
+
+def report_fields(rows: DataFrame) -> DataFrame:
+    """row_id and the 23 report fields as texts; what is missing or empty is TBA."""
+    prefix = F.coalesce(F.concat(F.col("currency"), F.lit(" ")), F.lit(""))
+    written = {
+        "date": lambda f: F.date_format(f, "yyyy-MM-dd"), "money": lambda f: F.concat(prefix, F.format_number(f, 2)), "percent": lambda f: F.concat(F.col(f).cast("string"), F.lit("%")), "text": lambda f: F.nullif(F.col(f), F.lit("")),
+    }
+    return rows.select("row_id", *(F.coalesce(written[kind](f), F.lit("TBA")).alias(f) for f, kind in REPORT_FIELDS.items()))
+
+
 def accepted(rows: DataFrame, default_share: float = 1.0) -> DataFrame:
     """Liability, premium and PML text in KES of the accepted share, 1 % where none is given."""
     share = F.coalesce(F.nullif("accepted_share", F.lit(0.0)), F.lit(default_share)) / 100

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
+from math import acos, ceil, log, log2, pi
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import saved
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared folder and read back; without such a folder a plain checkpointed plan is not needed."""
-    at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        return df.persist()
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Vectors that a bucket of near_vectors should hold.
+BUCKET = 16
 
 
 def word_set(text: str) -> Column:
@@ -83,6 +81,44 @@ def block_pairs(vectors: DataFrame, block: str) -> DataFrame:
     return pairs.select(F.col("b1").alias("block"), "v1", "v2", cosine(F.col("e1"), F.col("e2")).alias("cosine"))
 
 
+def vector_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Equal vectors are one class: (class_id, embedding) and (vec_id, class_id). Vectors that are null, zero, or hold nulls or what is no number are in none."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    good = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)) & F.exists("x", lambda v: v != 0)
+    rows = saved(vectors.select("vec_id", x.alias("x")).where(F.col("x").isNotNull() & good).withColumn("digest", F.sha2(F.array_join("x", ","), 256)), "vector-rows")
+    classes = saved(rows.groupBy("digest").agg(F.min("vec_id").alias("class_id"), F.first("x").alias("embedding")), "vector-classes")
+    return classes.select("class_id", "embedding"), rows.join(classes.select("digest", "class_id").hint("merge"), "digest").select("vec_id", "class_id")
+
+
+def near_vectors(classes: DataFrame, least: float = 0.7, recall: float = 0.999) -> DataFrame:
+    """classes: class_id, embedding. All pairs (a, b, cosine) of that cosine at least, over the whole table.
+
+    Buckets by the sides of random planes: as many planes a band as keep BUCKET vectors in a bucket, and as many bands
+    as leave a pair at the threshold together in one of them with that probability. Pairs are confirmed by their cosine.
+    """
+    n, size = classes.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    if not n:
+        return classes.sparkSession.createDataFrame([], "a long, b long, cosine double")
+    bits = max(4, ceil(log2(max(2, n / BUCKET))))
+    together = (1 - acos(least) / pi) ** bits
+    bands = ceil(log(1 - recall) / log(1 - together))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes, powers = np.random.default_rng(20240605).standard_normal((size, bands * bits)), 1 << np.arange(bits)
+        for df in batches:
+            if len(df):
+                x = np.vstack(df["embedding"].to_numpy())
+                keys = ((x @ planes > 0).reshape(len(df), bands, bits) @ powers) * bands + np.arange(bands)
+                yield pd.DataFrame({"class_id": df["class_id"], "keys": list(keys.astype(np.int64))})
+
+    same = classes.where(F.size("embedding") == size)
+    keyed = saved(same.mapInPandas(run, "class_id long, keys array<long>"), "vector-keys").select("class_id", F.explode("keys").alias("key"))
+    pairs = keyed.withColumnRenamed("class_id", "a").join(keyed.withColumnRenamed("class_id", "b").hint("merge"), "key").where("a < b").select("a", "b").distinct()
+    side = lambda c: same.select(F.col("class_id").alias(c), F.col("embedding").alias(f"x{c}"))
+    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", cosine(F.col("xa"), F.col("xb")).alias("cosine"))
+    return both.where(F.col("cosine") >= least)
+
+
 def greedy_clusters(vectors: DataFrame, block: str, threshold: float = 0.7) -> DataFrame:
     """Within each block (a few documents) in order: a document joins the first cluster whose first member is similar enough, else starts one."""
     members = vectors.groupBy(block).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("m"))
@@ -111,8 +147,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "root")
 
 
-def density_clusters(vectors: DataFrame, block: str, eps: float = 0.3) -> DataFrame:
-    """Clusters of cosine distance up to eps with two members at least: components of that graph; documents without a neighbour form the cluster -1."""
-    near = block_pairs(vectors, block).where(1 - F.col("cosine") <= eps).select(F.col("v1").alias("a"), F.col("v2").alias("b"))
-    roots = components(near)
-    return vectors.select("vec_id").join(roots.hint("merge"), F.col("vec_id") == F.col("node"), "left").select("vec_id", F.coalesce("root", F.lit(-1)).alias("cluster"))
+def density_clusters(vectors: DataFrame, eps: float = 0.3) -> DataFrame:
+    """Clusters of cosine distance up to eps with two members at least, over the whole table: components of that graph, named by their least id; documents without a neighbour form the cluster -1."""
+    classes, members = vector_classes(vectors)
+    near = saved(near_vectors(classes, 1 - eps), "vector-near")
+    roots = components(near.select("a", "b"))
+    named = saved(members.join(roots.hint("merge"), F.col("class_id") == F.col("node"), "left").select("vec_id", F.coalesce("root", "class_id").alias("root")), "vector-named")
+    sizes = named.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    inside = named.join(sizes.hint("merge"), "root").select(F.col("vec_id").alias("own_id"), "root")
+    return vectors.select("vec_id").join(inside.hint("merge"), F.col("vec_id") == F.col("own_id"), "left").select("vec_id", F.coalesce("root", F.lit(-1)).alias("cluster"))

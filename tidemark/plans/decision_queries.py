@@ -82,7 +82,6 @@ def _one_type(name):
 
 
 J_TYPES = dict(zip(("j3_asset_limit", "j4_coverage_limit", "j5_geographic_limit", "j6_industry_limit", "j7_construction_limit", "j8_occupancy_limit", "j9_financial_limit", "j10_regulatory_limit", "j11_catastrophe_limit", "j12_aggregate_limit"), limits.TYPES, strict=True))
-_updates = "SELECT limit_id, CASE WHEN limit_id % 3 = 0 THEN CAST(1234 AS decimal(15,2)) END AS max_amount, CASE WHEN limit_id % 5 = 0 THEN false END AS active FROM {business_limits} WHERE limit_id % 2 = 1"
 _pipe = lambda c: F.array_join(c, "|").alias(c)
 _p = lambda c: f"coalesce(array_to_string({c}, '|'), '') AS {c}"
 LISTS = ("primary_reasons", "supporting", "mitigating", "addressed", "confidence_factors")
@@ -93,10 +92,10 @@ QUERIES = {name: _one_type(kind) for name, kind in J_TYPES.items()} | {
     "a3_violation_summary": lambda t: limits.summary(t.applications, found_of(t)),
     "a3_violations_by_type": lambda t: limits.by_type(found_of(t)),
     "a4_check_type": lambda t: limits.check_type(found_of(t), "asset_value"),
-    "a5_limit_configuration": lambda t: limits.configuration(t.business_limits),
+    "a5_limit_configuration": lambda t: limits.configuration(t.portfolio_limits),
     "a6_limit_advice": lambda t: limits.advice(found_of(t)),
-    "f7_limits_lookup": lambda t: t.business_limits.where("active AND limit_type = 'asset_value'").select("limit_id", "category", F.col("max_amount").cast("double").alias("max_amount")),
-    "f15_limit_updates": lambda t: limits.updated(t.business_limits, t.spark.sql(_updates, business_limits=t.business_limits)).select("limit_id", "limit_type", F.col("max_amount").cast("double").alias("max_amount"), "active"),
+    "f7_limits_lookup": lambda t: t.portfolio_limits.where("active AND limit_type = 'asset_value'").select("limit_id", "category", F.col("max_amount").cast("double").alias("max_amount")),
+    "f15_limit_updates": lambda t: limits.updated(t.portfolio_limits, t.limit_updates).select("limit_id", "limit_type", F.col("max_amount").cast("double").alias("max_amount"), "active"),
     "k14_factors": lambda t: decided_of(t).select("application_id", F.explode("factors").alias("f")).select("application_id", "f.factor", "f.score", "f.weight", F.round("f.confidence", 4).alias("confidence"), "f.rationale"),
     "k15_decision": lambda t: decided_of(t).select("application_id", F.round("total", 8).alias("total"), "decision"),
     "k16_decision_confidence": lambda t: decided_of(t).select("application_id", "confidence", (F.col("variance") > 400).alias("disagree")),
@@ -114,10 +113,10 @@ ORACLE = {name: f"SELECT application_id, limit_id, severity, message FROM limit_
     "a3_violation_summary": "SELECT application_id, count(limit_id) AS n, count(*) FILTER (severity = 'WARNING') AS n_warning, count(*) FILTER (severity = 'ERROR') AS n_error, count(*) FILTER (severity = 'CRITICAL') AS n_critical, coalesce(string_agg(DISTINCT limit_type, '|' ORDER BY limit_type), '') AS types, count(*) FILTER (severity IN ('ERROR', 'CRITICAL')) = 0 AS passed FROM applications LEFT JOIN limit_found USING (application_id) GROUP BY application_id",
     "a3_violations_by_type": "SELECT limit_type, severity, count(*) AS n, count(DISTINCT application_id) AS applications FROM limit_found GROUP BY 1, 2",
     "a4_check_type": "SELECT application_id, count(*) AS n, max(message) AS message FROM limit_found WHERE limit_type = 'asset_value' GROUP BY 1",
-    "a5_limit_configuration": "SELECT limit_type, count(*) AS n, count(*) FILTER (active) AS n_active, max(max_amount)::DOUBLE AS most FROM business_limits GROUP BY 1",
+    "a5_limit_configuration": "SELECT limit_type, count(*) AS n, count(*) FILTER (active) AS n_active, max(max_amount)::DOUBLE AS most FROM portfolio_limits GROUP BY 1",
     "a6_limit_advice": f"SELECT application_id, string_agg(w, '|' ORDER BY place) AS warnings, string_agg(r, '|' ORDER BY place) AS recommendations FROM ({_advice}) GROUP BY 1",
-    "f7_limits_lookup": "SELECT limit_id, category, max_amount::DOUBLE AS max_amount FROM business_limits WHERE active AND limit_type = 'asset_value'",
-    "f15_limit_updates": "SELECT limit_id, limit_type, (CASE WHEN limit_id % 6 = 3 THEN 1234 ELSE max_amount END)::DOUBLE AS max_amount, CASE WHEN limit_id % 10 = 5 THEN false ELSE active END AS active FROM business_limits",
+    "f7_limits_lookup": "SELECT limit_id, category, max_amount::DOUBLE AS max_amount FROM portfolio_limits WHERE active AND limit_type = 'asset_value'",
+    "f15_limit_updates": "SELECT limit_id, limit_type, coalesce(u.max_amount, p.max_amount)::DOUBLE AS max_amount, coalesce(u.active, p.active) AS active FROM portfolio_limits p LEFT JOIN limit_updates u USING (limit_id)",
     "k14_factors": "SELECT application_id, factor, score, weight, round(confidence, 4) AS confidence, rationale FROM decision_factors",
     "k15_decision": "SELECT application_id, round(total, 8) AS total, decision FROM decision_full",
     "k16_decision_confidence": "SELECT application_id, confidence, variance > 400 AS disagree FROM decision_full",

@@ -37,9 +37,10 @@ def planned_of(t):
 
 
 def answers(t):
-    body = F.concat(F.lit('{"insured": "A'), F.col("doc_id").cast("string"), F.lit('", "tsi": '), F.col("doc_id").cast("string"), F.lit("}"))
-    wrapped = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Here it is: "), body, F.lit(" done"))).otherwise(F.lit("nothing"))
-    return t.slips.select("doc_id", wrapped.alias("answer"))
+    """A model's answer on each slip: what the slip says, fenced, in a sentence, or not as JSON."""
+    given = F.to_json(F.struct(F.regexp_extract("text", P["insured"], 1).alias("insured"), F.regexp_replace(F.regexp_extract("text", P["sum_insured"], 1), ",", "").cast("double").alias("tsi")))
+    turn = F.col("doc_id") % 3
+    return t.slips.select("doc_id", F.when(turn == 0, F.concat(F.lit("```json\n"), given, F.lit("\n```"))).when(turn == 1, F.concat(F.lit("Here it is: "), given, F.lit(" done"))).otherwise(F.col("text")).alias("answer"))
 
 
 #: Keywords, characters before and after, the longest text, further evidence (words, how many, weight) of each topic.
@@ -188,7 +189,7 @@ ORACLE = {
     "x30_format": "SELECT doc_id, fmt AS format, " + S.first_class("lower(text || chr(10) || filename)", extract.DOCUMENT_TYPES, "supporting_document") + " AS type FROM slip_found",
     "x35_migration": f"SELECT doc_id, coalesce({_f('insured')}, {_f('broker')}) AS insured_name, coalesce({_n('sum_insured')}, {_n('premium')}) AS total_sums_insured FROM slips",
     "j14_keyword_hits": f"SELECT doc_id, array_to_string({S.hits(_l, extract.SECONDARY)}, '|') AS hits FROM slips",
-    "s13_recovered_json": "SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 'A' || doc_id END AS insured, CASE WHEN doc_id % 3 < 2 THEN doc_id::DOUBLE END AS tsi FROM slips",
+    "s13_recovered_json": f"SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN regexp_extract(text, $p${P['insured']}$p$, 1) END AS insured, CASE WHEN doc_id % 3 < 2 THEN {_n('sum_insured')} END AS tsi FROM slips",
     "f10_mail_screen": "SELECT message_id, turn, (contains(sender, '@broker.') OR contains(sender, '@cedant.')) AND (regexp_matches(lower(subject), 'facultative.*reinsurance') OR regexp_matches(lower(subject), 'fac .*placement')) AND regexp_matches(lower(attachment), '(slip|survey).*[.](pdf|docx|xlsx)$') AS accepted FROM messages",
     "a32_assembled": "SELECT message_id, (9 + length(min(subject)) + 1 + 6 + length(min(sender)) + 1 + sum(coalesce(length(text), 0)) + count(text) - 1 + 1 + sum(13 + length(place::VARCHAR) + length(attachment)) + count(*) - 1)::INT AS n, count(*)::INT AS attachments FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY turn) AS place FROM messages) GROUP BY 1",
     "x20_extraction_confidence": "SELECT doc_id, round(" + " + ".join(f"CASE WHEN {f} IS NOT NULL THEN {w} ELSE 0 END" for f, w in extract.EXTRACT_WEIGHTS.items()) + ", 4)::DOUBLE AS extraction_confidence, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in extract.EXTRACT_WEIGHTS) + "], lambda x: x IS NOT NULL), '|') AS missing_fields FROM slip_fields",

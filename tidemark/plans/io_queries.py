@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import new_path
+from tidemark.operators import premium
+from tidemark.plans import premium_queries  # noqa: F401  its steps are used here
 from tidemark.plans.oracle import oracle
 from tidemark.plans.risk_queries import R4
 from tidemark.sources import files
@@ -27,6 +30,50 @@ def parts(t):
     return t.part.select(F.col("p_retailprice").alias("TOTAL_REPL_COST"), F.col("p_size").alias("BUILDINGS"), F.col("p_size").cast("string").alias("TOTAL_AREA_SQM"), F.col("p_type").alias("OCCUPANCY"), F.col("p_brand").alias("TAXONOMY"))
 
 
+def csv_read(t):
+    """Customers written with semicolons in Latin-1, and read without saying so."""
+    path = new_path(t.spark, "csv")
+    t.customer.select("c_custkey", F.concat(F.lit("Señor "), "c_name").alias("name"), "c_acctbal").write.csv(path, sep=";", header=True, encoding="ISO-8859-1")
+    return files.read_csv(t.spark, path).select(F.col("c_custkey").cast("long").alias("c_custkey"), "name", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+
+
+def csv_tree(t):
+    """Suppliers in a folder a nation, every second nation with another delimiter; those of one country's name."""
+    root = new_path(t.spark, "tree")
+    rows = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", F.col("n_name").alias("country"), "n_nationkey")
+    for turn, sep in enumerate((",", ";")):
+        rows.where(F.col("n_nationkey") % 2 == turn).drop("n_nationkey").write.partitionBy("country").csv(f"{root}/exposure_{turn}", sep=sep, header=True)
+    return files.csv_tree(t.spark, root, "Nation 1", r"(?i)^part-.*\.csv$").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name")
+
+
+#: Extensions and first bytes (in hex) of the files that documents are taken for.
+FILES = [("pdf", "25504446"), ("docx", "504B0304"), ("png", "89504E47"), ("jpeg", ""), ("csv", ""), ("exe", "4D5A"), ("msg", "D0CF11E0"), ("bmp", "424D"), ("eml", "")]
+
+
+def binary_files(t):
+    turn = F.pmod("doc_id", F.lit(len(FILES)))
+    name = F.coalesce(*(F.when(turn == n, F.lit(ext)) for n, (ext, _) in enumerate(FILES)))
+    head = F.coalesce(*(F.when(turn == n, F.unhex(F.lit(code))) for n, (_, code) in enumerate(FILES)))
+    content = F.concat(head, F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    return t.documents.select(F.concat(F.lit("/in/doc_"), F.col("doc_id").cast("string"), F.lit("."), name).alias("path"), F.length(content).cast("long").alias("length"), content.alias("content"))
+
+
+def workbook(t):
+    """The five sheets of an analysis, written and read back: rows and columns of each."""
+    checked = premium.validated(t.analysis_rows)
+    sheets = {
+        "working": premium.report_fields(t.analysis_rows), "validation": premium.validation_summary(checked, "row_id"), "completeness": premium.completeness_by_field(t.analysis_rows), "confidence": premium.confidence_by_field(t.analysis_rows),
+        "notes": premium.notes(checked, "row_id"),
+    }
+    path = new_path(t.spark, "workbook")
+    files.write_workbook(sheets, path)
+    out = None
+    for name, df in files.read_workbook(t.spark, path, list(sheets)).items():
+        one = df.agg(F.lit(name).alias("sheet"), F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("columns"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 QUERIES = {
     "s6_mail_stream": lambda t: streams.drained(streams.intake(mails(t)), "intake").select("message_id", "turn", "route"),
     "t1_mail_routes": lambda t: streams.drained(streams.intake(mails(t)), "routes").where("route = 'processed'").select("message_id", "turn"),
@@ -35,9 +82,13 @@ QUERIES = {
     "t4_hourly_rollup": lambda t: _roll(streams.drained(streams.rollup(logs(t), "1 hour"), "hourly", "complete")),
     "t5_closed_windows": lambda t: _roll(streams.drained(streams.rollup(logs(t), "12 hours"), "closed")).join(t.events.agg((F.max(F.col("ts").cast("timestamp")) - F.expr("interval 48 hours")).alias("sure")), F.col("until") <= F.col("sure")).drop("sure"),
     "j17_unseen": lambda t: files.unseen(t.documents, t.documents.where("doc_id % 2 = 0").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))).select("doc_id"),
-    "s9_sheet_counts": lambda t: t.analysis_rows.select(F.count(F.lit(1)).alias("rows")).crossJoin(F.broadcast(files.quality(t.analysis_rows).select(F.round("quality", 4).alias("quality")))),
+    "s2_csv_read": csv_read,
+    "s2_quality": lambda t: files.quality(t.analysis_rows).select(F.round("quality", 6).alias("quality"), "rows"),
+    "s3_csv_tree": csv_tree,
+    "s5_binary_scan": lambda t: files.scanned(binary_files(t)).select("path", "extension", "kind", "length", "digest", F.array_join("errors", "|").alias("errors")),
+    "s9_workbook": workbook,
     "s10_export": lambda t: files.application_export(t.applications, t.risk_parameters, t.financial_data, t.loss_events).select("application_id", F.get_json_object("document", "$.risk.location").alias("location"), F.json_array_length(F.get_json_object("document", "$.losses")).alias("losses")),
-    "s11_metric_export": lambda t: files.metric_export(t.processing_logs.select(F.col("process_type").alias("metric"), F.col("processing_time").cast("double").alias("value"), "created_at")).select("metric", "hour", "n"),
+    "s11_metric_export": lambda t: files.metric_export(t.processing_logs.select(F.col("process_type").alias("metric"), F.col("processing_time").cast("double").alias("value"), "created_at")).groupBy("metric", "hour").agg(F.sum("n").alias("n")),
     "s12_diagnostics": lambda t: files.diagnostics(t.customer.select(F.col("c_name").alias("name")), t.customer.where("c_custkey % 3 > 0").select(F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 3 == 1, '{"a": 1}').otherwise("{bad").alias("content")), "a int"),
     "a25_exposure_totals": lambda t: files.exposure_totals(parts(t)).select(*R4("replacement_cost", "buildings", "area")),
     "a26_exposure_breakdown": lambda t: files.exposure_breakdown([parts(t), parts(t).where("BUILDINGS > 20")], "OCCUPANCY", "TOTAL_REPL_COST").select("category", *R4("value"), "n"),
@@ -46,7 +97,19 @@ QUERIES = {
 _accept = "(contains(sender, '@broker.') OR contains(sender, '@cedant.')) AND (regexp_matches(lower(subject), 'facultative.*reinsurance') OR regexp_matches(lower(subject), 'fac .*placement')) AND regexp_matches(lower(attachment), '(slip|survey).*[.](pdf|docx|xlsx)$')"
 _win = lambda h: f"SELECT time_bucket(INTERVAL '{h} hours', ts, TIMESTAMP '1970-01-01') AS since, time_bucket(INTERVAL '{h} hours', ts, TIMESTAMP '1970-01-01') + INTERVAL '{h} hours' AS until, event_type AS process_type, count(*) AS n, round(sum(value), 2) AS total, round(max(value), 4) AS most, round(min(value), 4) AS least FROM events GROUP BY ALL"
 _slide = "SELECT s AS since, s + INTERVAL '6 hours' AS until, event_type AS process_type, count(*) AS n, round(sum(value), 2) AS total, round(max(value), 4) AS most, round(min(value), 4) AS least FROM (SELECT *, unnest([b, b - INTERVAL '3 hours']) AS s FROM (SELECT *, time_bucket(INTERVAL '3 hours', ts, TIMESTAMP '1970-01-01') AS b FROM events)) GROUP BY ALL"
+_ext = "CASE doc_id % 9 " + " ".join(f"WHEN {n} THEN '{e}'" for n, (e, _) in enumerate(FILES)) + " END"
+_head = "CASE doc_id % 9 " + " ".join(f"WHEN {n} THEN unhex('{h}')" for n, (_, h) in enumerate(FILES)) + " END"
+_of = lambda n: "CASE extension " + " ".join(f"WHEN '{e}' THEN {k[n]!r}" for k in files.KINDS for e in k[0]) + " END"
+_missing = " + ".join(f"count({c})" for c in ("row_id", *premium.FIELDS, "confidence_score", "source_document"))
 ORACLE = {
+    "s2_csv_read": "SELECT c_custkey::BIGINT AS c_custkey, 'Señor ' || c_name AS name, c_acctbal::DOUBLE AS c_acctbal FROM customer",
+    "s2_quality": f"SELECT round(({_missing}) / (count(*) * {len(premium.FIELDS) + 3})::DOUBLE, 6) AS quality, count(*) AS rows FROM analysis_rows",
+    "s3_csv_tree": "SELECT s_suppkey::BIGINT AS s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(lower(n_name), 'nation_1')",
+    "s5_binary_scan": f"""
+    SELECT path, extension, kind, octet_length(content)::BIGINT AS length, sha256(content) AS digest, array_to_string(list_filter([CASE WHEN kind IS NULL THEN 'type not allowed' END, CASE WHEN octet_length(content) > most THEN 'file too large' END, CASE WHEN octet_length(content) = 0 THEN 'file is empty' END,
+        CASE WHEN NOT starts_with(hex(content), coalesce(lead, '')) THEN 'content does not fit the extension' END, CASE WHEN starts_with(hex(content), '4D5A') THEN 'executable content' END], lambda x: x IS NOT NULL), '|') AS errors
+    FROM (SELECT *, {_of(1)} AS kind, {_of(2)} AS most, {_of(3)} AS lead FROM (SELECT '/in/doc_' || doc_id || '.' || {_ext} AS path, {_ext} AS extension, {_head} || encode(coalesce(text, '')) AS content FROM documents))""",
+    "s9_workbook": f"SELECT 'working' AS sheet, count(*) AS rows, {len(premium.REPORT_FIELDS) + 1} AS columns FROM analysis_rows UNION ALL SELECT 'validation', count(*), 5 FROM analysis_rows UNION ALL SELECT 'completeness', {len(premium.FIELDS)}, 4 UNION ALL SELECT 'confidence', {len(premium.FIELDS)}, 6 UNION ALL SELECT 'notes', sum(greatest(1, len(warnings)))::BIGINT, 3 FROM row_checked",
     "s6_mail_stream": f"SELECT message_id, turn, CASE WHEN {_accept} THEN 'processed' ELSE 'other' END AS route FROM messages",
     "t1_mail_routes": f"SELECT message_id, turn FROM messages WHERE {_accept}",
     "t2_mail_counters": f"SELECT CASE WHEN {_accept} THEN 'processed' ELSE 'other' END AS route, count(*) AS n FROM messages GROUP BY 1",

@@ -22,11 +22,13 @@ STEPS["market_full"] = f"""
 STEPS["market_long"] = " UNION ALL ".join(f"SELECT doc_id, uploaded_at, filename, '{c}' AS market_type, {c} AS market FROM market_full" for c in ("geo_group", "industry_group", "line_group"))
 STEPS["slip_entities"] = "SELECT *, list_filter([regexp_extract(text, 'Insured: ([^\\n]+)', 1), regexp_extract(text, 'Cedant: ([^\\n]+)', 1), regexp_extract(text, 'Broker: ([^\\n]+)', 1)], lambda x: x <> '') AS entities FROM slips"
 STEPS["vector_pairs"] = "SELECT a.vec_id // 20 AS block, a.vec_id AS v1, b.vec_id AS v2, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id // 20 = b.vec_id // 20 AND a.vec_id < b.vec_id"
+_cosine = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
+STEPS["all_near"] = f"SELECT a.vec_id AS v1, b.vec_id AS v2, {_cosine} AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_cosine} >= 0.4"
 STEPS["word_sets"] = "SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))) AS w FROM documents"
 STEPS["word_classes"] = "SELECT w, min(doc_id) AS class_id, len(w) AS n FROM word_sets WHERE len(w) > 0 GROUP BY w"
 STEPS["word_links"] = "SELECT a.class_id AS c1, b.class_id AS c2 FROM word_classes a JOIN word_classes b ON a.class_id < b.class_id AND 100 * least(a.n, b.n) >= 95 * greatest(a.n, b.n) WHERE 100 * len(list_intersect(a.w, b.w)) >= 95 * (a.n + b.n - len(list_intersect(a.w, b.w)))"
-#: Cosines in these data lie near 0, so clusters are looked for at these distances.
-NEAR, EPS = 0.15, 0.8
+#: Least cosine of pairs over the whole table, and of a greedy cluster; distance of density clusters.
+PAIRS, NEAR, EPS = 0.45, 0.7, 0.3
 
 
 def classified(t):
@@ -47,13 +49,23 @@ def prompts(t, kind):
     return t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("model"), text.alias("text"))
 
 
+_set = "list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))"
+STEPS["prompts_new"] = f"SELECT *, {_set} AS w FROM (SELECT doc_id AS id, lang AS model, CASE WHEN doc_id % 3 = 0 THEN text || ' more' ELSE text END AS text FROM documents)"
+STEPS["prompts_known"] = f"SELECT doc_id AS known_id, lang AS model, text, {_set} AS w FROM documents"
+STEPS["prompt_exact"] = "SELECT id, min(known_id) AS known_id, 'exact' AS kind FROM prompts_new n JOIN prompts_known k USING (model, text) GROUP BY 1"
+STEPS["prompt_reuse"] = """
+    SELECT * FROM prompt_exact UNION ALL
+    SELECT id, min(known_id), 'near' FROM prompts_new n JOIN prompts_known k ON n.model = k.model AND len(n.w) > 0 AND 100 * least(len(n.w), len(k.w)) >= 95 * greatest(len(n.w), len(k.w))
+    WHERE id NOT IN (SELECT id FROM prompt_exact) AND 100 * len(list_intersect(n.w, k.w)) >= 95 * (len(n.w) + len(k.w) - len(list_intersect(n.w, k.w))) GROUP BY 1"""
+
+
 QUERIES = {
     "m1_market": lambda t: classified(t).select("doc_id", "geography", "geography_words", "industry", "industry_words", "line", "line_words", *R4("overall"), F.array_join("indicators", "|").alias("indicators")),
     "m2_text_domain": lambda t: t.slips.select("doc_id", F.length(markets.document_text("filename", "subject", "text")).alias("n_text"), markets.sender_domain("sender").alias("domain")),
     "m3_groups": lambda t: classified(t).select("doc_id", "geography_or_unknown", "geo_group", "industry_group", "line_group"),
     "m4_relations": lambda t: markets.relations(entities(t)).select("doc_id_1", "doc_id_2", "kind"),
     "m5_kept_pairs": lambda t: markets.relations(entities(t)).groupBy("block").agg(F.count(F.lit(1)).alias("pairs")),
-    "j15_pairs": lambda t: t.slips.alias("a").join(t.slips.alias("b"), (F.col("a.application_id") == F.col("b.application_id")) & (F.col("a.doc_id") < F.col("b.doc_id"))).groupBy(F.col("a.application_id").alias("application_id")).agg(F.count(F.lit(1)).alias("pairs")),
+    "j15_pairs": lambda t: t.slips.groupBy("application_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("application_id", F.expr("n * (n - 1) div 2").alias("pairs")),
     "u3_common_entities": lambda t: markets.relations(entities(t)).select("doc_id_1", "doc_id_2", "common"),
     "u4_entity_union": lambda t: entities(t).select("application_id", F.explode("entities").alias("e")).groupBy("application_id").agg(F.array_join(F.array_sort(F.collect_set("e")), "|").alias("entities")),
     "a7_distribution": lambda t: markets.distribution(classified(t)),
@@ -66,8 +78,9 @@ QUERIES = {
     "f9_market_filter": lambda t: markets.long_markets(classified(t)).where("market_type = 'industry_group' AND market = 'manufacturing'").select("doc_id"),
     "g1_near_texts": lambda t: similarity.near_texts(t.documents),
     "g2_cosine": lambda t: similarity.block_pairs(vectors(t, 20), "block").select("v1", "v2", F.round("cosine", 5).alias("cosine")),
+    "g2_near_pairs": lambda t: similarity.near_vectors(similarity.vector_classes(t.embeddings)[0], PAIRS, 0.9999).select(F.col("a").alias("v1"), F.col("b").alias("v2"), F.round("cosine", 5).alias("cosine")),
     "g3_greedy_clusters": lambda t: similarity.greedy_clusters(vectors(t, 5), "block", NEAR).select("vec_id", "cluster"),
-    "g4_density_clusters": lambda t: similarity.density_clusters(vectors(t, 20), "block", EPS),
+    "g4_density_clusters": lambda t: similarity.density_clusters(t.embeddings, EPS),
     "j18_prompt_reuse": lambda t: similarity.reused(prompts(t, 1), prompts(t, 0)).select("id", "known_id", "kind"),
 }
 _low2 = lambda c, ks: f"({S.has(f'lower(a.{c})', *ks)} OR {S.has(f'lower(b.{c})', *ks)})"
@@ -94,6 +107,9 @@ ORACLE = {
     "f9_market_filter": "SELECT doc_id FROM market_full WHERE industry_group = 'manufacturing'",
     "g1_near_texts": "SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links FROM word_sets LEFT JOIN word_classes USING (w) LEFT JOIN (SELECT class_id, count(*) AS n_links FROM (SELECT c1 AS class_id FROM word_links UNION ALL SELECT c2 FROM word_links) GROUP BY 1) USING (class_id)",
     "g2_cosine": "SELECT v1, v2, round(cosine, 5) AS cosine FROM vector_pairs",
-    "g4_density_clusters": f"WITH RECURSIVE e AS (SELECT v1 AS a, v2 AS b FROM vector_pairs WHERE 1 - cosine <= {EPS} UNION SELECT v2, v1 FROM vector_pairs WHERE 1 - cosine <= {EPS}), r(n, m) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.n) SELECT vec_id, coalesce(c, -1) AS cluster FROM embeddings LEFT JOIN (SELECT n, min(m) AS c FROM r GROUP BY 1) ON n = vec_id",
+    "g2_near_pairs": f"SELECT v1, v2, round(cosine, 5) AS cosine FROM all_near WHERE cosine >= {PAIRS}",
+    "g3_greedy_clusters": f"SELECT vec_id, coalesce((SELECT min(v1) FROM vector_pairs p WHERE p.v2 = e.vec_id AND p.v1 // 5 = p.v2 // 5 AND cosine > {NEAR}), vec_id) AS cluster FROM embeddings e",
+    "j18_prompt_reuse": "SELECT id, known_id, kind FROM prompt_reuse",
+    "g4_density_clusters": f"WITH RECURSIVE e AS (SELECT v1 AS a, v2 AS b FROM all_near WHERE 1 - cosine <= {EPS} UNION SELECT v2, v1 FROM all_near WHERE 1 - cosine <= {EPS}), r(n, m) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.n) SELECT vec_id, coalesce(c, -1) AS cluster FROM embeddings LEFT JOIN (SELECT n, min(m) AS c FROM r GROUP BY 1) ON n = vec_id",
 }
 ORACLE_SQL = {k: oracle(v) for k, v in ORACLE.items()}

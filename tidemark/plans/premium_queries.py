@@ -35,8 +35,6 @@ STEPS["row_checked"] = f"""
 STEPS["field_flags"] = " UNION ALL ".join(f"SELECT '{f}' AS field, {_there(f)} AS done, CASE WHEN {_there(f)} THEN least(1, round(confidence_score * {premium.FIELD_CONFIDENCE[f]}, 6)) ELSE 0 END AS confidence FROM analysis_rows" for f in premium.FIELDS)
 MERGED = ["insured_name", "broker_name", "perils_covered", "total_sums_insured", "currency"]
 STEPS["slip_keys"] = "SELECT *, coalesce('r:' || nullif(reference_number, ''), 'i:' || nullif(insured_name, ''), 'u:' || row_id) AS merge_key FROM analysis_rows"
-_quotes = "SELECT currency, 1.0 / kes_value AS rate FROM {rates} UNION ALL SELECT 'BAD' AS currency, CAST(0.0 AS double) AS rate"
-_new_rates = "SELECT * FROM (VALUES ('USD', CAST(140.0 AS double)), ('TZS', CAST(0.05 AS double))) AS v(currency, kes_value)"
 _consistent = "SELECT row_id, tsi, premium, premium_rate, accepted_share, CAST(row_id % 80 AS double) AS retention, CAST(row_id % 7 AS int) AS period_from, CAST(row_id % 5 AS int) AS period_to FROM {premium_rows}"
 _cells = "SELECT o_orderkey AS doc_id, CAST(o_orderkey % 4 AS int) AS row, CASE o_orderkey % 5 WHEN 0 THEN 'Sum Insured' WHEN 1 THEN 'Gross Premium' WHEN 2 THEN 'Deductible' WHEN 3 THEN 'Insured Name' ELSE 'Broker' END AS column, CASE WHEN o_orderkey % 6 > 0 THEN CAST(o_custkey AS varchar(20)) END AS value, o_custkey AS custkey FROM {orders}"
 WANTED = {"sum_insured": ["sum insured"], "premium": ["premium"], "deductible": ["deductible", "excess"], "insured": ["insured name"], "broker": ["broker"]}
@@ -56,8 +54,8 @@ def cells_of(t):
 
 QUERIES = {
     "s4_normalised_headers": lambda t: premium.normalised(t.premium_rows.select("row_id", F.col("tsi").alias("Sum-Insured Total"), F.col("currency").alias(" Currency "))),
-    "s7_rates_upsert": lambda t: premium.rates_upsert(t.rates, t.spark.sql(_new_rates)),
-    "s8_cross_rates": lambda t: premium.cross_rates(t.spark.sql(_quotes, rates=t.rates)).select("currency", F.round("kes_value", 6).alias("kes_value")),
+    "s7_rates_upsert": lambda t: premium.rates_upsert(t.nation_rates, t.supplier_rates).select("currency", F.round("kes_value", 6).alias("kes_value")),
+    "s8_cross_rates": lambda t: premium.cross_rates(t.nation_quotes, "C0").select("currency", F.round("kes_value", 6).alias("kes_value")),
     "j13_rate_lookup": lambda t: premium.with_rates(t.premium_rows, t.rates).select("row_id", "original_currency", "rate"),
     "k19_derived": lambda t: rows_of(t).select("row_id", *R6(*DERIVED)),
     "k20_net_and_score": lambda t: premium.narrative(rows_of(t)).select("row_id", *R6("net_premium"), "liability", "risk_score", "narrative"),
@@ -73,7 +71,7 @@ QUERIES = {
     "k25_summary": lambda t: premium.executive_summary(risk_of(t)),
     "k26_accepted_share": lambda t: premium.accepted(rows_of(t)).select("row_id", *[F.round(n, 5).alias(n) for n in ("share_liability_kes", "share_premium_kes")]),
     "k28_defaults": lambda t: premium.report_row(rows_of(t)).select("row_id", "insured", F.when(F.col("loss_ratio_text") == "NIL", "NIL").otherwise("given").alias("ratio_kind"), F.when(F.col("share_text") == "Open", "Open").otherwise("given").alias("share_kind")),
-    "f14_report_fields": lambda t: premium.report_row(rows_of(t)).select("row_id", "sum_insured", "premium"),
+    "f14_report_fields": lambda t: premium.report_fields(t.analysis_rows),
     "a24_merged_slips": lambda t: consolidate.merged_slips(t.analysis_rows.withColumn("reference_number", F.when(F.col("row_id") % 3 > 0, F.concat(F.lit("R"), (F.col("row_id") % 500).cast("string")))), MERGED).select("merge_key", *(F.col(m).cast("string").alias(m) for m in MERGED), "n_slips", "sources", *R4("confidence")),
     "j19_merge_passes": lambda t: consolidate.merge_passes(t.analysis_rows.select("row_id", "insured_name", "currency"), t.analysis_rows.select("row_id", F.when(F.col("row_id") % 2 == 0, "TBD").otherwise("second").alias("insured_name"), F.lit(None).cast("string").alias("currency")), "row_id", ["insured_name", "currency"]),
     "j20_last_values": lambda t: consolidate.last_values(t.analysis_rows, "source_document", ["date_received", "row_id"], ["insured_name", "currency"]),
@@ -83,8 +81,8 @@ _first = lambda f: f"arg_min({f}, row_id) FILTER ({_there(f)})::VARCHAR AS {f}"
 _cols = lambda ws: " OR ".join(f"contains(lower(\"column\"), '{w}')" for w in ws)
 ORACLE = {
     "s4_normalised_headers": "SELECT row_id, tsi AS sum_insured_total, currency FROM premium_rows",
-    "s7_rates_upsert": "SELECT 'KES' AS currency, 1.0::DOUBLE AS kes_value UNION ALL SELECT 'USD', 140.0 UNION ALL SELECT 'EUR', 165.0 UNION ALL SELECT 'GBP', 190.0 UNION ALL SELECT 'TZS', 0.05",
-    "s8_cross_rates": "SELECT currency, round(kes_value, 6) AS kes_value FROM rates",
+    "s7_rates_upsert": "SELECT currency, round(coalesce(s.kes_value, n.kes_value), 6) AS kes_value FROM nation_rates n FULL JOIN supplier_rates s USING (currency)",
+    "s8_cross_rates": "SELECT currency, round(CASE WHEN currency = 'C0' THEN 1.0 ELSE (SELECT max(rate) FROM nation_quotes WHERE currency = 'C0' AND rate > 0) / rate END, 6)::DOUBLE AS kes_value FROM nation_quotes WHERE rate > 0",
     "j13_rate_lookup": "SELECT row_id, original_currency, rate FROM premium_base",
     "k19_derived": f"SELECT row_id, {SQL6(*DERIVED)} FROM premium_full",
     "k20_net_and_score": f"SELECT row_id, {SQL6('net_premium')}, liability, risk_score, CASE WHEN risk_score >= 8 OR loss_ratio > 100 THEN 'DECLINE' WHEN risk_score >= 6 OR loss_ratio > 75 THEN 'REFER' ELSE 'ACCEPT' END || ': risk score ' || format('{{:.1f}}', risk_score) || ', liability ' || liability AS narrative FROM premium_scored",
@@ -100,7 +98,7 @@ ORACLE = {
     "k25_summary": "SELECT application_id, 'Application ' || application_id || ' has ' || lower(risk_level) || ' risk. ' || remark AS summary, remark, CASE risk_level WHEN 'HIGH' THEN 'Accept with conditions' WHEN 'CRITICAL' THEN 'Decline' ELSE 'Accept' END AS proposal FROM (SELECT *, CASE risk_level WHEN 'LOW' THEN 'Risk is well within appetite.' WHEN 'MEDIUM' THEN 'Risk is within appetite on standard terms.' WHEN 'HIGH' THEN 'Risk needs enhanced terms.' ELSE 'Risk is outside appetite.' END AS remark FROM risk_full)",
     "k26_accepted_share": "SELECT row_id, round(tsi_kes * (coalesce(nullif(accepted_share, 0), 1.0) / 100), 5) AS share_liability_kes, round(premium_kes * (coalesce(nullif(accepted_share, 0), 1.0) / 100), 5) AS share_premium_kes FROM premium_full",
     "k28_defaults": "SELECT row_id, coalesce(insured_name, 'TBA') AS insured, CASE WHEN loss_ratio IS NULL THEN 'NIL' ELSE 'given' END AS ratio_kind, CASE WHEN accepted_share IS NULL THEN 'Open' ELSE 'given' END AS share_kind FROM premium_full",
-    "f14_report_fields": "SELECT row_id, original_currency || ' ' || coalesce(format('{:,.2f}', tsi), 'TBA') AS sum_insured, coalesce(format('{:,.2f}', premium), 'TBA') AS premium FROM premium_base",
+    "f14_report_fields": "SELECT row_id, " + ", ".join({"date": f"coalesce(strftime({f}, '%Y-%m-%d'), 'TBA')", "money": f"coalesce(coalesce(currency || ' ', '') || format('{{:,.2f}}', {f}::DOUBLE), 'TBA')", "percent": f"coalesce({f}::VARCHAR || '%', 'TBA')", "text": f"coalesce(nullif({f}, ''), 'TBA')"}[k] + f" AS {f}" for f, k in premium.REPORT_FIELDS.items()) + " FROM analysis_rows",
     "a24_merged_slips": f"SELECT merge_key, {', '.join(map(_first, MERGED))}, count(*) AS n_slips, string_agg(DISTINCT source_document, '|' ORDER BY source_document) AS sources, round(avg(confidence_score) FILTER (confidence_score > 0), 4) AS confidence FROM (SELECT *, coalesce(CASE WHEN row_id % 3 > 0 THEN 'r:R' || row_id % 500 END, 'i:' || nullif(insured_name, ''), 'u:' || row_id) AS merge_key FROM analysis_rows) GROUP BY 1",
     "j19_merge_passes": "SELECT row_id, CASE WHEN row_id % 2 = 0 THEN insured_name ELSE 'second' END AS insured_name, currency FROM analysis_rows",
     "j20_last_values": "SELECT source_document, arg_max(insured_name, (coalesce(date_received, '0001-01-01'::TIMESTAMP), row_id)) FILTER (insured_name IS NOT NULL) AS insured_name, arg_max(currency, (coalesce(date_received, '0001-01-01'::TIMESTAMP), row_id)) FILTER (currency IS NOT NULL) AS currency FROM analysis_rows GROUP BY 1",

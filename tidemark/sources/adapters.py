@@ -7,7 +7,6 @@ expression. Input tables are named in braces. Nothing here is sampled or cut: th
 from __future__ import annotations
 
 import re
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -95,6 +94,17 @@ VIEWS: dict[str, str] = {
         FROM {{lineitem}} WHERE l_returnflag = 'R'""",
     "business_limits": _limits(),
     "rates": "SELECT * FROM (VALUES ('KES', CAST(1.0 AS double)), ('USD', CAST(150.0 AS double)), ('EUR', CAST(165.0 AS double)), ('GBP', CAST(190.0 AS double))) AS v(currency, kes_value)",
+    "portfolio_limits": """
+        SELECT c_nationkey * 10 + CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'FURNITURE' THEN 3 WHEN 'MACHINERY' THEN 4 ELSE 5 END AS limit_id,
+               CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'coverage_limit' WHEN 'BUILDING' THEN 'asset_value' WHEN 'FURNITURE' THEN 'occupancy_type' WHEN 'MACHINERY' THEN 'industry_sector' ELSE 'aggregate_exposure' END AS limit_type,
+               c_mktsegment AS category, CAST(max(c_acctbal) * 10000 AS decimal(15,2)) AS max_amount, max(c_custkey) % 4 > 0 AS active
+        FROM {customer} GROUP BY c_nationkey, c_mktsegment""",
+    "limit_updates": """
+        SELECT s_nationkey * 10 + s_suppkey % 5 + 1 AS limit_id, CASE WHEN count(*) % 2 = 0 THEN CAST(max(s_acctbal) * 10000 AS decimal(15,2)) END AS max_amount, CASE WHEN max(s_suppkey) % 5 = 0 THEN false END AS active
+        FROM {supplier} GROUP BY s_nationkey * 10 + s_suppkey % 5 + 1""",
+    "nation_rates": "SELECT 'C' || CAST(c_nationkey AS varchar(8)) AS currency, CAST(1 + abs(max(c_acctbal)) / 100 AS double) AS kes_value FROM {customer} GROUP BY c_nationkey",
+    "supplier_rates": "SELECT 'C' || CAST(s_nationkey + 7 AS varchar(8)) AS currency, CAST(1 + abs(max(s_acctbal)) / 100 AS double) AS kes_value FROM {supplier} GROUP BY s_nationkey",
+    "nation_quotes": "SELECT 'C' || CAST(c_nationkey AS varchar(8)) AS currency, CAST(CASE WHEN c_nationkey % 3 = 1 THEN min(c_acctbal) ELSE abs(max(c_acctbal)) + 1 END AS double) / 1000 AS rate FROM {customer} GROUP BY c_nationkey",
     "recommendations": """
         SELECT CAST(o_orderkey AS varchar(20)) AS application_id, CASE WHEN o_orderkey % 3 = 0 THEN 'APPROVE' WHEN o_orderkey % 3 = 1 THEN 'CONDITIONAL' ELSE 'REJECT' END AS decision,
                CAST(o_orderkey % 50 AS double) / 100 AS premium_adjustment, CAST(o_orderdate AS timestamp) + INTERVAL '1' HOUR * CAST(o_orderkey % 48 AS int) AS decided_at,
@@ -158,7 +168,6 @@ def inputs(view: str) -> set[str]:
     return set(re.findall(r"\{(\w+)\}", VIEWS[view]))
 
 
-@cache
 def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in inputs(name)}
     return spark.sql(VIEWS[name], **tables)

@@ -10,16 +10,25 @@ from pyspark.sql import functions as F
 DELIMITERS = [",", ";", "\t", "|"]
 
 
+def votes(lines: Column) -> Column:
+    """The delimiter met most often in the lines, as an aggregate; the first of several."""
+    counts = F.array(*(F.struct(F.coalesce(F.sum(F.size(F.split(lines, re.escape(d))) - 1), F.lit(0)).alias("met"), F.lit(-n).alias("order"), F.lit(d).alias("sep")) for n, d in enumerate(DELIMITERS)))
+    return F.array_max(counts)["sep"]
+
+
 def delimiter(spark: SparkSession, path: str, lines: int = 20) -> str:
     """The delimiter met most often in the first lines."""
-    head = spark.read.text(path).limit(lines)
-    counts = head.agg(*(F.coalesce(F.sum(F.size(F.split("value", re.escape(d))) - 1), F.lit(0)).alias(str(n)) for n, d in enumerate(DELIMITERS))).first()  # one row
-    return DELIMITERS[max(range(len(DELIMITERS)), key=lambda n: (counts[n], -n))]
+    return spark.read.text(path).limit(lines).agg(votes(F.col("value"))).first()[0]
+
 
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """UTF-8 if every line is that, else Latin-1, in which any byte is a letter."""
+    return "ISO-8859-1" if spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count() else "UTF-8"
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str | None = None) -> DataFrame:
-    """A delimited file with a header; lines that don't fit are left out."""
-    return spark.read.csv(path, sep=sep or delimiter(spark, path), header=True, encoding=encoding, mode="DROPMALFORMED")
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, sep: str | None = None) -> DataFrame:
+    """A delimited file with a header, its encoding and delimiter found unless given; lines that don't fit are left out."""
+    return spark.read.csv(path, sep=sep or delimiter(spark, path), header=True, encoding=encoding or encoding_of(spark, path), mode="DROPMALFORMED")
 
 
 def quality(df: DataFrame) -> DataFrame:
@@ -27,20 +36,40 @@ def quality(df: DataFrame) -> DataFrame:
     return df.agg((sum((F.count(c) for c in df.columns), F.lit(0)) / F.nullif(F.count(F.lit(1)) * len(df.columns), F.lit(0))).alias("quality"), F.count(F.lit(1)).alias("rows"))
 
 
-def csv_tree(spark: SparkSession, root: str, country: str, name: str, sep: str = ",") -> DataFrame:
-    """All CSV files under a country's folder whose name fits the pattern, with their path."""
-    df = spark.read.option("recursiveFileLookup", True).csv(root, sep=sep, header=True).withColumn("path", F.col("_metadata.file_path"))
-    return df.where(F.lower("path").contains(f"/{country.lower()}/") & F.regexp_extract("path", r"([^/]+)$", 1).rlike(name))
+def plain_name(name: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(name)), r"[\s-]+", "_")
+
 
+def csv_tree(spark: SparkSession, root: str, country: str, name: str = r"(?i).*(summary|exposure|counts|adm1|national).*\.csv$") -> DataFrame:
+    """All CSV files whose name fits the pattern and of whose folders one bears the country's name (holds it, or lies in it), with their path. Each file is read with its own delimiter; columns that only some have are null in the others."""
+    norm = plain_name(F.lit(country))
+    lines = spark.read.option("recursiveFileLookup", True).text(root).select("value", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"))
+    inside = F.substring_index("path", root.rpartition("/")[2] + "/", -1)
+    folders = F.transform(F.slice(F.split(inside, "/"), 1, F.size(F.split(inside, "/")) - 1), lambda d: plain_name(F.regexp_replace(d, "^[A-Za-z_]+=", "")))
+    fits = F.exists(folders, lambda d: (d != "") & (d.contains(norm) | norm.contains(d))) & F.substring_index("path", "/", -1).rlike(name)
+    files = lines.where(fits).groupBy("path").agg(votes(F.col("value")).alias("sep"))
+    found = files.groupBy("sep").agg(F.array_sort(F.collect_list("path")).alias("paths")).orderBy("sep").collect()  # names of files, which Spark lists on the driver too
+    parts = [spark.read.csv(r["paths"], sep=r["sep"], header=True, mode="DROPMALFORMED").withColumn("path", F.col("_metadata.file_path")) for r in found]
+    if not parts:
+        return spark.createDataFrame([], "path string")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
 
-# Extension, kind, most bytes, leading bytes in hex.
-KINDS = [("pdf", "pdf", 50_000_000, "25504446"), ("docx", "word", 25_000_000, "504B0304"), ("xlsx", "excel", 25_000_000, "504B0304"), ("png", "image", 10_000_000, "89504E47"), ("jpg", "image", 10_000_000, "FFD8FF"), ("csv", "csv", 10_000_000, ""), ("msg", "email", 25_000_000, "D0CF11E0")]
+
+# Extensions, kind, most bytes, leading bytes in hex.
+KINDS = [
+    (["pdf"], "pdf", 50 * 1024 * 1024, "25504446"), (["msg"], "email", 25 * 1024 * 1024, "D0CF11E0"), (["eml"], "email", 25 * 1024 * 1024, ""), (["xlsx", "xlsm"], "excel", 10 * 1024 * 1024, "504B0304"), (["xls"], "excel", 10 * 1024 * 1024, "D0CF11E0"),
+    (["docx"], "word", 15 * 1024 * 1024, "504B0304"), (["doc"], "word", 15 * 1024 * 1024, "D0CF11E0"), (["pptx"], "powerpoint", 20 * 1024 * 1024, "504B0304"), (["ppt"], "powerpoint", 20 * 1024 * 1024, "D0CF11E0"), (["csv"], "csv", 5 * 1024 * 1024, ""),
+    (["png"], "image", 10 * 1024 * 1024, "89504E47"), (["jpg", "jpeg"], "image", 10 * 1024 * 1024, "FFD8FF"), (["tiff", "tif"], "image", 10 * 1024 * 1024, ""), (["bmp"], "image", 10 * 1024 * 1024, "424D"),
+]
 
 
 def scanned(files: DataFrame) -> DataFrame:
     """files: path, length, content (as the binaryFile source gives them). Kind, digest and errors of each file."""
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    one = lambda n: F.element_at(F.create_map(*(F.lit(x) for k in KINDS for x in (k[0], k[n]))), ext)
+    one = lambda n: F.element_at(F.create_map(*(F.lit(x) for k in KINDS for e in k[0] for x in (e, k[n]))), ext)
     head = F.hex(F.substring("content", 1, 8))
     errors = F.array_compact(F.array(F.when(one(1).isNull(), "type not allowed"), F.when(F.col("length") > one(2), "file too large"), F.when(F.col("length") == 0, "file is empty"), F.when(~head.startswith(F.coalesce(one(3), F.lit(""))), "content does not fit the extension"), F.when(F.hex(F.substring("content", 1, 2)) == "4D5A", "executable content")))
     return files.select("path", ext.alias("extension"), one(1).alias("kind"), "length", F.sha2("content", 256).alias("digest"), errors.alias("errors"))
@@ -51,6 +80,16 @@ def unseen(items: DataFrame, manifest: DataFrame, text: str = "text") -> DataFra
     return items.withColumn("digest", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(manifest.select("digest").distinct().hint("merge"), "digest", "left_anti")
 
 
+def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
+    """Each sheet as a table of its own below the path."""
+    for name, df in sheets.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_workbook(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+
+
 def application_export(apps: DataFrame, params: DataFrame, fin: DataFrame, losses: DataFrame) -> DataFrame:
     """One nested JSON document an application."""
     events = losses.groupBy("application_id").agg(F.array_sort(F.collect_list(F.struct(F.date_format("event_date", "yyyy-MM-dd").alias("date"), F.col("amount").cast("double").alias("amount"), "cause"))).alias("losses"))
@@ -58,10 +97,14 @@ def application_export(apps: DataFrame, params: DataFrame, fin: DataFrame, losse
     return both.select("application_id", F.to_json(F.struct("application_id", "status", F.struct("location", "industry_sector", "occupancy").alias("risk"), F.struct("credit_rating").alias("financial"), "losses")).alias("document"))
 
 
-def metric_export(points: DataFrame) -> DataFrame:
-    """Points grouped by metric and hour (a bounded list each), as JSON."""
-    by = points.groupBy("metric", F.date_trunc("hour", "created_at").alias("hour")).agg(F.array_sort(F.collect_list(F.struct("created_at", "value"))).alias("points"))
-    return by.select("metric", "hour", F.size("points").alias("n"), F.to_json(F.struct("metric", "points")).alias("document"))
+def metric_export(points: DataFrame, most: int = 10_000) -> DataFrame:
+    """Points grouped by metric and hour, as JSON; an hour of many points is dealt to parts of about `most` points."""
+    hour = F.date_trunc("hour", "created_at").alias("hour")
+    own = points.select("metric", hour, "created_at", "value")
+    parts = own.groupBy("metric", "hour").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
+    dealt = own.join(parts.hint("merge"), ["metric", "hour"]).withColumn("part", F.pmod(F.xxhash64("created_at", "value"), F.col("parts")).cast("int"))
+    by = dealt.groupBy("metric", "hour", "part").agg(F.array_sort(F.collect_list(F.struct("created_at", "value"))).alias("points"))
+    return by.select("metric", "hour", "part", F.size("points").alias("n"), F.to_json(F.struct("metric", "points")).alias("document"))
 
 
 def diagnostics(expected: DataFrame, found: DataFrame, schema: str) -> DataFrame:

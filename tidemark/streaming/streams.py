@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import new_path
 from tidemark.operators.mail import screened
 
 RETENTION = "24 hours"
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see; a local one only where no shared folder is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A driver table as a stream of files."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
@@ -30,12 +22,12 @@ def logs_of(events: DataFrame) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs the stream over all that is there and gives what it wrote; in complete mode the last state."""
+    """Runs the stream over all that is there and gives what it wrote; in complete mode the last state. A batch has a folder of its own by its number, so one that is run again replaces itself."""
     spark = stream.sparkSession
-    out = folder(spark, name)
-    write = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", folder(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    out = new_path(spark, name)
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={n}")
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", new_path(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
 def rollup(logs: DataFrame, width: str, slide: str | None = None) -> DataFrame:
@@ -47,18 +39,22 @@ def rollup(logs: DataFrame, width: str, slide: str | None = None) -> DataFrame:
 
 
 def intake(messages: DataFrame) -> DataFrame:
-    """Unread messages, each once, with where they go: processed or other."""
-    once = messages.dropDuplicates(["message_id", "turn"])
+    """Unread messages, each once, with where they go: processed or other. A stream remembers messages for the retention after they arrived, so its state stays bounded."""
+    key = ["message_id", "turn"]
+    if messages.isStreaming:
+        once = messages.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", RETENTION).dropDuplicatesWithinWatermark(key).drop("_arrived")
+    else:
+        once = messages.dropDuplicates(key)
     return screened(once).withColumn("route", F.when(F.col("accepted"), "processed").otherwise("other"))
 
 
 def start_intake(messages: DataFrame, done: str, other: str, checkpoint: str, every: str = "300 seconds"):
-    """The standing query: two sinks in one batch."""
+    """The standing query: two sinks in one batch, each in a folder of the batch's number, which a batch that is run again replaces."""
 
-    def route(batch: DataFrame, _: int) -> None:
+    def route(batch: DataFrame, n: int) -> None:
         held = batch.persist()
         for name, path in (("processed", done), ("other", other)):
-            held.where(F.col("route") == name).write.mode("append").parquet(path)
+            held.where(F.col("route") == name).write.mode("overwrite").parquet(f"{path}/batch={n}")
         held.unpersist()
 
     return intake(messages).writeStream.foreachBatch(route).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
