@@ -295,6 +295,87 @@ def test_chunks_of_equal_texts_are_equal(spark):
         assert sorted((r.doc_id, r.start, r.end) for r in found) == [(i, 0, 150) for i in (0, 2, 5)]
 
 
+def plain_features(text):
+    text = text or ""
+    w, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    n, chars = len(w), sum(map(len, w))
+    share = lambda a, b: a / b if b else 0.0
+    count = lambda letters: sum(c in letters for c in text)
+    return [
+        np.log1p(n), share(chars, n), share(count("#*$%&|<>"), chars), share(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), chars), share(len(lines) - len(set(lines)), len(lines)), share(n, len(lines)), share(len(set(w)), n), max(map(len, w), default=0),
+        share(count("0123456789"), chars), share(count(".,;:"), n), share(count("!?"), n), share(count("@/\\_=+{}[]()~^-"), chars),
+    ]
+
+
+def test_gam_scores_by_plain_lookup(spark):
+    r = random.Random(17)
+    rows = [(i, base_text(r.randint(1, 120), i) if i % 2 else " ".join(r.choice(["BUY!", "###", "now", "now\n", "é漢", "a@b", "12,5"]) for _ in range(r.randint(1, 80)))) for i in range(160)]
+    rows += [(500, None), (501, ""), (502, " \n \n"), (503, base_text(20_000, 3)), (504, rows[3][1]), (504, rows[3][1])]
+    table = spark.createDataFrame([(i, t, "x", 1.0, 2) for i, t in rows], "doc_id long, text string, score string, log_words double, n_words int")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows[:160]], "doc_id long, quality int")
+    model = gam.train(table, labels)
+    assert len(model.pairs) == gam.PAIRS
+    for x in gam.score(table, model).collect():
+        f = plain_features(x.text)
+        at = lambda edges, v: sum(e <= v for e in edges)
+        total = model.bias + sum(t[at(e, v)] for t, e, v in zip(model.tables, model.edges, f, strict=True)) + sum(t[at(model.pair_edges[a], f[a]), at(model.pair_edges[b], f[b])] for (a, b), t in model.pairs.items())
+        assert x.score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9) and x.n_words == 2
+
+
+def plain_languages(rows, model):
+    """rows: url, html. Language and confidence of each, by plain counting."""
+    many = range(len(model.languages))
+    soft = lambda e: np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+    facts, sums = [], {}
+    for url, html in rows:
+        text = html or ""
+        m = re.search(r"(?is)<article\b.*?</article\s*>", text)
+        said = re.search(r"""(?i)<html\b[^>]*?\slang\s*=\s*["']?([a-z]{2,3})""", text)
+        text = m.group(0) if m else text
+        for pattern in (r"(?is)<script\b.*?</script\s*>", r"(?s)<[^>]*>"):
+            text = re.sub(pattern, " ", text)
+        b = text.encode().lower()
+        e = np.zeros(len(many))
+        for i in range(len(b) - 2):
+            h = (b[i] * 0x9E3779B1 ^ b[i + 1] * 0x85EBCA77 ^ b[i + 2] * 0xC2B2AE3D) % 2**32
+            e = e + model.weights[h * 0x27D4EB2F % 2**32 >> 32 - language.SLOT_BITS]
+        e = e / (1 + max(0, len(b) - 2) / language.ENOUGH)
+        e = e - e.max()
+        m = re.match(r"(?s)^.*?://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
+        host = m.group(1).lower() if m else ""
+        said = (said.group(1).lower() if said.group(1).lower() in model.languages else "?") if said else None
+        facts.append((e, said, host))
+        for key in (("all",), ("said", said), ("host", host), ("domain", ".".join(host.split(".")[-2:])), ("suffix", host.split(".")[-1])):
+            sums[key] = sums.get(key, 0) + soft(e)
+    saids = [k for k in sums if k[0] == "said"]
+    smooth = lambda own, above: (own + language.SMOOTH * above) / (own.sum() + language.SMOOTH)
+    out = []
+    for e, said, host in facts:
+        trust = np.log((sums["said", said] + 0.5) / (sums["all",] + 0.5 * len(saids))) if said else 0
+        prior = (sums["all",] + 1) / (sums["all",].sum() + len(many))
+        prior = smooth(sums["domain", ".".join(host.split(".")[-2:])], smooth(sums["suffix", host.split(".")[-1]], prior))
+        p = soft(e + trust + np.log(smooth(np.maximum(sums["host", host] - soft(e), 0), prior)))
+        out.append((model.languages[int(p.argmax())], p.max()))
+    return out
+
+
+def test_language_by_plain_counting(spark):
+    words = {"en": "the of and to with from that is was", "de": "der die und das nicht mit ein ist von", "fr": "le la les et que une dans est pour"}
+    r = random.Random(14)
+    some = lambda lang, n: " ".join(r.choice(words[lang].split()) for _ in range(n))
+    model = language.train(spark.createDataFrame([(n, some(lang, 50), lang) for n, lang in enumerate(list(words) * 20)], "doc_id long, text string, lang string"))
+    rows = []
+    for n in range(80):
+        lang = r.choice(list(words))
+        said = r.choice([f" lang='{lang}'", " lang=en", "", " lang='xx'"])
+        rows.append((f"https://{r.choice(['a', 'b', lang])}.site{n % 3}.{r.choice(['com', lang])}/p{n}", f"<html{said}><script>var the</script><article><p>{some(lang, r.randint(0, 12))}</p></article></html>"))
+    rows += [(None, None), ("no host", ""), rows[0], rows[0], ("https://a.site0.com/long", f"<html><article>{some('fr', 3000)}</article></html>")]
+    table = spark.createDataFrame([(n, u, h, "c", 1.0, "p") for n, (u, h) in enumerate(rows)], "page_id long, url string, html string, lang string, confidence double, p string")
+    got = {x.page_id: x for x in language.identify(table, model).collect()}
+    for n, (lang, sure) in enumerate(plain_languages(rows, model)):
+        assert got[n].lang == lang and got[n].confidence == pytest.approx(sure, abs=1e-9) and got[n].p == "p"
+
+
 def brute_spans(rows, least):
     """Stretches of windows of that length that are met twice or more, by text."""
     at = {}
