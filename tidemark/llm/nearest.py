@@ -30,7 +30,7 @@ from tidemark.llm.common import save
 
 DIMS, CONFIDENCE, LEAF = 8, 0.9, 32
 #: Vectors that the upper tree is fitted on at most; vectors a cell should hold; vectors of a block; queries of a group.
-SAMPLE_ROWS, CELL_ROWS, BLOCK_ROWS, QUERY_ROWS = 20_000, 8192, 16_384, 4096
+SAMPLE_ROWS, CELL_ROWS, BLOCK_ROWS, QUERY_ROWS = 100_000, 8192, 16_384, 4096
 #: Leaves that a query takes at a time, and queries that go together.
 LEAVES, TOGETHER = 4, 128
 
@@ -198,8 +198,14 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
     rows = rows.where(F.size("x") == most["size"])
     projection = Projection(most["size"], most["longest"])
     ids = rows.select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS)
-    sample = rows.join(F.broadcast(ids), "vec_id").groupBy("vec_id").agg(F.min("x").alias("x")).toPandas().sort_values("vec_id")
-    points = np.unique(projection.base(np.vstack(sample["x"].to_numpy())), axis=0)
+
+    def projected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            if len(df):
+                yield pd.DataFrame({"point": list(projection.base(np.vstack(df["x"].to_numpy())))})
+
+    sample = rows.join(F.broadcast(ids), "vec_id").groupBy("vec_id").agg(F.min("x").alias("x"))
+    points = np.unique(np.vstack(sample.mapInPandas(projected, "point array<double>").toPandas()["point"].to_numpy()), axis=0)  # DIMS numbers a row
     depth = max(0, min(ceil(log2(max(1, most["n"] / CELL_ROWS))), int(log2(max(1, len(points) / 16)))))
     cells = Cells(points, depth)
 
