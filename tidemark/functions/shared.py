@@ -1,4 +1,4 @@
-"""The folder that all executors see."""
+"""The folder that all executors see, and tables dealt to all of them."""
 
 from __future__ import annotations
 
@@ -34,3 +34,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan in fewer parts than the cluster has cores (a small file, few row groups), dealt to all cores; larger tables stay as they are read. For rows that cost much more to compute than to send."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import sqltext as S
+from tidemark.functions.shared import spread
 from tidemark.operators import markets, similarity
 from tidemark.plans.oracle import STEPS, oracle
 from tidemark.plans.risk_queries import SQL4, R4
@@ -76,7 +77,7 @@ QUERIES = {
     "a12_seasonal": lambda t: markets.seasonal(t.slips),
     "w3_top_markets": lambda t: markets.distribution(classified(t)).orderBy(F.desc("n"), "market").limit(10),
     "f9_market_filter": lambda t: markets.long_markets(classified(t)).where("market_type = 'industry_group' AND market = 'manufacturing'").select("doc_id"),
-    "g1_near_texts": lambda t: similarity.near_texts(t.documents),
+    "g1_near_texts": lambda t: similarity.near_texts(spread(t.documents)),
     "g2_cosine": lambda t: similarity.block_pairs(vectors(t, 20), "block").select("v1", "v2", F.round("cosine", 5).alias("cosine")),
     "g2_near_pairs": lambda t: similarity.near_vectors(similarity.vector_classes(t.embeddings)[0], PAIRS, 0.9999).select(F.col("a").alias("v1"), F.col("b").alias("v2"), F.round("cosine", 5).alias("cosine")),
     "g3_greedy_clusters": lambda t: similarity.greedy_clusters(vectors(t, 5), "block", NEAR).select("vec_id", "cluster"),
