@@ -449,11 +449,29 @@ def test_nearest(spark):
         assert [f[0] for f in found] == list(range(1, 21)) and all(f[2] == pytest.approx(s[f[1]], abs=1e-12) for f in found)
         hit += len({f[1] for f in found} & set(best.tolist()))
     assert hit / (20 * len(by)) >= 0.9
-    same = table.union(spark.createDataFrame([rows[901]] * 40 + [rows[20]] * 3, table.schema))  # equal rows change nothing
-    assert sorted(nearest.nearest(same).collect()) == sorted(got)
     assert nearest.nearest(table.limit(0)).count() == 0 and nearest.nearest(table.where("vec_id in (0, 1, 2)")).count() == 2
 
 
+def test_nearest_repeated_ids(spark, monkeypatch):
+    """Each row is a candidate and asks, whatever ids and vectors repeat; all pairs are compared by a plain loop."""
+    monkeypatch.setattr(nearest, "REPEATS", 3)
+    r = np.random.default_rng(5)
+    rows = [(i % 41, v.tolist()) for i, v in enumerate(r.standard_normal((120, 8)))]  # ids with several vectors
+    rows += [rows[20]] * 25 + [rows[7]] * 30 + [(21, rows[20][1]), (0, rows[7][1])] + [(40, [-0.0, 1.0] + [0.0] * 6), (40, [0.0, 1.0] + [-0.0] * 6)]
+    x = np.array([v for _, v in rows])
+    want = []
+    for n, (i, _) in enumerate(rows):
+        if i % 20 == 0:
+            s = np.zeros(len(rows))
+            for d in range(8):
+                s += x[:, d] * x[n, d]
+            others = sorted((-s[m], rows[m][0]) for m in range(len(rows)) if m != n)[:20]
+            want += [(i, rank, j, -minus) for rank, (minus, j) in enumerate(others, 1)]
+    # so few rows make four leaves at most, which one step of the search takes together: it is exact
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)).collect()
+    assert sorted((g.query_id, g.rank, g.vec_id, round(g.score, 9)) for g in got) == sorted((*w[:3], round(w[3], 9)) for w in want)
+
+
 def test_language(spark, docs):
     words = {"en": "the of and to with from that is was", "de": "der die und das nicht mit ein ist von", "fr": "le la les et que une dans est pour"}
     r = random.Random(4)

@@ -10,10 +10,10 @@ found there then tells, by the same test, which other cells it must still see.
 
 Cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, be
 it as query or as candidate; copies of a vector are indexed once with their ids, so ties go to the smaller id and a
-vector that fills a third of the table costs no more than others; rows with a null id take no part; equal
-rows count once, and rows that repeat an id with another vector are candidates of their own; rows of equal ids are never
-each other's neighbours, and the least of their vectors asks; fewer candidates than k give fewer rows; an empty table
-gives an empty table; other columns are not kept.
+vector that fills a third of the table costs no more than others; rows with a null id take no part; rows that repeat an
+id, with another vector or with the same, are rows like others: each is a candidate of all the rest and each asks (equal
+rows are counted first, searched for once, and their answer is given as often as they stand there); fewer candidates
+than k give fewer rows; an empty table gives an empty table; other columns are not kept.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ DIMS, CONFIDENCE, LEAF = 8, 0.9, 32
 SAMPLE_ROWS, CELL_ROWS, BLOCK_ROWS, QUERY_ROWS = 100_000, 8192, 16_384, 4096
 #: Leaves that a query takes at a time, and queries that go together.
 LEAVES, TOGETHER = 4, 128
+#: Times that one step of an expansion repeats a row.
+REPEATS = 10_000
 
 
 def chi_square_cdf(x: np.ndarray) -> np.ndarray:
@@ -101,14 +103,12 @@ class Cells:
 class Tree:
     """A kd-tree over a block's projected distinct vectors: leaves with bounding boxes."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, projection: Projection, k: int):
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, copies: np.ndarray, projection: Projection, k: int):
         order = np.argsort(ids, kind="stable")
-        vectors, ids = np.ascontiguousarray(vectors[order]), ids[order]
+        vectors, ids, copies = np.ascontiguousarray(vectors[order]), ids[order], np.minimum(copies[order], k + 1)
         _, first, same = np.unique(vectors.view(np.dtype((np.void, vectors.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
         by = np.argsort(same, kind="stable")  # ids of each distinct vector, in order
-        ids, same = ids[by], same[by]
-        fresh = np.r_[True, (ids[1:] != ids[:-1]) | (same[1:] != same[:-1])]  # equal rows count once
-        ids, same = ids[fresh], same[fresh]
+        ids, same = np.repeat(ids[by], copies[by]), np.repeat(same[by], copies[by])
         begin = np.searchsorted(same, np.arange(len(first)))
         self.ids = [ids[a : min(b, a + k + 1)] for a, b in zip(begin, np.r_[begin[1:], len(ids)], strict=True)]
         self.x, self.projection, self.k = vectors[first], projection, k
@@ -165,7 +165,10 @@ class Tree:
             for k in range(len(x)):
                 ids, values = [], []
                 for row, s in zip(found[k][np.isfinite(scores[k])], scores[k][np.isfinite(scores[k])], strict=True):
-                    more = self.ids[row][self.ids[row] != own_ids[a + k]]
+                    more = self.ids[row]
+                    own = np.flatnonzero(more == own_ids[a + k])[:1]
+                    if len(own) and np.array_equal(self.x[row], x[k]):  # the row that asks
+                        more = np.delete(more, own)
                     ids.append(more)
                     values.append(np.full(len(more), s))
                 ids, values = np.concatenate(ids or [np.empty(0, np.int64)]), np.concatenate(values or [np.empty(0)])
@@ -178,7 +181,9 @@ class Tree:
         return scores[:, self.k]
 
 
-PAIRS = "query_id long, vec_id long, score double"
+PAIRS = "query_id long, twin long, copies long, vec_id long, score double"
+#: A query: its id, a digest that tells it from other vectors of that id, how many rows it stands for.
+QUERY = ["query_id", "twin", "copies"]
 
 
 def usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -187,6 +192,12 @@ def usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return df.select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).where(good)
 
 
+def repeated(df: DataFrame, copies: str) -> DataFrame:
+    """Each row as often as `copies` says, in two steps, so that no array holds more than REPEATS items (or their number)."""
+    steps = df.withColumn("_step", F.explode(F.expr(f"sequence(0, ({copies} - 1) div {REPEATS})")))
+    return steps.withColumn("_one", F.explode(F.expr(f"sequence(1, least({REPEATS}, {copies} - _step * {REPEATS}))"))).drop("_step", "_one")
+
+
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Queries are the rows whose id is divisible by `every`. The k nearest of each: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
@@ -215,40 +226,40 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
                 x = np.vstack(df["x"].to_numpy())
                 yield df.assign(cell=cells.of(projection.base(x)), home=cells.bounds(projection.query(x)).argmin(axis=1).astype(np.int32))
 
-    placed = save(rows.mapInPandas(place, "vec_id long, x array<double>, cell int, home int"), "nearest-placed")
+    counted = rows.groupBy("vec_id", "x").agg(F.count(F.lit(1)).alias("copies"))
+    placed = save(counted.mapInPandas(place, "vec_id long, x array<double>, copies long, cell int, home int"), "nearest-placed")
     many = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a cell
     blocks = F.create_map(*(F.lit(v) for c, n in sorted(many.items()) for v in (c, ceil(n / BLOCK_ROWS))))
-    base = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(blocks, F.col("cell"))).cast("int")).select("vec_id", "x", "cell", "block")
-    asking = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("x", "home")).alias("own"))
-    queries = asking.select(F.col("vec_id").alias("query_id"), F.col("own.x").alias("q"), F.col("own.home").alias("home"))
+    base = placed.withColumn("block", F.pmod(F.xxhash64("vec_id", "x"), F.element_at(blocks, F.col("cell"))).cast("int")).select("vec_id", "x", "copies", "cell", "block")
+    queries = placed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.xxhash64("x").alias("twin"), "copies", F.col("x").alias("q"), "home")
 
     def search(wanted: DataFrame) -> DataFrame:
-        """wanted: query_id, q, cell, kth. Neighbours found in the blocks of the cell."""
+        """wanted: QUERY, q, cell, kth. Neighbours found in the blocks of the cell."""
         groups = wanted.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a cell
         if not groups:
             return spark.createDataFrame([], PAIRS)
         parts = F.create_map(*(F.lit(v) for r in groups for v in (r["cell"], ceil(r["n"] / QUERY_ROWS))))
-        asked = wanted.withColumn("part", F.pmod(F.xxhash64("query_id"), F.element_at(parts, F.col("cell"))).cast("int"))
+        asked = wanted.withColumn("part", F.pmod(F.xxhash64("query_id", "twin"), F.element_at(parts, F.col("cell"))).cast("int"))
         asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("cell")) - 1)))
         held = base.withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(parts, F.col("cell")) - 1))).where("part is not null")
 
         def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
-                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-            tree = Tree(np.vstack(left["x"].to_numpy()), left["vec_id"].to_numpy(), projection, k)
-            own = right["query_id"].to_numpy()
-            found = list(tree.search(np.vstack(right["q"].to_numpy()), own, right["kth"].to_numpy()))
-            return pd.DataFrame({"query_id": np.repeat([own[n] for n, _, _ in found], [len(i) for _, i, _ in found]), "vec_id": np.concatenate([i for _, i, _ in found]), "score": np.concatenate([s for _, _, s in found])})
+                return pd.DataFrame({c: [] for c in (*QUERY, "vec_id", "score")})
+            tree = Tree(np.vstack(left["x"].to_numpy()), left["vec_id"].to_numpy(), left["copies"].to_numpy(), projection, k)
+            found = list(tree.search(np.vstack(right["q"].to_numpy()), right["query_id"].to_numpy(), right["kth"].to_numpy()))
+            asked = right[QUERY].iloc[np.repeat([n for n, _, _ in found], [len(i) for _, i, _ in found])]
+            return asked.assign(vec_id=np.concatenate([i for _, i, _ in found]), score=np.concatenate([s for _, _, s in found]))
 
         key = ["cell", "block", "part"]
         return held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(run, PAIRS)
 
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = lambda pairs: pairs.distinct().withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-    first = save(best(search(queries.select("query_id", "q", F.col("home").alias("cell"), F.lit(float("-inf")).alias("kth")))), "nearest-first")
-    known = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+    by = Window.partitionBy("query_id", "twin").orderBy(F.desc("score"), "vec_id")
+    best = lambda pairs: pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    first = save(best(search(queries.select(*QUERY, "q", F.col("home").alias("cell"), F.lit(float("-inf")).alias("kth")))), "nearest-first")
+    known = first.groupBy("query_id", "twin").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
     full = F.when(F.col("n") >= k, F.col("least")).otherwise(float("-inf"))
-    held = queries.join(known.hint("merge"), "query_id", "left").select("query_id", "q", "home", F.coalesce(full, F.lit(float("-inf"))).alias("kth"))
+    held = queries.join(known.hint("merge"), ["query_id", "twin"], "left").select(*QUERY, "q", "home", F.coalesce(full, F.lit(float("-inf"))).alias("kth"))
 
     def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -260,7 +271,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
                 needed[np.arange(len(df)), df["home"].to_numpy()] = False
                 needed[:, [c for c in range(len(cells.low)) if c not in many]] = False
                 row, cell = np.nonzero(needed)
-                yield pd.DataFrame({"query_id": df["query_id"].to_numpy()[row], "q": df["q"].to_numpy()[row], "cell": cell.astype(np.int32), "kth": kth[row]})
+                yield df[[*QUERY, "q"]].iloc[row].assign(cell=cell.astype(np.int32), kth=kth[row])
 
-    second = search(save(held.mapInPandas(others, "query_id long, q array<double>, cell int, kth double"), "nearest-wanted"))
-    return best(first.select("query_id", "vec_id", "score").unionByName(second)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    second = search(save(held.mapInPandas(others, "query_id long, twin long, copies long, q array<double>, cell int, kth double"), "nearest-wanted"))
+    both = best(first.drop("rank").unionByName(second))
+    return repeated(both, "copies").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
