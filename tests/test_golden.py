@@ -145,7 +145,7 @@ def test_files(spark, tmp_path):
     df = files.read_csv(spark, str(tmp_path / "kenya"))
     assert df.columns == ["REPL", "BUILD", "OCCUPANCY"]
     assert files.exposure_totals(df).first().asDict() == {"replacement_cost": 30, "buildings": 1, "area": 0}
-    assert files.csv_tree(spark, str(tmp_path), "Kenya", "exposure", ";").count() == 2
+    assert files.csv_tree(spark, str(tmp_path), "Kenya", r".*exposure.*\.csv$").count() == 2
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4")
     (tmp_path / "b.pdf").write_bytes(b"MZ")
     got = {x.path.rpartition("/")[2]: x for x in files.scanned(spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(str(tmp_path))).collect()}
@@ -183,7 +183,7 @@ def test_nine_date_forms(spark, given):
     assert [x.d for x in got] == [dt.datetime(2024, 2, 29), None]
 
 
-def test_files(spark, tmp_path):
+def test_encodings_delimiters_and_trees(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "latin.csv").write_bytes("id;name\n1;Peña\n2;Ünal\n".encode("latin-1"))
     (tmp_path / "a" / "utf.csv").write_bytes("id|name\n1|Peña\n".encode())
@@ -211,3 +211,15 @@ def test_near_vectors_are_all_found(spark):
     want = {(a, b) for a in own for b in own if a < b and y[a] @ y[b] >= 0.7}
     assert {(p.a, p.b) for p in similarity.near_vectors(classes, 0.7, 0.9999).collect()} == want and len(want) >= 35
     assert {m.vec_id: m.class_id for m in members.collect()}[201] == 7 and members.count() == 300
+
+
+def test_truncation_skips_what_does_not_fit(spark):
+    """Of 100 characters 30 stay from the head, 20 from the tail, and 50 of the best sections between them."""
+    head, tail = "h" * 30, "t" * 20
+    parts = ["plain " + "a" * 14, "key " + "b" * 36, "key " + "c" * 16, "key d", "e"]  # 20, 40, 20, 5 and 1 characters
+    text = head + "\n\n".join(parts) + tail
+    rows = [(1, text), (2, "short"), (3, None), (4, ""), (5, "x" * 100), (6, "y" * 101)]
+    got = {r.doc_id: r.truncated for r in extract.truncated(spark.createDataFrame(rows, "doc_id long, text string"), ["key"], 100).collect()}
+    assert got[1] == "\n\n".join([head, parts[1], parts[3], parts[4], tail])  # the third doesn't fit after the second, later ones do
+    assert got[2] == "short" and got[3] == got[4] == "" and got[5] == "x" * 100
+    assert got[6] == "y" * 30 + "\n\n" + "\n\n" + "y" * 20  # one section of 51 characters fits nowhere

@@ -94,6 +94,7 @@ def written_amounts(t):
 
 
 SECTION_WORDS = ["the", "and", "der", "une", "los"]
+BEST_WORDS = ["the", "der"]
 QUERIES = {
     "x1_basic_fields": lambda t: extract.basic_fields(t.slips).select("doc_id", "reference", "first_date", "location", "mails"),
     "x2_amounts": lambda t: extract.basic_fields(t.slips).select("doc_id", "amount_1", "amount_2", "amount_3", "currency"),
@@ -127,7 +128,7 @@ QUERIES = {
     "x31_plan_summary": lambda t: extract.plan_summary(planned_of(t), MESSAGE).select(MESSAGE, "documents", "slips", "seconds", "advice"),
     "x32_mail_extraction": lambda t: consolidate.first_values(extract.labelled_fields(planned_of(t)), MESSAGE, ["place"], ["insured", "cedant", "broker", "sum_insured", "premium"]),
     "x33_section_scores": lambda t: extract.section_scores(t.documents, SECTION_WORDS, separator="\n").select("doc_id", "place", "score"),
-    "x34_truncation": lambda t: extract.truncated(t.documents, ["the", "der"], 2000, separator="\n").select("doc_id", F.length("truncated").alias("n")),
+    "x34_truncation": lambda t: extract.truncated(t.documents, BEST_WORDS, 2000, separator="\n").select("doc_id", F.length("truncated").alias("n"), F.sha2("truncated", 256).alias("truncated_sha256")),
     "x35_migration": lambda t: extract.labelled_fields(t.slips).select("doc_id", F.coalesce("insured", "broker").alias("insured_name"), F.coalesce("sum_insured", "premium").alias("total_sums_insured")),
     "x36_linearised": lambda t: mail.linearised(t.supplier.select(F.col("s_nationkey").alias("doc_id"), F.col("s_suppkey").alias("row"), F.explode(F.array(F.struct(F.lit(0).alias("col"), F.col("s_name").alias("value")), F.struct(F.lit(1).alias("col"), F.col("s_suppkey").cast("string").alias("value")))).alias("x")).select("doc_id", "row", "x.col", "x.value")),
     "x37_entity_fields": lambda t: mail.entity_fields(t.slips.select("doc_id", F.array(F.struct(F.lit("ORG").alias("label"), F.regexp_extract("text", P["insured"], 1).alias("value"), F.lit(0.9).alias("score")), F.struct(F.lit("LOC").alias("label"), F.regexp_extract("text", P["location"], 1).alias("value"), (F.col("doc_id") % 10 / 10).alias("score")), F.struct(F.lit("MONEY").alias("label"), F.regexp_extract("text", P["premium"], 1).alias("value"), F.lit(0.8).alias("score"))).alias("entities"))),
@@ -197,6 +198,12 @@ ORACLE = {
     "x31_plan_summary": "SELECT application_id, documents, slips, seconds, CASE WHEN slips = 0 THEN 'No slip found: review by hand' WHEN slips > 1 THEN 'Several slips: process the first by plan' WHEN best < 0.5 THEN 'Slip of low quality: check the fields' ELSE 'Process as planned' END AS advice FROM (SELECT application_id, count(*) AS documents, count(*) FILTER (is_slip) AS slips, sum(" + S.lookup("fmt", extract.SECONDS, None) + ")::BIGINT AS seconds, max(quality) AS best FROM slip_plan GROUP BY 1)",
     "x32_mail_extraction": "SELECT application_id, " + ", ".join(f"arg_min({f}, place) FILTER ({f} IS NOT NULL) AS {f}" for f in ("insured", "cedant", "broker", "sum_insured", "premium")) + " FROM slip_plan JOIN slip_fields USING (doc_id) GROUP BY 1",
     "x33_section_scores": f"SELECT doc_id, place, round(least(0.6, len({S.hits('lower(section)', SECTION_WORDS)}) * 0.2) + CASE WHEN regexp_matches(section, '[0-9]') THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(section, $p${P['date']}$p$) THEN 0.2 ELSE 0 END, 4)::DOUBLE AS score FROM (SELECT doc_id, unnest(list_zip(parts, range(0, len(parts)))) AS z, z[1] AS section, z[2]::INT AS place FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))",
+    "x34_truncation": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        m AS (SELECT *, string_split(substr(t, 601, length(t) - 1000), chr(10)) AS middle FROM d WHERE length(t) > 2000),
+        s AS (SELECT *, list_sort(list_transform(range(0, len(middle)), lambda i: {{'score': -len({S.hits('lower(middle[i + 1])', BEST_WORDS)}), 'i': i, 's': middle[i + 1]}})) AS scored FROM m),
+        f AS (SELECT *, list_reduce(list_prepend({{'room': 1000, 'kept': list_filter([{{'i': 0::BIGINT, 's': ''}}], lambda x: false)}}, list_transform(scored, lambda x: {{'room': length(x.s)::INTEGER, 'kept': [{{'i': x.i, 's': x.s}}]}})), lambda a, x: CASE WHEN x.room <= a.room THEN {{'room': a.room - x.room, 'kept': list_concat(a.kept, x.kept)}} ELSE a END).kept AS kept FROM s),
+        u AS (SELECT doc_id, substr(t, 1, 600) || chr(10) || array_to_string(list_transform(list_sort(kept), lambda x: x.s), chr(10)) || chr(10) || substr(t, length(t) - 399, 400) AS v FROM f UNION ALL SELECT doc_id, t FROM d WHERE length(t) <= 2000)
+        SELECT doc_id, length(v)::INTEGER AS n, sha256(v) AS truncated_sha256 FROM u""",
     "x36_linearised": "SELECT doc_id, '[TABLE]' || chr(10) || string_agg(line, chr(10) ORDER BY s_suppkey) AS text FROM (SELECT s_nationkey AS doc_id, s_suppkey, s_name || ' | ' || s_suppkey AS line, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS place FROM supplier) WHERE place <= 100 GROUP BY 1",
     "x37_entity_fields": f"SELECT doc_id, named[1] AS insured, named[2] AS broker, named[3] AS location, nullif(premium, '') AS sum_insured, NULL::VARCHAR AS premium FROM (SELECT doc_id, regexp_extract(text, $p${P['premium']}$p$, 1) AS premium, list_filter([regexp_extract(text, $p${P['insured']}$p$, 1), CASE WHEN doc_id % 10 / 10 > 0.5 THEN regexp_extract(text, $p${P['location']}$p$, 1) END], lambda x: x <> '') AS named FROM slips)",
     "j16_attachment_refs": "SELECT doc_id, array_to_string(list_sort(list_filter([filename, 'survey_report.pdf'], lambda n: contains(lower(text), lower(n)))), '|') AS mentioned FROM slips",
