@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chunks, gam, language, mixing, nearest, neardup, rules, secrets, urls
+from tidemark.llm import bpe, centroids, chunks, gam, language, lexical, mixing, nearest, neardup, private, rules, secrets, urls
 from tidemark.llm.common import count_words, new_path, read, save
 
 VOCABULARY = "word_bpe_49k.json"
@@ -155,6 +155,58 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=20, every=20)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, means = centroids.cluster(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return centroids.with_inertia(found, means)
+
+
+def _op11_sql() -> str:
+    k, rounds = centroids.CLUSTERS, centroids.ROUNDS
+    out = f"""
+    WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: floor({centroids.SCALE} * e::DOUBLE)::BIGINT) AS x FROM embeddings
+               WHERE len(embedding) = {centroids.DIMS} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+    p AS MATERIALIZED (SELECT rid, unnest(range({centroids.DIMS})) AS i, unnest(x) AS x FROM v),
+    s AS (SELECT rid, row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), vec_id IS NULL, x) - 1 AS c FROM v),
+    c0 AS (SELECT c, i, x FROM s JOIN p USING (rid) WHERE c < {k})"""
+    for r in range(rounds + 1):
+        out += f""",
+    d{r} AS (SELECT rid, c, sum((p.x - m.x) * (p.x - m.x))::BIGINT AS d FROM p JOIN c{r} m USING (i) GROUP BY rid, c),
+    a{r} AS MATERIALIZED (SELECT rid, c, d FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY d, c) AS n FROM d{r}) WHERE n = 1)"""
+        if r < rounds:
+            out += f""",
+    m{r} AS (SELECT c, i, floor(sum(x) / count(*))::BIGINT AS x FROM a{r} JOIN p USING (rid) GROUP BY c, i),
+    c{r + 1} AS MATERIALIZED (SELECT c, i, coalesce(m.x, o.x) AS x FROM c{r} o LEFT JOIN m{r} m USING (c, i))"""
+    return out + f""",
+    h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY c)
+    SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256
+    FROM a{rounds} JOIN v USING (rid) JOIN h USING (c)"""
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read(spark, sf_dir, "benchmark").select("item_id", "text")
+    return lexical.ranked(read(spark, sf_dir, "documents").select("doc_id", "text"), items)
+
+
+OP12_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{lexical.TERM}') AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM t),
+d AS (SELECT rid, doc_id, 100 - 25 + ((25 * len(w) * n) // l)::BIGINT AS m FROM t, s WHERE len(w) > 0),
+f AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM t) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term), s),
+b AS (SELECT row_number() OVER () AS bid, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{lexical.TERM}') AS q FROM benchmark),
+q AS (SELECT bid, item_id, term, count(*) AS many FROM (SELECT bid, item_id, unnest(q) AS term FROM b) GROUP BY ALL),
+r AS (SELECT bid, item_id, rid, doc_id, sum(many * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN f USING (term) JOIN d USING (rid) GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY bid ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 20
+"""
+
+def op13_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = private.find(docs, private.train(docs)).drop("text")
+    base = F.filter("found", lambda x: x["base"])
+    count = lambda kind: F.size(F.filter("found", lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, private.KINDS), F.sha2(private.listed(base), 256).alias("base_sha256"), private.listed(F.col("found")).alias("spans"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
@@ -166,5 +218,8 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
     "op10_substrings": op10_substrings,
+    "op11_centroids": op11_centroids,
+    "op12_lexical": op12_lexical,
+    "op13_private": op13_private,
 }
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op4_secret_scans": _op4_sql(), "op5_mixing": OP5_SQL, "op9_minhash": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op4_secret_scans": _op4_sql(), "op5_mixing": OP5_SQL, "op9_minhash": OP9_SQL, "op11_centroids": _op11_sql(), "op12_lexical": OP12_SQL}
