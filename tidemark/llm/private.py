@@ -278,9 +278,11 @@ def invented(many: int = 40) -> list[tuple[str, list[Span]]]:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
-    """docs: text. Fitted on the documents of the least digests that hold a digit or an @."""
-    some = docs.select("text").where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS)).orderBy(F.xxhash64("text"), "text").limit(sample_docs)
-    texts = [r["text"] for r in some.collect()]  # bounded: SAMPLE_DOCS texts of SAMPLE_CHARS
+    """docs: text. Fitted on the documents of the least digests that hold a digit or an @; digests are read first, so tasks send no texts but those that are taken."""
+    some = docs.select("text").where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS)).withColumn("digest", F.xxhash64("text"))
+    least = [r["digest"] for r in some.select("digest").orderBy("digest").limit(sample_docs).collect()]
+    taken = some.where(F.col("digest") <= least[-1]).select("text").distinct().collect() if least else []  # bounded: SAMPLE_DOCS texts of SAMPLE_CHARS
+    texts = sorted(r["text"] for r in taken)
     more, spans = zip(*invented(), strict=True)
     return fit(graph([*texts, *more], [*map(base_spans, texts), *spans]))
 
