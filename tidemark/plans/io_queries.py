@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidemark.functions.shared import new_path
 from tidemark.operators import premium
 from tidemark.plans import premium_queries  # noqa: F401  its steps are used here
-from tidemark.plans.oracle import oracle
+from tidemark.plans.oracle import STEPS, oracle
 from tidemark.plans.risk_queries import R4
 from tidemark.sources import files
 from tidemark.sources.adapters import VIEWS
@@ -26,6 +27,61 @@ def _roll(df):
     return df.select("since", "until", "process_type", "n", F.round(F.col("mean") * F.col("n"), 2).alias("total"), *R4("most", "least"))
 
 
+#: Batches in which rows arrive; days of the month that belong to one.
+ARRIVALS, DAYS = 4, 8
+
+
+def by_day(at):
+    return F.least(F.floor((F.dayofmonth(at) - 1) / DAYS), F.lit(ARRIVALS - 1))
+
+
+def rolling_stats(t):
+    """Logs arrive in four batches in time order; windows whose end the watermark has passed."""
+    rows = streams.logs_of(t.events)
+    out, _ = streams.drained_in_batches(rows, by_day("created_at"), ARRIVALS, lambda s: streams.rolling_stats(s, "6 hours", "3 hours"), "rolling")
+    return _roll(out).join(out.select("since", "process_type", *R4("p50", "p95", "p99")), ["since", "process_type"])
+
+
+def late_rows(t):
+    """Every tenth event arrives a batch late, and every seventh of those that came in time arrives again; what closed windows count, and how many rows came later than the retention."""
+    rows = streams.logs_of(t.events)
+    late = F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
+    own = F.least(by_day("created_at") + late, F.lit(ARRIVALS - 1))
+    twice = rows.where("event_id % 7 = 0").unionByName(rows)
+    out, reports = streams.drained_in_batches(twice, own, ARRIVALS, lambda s: streams.late_counts(s, "12 hours"), "late")
+    return out.withColumn("dropped", F.lit(streams.dropped(reports)).cast("long"))
+
+
+def standing_intake(t, fail_at=None):
+    """Messages arrive in four batches at a standing intake, which starts again from its checkpoint for each. With fail_at: the first run of that batch ends after one of its two sinks is written, and is repeated."""
+    work = streams.Intake(t.spark, new_path(t.spark, "standing"))
+    left = [fail_at]
+
+    def each(batch, n):
+        if left and left[0] is not None and batch.limit(1).count() and n >= left[0]:
+            left.clear()
+            work.sink(batch, n, "processed")
+            raise RuntimeError("stopped between two sinks")
+        work.route(batch, n)
+
+    def run(stream):
+        query = work.start(stream, each, streams.NOW)
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            query = work.start(stream, each, streams.NOW)
+        return query
+
+    streams.fed(t.messages, F.col("message_id") % ARRIVALS, ARRIVALS, run, "standing-mail")
+    return work
+
+
+def routed_mail(t):
+    work, schema = standing_intake(t, fail_at=1), streams.intake(t.messages).schema
+    one = lambda name: work.messages(name, schema).select("message_id", "turn", F.lit(name).alias("sink"))
+    return one("processed").unionByName(one("other"))
+
+
 def parts(t):
     return t.part.select(F.col("p_retailprice").alias("TOTAL_REPL_COST"), F.col("p_size").alias("BUILDINGS"), F.col("p_size").cast("string").alias("TOTAL_AREA_SQM"), F.col("p_type").alias("OCCUPANCY"), F.col("p_brand").alias("TAXONOMY"))
 
@@ -76,11 +132,14 @@ def workbook(t):
 
 QUERIES = {
     "s6_mail_stream": lambda t: streams.drained(streams.intake(mails(t)), "intake").select("message_id", "turn", "route"),
-    "t1_mail_routes": lambda t: streams.drained(streams.intake(mails(t)), "routes").where("route = 'processed'").select("message_id", "turn"),
-    "t2_mail_counters": lambda t: streams.drained(streams.counters(streams.intake(mails(t))), "counters", "complete"),
-    "t3_rolling_stats": lambda t: _roll(streams.drained(streams.rollup(logs(t), "6 hours", "3 hours"), "rolling", "complete")),
-    "t4_hourly_rollup": lambda t: _roll(streams.drained(streams.rollup(logs(t), "1 hour"), "hourly", "complete")),
-    "t5_closed_windows": lambda t: _roll(streams.drained(streams.rollup(logs(t), "12 hours"), "closed")).join(t.events.agg((F.max(F.col("ts").cast("timestamp")) - F.expr("interval 48 hours")).alias("sure")), F.col("until") <= F.col("sure")).drop("sure"),
+    "t1_mail_routes": routed_mail,
+    "t2_mail_counters": lambda t: standing_intake(t, fail_at=2).counters(),
+    "t3_rolling_stats": rolling_stats,
+    "t4_hourly_rollup": lambda t: _roll(streams.drained(streams.rollup(logs(t), "1 hour"), "hourly")),
+    "t4_ten_minutes": lambda t: _roll(streams.drained(streams.rollup(logs(t), "10 minutes"), "ten-minutes")),
+    "t4_five_minutes": lambda t: _roll(streams.drained(streams.rollup(logs(t), "5 minutes"), "five-minutes")),
+    "t5_closed_windows": lambda t: _roll(streams.drained(streams.rollup(logs(t), "12 hours"), "closed")),
+    "t5_late_rows": late_rows,
     "j17_unseen": lambda t: files.unseen(t.documents, t.documents.where("doc_id % 2 = 0").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))).select("doc_id"),
     "s2_csv_read": csv_read,
     "s2_quality": lambda t: files.quality(t.analysis_rows).select(F.round("quality", 6).alias("quality"), "rows"),
@@ -95,8 +154,20 @@ QUERIES = {
     "s1_read": lambda t: t.orders.where("o_orderstatus = 'F' AND o_totalprice > 300000").select("o_orderkey", "o_totalprice"),
 }
 _accept = "(contains(sender, '@broker.') OR contains(sender, '@cedant.')) AND (regexp_matches(lower(subject), 'facultative.*reinsurance') OR regexp_matches(lower(subject), 'fac .*placement')) AND regexp_matches(lower(attachment), '(slip|survey).*[.](pdf|docx|xlsx)$')"
-_win = lambda h: f"SELECT time_bucket(INTERVAL '{h} hours', ts, TIMESTAMP '1970-01-01') AS since, time_bucket(INTERVAL '{h} hours', ts, TIMESTAMP '1970-01-01') + INTERVAL '{h} hours' AS until, event_type AS process_type, count(*) AS n, round(sum(value), 2) AS total, round(max(value), 4) AS most, round(min(value), 4) AS least FROM events GROUP BY ALL"
-_slide = "SELECT s AS since, s + INTERVAL '6 hours' AS until, event_type AS process_type, count(*) AS n, round(sum(value), 2) AS total, round(max(value), 4) AS most, round(min(value), 4) AS least FROM (SELECT *, unnest([b, b - INTERVAL '3 hours']) AS s FROM (SELECT *, time_bucket(INTERVAL '3 hours', ts, TIMESTAMP '1970-01-01') AS b FROM events)) GROUP BY ALL"
+#: What the watermark has passed at the end, and the statistics of a window, as SQL.
+_CLOSED = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL '24 hours' FROM events)"
+_STATS = "process_type, count(*) AS n, round(sum(value), 2) AS total, round(max(value), 4) AS most, round(min(value), 4) AS least"
+_win = lambda w: f"SELECT * FROM (SELECT time_bucket(INTERVAL '{w}', ts, TIMESTAMP '1970-01-01') AS since, time_bucket(INTERVAL '{w}', ts, TIMESTAMP '1970-01-01') + INTERVAL '{w}' AS until, event_type AS {_STATS} FROM events GROUP BY ALL) WHERE until <= {_CLOSED}"
+_percentiles = ", ".join(f"round(list_sort(list(value))[ceil({p / 100}::DOUBLE * count(*))::BIGINT], 4) AS p{p}" for p in (50, 95, 99))
+_slide = f"SELECT * FROM (SELECT s AS since, s + INTERVAL '6 hours' AS until, event_type AS {_STATS}, {_percentiles} FROM (SELECT *, unnest([b, b - INTERVAL '3 hours']) AS s FROM (SELECT *, time_bucket(INTERVAL '3 hours', ts, TIMESTAMP '1970-01-01') AS b FROM events)) GROUP BY ALL) WHERE until <= {_CLOSED}"
+_late = f"""
+    SELECT since, until, process_type, n, dropped FROM (
+      SELECT time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '1970-01-01') AS since, time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '1970-01-01') + INTERVAL '12 hours' AS until, event_type AS process_type, count(DISTINCT event_id) AS n
+      FROM arrivals WHERE ts > passed GROUP BY ALL), (SELECT count(*) AS dropped FROM arrivals WHERE ts <= passed)
+    WHERE until <= {_CLOSED}"""
+STEPS["arrivals"] = f"""
+    SELECT *, coalesce((SELECT date_trunc('millisecond', max(e.ts)) - INTERVAL '24 hours' FROM events e WHERE least((day(e.ts) - 1) // {DAYS}, {ARRIVALS - 1}) + (e.event_id % 10 = 0)::INT < batch), TIMESTAMP '1970-01-01') AS passed
+    FROM (SELECT *, least(least((day(ts) - 1) // {DAYS}, {ARRIVALS - 1}) + (event_id % 10 = 0)::INT, {ARRIVALS - 1}) AS batch FROM events, (VALUES (1), (7)) AS v(every) WHERE event_id % every = 0)"""
 _ext = "CASE doc_id % 9 " + " ".join(f"WHEN {n} THEN '{e}'" for n, (e, _) in enumerate(FILES)) + " END"
 _head = "CASE doc_id % 9 " + " ".join(f"WHEN {n} THEN unhex('{h}')" for n, (_, h) in enumerate(FILES)) + " END"
 _of = lambda n: "CASE extension " + " ".join(f"WHEN '{e}' THEN {k[n]!r}" for k in files.KINDS for e in k[0]) + " END"
@@ -111,11 +182,16 @@ ORACLE = {
     FROM (SELECT *, {_of(1)} AS kind, {_of(2)} AS most, {_of(3)} AS lead FROM (SELECT '/in/doc_' || doc_id || '.' || {_ext} AS path, {_ext} AS extension, {_head} || encode(coalesce(text, '')) AS content FROM documents))""",
     "s9_workbook": f"SELECT 'working' AS sheet, count(*) AS rows, {len(premium.REPORT_FIELDS) + 1} AS columns FROM analysis_rows UNION ALL SELECT 'validation', count(*), 5 FROM analysis_rows UNION ALL SELECT 'completeness', {len(premium.FIELDS)}, 4 UNION ALL SELECT 'confidence', {len(premium.FIELDS)}, 6 UNION ALL SELECT 'notes', sum(greatest(1, len(warnings)))::BIGINT, 3 FROM row_checked",
     "s6_mail_stream": f"SELECT message_id, turn, CASE WHEN {_accept} THEN 'processed' ELSE 'other' END AS route FROM messages",
-    "t1_mail_routes": f"SELECT message_id, turn FROM messages WHERE {_accept}",
-    "t2_mail_counters": f"SELECT CASE WHEN {_accept} THEN 'processed' ELSE 'other' END AS route, count(*) AS n FROM messages GROUP BY 1",
+    "t1_mail_routes": f"SELECT message_id, turn, CASE WHEN {_accept} THEN 'processed' ELSE 'other' END AS sink FROM messages",
+    "t2_mail_counters": f"""
+    SELECT poll, last_processed, last_ok, last_errors, (sum(last_processed) OVER (ORDER BY poll))::BIGINT AS total_processed, (sum(last_ok) OVER (ORDER BY poll))::BIGINT AS total_ok, (sum(last_errors) OVER (ORDER BY poll))::BIGINT AS total_errors
+    FROM (SELECT (message_id % {ARRIVALS} + 1)::INT AS poll, count(*) AS last_processed, count(*) FILTER (ok) AS last_ok, count(*) FILTER (NOT ok) AS last_errors FROM (SELECT *, {_accept} AS ok FROM messages) GROUP BY 1)""",
     "t3_rolling_stats": _slide,
-    "t4_hourly_rollup": _win(1),
-    "t5_closed_windows": f"SELECT * FROM ({_win(12)}) WHERE until <= (SELECT max(ts) - INTERVAL '48 hours' FROM events)",
+    "t4_hourly_rollup": _win("1 hour"),
+    "t4_ten_minutes": _win("10 minutes"),
+    "t4_five_minutes": _win("5 minutes"),
+    "t5_closed_windows": _win("12 hours"),
+    "t5_late_rows": _late,
     "j17_unseen": "SELECT doc_id FROM documents WHERE coalesce(text, '') NOT IN (SELECT coalesce(text, '') FROM documents WHERE doc_id % 2 = 0)",
     "s10_export": "SELECT application_id, location, n AS losses FROM applications LEFT JOIN risk_parameters USING (application_id) LEFT JOIN (SELECT application_id, count(*)::INT AS n FROM loss_events GROUP BY 1) USING (application_id)",
     "s11_metric_export": "SELECT process_type AS metric, date_trunc('hour', created_at)::TIMESTAMP AS hour, count(*) AS n FROM processing_logs GROUP BY 1, 2",
