@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,3 +64,35 @@ def listed(*pairs: tuple[Column, str | Column]) -> Column:
 def truthy(c: str) -> Column:
     """Null for zero, as a number that counts as missing when zero."""
     return F.nullif(F.col(c), F.lit(0))
+
+
+def class_words(text: Column, *tables: dict[str, list[str]]) -> Column:
+    """For each class of all tables (in order) how many words its keywords that the text contains have (array<int>); a keyword counts once, and in every class that lists it. One pass over the text for all keywords, whatever their number: an automaton that a worker builds once."""
+    classes = [ks for table in tables for ks in table.values()]
+    held: list = []
+
+    def automaton():
+        if not held:
+            import ahocorasick
+
+            out = ahocorasick.Automaton()
+            for keyword in dict.fromkeys(k for ks in classes for k in ks):
+                out.add_word(keyword, (keyword, len(keyword.split()), [n for n, ks in enumerate(classes) if keyword in ks]))
+            out.make_automaton()
+            held.append(out)
+        return held[0]
+
+    @F.pandas_udf("array<int>")
+    def counted(texts: pd.Series) -> pd.Series:
+        find, out = automaton().iter, []
+        for t in texts:
+            words, seen = [0] * len(classes), set()
+            for _, (keyword, n, of) in find(t or ""):
+                if keyword not in seen:
+                    seen.add(keyword)
+                    for c in of:
+                        words[c] += n
+            out.append(words)
+        return pd.Series(out)
+
+    return counted(text)

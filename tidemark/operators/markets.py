@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import has, hits, let, low
+from tidemark.functions.text import class_words, has, hits, low
 
 # Fixed values.
 GEOGRAPHY = {
@@ -39,12 +39,9 @@ FOLLOW_UP, BROKER, AMENDMENT = ["follow up", "update", "status", "response"], ["
 THRESHOLD_WORDS, MOST_WORDS = 3, 10
 
 
-def best_class(text: Column, table: dict[str, list[str]]) -> Column:
-    """The class of most words (of the keywords found, MOST_WORDS at most), the first of several; struct (words, order, name). Without a hit the first class with 0. The table is one constant, and the text is computed once."""
-    keyword = lambda k: F.struct(F.lit(k).alias("k"), F.lit(len(k.split())).alias("n"))
-    classes = F.array(*(F.struct(F.lit(-n).alias("order"), F.lit(name).alias("name"), F.array(*map(keyword, ks)).alias("ks")) for n, (name, ks) in enumerate(table.items())))
-    words = lambda t, c: F.least(F.aggregate(c["ks"], F.lit(0), lambda a, x: a + F.when(t.contains(x["k"]), x["n"]).otherwise(0)), F.lit(MOST_WORDS))
-    return let(text, lambda t: F.array_max(F.transform(classes, lambda c: F.struct(words(t, c).alias("words"), c["order"].alias("order"), c["name"].alias("name")))))
+def best_class(words: Column, table: dict[str, list[str]], begin: int) -> Column:
+    """The class of most words (of the keywords found, MOST_WORDS at most), the first of several; struct (words, order, name). Without a hit the first class with 0. words: of class_words, in which the table's classes begin at `begin`."""
+    return F.array_max(F.array(*(F.struct(F.least(F.get(words, F.lit(begin + n)), F.lit(MOST_WORDS)).alias("words"), F.lit(-n).alias("order"), F.lit(name).alias("name")) for n, name in enumerate(table))))
 
 
 def document_text(*columns: str) -> Column:
@@ -60,7 +57,9 @@ def classified(docs: DataFrame) -> DataFrame:
     """One pass over the texts: classes and words on three axes, grouped values (by threshold), overall score and indicators."""
     text, geo = F.col("_text"), F.concat_ws(" ", F.col("_text"), sender_domain("sender"))
     out = docs.withColumn("_text", document_text("filename", "subject", "text"))
-    out = out.withColumns({"g": best_class(geo, GEOGRAPHY), "i": best_class(text, INDUSTRY), "l": best_class(text, LINE)})
+    out = out.withColumns({"_geo": class_words(geo, GEOGRAPHY), "_words": class_words(text, INDUSTRY, LINE)})
+    words = F.col("_words")
+    out = out.withColumns({"g": best_class(F.col("_geo"), GEOGRAPHY, 0), "i": best_class(words, INDUSTRY, 0), "l": best_class(words, LINE, len(INDUSTRY))})
     grouped = lambda x, other: F.when(F.col(f"{x}.words") >= THRESHOLD_WORDS, F.col(f"{x}.name")).otherwise(other)
     overall = (F.col("g.words") + F.col("i.words") + F.col("l.words")) / 30.0
     return out.select(

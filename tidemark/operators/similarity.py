@@ -82,41 +82,45 @@ def block_pairs(vectors: DataFrame, block: str) -> DataFrame:
 
 
 def vector_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Equal vectors are one class: (class_id, embedding) and (vec_id, class_id). Vectors that are null, zero, or hold nulls or what is no number are in none."""
+    """Equal vectors are one class: (class_id, embedding) and (vec_id, class_id). Vectors that are null, zero, or hold nulls or what is no finite number are in none."""
     x = F.transform("embedding", lambda v: v.cast("double"))
-    good = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)) & F.exists("x", lambda v: v != 0)
+    good = F.forall("x", lambda v: v.isNotNull() & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
     rows = saved(vectors.select("vec_id", x.alias("x")).where(F.col("x").isNotNull() & good).withColumn("digest", F.sha2(F.array_join("x", ","), 256)), "vector-rows")
     classes = saved(rows.groupBy("digest").agg(F.min("vec_id").alias("class_id"), F.first("x").alias("embedding")), "vector-classes")
     return classes.select("class_id", "embedding"), rows.join(classes.select("digest", "class_id").hint("merge"), "digest").select("vec_id", "class_id")
 
 
 def near_vectors(classes: DataFrame, least: float = 0.7, recall: float = 0.999) -> DataFrame:
-    """classes: class_id, embedding. All pairs (a, b, cosine) of that cosine at least, over the whole table.
+    """classes: class_id, embedding. All pairs (a, b, cosine) of that cosine at least, over the whole table; vectors of different lengths are no pairs, and lengths are searched side by side.
 
-    Buckets by the sides of random planes: as many planes a band as keep BUCKET vectors in a bucket, and as many bands
-    as leave a pair at the threshold together in one of them with that probability. Pairs are confirmed by their cosine.
+    Buckets by the sides of random planes: as many planes a band as keep BUCKET vectors of the commonest length in a
+    bucket, and as many bands as leave a pair at the threshold together in one of them with that probability. A band's
+    planes are drawn anew from its number where they are needed, so no worker holds those of all. Pairs are confirmed by
+    their cosine. (Cells of pivots, which would miss no pair, don't prune here: at these thresholds the triangle
+    inequality lets a vector of 64 numbers out of hardly any cell.)
     """
-    n, size = classes.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    if not n:
+    most = classes.groupBy(F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if not most:
         return classes.sparkSession.createDataFrame([], "a long, b long, cosine double")
-    bits = max(4, ceil(log2(max(2, n / BUCKET))))
+    bits = max(4, ceil(log2(max(2, most / BUCKET))))
     together = (1 - acos(least) / pi) ** bits
     bands = ceil(log(1 - recall) / log(1 - together))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes, powers = np.random.default_rng(20240605).standard_normal((size, bands * bits)), 1 << np.arange(bits)
+        powers = 1 << np.arange(bits)
         for df in batches:
-            if len(df):
-                x = np.vstack(df["embedding"].to_numpy())
-                keys = ((x @ planes > 0).reshape(len(df), bands, bits) @ powers) * bands + np.arange(bands)
-                yield pd.DataFrame({"class_id": df["class_id"], "keys": list(keys.astype(np.int64))})
-
-    same = classes.where(F.size("embedding") == size)
-    keyed = saved(same.mapInPandas(run, "class_id long, keys array<long>"), "vector-keys").select("class_id", F.explode("keys").alias("key"))
-    pairs = keyed.withColumnRenamed("class_id", "a").join(keyed.withColumnRenamed("class_id", "b").hint("merge"), "key").where("a < b").select("a", "b").distinct()
-    side = lambda c: same.select(F.col("class_id").alias(c), F.col("embedding").alias(f"x{c}"))
+            for size, own in df.groupby(df["embedding"].map(len)):
+                x, keys = np.vstack(own["embedding"].to_numpy()), np.empty((len(own), bands), dtype=np.int64)
+                for band in range(bands):
+                    planes = np.random.default_rng((20240605, size, band)).standard_normal((size, bits))
+                    keys[:, band] = ((x @ planes > 0) @ powers) * bands + band
+                yield pd.DataFrame({"class_id": own["class_id"], "size": np.int32(size), "keys": list(keys)})
+
+    keyed = saved(classes.mapInPandas(run, "class_id long, size int, keys array<long>"), "vector-keys").select("class_id", "size", F.explode("keys").alias("key"))
+    pairs = keyed.withColumnRenamed("class_id", "a").join(keyed.withColumnRenamed("class_id", "b").hint("merge"), ["size", "key"]).where("a < b").select("a", "b").distinct()
+    side = lambda c: classes.select(F.col("class_id").alias(c), F.col("embedding").alias(f"x{c}"))
     both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", cosine(F.col("xa"), F.col("xb")).alias("cosine"))
-    return both.where(F.col("cosine") >= least)
+    return both.where((F.col("cosine") >= least) & ~F.isnan("cosine"))
 
 
 def greedy_clusters(vectors: DataFrame, block: str, threshold: float = 0.7) -> DataFrame:
