@@ -1,12 +1,13 @@
 """Values worked out by hand from the formulas."""
 
 import datetime as dt
+import hashlib
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import consolidate, decision, extract, limits, loss, markets, premium, risk, similarity
+from tidemark.operators import consolidate, decision, extract, limits, loss, markets, metrics, premium, risk, similarity
 from tidemark.sources import files
 
 
@@ -223,3 +224,42 @@ def test_truncation_skips_what_does_not_fit(spark):
     assert got[1] == "\n\n".join([head, parts[1], parts[3], parts[4], tail])  # the third doesn't fit after the second, later ones do
     assert got[2] == "short" and got[3] == got[4] == "" and got[5] == "x" * 100
     assert got[6] == "y" * 30 + "\n\n" + "\n\n" + "y" * 20  # one section of 51 characters fits nowhere
+
+
+def test_corpus_lists_but_does_not_read_long_files(spark, tmp_path):
+    kinds = [(["pdf"], "pdf", 20, "25504446"), (["csv"], "csv", 40, "")]
+    files_ = {"a.pdf": b"%PDF-1", "b.pdf": b"%PDF-" + b"x" * 30, "c.csv": b"x" * 41, "e.csv": b"1;<ScRiPt src", "f.csv": b"\xff\x00 VBSCRIPT:go", "g.exe": b"MZ..", "h.pdf": b"no pdf", "in/i.csv": b"Data:Text/HTML,"}
+    for name, content in files_.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    got = {r.path.rpartition("/")[2]: (r.length, r.digest, r.errors) for r in files.corpus(spark, str(tmp_path), kinds=kinds, security_bytes=40).collect()}
+    assert {k: v[2] for k, v in got.items()} == {
+        "a.pdf": [], "b.pdf": ["file too large"], "c.csv": ["file too large", "beyond the security limit"], "e.csv": ["suspicious pattern <script"], "f.csv": ["suspicious pattern vbscript:"],
+        "g.exe": ["type not allowed", "executable content"], "h.pdf": ["content does not fit the extension"], "i.csv": ["suspicious pattern data:text/html"],
+    }
+    assert got["c.csv"][:2] == (41, None) and got["a.pdf"][1] == hashlib.sha256(b"%PDF-1").hexdigest()
+    plan = files.corpus(spark, str(tmp_path), kinds=kinds)._jdf.queryExecution().toString()
+    assert "LessThanOrEqual(length,40)" in plan  # the source drops long files before it opens them
+
+
+def test_near_vectors_of_several_lengths(spark):
+    rows = [(n, [1.0, 0.1 * n, 0.0]) for n in range(8)] + [(20, [1.0, 0.0, 0.0, 0.0]), (21, [1.0, 0.1, 0.0, 0.0]), (30, [float("inf"), 1.0, 1.0]), (31, [1e308, 1e308, 1.0]), (32, [None, 1.0, 1.0]), (33, [])]
+    classes, _ = similarity.vector_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(p.a, p.b) for p in similarity.near_vectors(classes, 0.9, 0.9999).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    plain = dict(rows[:10])
+    assert got == {(a, b) for a in plain for b in plain if a < b and len(plain[a]) == len(plain[b]) and cos(plain[a], plain[b]) >= 0.9} and (20, 21) in got
+
+
+def test_percentiles_of_many_points(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    values = {"a": r.standard_normal(30_000), "b": np.r_[np.full(20_000, 7.0), r.random(9000) * 1e9, [-1e300, 1e300]], "c": r.integers(0, 3, 25_000).astype(float), "d": np.array([4.0]), "e": r.random(10_001)}
+    rows = [(k, float(v)) for k, x in values.items() for v in x] + [("f", None), (None, 2.0), (None, 4.0)]
+    got = {x.metric: x for x in metrics.metric_stats(spark.createDataFrame(rows, "metric string, value double"), "metric").collect()}
+    for k, x in values.items():
+        assert (got[k].n, got[k].least, got[k].most) == (len(x), x.min(), x.max())
+        assert np.allclose([got[k].p50, got[k].p95, got[k].p99], np.percentile(x, [50, 95, 99]), rtol=1e-12)
+    assert (got["f"].n, got["f"].p50) == (0, 0.0) and (got[None].n, got[None].p50) == (2, 3.0) and len(got) == 7
+    assert metrics.metric_stats(spark.createDataFrame(rows, "metric string, value double")).first().n == len(rows) - 1

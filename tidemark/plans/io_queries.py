@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
@@ -103,15 +105,42 @@ def csv_tree(t):
 
 
 #: Extensions and first bytes (in hex) of the files that documents are taken for.
-FILES = [("pdf", "25504446"), ("docx", "504B0304"), ("png", "89504E47"), ("jpeg", ""), ("csv", ""), ("exe", "4D5A"), ("msg", "D0CF11E0"), ("bmp", "424D"), ("eml", "")]
+FILES = [("pdf", "25504446"), ("docx", "504B0304"), ("png", "89504E47"), ("jpeg", ""), ("csv", "3C5363726970743E"), ("exe", "4D5A"), ("msg", "D0CF11E0"), ("bmp", "424D"), ("eml", "746F204A6176615363726970743A")]
 
 
-def binary_files(t):
+def binary_files(documents):
     turn = F.pmod("doc_id", F.lit(len(FILES)))
     name = F.coalesce(*(F.when(turn == n, F.lit(ext)) for n, (ext, _) in enumerate(FILES)))
     head = F.coalesce(*(F.when(turn == n, F.unhex(F.lit(code))) for n, (_, code) in enumerate(FILES)))
     content = F.concat(head, F.encode(F.coalesce("text", F.lit("")), "utf-8"))
-    return t.documents.select(F.concat(F.lit("/in/doc_"), F.col("doc_id").cast("string"), F.lit("."), name).alias("path"), F.length(content).cast("long").alias("length"), content.alias("content"))
+    return documents.select("doc_id", "source", F.concat(F.lit("/in/doc_"), F.col("doc_id").cast("string"), F.lit("."), name).alias("path"), F.length(content).cast("long").alias("length"), content.alias("content"))
+
+
+def binary_corpus(t):
+    """Documents written to a file for each source and type (a line each, in order), and read as bytes; the folder bears the file's name."""
+    root = new_path(t.spark, "corpus")
+    rows = binary_files(t.documents).select(F.concat_ws("_", F.coalesce("source", F.lit("")), F.regexp_extract("path", "doc_(.*)", 1)).alias("name"), "doc_id", F.col("content").cast("string").alias("value"))
+    dealt = rows.withColumn("name", F.regexp_replace("name", "[0-9]+[.]", ".")).repartition("name").sortWithinPartitions("name", "doc_id")
+    dealt.drop("doc_id").write.partitionBy("name").text(root)
+    found = files.corpus(t.spark, root, lambda path: F.regexp_extract(path, "name=([^/]+)", 1))
+    return found.select("path", "extension", "kind", "length", "digest", F.array_join("errors", "|").alias("errors"))
+
+
+def three_runs(t):
+    """Documents arrive in three parts; each run is given all that has arrived and processes what is new. The second one is first aborted before its digests are written."""
+    manifest, out = files.Manifest(t.spark, new_path(t.spark, "manifest")), new_path(t.spark, "manifest-out")
+    arrived = t.documents.select("doc_id", "text", (F.col("doc_id") % 3).alias("part"))
+
+    def abort(fresh):
+        fresh.select("doc_id").write.mode("overwrite").parquet(f"{out}/run=1")
+        raise RuntimeError("aborted")
+
+    for n in range(3):
+        if n == 1:
+            with contextlib.suppress(RuntimeError):
+                manifest.process(arrived.where(F.col("part") <= n), abort, out)
+        manifest.process(arrived.where(F.col("part") <= n), lambda fresh: fresh.select("doc_id"), out)
+    return t.spark.read.schema("doc_id long, run int").parquet(out)
 
 
 def workbook(t):
@@ -144,7 +173,9 @@ QUERIES = {
     "s2_csv_read": csv_read,
     "s2_quality": lambda t: files.quality(t.analysis_rows).select(F.round("quality", 6).alias("quality"), "rows"),
     "s3_csv_tree": csv_tree,
-    "s5_binary_scan": lambda t: files.scanned(binary_files(t)).select("path", "extension", "kind", "length", "digest", F.array_join("errors", "|").alias("errors")),
+    "j17_three_runs": three_runs,
+    "s5_binary_corpus": binary_corpus,
+    "s5_binary_scan": lambda t: files.scanned(binary_files(t.documents)).select("path", "extension", "kind", "length", "digest", F.array_join("errors", "|").alias("errors")),
     "s9_workbook": workbook,
     "s10_export": lambda t: files.application_export(t.applications, t.risk_parameters, t.financial_data, t.loss_events).select("application_id", F.get_json_object("document", "$.risk.location").alias("location"), F.json_array_length(F.get_json_object("document", "$.losses")).alias("losses")),
     "s11_metric_export": lambda t: files.metric_export(t.processing_logs.select(F.col("process_type").alias("metric"), F.col("processing_time").cast("double").alias("value"), "created_at")).groupBy("metric", "hour").agg(F.sum("n").alias("n")),
@@ -170,16 +201,22 @@ STEPS["arrivals"] = f"""
     FROM (SELECT *, least(least((day(ts) - 1) // {DAYS}, {ARRIVALS - 1}) + (event_id % 10 = 0)::INT, {ARRIVALS - 1}) AS batch FROM events, (VALUES (1), (7)) AS v(every) WHERE event_id % every = 0)"""
 _ext = "CASE doc_id % 9 " + " ".join(f"WHEN {n} THEN '{e}'" for n, (e, _) in enumerate(FILES)) + " END"
 _head = "CASE doc_id % 9 " + " ".join(f"WHEN {n} THEN unhex('{h}')" for n, (_, h) in enumerate(FILES)) + " END"
+_plain = "CASE doc_id % 9 " + " ".join(f"WHEN {n} THEN '{bytes.fromhex(h).decode() if h[:1] in '37' else ''}'" for n, (_, h) in enumerate(FILES)) + " ELSE '' END"
 _of = lambda n: "CASE extension " + " ".join(f"WHEN '{e}' THEN {k[n]!r}" for k in files.KINDS for e in k[0]) + " END"
+_pattern = "coalesce(" + ", ".join(f"CASE WHEN contains(upper(hex(content)), '{p.encode().hex().upper()}') OR contains(lowered, '{p}') THEN 'suspicious pattern {p}' END" for p in files.SUSPICIOUS) + ")"
+_scanned = lambda rows: f"""
+    SELECT path, extension, kind, octet_length(content)::BIGINT AS length, sha256(content) AS digest, array_to_string(list_filter([CASE WHEN kind IS NULL THEN 'type not allowed' END, CASE WHEN octet_length(content) > most THEN 'file too large' END, CASE WHEN octet_length(content) = 0 THEN 'file is empty' END,
+        CASE WHEN NOT starts_with(hex(content), coalesce(lead, '')) THEN 'content does not fit the extension' END, CASE WHEN starts_with(hex(content), '4D5A') THEN 'executable content' END, {_pattern}], lambda x: x IS NOT NULL), '|') AS errors
+    FROM (SELECT *, {_of(1)} AS kind, {_of(2)} AS most, {_of(3)} AS lead FROM ({rows}))"""
+STEPS["file_rows"] = f"SELECT doc_id, source, {_ext} AS extension, {_head} || encode(coalesce(text, '')) AS content, lower({_plain} || coalesce(text, '')) AS lowered FROM documents"
 _missing = " + ".join(f"count({c})" for c in ("row_id", *premium.FIELDS, "confidence_score", "source_document"))
 ORACLE = {
     "s2_csv_read": "SELECT c_custkey::BIGINT AS c_custkey, 'Señor ' || c_name AS name, c_acctbal::DOUBLE AS c_acctbal FROM customer",
     "s2_quality": f"SELECT round(({_missing}) / (count(*) * {len(premium.FIELDS) + 3})::DOUBLE, 6) AS quality, count(*) AS rows FROM analysis_rows",
     "s3_csv_tree": "SELECT s_suppkey::BIGINT AS s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(lower(n_name), 'nation_1')",
-    "s5_binary_scan": f"""
-    SELECT path, extension, kind, octet_length(content)::BIGINT AS length, sha256(content) AS digest, array_to_string(list_filter([CASE WHEN kind IS NULL THEN 'type not allowed' END, CASE WHEN octet_length(content) > most THEN 'file too large' END, CASE WHEN octet_length(content) = 0 THEN 'file is empty' END,
-        CASE WHEN NOT starts_with(hex(content), coalesce(lead, '')) THEN 'content does not fit the extension' END, CASE WHEN starts_with(hex(content), '4D5A') THEN 'executable content' END], lambda x: x IS NOT NULL), '|') AS errors
-    FROM (SELECT *, {_of(1)} AS kind, {_of(2)} AS most, {_of(3)} AS lead FROM (SELECT '/in/doc_' || doc_id || '.' || {_ext} AS path, {_ext} AS extension, {_head} || encode(coalesce(text, '')) AS content FROM documents))""",
+    "s5_binary_scan": _scanned("SELECT '/in/doc_' || doc_id || '.' || extension AS path, extension, content, lowered FROM file_rows"),
+    "s5_binary_corpus": _scanned("SELECT source || '_.' || extension AS path, extension, unhex(string_agg(hex(content) || '0A', '' ORDER BY doc_id)) AS content, string_agg(lowered, '' ORDER BY doc_id) AS lowered FROM file_rows GROUP BY source, extension"),
+    "j17_three_runs": "SELECT doc_id, run FROM (SELECT doc_id, (doc_id % 3)::INT AS run, min(doc_id % 3) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents) WHERE run = first",
     "s9_workbook": f"SELECT 'working' AS sheet, count(*) AS rows, {len(premium.REPORT_FIELDS) + 1} AS columns FROM analysis_rows UNION ALL SELECT 'validation', count(*), 5 FROM analysis_rows UNION ALL SELECT 'completeness', {len(premium.FIELDS)}, 4 UNION ALL SELECT 'confidence', {len(premium.FIELDS)}, 6 UNION ALL SELECT 'notes', sum(greatest(1, len(warnings)))::BIGINT, 3 FROM row_checked",
     "s6_mail_stream": f"SELECT message_id, turn, CASE WHEN {_accept} THEN 'processed' ELSE 'other' END AS route FROM messages",
     "t1_mail_routes": f"SELECT message_id, turn, CASE WHEN {_accept} THEN 'processed' ELSE 'other' END AS sink FROM messages",

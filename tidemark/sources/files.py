@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import saved
+
 DELIMITERS = [",", ";", "\t", "|"]
 
 
@@ -66,20 +69,70 @@ KINDS = [
 ]
 
 
-def scanned(files: DataFrame) -> DataFrame:
-    """files: path, length, content (as the binaryFile source gives them). Kind, digest and errors of each file."""
+SUSPICIOUS = ["<script", "javascript:", "vbscript:", "data:text/html"]
+#: No file of more bytes is safe, whatever its kind.
+SECURITY_BYTES = 500 * 1024 * 1024
+
+
+def scanned(files: DataFrame, kinds: list = KINDS, security_bytes: int = SECURITY_BYTES) -> DataFrame:
+    """files: path, length, content (as the binaryFile source gives them; null: not read). Kind, digest and errors of each file."""
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    one = lambda n: F.element_at(F.create_map(*(F.lit(x) for k in KINDS for e in k[0] for x in (e, k[n]))), ext)
-    head = F.hex(F.substring("content", 1, 8))
-    errors = F.array_compact(F.array(F.when(one(1).isNull(), "type not allowed"), F.when(F.col("length") > one(2), "file too large"), F.when(F.col("length") == 0, "file is empty"), F.when(~head.startswith(F.coalesce(one(3), F.lit(""))), "content does not fit the extension"), F.when(F.hex(F.substring("content", 1, 2)) == "4D5A", "executable content")))
+    one = lambda n: F.element_at(F.create_map(*(F.lit(x) for k in kinds for e in k[0] for x in (e, k[n]))), ext)
+    head, text = F.hex(F.substring("content", 1, 8)), F.lower(F.decode("content", "ISO-8859-1"))
+    pattern = F.coalesce(*(F.when(text.contains(p), F.lit(f"suspicious pattern {p}")) for p in SUSPICIOUS))
+    errors = F.array_compact(
+        F.array(
+            F.when(one(1).isNull(), "type not allowed"), F.when(F.col("length") > one(2), "file too large"), F.when(F.col("length") == 0, "file is empty"), F.when(~head.startswith(F.coalesce(one(3), F.lit(""))), "content does not fit the extension"),
+            F.when(F.hex(F.substring("content", 1, 2)) == "4D5A", "executable content"), pattern, F.when(F.col("length") > security_bytes, "beyond the security limit"),
+        )
+    )
     return files.select("path", ext.alias("extension"), one(1).alias("kind"), "length", F.sha2("content", 256).alias("digest"), errors.alias("errors"))
 
 
+def corpus(spark: SparkSession, root: str, name: Callable[[Column], Column] | None = None, kinds: list = KINDS, security_bytes: int = SECURITY_BYTES) -> DataFrame:
+    """All files below a folder as scanned; name(path) tells a file's name, if its path doesn't. Files longer than any kind may be are listed, but not read: the source drops them by their length before it opens them, and they have no digest. Files without bytes are not there: Spark's file sources leave them out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    named = files.withColumn("path", name(F.col("path"))) if name else files
+    most = max(k[2] for k in kinds)
+    read = named.where(F.col("length") <= most).select("path", "length", "content")
+    listed = named.where(F.col("length") > most).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return scanned(read, kinds, security_bytes).unionByName(scanned(listed, kinds, security_bytes))
+
+
 def unseen(items: DataFrame, manifest: DataFrame, text: str = "text") -> DataFrame:
     """Items whose content is not in the manifest (digest) yet."""
     return items.withColumn("digest", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(manifest.select("digest").distinct().hint("merge"), "digest", "left_anti")
 
 
+class Manifest:
+    """Digests of contents that were processed, over any number of runs. A run counts once its digests are written whole, which comes last; what an aborted run left is replaced by the next one."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def runs(self) -> int:
+        """Runs that were completed."""
+        jvm = self.spark._jvm
+        done = lambda n: jvm.org.apache.hadoop.fs.Path(f"{self.folder}/run={n}/_SUCCESS")
+        fs = done(0).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        n = 0
+        while fs.exists(done(n)):
+            n += 1
+        return n
+
+    def digests(self) -> DataFrame:
+        done = [f"{self.folder}/run={n}" for n in range(self.runs())]
+        return self.spark.read.schema("digest string").parquet(*done) if done else self.spark.createDataFrame([], "digest string")
+
+    def process(self, items: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, text: str = "text") -> int:
+        """Writes work(the items whose content is new) below out, and then their digests; the number of this run. Items of equal new content are all new."""
+        n = self.runs()
+        fresh = saved(unseen(items, self.digests(), text), "manifest-fresh")
+        work(fresh).write.mode("overwrite").parquet(f"{out}/run={n}")
+        fresh.select("digest").distinct().write.mode("overwrite").parquet(f"{self.folder}/run={n}")
+        return n
+
+
 def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
     """Each sheet as a table of its own below the path."""
     for name, df in sheets.items():
