@@ -28,12 +28,16 @@ def first_values(rows: DataFrame, key: str, order: list[str], fields: list[str])
     return rows.groupBy(key).agg(*(F.min_by(f, F.when(there(f), at)).alias(f) for f in fields))
 
 
-def merged_slips(rows: DataFrame, fields: list[str], row_id: str = "row_id", confidence: str = "confidence_score", source: str = "source_document") -> DataFrame:
-    """Slips of one reference (else one insured, else each its own) as one row: first values, all sources, mean of positive confidences."""
+def merged_slips(rows: DataFrame, fields: list[str], row_id: str = "row_id", confidence: str = "confidence_score", source: str = "source_document", notes: str | None = None) -> DataFrame:
+    """Slips of one reference (else one insured, else each its own) as one row: first values, all sources, mean of positive confidences; with notes (a column of arrays) those of all slips in order, and one that says how many slips were merged, if several."""
     key = F.coalesce(F.nullif(F.concat(F.lit("r:"), "reference_number"), F.lit("r:")), F.nullif(F.concat(F.lit("i:"), "insured_name"), F.lit("i:")), F.concat(F.lit("u:"), F.col(row_id).cast("string")))
     keyed = rows.withColumn("merge_key", key)
     values = first_values(keyed, "merge_key", [row_id], [f for f in fields])
     more = keyed.groupBy("merge_key").agg(F.count(F.lit(1)).alias("n_slips"), F.array_join(F.array_sort(F.collect_set(source)), "|").alias("sources"), F.avg(F.when(F.col(confidence) > 0, F.col(confidence))).alias("confidence"))
+    if notes:
+        each = keyed.select("merge_key", row_id, F.posexplode_outer(notes).alias("_at", "_note")).groupBy("merge_key").agg(F.array_sort(F.collect_list(F.when(F.col("_note").isNotNull(), F.struct(row_id, "_at", "_note")))).alias("_notes"))
+        merged = F.when(F.col("n_slips") > 1, F.array(F.concat(F.lit("Merged data from "), F.col("n_slips").cast("string"), F.lit(" documents")))).otherwise(F.array().cast("array<string>"))
+        more = more.join(each, "merge_key").withColumn("notes", F.concat(F.transform("_notes", lambda x: x["_note"]), merged)).drop("_notes")
     return values.join(more, "merge_key")
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import hot_keys, salted_join
+from tidemark.functions.shared import saved
 from tidemark.functions.text import class_words, has, hits, low
+from tidemark.operators.similarity import cosine
 
 # Fixed values.
 GEOGRAPHY = {
@@ -78,6 +81,11 @@ def distribution(docs: DataFrame) -> DataFrame:
     return long_markets(docs).groupBy(F.concat(prefix, "market").alias("market")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def members(docs: DataFrame) -> DataFrame:
+    """The documents of each market, a row each: a list of them would grow with the market."""
+    return long_markets(docs).select("market_type", "market", "doc_id")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """Documents, types, dates and span of each market."""
     kind = F.substring_index("filename", ".", -1)
@@ -115,12 +123,23 @@ def seasonal(docs: DataFrame) -> DataFrame:
     return months.join(n.hint("merge"), "month", "left").select("month", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+#: Cosine above which two documents relate.
+SIMILAR = 0.5
+
+
 def relations(docs: DataFrame, block: str = "application_id") -> DataFrame:
-    """docs: doc_id, subject, text, entities (array), similarity taken as 0 without a model. Pairs within a block that relate; the type is the first that fits."""
-    side = lambda n: docs.select(F.col(block).alias("block"), *(F.col(c).alias(f"{c}_{n}") for c in ("doc_id", "subject", "text", "entities")))
-    pairs = side(1).join(side(2).hint("merge").withColumnRenamed("block", "block2"), (F.col("block") == F.col("block2")) & (F.col("doc_id_1") < F.col("doc_id_2")))
-    common = F.array_sort(F.array_intersect("entities_1", "entities_2"))
-    either = lambda c, ks: has(low(f"{c}_1"), *ks) | has(low(f"{c}_2"), *ks)
-    out = pairs.withColumn("common", common)
-    kind = F.when(either("subject", FOLLOW_UP), "follow_up").when(F.size("common") > 2, "same_client").when(either("text", BROKER), "same_broker").when(either("subject", AMENDMENT), "amendment").otherwise("unrelated")
-    return out.withColumn("kind", kind).where((F.size("common") > 0) | (F.col("kind") != "unrelated")).select("block", "doc_id_1", "doc_id_2", "kind", F.array_join("common", "|").alias("common"))
+    """docs: doc_id, subject, text, entities (array), and embedding (array, may be null; without the column no pair is similar). Pairs within a block that relate, by similarity, by an entity or by type; the type is the first that fits.
+
+    What is looked for in a text is looked for once a document, not once a pair. Blocks of many documents are dealt to
+    many tasks, so pairs are made in parallel whatever block they are of.
+    """
+    embedding = F.col("embedding") if "embedding" in docs.columns else F.lit(None).cast("array<double>")
+    flags = {"follow": has(low("subject"), *FOLLOW_UP), "broker": has(low("text"), *BROKER), "amended": has(low("subject"), *AMENDMENT)}
+    rows = saved(docs.select(F.col(block).alias("block"), "doc_id", "entities", embedding.alias("embedding"), *(c.alias(n) for n, c in flags.items())).where(F.col(block).isNotNull()), "relation-rows")
+    side = lambda n: rows.select("block", *(F.col(c).alias(f"{c}_{n}") for c in ("doc_id", "entities", "embedding", *flags)))
+    pairs = salted_join(side(1), side(2), "block", hot_keys(rows, "block"), F.col("doc_id_1")).where(F.col("doc_id_1") < F.col("doc_id_2"))
+    either = lambda f: F.col(f"{f}_1") | F.col(f"{f}_2")
+    out = pairs.withColumn("common", F.array_sort(F.array_intersect("entities_1", "entities_2"))).withColumn("similarity", F.coalesce(cosine(F.col("embedding_1"), F.col("embedding_2")), F.lit(0.0)))
+    kind = F.when(either("follow"), "follow_up").when(F.size("common") > 2, "same_client").when(either("broker"), "same_broker").when(either("amended"), "amendment").otherwise("unrelated")
+    kept = out.withColumn("kind", kind).where((F.col("similarity") > SIMILAR) | (F.size("common") > 0) | (F.col("kind") != "unrelated"))
+    return kept.select("block", "doc_id_1", "doc_id_2", "kind", F.array_join("common", "|").alias("common"), "similarity")

@@ -130,6 +130,29 @@ def trend(df: DataFrame, at: str, grain: str) -> DataFrame:
     return by.withColumns({"change": F.col("n") - before, "growth": (F.col("n") - before) / before})
 
 
+def metric_trends(df: DataFrame, grain: str, at: str = "created_at") -> DataFrame:
+    """df: applications with decision, decided_at, overall_score and premium_adjustment. Six metrics a period, in one pass: metric, period, value (null if nothing was measured), n (what was counted or measured)."""
+    waited = hours(at, "decided_at")
+    chosen = lambda d: F.count_if(F.col("decision") == d)
+    six = {
+        "applications": (F.count(F.lit(1)).cast("double"), F.count(F.lit(1))), "approvals": (chosen("APPROVE").cast("double"), chosen("APPROVE")), "rejections": (chosen("REJECT").cast("double"), chosen("REJECT")),
+        "processing_time": (F.avg(waited), F.count(waited)), "risk_scores": (F.avg("overall_score"), F.count("overall_score")), "premium_adjustments": (F.avg("premium_adjustment"), F.count("premium_adjustment")),
+    }
+    rows = df.groupBy(F.date_trunc(grain, at).alias("period")).agg(F.array(*(F.struct(F.lit(m).alias("metric"), v.alias("value"), n.alias("n")) for m, (v, n) in six.items())).alias("six"))
+    return rows.select("period", F.inline("six")).select("metric", "period", "value", "n")
+
+
+def market_statistics(df: DataFrame, group: str, most: int = 5) -> DataFrame:
+    """One row over all markets: how many, applications, approval rate, insured value, applications of each risk level, the markets of the highest approval rates, and those that grow most (growth of the last year above 0)."""
+    named = df.where(F.col(group).isNotNull())
+    by = market_groups(named, group)
+    first = lambda order, name: by.where("growth > 0" if name == "emerging" else "true").orderBy(*order, group).limit(most).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*(-F.col(c) for c in ("growth" if name == "emerging" else "approval_rate", "n")), group))), lambda x: x[group]), "|").alias(name))
+    levels = {level: F.count_if(F.upper("risk_level") == level.upper()).alias(level) for level in ("low", "medium", "high", "critical")}
+    totals = named.agg(F.count_distinct(group).alias("markets"), F.count(F.lit(1)).alias("n"), share(F.count_if(F.col("decision") == "APPROVE"), F.count("decision")).alias("approval_rate"), F.sum(F.col("asset_value").cast("double")).alias("insured_value"), *levels.values())
+    top, emerging = (first([F.desc(c), F.desc("n")], name) for c, name in (("approval_rate", "top"), ("growth", "emerging")))
+    return totals.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(emerging))  # a row each
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """One page of a list in a total order, with the total count and whether there are pages before and after."""
     total = df.agg(F.count(F.lit(1)).alias("total"))  # one row

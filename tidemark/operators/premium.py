@@ -118,8 +118,9 @@ def confidence_by_field(rows: DataFrame) -> DataFrame:
     return long.groupBy("field").agg(F.round(F.avg("confidence"), 4).alias("mean"), F.min("confidence").alias("least"), F.max("confidence").alias("most"), F.count_if(with_data).alias("with_data"), F.count(F.lit(1)).alias("total"))
 
 
-def validation_summary(rows: DataFrame, key: str) -> DataFrame:
-    return rows.select(key, F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"), F.array_join("errors", "; ").alias("error_text"), F.array_join("warnings", "; ").alias("warning_text"))
+def validation_summary(rows: DataFrame, key: str, *more: str) -> DataFrame:
+    """rows: as validated. Counts and texts of errors and warnings, and more of the rows' columns."""
+    return rows.select(key, *more, F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"), F.array_join("errors", "; ").alias("error_text"), F.array_join("warnings", "; ").alias("warning_text"))
 
 
 def notes(rows: DataFrame, key: str, column: str = "warnings") -> DataFrame:

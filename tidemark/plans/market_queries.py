@@ -25,6 +25,7 @@ STEPS["slip_entities"] = "SELECT *, list_filter([regexp_extract(text, 'Insured:
 STEPS["vector_pairs"] = "SELECT a.vec_id // 20 AS block, a.vec_id AS v1, b.vec_id AS v2, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id // 20 = b.vec_id // 20 AND a.vec_id < b.vec_id"
 _cosine = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
 STEPS["all_near"] = f"SELECT a.vec_id AS v1, b.vec_id AS v2, {_cosine} AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_cosine} >= 0.4"
+STEPS["slip_vectors"] = "SELECT application_id, doc_id, entities[1:CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END] AS entities, embedding FROM slip_entities LEFT JOIN (SELECT * FROM embeddings WHERE vec_id < 100) ON doc_id % 100 = vec_id AND doc_id % 3 > 0"
 STEPS["word_sets"] = "SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))) AS w FROM documents"
 STEPS["word_classes"] = "SELECT w, min(doc_id) AS class_id, len(w) AS n FROM word_sets WHERE len(w) > 0 GROUP BY w"
 STEPS["word_links"] = "SELECT a.class_id AS c1, b.class_id AS c2 FROM word_classes a JOIN word_classes b ON a.class_id < b.class_id AND 100 * least(a.n, b.n) >= 95 * greatest(a.n, b.n) WHERE 100 * len(list_intersect(a.w, b.w)) >= 95 * (a.n + b.n - len(list_intersect(a.w, b.w)))"
@@ -41,6 +42,13 @@ def entities(t):
     return t.slips.withColumn("entities", F.filter(F.array(part("Insured"), part("Cedant"), part("Broker")), lambda x: x != ""))
 
 
+def with_vectors(t):
+    """Slips with subjects and texts that say little, of which two in three have a vector: pairs are kept by similarity alone, too."""
+    slips = entities(t).select("application_id", "doc_id", F.lit("note").alias("subject"), F.lit("plain").alias("text"), F.slice("entities", 1, F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0)).alias("entities"))
+    own = t.embeddings.select("vec_id", "embedding").where("vec_id < 100")
+    return slips.join(own.hint("merge"), (F.pmod("doc_id", F.lit(100)) == F.col("vec_id")) & (F.col("doc_id") % 3 > 0), "left")
+
+
 def vectors(t, size):
     return t.embeddings.withColumn("block", F.floor(F.col("vec_id") / size))
 
@@ -65,11 +73,13 @@ QUERIES = {
     "m2_text_domain": lambda t: t.slips.select("doc_id", F.length(markets.document_text("filename", "subject", "text")).alias("n_text"), markets.sender_domain("sender").alias("domain")),
     "m3_groups": lambda t: classified(t).select("doc_id", "geography_or_unknown", "geo_group", "industry_group", "line_group"),
     "m4_relations": lambda t: markets.relations(entities(t)).select("doc_id_1", "doc_id_2", "kind"),
+    "m5_similar_pairs": lambda t: markets.relations(with_vectors(t)).select("doc_id_1", "doc_id_2", "kind", "common", F.round("similarity", 4).alias("similarity")),
     "m5_kept_pairs": lambda t: markets.relations(entities(t)).groupBy("block").agg(F.count(F.lit(1)).alias("pairs")),
     "j15_pairs": lambda t: t.slips.groupBy("application_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("application_id", F.expr("n * (n - 1) div 2").alias("pairs")),
     "u3_common_entities": lambda t: markets.relations(entities(t)).select("doc_id_1", "doc_id_2", "common"),
     "u4_entity_union": lambda t: entities(t).select("application_id", F.explode("entities").alias("e")).groupBy("application_id").agg(F.array_join(F.array_sort(F.collect_set("e")), "|").alias("entities")),
     "a7_distribution": lambda t: markets.distribution(classified(t)),
+    "a8_members": lambda t: markets.members(classified(t)),
     "a8_groups": lambda t: markets.groups(classified(t)).select("market_type", "market", "n", "first_at", "last_at", "span_days", "kinds"),
     "a9_entities": lambda t: markets.repeated_entities(entities(t), "application_id", "entities"),
     "a10_trend": lambda t: markets.monthly_trend(t.slips).select("months", "first_n", "last_n", *R4("slope"), "direction"),
@@ -99,6 +109,10 @@ ORACLE = {
     "u3_common_entities": "SELECT doc_id_1, doc_id_2, array_to_string(common, '|') AS common FROM slip_relations",
     "u4_entity_union": "SELECT application_id, string_agg(DISTINCT e, '|' ORDER BY e) AS entities FROM (SELECT application_id, unnest(entities) AS e FROM slip_entities) GROUP BY 1",
     "a7_distribution": "SELECT CASE market_type WHEN 'geo_group' THEN 'geo_' WHEN 'industry_group' THEN 'industry_' ELSE 'business_' END || market AS market, count(*) AS n FROM market_long GROUP BY 1",
+    "a8_members": "SELECT market_type, market, doc_id FROM market_long",
+    "m5_similar_pairs": f"""
+    SELECT doc_id_1, doc_id_2, 'unrelated' AS kind, common, round(similarity, 4) AS similarity FROM (
+      SELECT a.doc_id AS doc_id_1, b.doc_id AS doc_id_2, array_to_string(list_sort(list_distinct(list_intersect(a.entities, b.entities))), '|') AS common, coalesce({_cosine}, 0) AS similarity FROM slip_vectors a JOIN slip_vectors b ON a.application_id = b.application_id AND a.doc_id < b.doc_id) WHERE common <> '' OR similarity > 0.5""",
     "a8_groups": "SELECT market_type, market, n, first_at, last_at, span_days, kinds FROM (SELECT market_type, market, count(*) AS n, min(uploaded_at) AS first_at, max(uploaded_at) AS last_at, floor(epoch(max(uploaded_at) - min(uploaded_at)) / 86400)::BIGINT AS span_days FROM market_long GROUP BY 1, 2) JOIN (SELECT market_type, market, string_agg(k || ':' || c, '|' ORDER BY k || ':' || c) AS kinds FROM (SELECT market_type, market, string_split(filename, '.')[-1] AS k, count(*) AS c FROM market_long GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (market_type, market)",
     "a9_entities": "SELECT * FROM (SELECT application_id, entity, n, row_number() OVER (PARTITION BY application_id ORDER BY n DESC, entity) AS place FROM (SELECT application_id, entity, count(*) AS n FROM (SELECT application_id, unnest(entities) AS entity FROM slip_entities) GROUP BY 1, 2 HAVING count(*) > 1)) WHERE place <= 5",
     "a10_trend": "SELECT months, first_n, last_n, round(s, 4) AS slope, CASE WHEN s > 0 THEN 'increasing' WHEN s < 0 THEN 'decreasing' ELSE 'stable' END AS direction FROM (SELECT *, (last_n - first_n) / months AS s FROM (SELECT count(*) AS months, arg_min(n, m) AS first_n, arg_max(n, m) AS last_n FROM (SELECT strftime(uploaded_at, '%Y-%m') AS m, count(*) AS n FROM slips GROUP BY 1)))",

@@ -10,6 +10,11 @@ from tidemark.plans.risk_queries import SQL4, R4, risk_of
 
 STEPS["full_view"] = "SELECT a.*, asset_value, asset_type, location, industry_sector, occupancy, overall_score, risk_level, decision, premium_adjustment, decided_at FROM applications a LEFT JOIN risk_parameters USING (application_id) LEFT JOIN (SELECT application_id, overall_score, risk_level FROM risk_full) USING (application_id) LEFT JOIN recommendations USING (application_id)"
 _rates = "count(*) AS n, round(coalesce(count(*) FILTER (decision = 'APPROVE') / nullif(count(decision), 0), 0), 4) AS approval_rate, round(avg(overall_score), 4) AS avg_score, round(sum(asset_value::DOUBLE), 2) AS insured_value, round(avg(premium_adjustment), 4) AS avg_adjustment"
+STEPS["market_rates"] = "SELECT location, count(*) AS n, coalesce(count(*) FILTER (decision = 'APPROVE') / nullif(count(decision), 0), 0) AS rate FROM full_view WHERE location IS NOT NULL GROUP BY 1"
+STEPS["market_years"] = "SELECT location, year(created_at) AS y, count(*) AS k FROM full_view WHERE location IS NOT NULL GROUP BY ALL"
+STEPS["market_growth"] = "SELECT location, arg_max(g, y) FILTER (g IS NOT NULL) AS growth FROM (SELECT *, (k - lag(k) OVER (PARTITION BY location ORDER BY y)) / lag(k) OVER (PARTITION BY location ORDER BY y) AS g FROM market_years) GROUP BY 1"
+STEPS["best_markets"] = "SELECT string_agg(location, '|' ORDER BY place) AS top FROM (SELECT *, row_number() OVER (ORDER BY rate DESC, n DESC, location) AS place FROM market_rates) WHERE place <= 5"
+STEPS["new_markets"] = "SELECT string_agg(location, '|' ORDER BY place) AS emerging FROM (SELECT *, row_number() OVER (ORDER BY growth DESC, n DESC, location) AS place FROM market_rates JOIN market_growth USING (location) WHERE growth > 0) WHERE place <= 5"
 STEPS["task_metrics"] = "SELECT process_type, count(*) AS n, avg(processing_time::DOUBLE) AS avg_s, min(processing_time)::DOUBLE AS min_s, max(processing_time)::DOUBLE AS max_s, count(*) FILTER (status = 'failed') AS errors, count(*) FILTER (status = 'completed') / count(*) AS success_rate, count(*) / greatest((floor(epoch(max(created_at))) - floor(epoch(min(created_at)))) / 3600, 1) AS per_hour, max(created_at) AS last_run FROM processing_logs GROUP BY 1"
 
 
@@ -54,6 +59,7 @@ QUERIES = {
     "a33_market_kpis": lambda t: m.market_groups(view(t), "industry_sector").where("industry_sector IS NOT NULL").select("industry_sector", "n", *R4("approval_rate", "avg_adjustment", "market_share", "growth")),
     "a34_market_trend": lambda t: m.market_trend(view(t), "location").select("period", "n", *R4("approval_rate", "avg_score", "concentration"), F.round("insured_value", 2).alias("insured_value")),
     "a35_market_stats": lambda t: _rated(view(t), "location").orderBy(F.desc("n"), F.col("location").asc_nulls_last()).limit(5),
+    "a35_market_statistics": lambda t: m.market_statistics(view(t), "location").select("markets", "n", *R4("approval_rate"), F.round("insured_value", 2).alias("insured_value"), "low", "medium", "high", "critical", "top", "emerging"),
     "a36_quick_summary": lambda t: m.quick_summary(t.applications, t.app_documents, t.recommendations),
     "w5_period_change": lambda t: m.trend(t.applications.withColumn("value", F.col("no").cast("double")), "created_at", "month").select("period", "n", "change", *R4("growth")),
     "w6_latest_kept": lambda t: m.latest_kept(t.processing_logs).select("event_id"),
@@ -69,7 +75,7 @@ QUERIES = {
     "f13_recovery": lambda t: t.processing_logs.where("status = 'failed'").select("event_id", m.mapped("process_type", m.RECOVERY, "manual_review").alias("action")),
     "f16_document_dashboard": lambda t: m.document_dashboard(t.app_documents),
     "u2_history": lambda t: m.history(t.applications, t.app_documents, t.recommendations),
-} | {f"w4_trend_{g}": (lambda t, g=g: m.trend(points(t), "created_at", g).select("period", "n", *R4("mean"))) for g in GRAINS}
+} | {f"w4_six_metrics_{g}": (lambda t, g=g: m.metric_trends(view(t), g).select("metric", "period", *R4("value"), "n")) for g in GRAINS} | {f"w4_trend_{g}": (lambda t, g=g: m.trend(points(t), "created_at", g).select("period", "n", *R4("mean"))) for g in GRAINS}
 
 _case = lambda c, t, d: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in t.items()) + f" ELSE '{d}' END"
 _page = "SELECT application_id, coalesce(overall_score, 0) AS overall_score FROM applications LEFT JOIN risk_full USING (application_id) WHERE status = 'completed' AND (contains(application_id, 'survey') OR application_id IN (SELECT application_id FROM app_documents WHERE contains(lower(filename), 'survey')))"
@@ -89,6 +95,9 @@ ORACLE = {
     "a30_metric_stats_empty": "SELECT 0::BIGINT AS n, 0.0::DOUBLE AS least, 0.0::DOUBLE AS most, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS p50, 0.0::DOUBLE AS p95, 0.0::DOUBLE AS p99",
     "a33_market_kpis": "SELECT s AS industry_sector, n, approval_rate, avg_adjustment, round(n / (SELECT count(*) FROM full_view), 4) AS market_share, round(growth, 4) AS growth FROM (SELECT industry_sector AS s, " + _rates + " FROM full_view WHERE industry_sector IS NOT NULL GROUP BY 1) JOIN (SELECT s, arg_max(growth, y) AS growth FROM (SELECT s, y, (c - lag(c) OVER w) / lag(c) OVER w AS growth FROM (SELECT industry_sector AS s, year(created_at) AS y, count(*) AS c FROM full_view GROUP BY 1, 2) WINDOW w AS (PARTITION BY s ORDER BY y)) GROUP BY 1) USING (s)",
     "a34_market_trend": "SELECT period, sum(n)::BIGINT AS n, round(coalesce(sum(ok) / nullif(sum(d), 0), 0), 4) AS approval_rate, round(sum(sc) / sum(n), 4) AS avg_score, round(sum(n * n) / (sum(n) * sum(n)), 4) AS concentration, round(sum(v), 2) AS insured_value FROM (SELECT date_trunc('quarter', created_at)::TIMESTAMP AS period, location, count(*) AS n, count(*) FILTER (decision = 'APPROVE') AS ok, count(decision) AS d, sum(overall_score) AS sc, sum(asset_value::DOUBLE) AS v FROM full_view GROUP BY 1, 2) GROUP BY 1",
+    "a35_market_statistics": """
+    SELECT count(DISTINCT location) AS markets, count(*) AS n, round(coalesce(count(*) FILTER (decision = 'APPROVE') / nullif(count(decision), 0), 0), 4) AS approval_rate, round(sum(asset_value::DOUBLE), 2) AS insured_value, count(*) FILTER (upper(risk_level) = 'LOW') AS low, count(*) FILTER (upper(risk_level) = 'MEDIUM') AS medium,
+           count(*) FILTER (upper(risk_level) = 'HIGH') AS high, count(*) FILTER (upper(risk_level) = 'CRITICAL') AS critical, coalesce(any_value(best_markets.top), '') AS top, coalesce(any_value(new_markets.emerging), '') AS emerging FROM full_view, best_markets, new_markets WHERE location IS NOT NULL""",
     "a35_market_stats": f"SELECT location, {_rates} FROM full_view GROUP BY 1 ORDER BY n DESC, location NULLS LAST LIMIT 5",
     "a36_quick_summary": "SELECT a.application_id, status, coalesce(d.n, 0) AS documents, coalesce(d.p, 0) AS processed, decision, CASE WHEN length(rationale) > 60 THEN rationale[1:60] || '...' ELSE rationale END AS rationale FROM applications a LEFT JOIN (SELECT application_id, count(*) AS n, count(*) FILTER (processed) AS p FROM app_documents GROUP BY 1) d USING (application_id) LEFT JOIN recommendations USING (application_id)",
     "w5_period_change": "SELECT period, n, n - lag(n) OVER w AS change, round((n - lag(n) OVER w) / lag(n) OVER w, 4) AS growth FROM (SELECT date_trunc('month', created_at)::TIMESTAMP AS period, count(*) AS n FROM applications GROUP BY 1) WINDOW w AS (ORDER BY period)",
@@ -105,5 +114,9 @@ ORACLE = {
     "f13_recovery": f"SELECT event_id, {_case('process_type', m.RECOVERY, 'manual_review')} AS action FROM processing_logs WHERE status = 'failed'",
     "f16_document_dashboard": "SELECT document_id, filename, (SELECT count(*) FROM app_documents) AS total, (SELECT count(*) FROM app_documents WHERE processed) AS processed, (SELECT count(*) FROM app_documents WHERE NOT processed) AS pending FROM app_documents ORDER BY uploaded_at DESC, document_id LIMIT 5",
     "u2_history": "SELECT application_id, created_at AS at, 'created' AS kind, '' AS detail FROM applications UNION ALL SELECT application_id, updated_at, 'status', status FROM applications UNION ALL SELECT application_id, uploaded_at, 'upload', filename FROM app_documents UNION ALL SELECT application_id, decided_at, 'decision', decision FROM recommendations",
-} | {f"w4_trend_{g}": f"SELECT date_trunc('{g}', created_at)::TIMESTAMP AS period, count(*) AS n, round(avg(processing_time::DOUBLE), 4) AS mean FROM processing_logs GROUP BY 1" for g in GRAINS}
+} | {f"w4_six_metrics_{g}": f"""
+    SELECT metric, period, round(value, 4) AS value, n FROM (SELECT period, unnest([{{'metric': 'applications', 'value': a::DOUBLE, 'n': a}}, {{'metric': 'approvals', 'value': ok::DOUBLE, 'n': ok}}, {{'metric': 'rejections', 'value': no::DOUBLE, 'n': no}},
+        {{'metric': 'processing_time', 'value': h, 'n': nh}}, {{'metric': 'risk_scores', 'value': s, 'n': ns}}, {{'metric': 'premium_adjustments', 'value': p, 'n': np}}], recursive := true)
+      FROM (SELECT date_trunc('{g}', created_at)::TIMESTAMP AS period, count(*) AS a, count(*) FILTER (decision = 'APPROVE') AS ok, count(*) FILTER (decision = 'REJECT') AS no, avg((floor(epoch(decided_at)) - floor(epoch(created_at))) / 3600) AS h, count(decided_at) AS nh,
+            avg(overall_score) AS s, count(overall_score) AS ns, avg(premium_adjustment) AS p, count(premium_adjustment) AS np FROM full_view GROUP BY 1))""" for g in GRAINS} | {f"w4_trend_{g}": f"SELECT date_trunc('{g}', created_at)::TIMESTAMP AS period, count(*) AS n, round(avg(processing_time::DOUBLE), 4) AS mean FROM processing_logs GROUP BY 1" for g in GRAINS}
 ORACLE_SQL = {k: oracle(v) for k, v in ORACLE.items()}

@@ -60,7 +60,7 @@ QUERIES = {
     "k19_derived": lambda t: rows_of(t).select("row_id", *R6(*DERIVED)),
     "k20_net_and_score": lambda t: premium.narrative(rows_of(t)).select("row_id", *R6("net_premium"), "liability", "risk_score", "narrative"),
     "a37_calculations": lambda t: premium.calculations(rows_of(t)).select("row_id", "metric", "formula", *R6("result")),
-    "k21_validation": lambda t: premium.validation_summary(checked_of(t), "row_id").join(checked_of(t).select("row_id", "valid"), "row_id").select("row_id", "n_errors", "n_warnings", "error_text", "valid"),
+    "k21_validation": lambda t: premium.validation_summary(checked_of(t), "row_id", "valid").select("row_id", "n_errors", "n_warnings", "error_text", "valid"),
     "a22_validation_text": lambda t: premium.validation_summary(checked_of(t), "row_id"),
     "k22_completeness": lambda t: checked_of(t).select("row_id", "completeness", F.array_join("missing", "|").alias("missing")),
     "k23_field_confidence": lambda t: premium.field_confidence(t.analysis_rows).select("row_id", F.explode("field_confidence").alias("field", "confidence")).groupBy("row_id").agg(F.round(F.sum("confidence"), 4).alias("total"), F.count_if(F.col("confidence") > 0).alias("n")),
@@ -72,7 +72,7 @@ QUERIES = {
     "k26_accepted_share": lambda t: premium.accepted(rows_of(t)).select("row_id", *[F.round(n, 5).alias(n) for n in ("share_liability_kes", "share_premium_kes")]),
     "k28_defaults": lambda t: premium.report_row(rows_of(t)).select("row_id", "insured", F.when(F.col("loss_ratio_text") == "NIL", "NIL").otherwise("given").alias("ratio_kind"), F.when(F.col("share_text") == "Open", "Open").otherwise("given").alias("share_kind")),
     "f14_report_fields": lambda t: premium.report_fields(t.analysis_rows),
-    "a24_merged_slips": lambda t: consolidate.merged_slips(t.analysis_rows.withColumn("reference_number", F.when(F.col("row_id") % 3 > 0, F.concat(F.lit("R"), (F.col("row_id") % 500).cast("string")))), MERGED).select("merge_key", *(F.col(m).cast("string").alias(m) for m in MERGED), "n_slips", "sources", *R4("confidence")),
+    "a24_merged_slips": lambda t: consolidate.merged_slips(checked_of(t).withColumn("reference_number", F.when(F.col("row_id") % 3 > 0, F.concat(F.lit("R"), (F.col("row_id") % 500).cast("string")))), MERGED, notes="warnings").select("merge_key", *(F.col(m).cast("string").alias(m) for m in MERGED), "n_slips", "sources", *R4("confidence"), F.array_join("notes", "; ").alias("notes")),
     "j19_merge_passes": lambda t: consolidate.merge_passes(t.analysis_rows.select("row_id", "insured_name", "currency"), t.analysis_rows.select("row_id", F.when(F.col("row_id") % 2 == 0, "TBD").otherwise("second").alias("insured_name"), F.lit(None).cast("string").alias("currency")), "row_id", ["insured_name", "currency"]),
     "j20_last_values": lambda t: consolidate.last_values(t.analysis_rows, "source_document", ["date_received", "row_id"], ["insured_name", "currency"]),
     "x21_table_columns": lambda t: consolidate.pivoted_first(cells_of(t), WANTED),
@@ -99,7 +99,7 @@ ORACLE = {
     "k26_accepted_share": "SELECT row_id, round(tsi_kes * (coalesce(nullif(accepted_share, 0), 1.0) / 100), 5) AS share_liability_kes, round(premium_kes * (coalesce(nullif(accepted_share, 0), 1.0) / 100), 5) AS share_premium_kes FROM premium_full",
     "k28_defaults": "SELECT row_id, coalesce(insured_name, 'TBA') AS insured, CASE WHEN loss_ratio IS NULL THEN 'NIL' ELSE 'given' END AS ratio_kind, CASE WHEN accepted_share IS NULL THEN 'Open' ELSE 'given' END AS share_kind FROM premium_full",
     "f14_report_fields": "SELECT row_id, " + ", ".join({"date": f"coalesce(strftime({f}, '%Y-%m-%d'), 'TBA')", "money": f"coalesce(coalesce(currency || ' ', '') || format('{{:,.2f}}', {f}::DOUBLE), 'TBA')", "percent": f"coalesce({f}::VARCHAR || '%', 'TBA')", "text": f"coalesce(nullif({f}, ''), 'TBA')"}[k] + f" AS {f}" for f, k in premium.REPORT_FIELDS.items()) + " FROM analysis_rows",
-    "a24_merged_slips": f"SELECT merge_key, {', '.join(map(_first, MERGED))}, count(*) AS n_slips, string_agg(DISTINCT source_document, '|' ORDER BY source_document) AS sources, round(avg(confidence_score) FILTER (confidence_score > 0), 4) AS confidence FROM (SELECT *, coalesce(CASE WHEN row_id % 3 > 0 THEN 'r:R' || row_id % 500 END, 'i:' || nullif(insured_name, ''), 'u:' || row_id) AS merge_key FROM analysis_rows) GROUP BY 1",
+    "a24_merged_slips": f"SELECT merge_key, {', '.join(map(_first, MERGED))}, count(*) AS n_slips, string_agg(DISTINCT source_document, '|' ORDER BY source_document) AS sources, round(avg(confidence_score) FILTER (confidence_score > 0), 4) AS confidence, concat_ws('; ', nullif(string_agg(nullif(array_to_string(warnings, '; '), ''), '; ' ORDER BY row_id), ''), CASE WHEN count(*) > 1 THEN 'Merged data from ' || count(*) || ' documents' END) AS notes FROM (SELECT *, coalesce(CASE WHEN row_id % 3 > 0 THEN 'r:R' || row_id % 500 END, 'i:' || nullif(insured_name, ''), 'u:' || row_id) AS merge_key FROM row_checked) GROUP BY 1",
     "j19_merge_passes": "SELECT row_id, CASE WHEN row_id % 2 = 0 THEN insured_name ELSE 'second' END AS insured_name, currency FROM analysis_rows",
     "j20_last_values": "SELECT source_document, arg_max(insured_name, (coalesce(date_received, '0001-01-01'::TIMESTAMP), row_id)) FILTER (insured_name IS NOT NULL) AS insured_name, arg_max(currency, (coalesce(date_received, '0001-01-01'::TIMESTAMP), row_id)) FILTER (currency IS NOT NULL) AS currency FROM analysis_rows GROUP BY 1",
     "x21_table_columns": "SELECT o_custkey AS doc_id, " + ", ".join(f"arg_min(value, (r, \"column\", value)) FILTER (({_cols(ws)}) AND value IS NOT NULL) AS {f}" for f, ws in WANTED.items()) + " FROM (SELECT o_custkey, o_orderkey % 4 AS r, CASE o_orderkey % 5 WHEN 0 THEN 'Sum Insured' WHEN 1 THEN 'Gross Premium' WHEN 2 THEN 'Deductible' WHEN 3 THEN 'Insured Name' ELSE 'Broker' END AS \"column\", CASE WHEN o_orderkey % 6 > 0 THEN o_custkey::VARCHAR END AS value FROM orders) GROUP BY 1",
