@@ -263,3 +263,43 @@ def test_percentiles_of_many_points(spark):
         assert np.allclose([got[k].p50, got[k].p95, got[k].p99], np.percentile(x, [50, 95, 99]), rtol=1e-12)
     assert (got["f"].n, got["f"].p50) == (0, 0.0) and (got[None].n, got[None].p50) == (2, 3.0) and len(got) == 7
     assert metrics.metric_stats(spark.createDataFrame(rows, "metric string, value double")).first().n == len(rows) - 1
+
+
+def test_relations_by_similarity_alone_and_in_a_large_block(spark, monkeypatch):
+    from tidemark.functions import joins
+
+    rows = [(n, "big" if n % 3 == 0 else f"b{n % 20}", "note", "plain", [f"e{n % 7}"] if n % 2 else [], [1.0, float(n % 5), 0.0] if n % 4 else None) for n in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, application_id string, subject string, text string, entities array<string>, embedding array<double>")
+    got = {(r.doc_id_1, r.doc_id_2): r for r in markets.relations(df).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5 if a and b else 0.0
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and (set(a[4]) & set(b[4]) or cos(a[5], b[5]) > 0.5)}
+    assert set(got) == want and any(not r.common and r.kind == "unrelated" for r in got.values())
+    monkeypatch.setattr(joins, "HOT_ROWS", 10)
+    assert joins.hot_keys(df, "application_id") == ["big"]
+    assert {(r.doc_id_1, r.doc_id_2) for r in markets.relations(df).collect()} == want
+
+
+def test_a_word_of_many_sets_is_dealt_to_many_tasks(spark, monkeypatch):
+    from tidemark.functions import joins
+
+    rows = [(n, "common " + " ".join(f"w{(n * 7 + k) % 90}" for k in range(40 if n % 3 else 1))) for n in range(240)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: frozenset((t or "").split()) for i, t in rows}
+    first = {}
+    for i, s in sorted(sets.items()):
+        first.setdefault(s, i)
+    near = {(a, b) for s, a in first.items() for t, b in first.items() if a < b and s and t and 100 * len(s & t) >= 90 * len(s | t)}
+    want = {i: (first[s] if s else i, sum(first[s] in p for p in near) if s else 0) for i, s in sets.items()}
+    plain = {r.doc_id: (r.class_id, r.n_links) for r in similarity.near_texts(df, 90).collect()}
+    monkeypatch.setattr(joins, "HOT_ROWS", 10)
+    salted = {r.doc_id: (r.class_id, r.n_links) for r in similarity.near_texts(df, 90).collect()}
+    assert plain == salted == want and any(n for _, n in want.values())
+    # the largest task of the salted join holds no more than a few times what the others do
+    left = df.where("text <> ''").select(F.lit("common").alias("word"), "doc_id")
+    dealt = joins.salted_join(left, left.withColumnRenamed("doc_id", "other"), "word", ["common"], F.col("doc_id"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 240 * 240 and len(sizes) >= 6 and max(sizes) <= 5 * sorted(sizes)[len(sizes) // 2]

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import hot_keys, salted_join
 from tidemark.functions.shared import saved
 
 #: Vectors that a bucket of near_vectors should hold.
@@ -21,24 +22,32 @@ def word_set(text: str) -> Column:
 
 
 def rarest(sets: DataFrame, key: str, percent: int) -> DataFrame:
-    """sets: key, words, n. The prefix of each set in the order of how rare words are among these sets: key, n, word."""
+    """sets: key, words, n. The prefix of each set in the order of how rare words are among these sets: key, n, word, place (from 0)."""
     each = sets.select(key, "n", F.explode("words").alias("word"))
     often = each.groupBy("word").agg(F.count(F.lit(1)).alias("often"))
-    ordered = each.join(often.hint("merge"), "word").groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("all"))
+    ordered = salted_join(each, often, "word", hot_keys(each, "word"), F.xxhash64(key)).groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("all"))
     keep = F.col("n") - F.ceil(percent * F.col("n") / F.lit(100)).cast("int") + 1
-    return ordered.select(key, "n", F.explode(F.slice("all", F.lit(1), keep)).alias("x")).where("x.often > 1").select(key, "n", F.col("x.word").alias("word"))
+    return ordered.select(key, "n", F.posexplode(F.slice("all", F.lit(1), keep)).alias("place", "x")).where("x.often > 1").select(key, "n", F.col("x.word").alias("word"), "place")
+
+
+def may_be_near(percent: int, n1: str, place1: str, n2: str, place2: str) -> Column:
+    """Of two sets whose first common word stands at these places: whether their sizes, and what is left behind that word, allow so many percent."""
+    left = F.least(F.col(n1) - F.col(place1), F.col(n2) - F.col(place2))
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (left * (100 + percent) >= percent * (F.col(n1) + F.col(n2)))
 
 
 def near_texts(docs: DataFrame, percent: int = 95) -> DataFrame:
     """docs: doc_id, text. A row a document: doc_id, class_id (least id of the same word set), n_links (other classes that share so many percent of the words).
 
-    Sets are compared by their rarest words only (prefix filter), so no pair is made for common words; then exactly.
+    Sets are compared by their rarest words only (prefix filter), so no pair is made for common words, and only where
+    sizes and places of the words allow it; then exactly. A word of many sets is dealt to many tasks.
     """
     sets = saved(docs.select("doc_id", word_set("text").alias("words")).withColumn("digest", F.sha2(F.array_join("words", " "), 256)), "near-sets")
     classes = saved(sets.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("words").alias("words")).withColumn("n", F.size("words")).where("n > 0"), "near-classes")
-    rare = rarest(classes, "class_id", percent)
-    a, b = (rare.select(F.col("word").alias(f"w{k}"), F.col("class_id").alias(f"c{k}"), F.col("n").alias(f"n{k}")) for k in (1, 2))
-    pairs = a.join(b.hint("merge"), (F.col("w1") == F.col("w2")) & (F.col("c1") < F.col("c2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))).select("c1", "c2").distinct()
+    rare = saved(rarest(classes, "class_id", percent), "near-rare")
+    a, b = (rare.select("word", F.col("class_id").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("place").alias(f"p{k}")) for k in (1, 2))
+    met = salted_join(a, b, "word", hot_keys(rare, "word"), F.col("c1")).where((F.col("c1") < F.col("c2")) & may_be_near(percent, "n1", "p1", "n2", "p2"))
+    pairs = met.select("c1", "c2").distinct()
     s = lambda k: classes.select(F.col("class_id").alias(f"c{k}"), F.col("words").alias(f"words{k}"))
     both = pairs.join(s(1).hint("merge"), "c1").join(s(2).hint("merge"), "c2")
     common = F.size(F.array_intersect("words1", "words2"))
@@ -57,9 +66,9 @@ def reused(new: DataFrame, known: DataFrame, percent: int = 95) -> DataFrame:
     rest = a.join(exact.select("id").hint("merge"), "id", "left_anti")
     sets = rest.select(F.struct(F.lit(0).alias("side"), "id", "model").alias("who"), "words").unionByName(b.select(F.struct(F.lit(1).alias("side"), F.col("known_id").alias("id"), F.col("known_model").alias("model")).alias("who"), F.col("known_words").alias("words")))
     rare = saved(rarest(sets.withColumn("n", F.size("words")), "who", percent), "reuse-rare")
-    ours, theirs = (rare.where(F.col("who.side") == k).select(F.col("who.id").alias(i), F.col("who.model").alias(m), F.col("n").alias(n), F.col("word").alias(w)) for k, i, m, n, w in ((0, "id", "model", "n", "word"), (1, "known_id", "known_model", "known_n", "known_word")))
-    fits = (F.col("word") == F.col("known_word")) & (F.col("model") == F.col("known_model")) & (100 * F.least("n", "known_n") >= percent * F.greatest("n", "known_n"))
-    pairs = ours.join(theirs.hint("merge"), fits).select("id", "known_id").distinct()
+    ours, theirs = (rare.where(F.col("who.side") == k).select(F.col("who.id").alias(i), F.col("who.model").alias(m), F.col("n").alias(n), F.col("place").alias(p), "word") for k, i, m, n, p in ((0, "id", "model", "n", "place"), (1, "known_id", "known_model", "known_n", "known_place")))
+    fits = (F.col("model") == F.col("known_model")) & may_be_near(percent, "n", "place", "known_n", "known_place")
+    pairs = salted_join(ours, theirs, "word", hot_keys(rare, "word"), F.col("id")).where(fits).select("id", "known_id").distinct()
     both = pairs.join(a.select("id", "words").hint("merge"), "id").join(b.select("known_id", "known_words").hint("merge"), "known_id")
     common = F.size(F.array_intersect("words", "known_words"))
     near = both.where(100 * common >= percent * (F.size("words") + F.size("known_words") - common)).groupBy("id").agg(F.min("known_id").alias("known_id")).withColumn("kind", F.lit("near"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.shared import new_path
 from tidemark.operators import premium
-from tidemark.plans import premium_queries  # noqa: F401  its steps are used here
+from tidemark.plans import premium_queries
 from tidemark.plans.oracle import STEPS, oracle
 from tidemark.plans.risk_queries import R4
 from tidemark.sources import files
@@ -143,14 +143,17 @@ def three_runs(t):
     return t.spark.read.schema("doc_id long, run int").parquet(out)
 
 
-def workbook(t):
-    """The five sheets of an analysis, written and read back: rows and columns of each."""
+def sheets_of(t):
     checked = premium.validated(t.analysis_rows)
-    sheets = {
+    return {
         "working": premium.report_fields(t.analysis_rows), "validation": premium.validation_summary(checked, "row_id"), "completeness": premium.completeness_by_field(t.analysis_rows), "confidence": premium.confidence_by_field(t.analysis_rows),
         "notes": premium.notes(checked, "row_id"),
     }
-    path = new_path(t.spark, "workbook")
+
+
+def workbook(t):
+    """The five sheets of an analysis, written and read back: rows and columns of each."""
+    sheets, path = sheets_of(t), new_path(t.spark, "workbook")
     files.write_workbook(sheets, path)
     out = None
     for name, df in files.read_workbook(t.spark, path, list(sheets)).items():
@@ -159,6 +162,15 @@ def workbook(t):
     return out
 
 
+def sheet(t, name):
+    """One sheet, written and read back."""
+    path = new_path(t.spark, f"sheet-{name}")
+    files.write_workbook({name: sheets_of(t)[name]}, path)
+    return files.read_workbook(t.spark, path, [name])[name]
+
+
+#: The query of the same rows, not written, whose SQL a sheet is held against.
+SHEETS = {"working": "f14_report_fields", "validation": "a22_validation_text", "completeness": "a20_field_completeness", "confidence": "a21_confidence_by_field", "notes": "a23_notes"}
 QUERIES = {
     "s6_mail_stream": lambda t: streams.drained(streams.intake(mails(t)), "intake").select("message_id", "turn", "route"),
     "t1_mail_routes": routed_mail,
@@ -237,4 +249,6 @@ ORACLE = {
     "a26_exposure_breakdown": "SELECT p_type AS category, round(sum(p_retailprice * CASE WHEN p_size > 20 THEN 2 ELSE 1 END), 4) AS value, sum(CASE WHEN p_size > 20 THEN 2 ELSE 1 END)::BIGINT AS n FROM part GROUP BY 1",
     "s1_read": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000",
 }
+QUERIES |= {f"s9_{name}": (lambda t, name=name: sheet(t, name)) for name in SHEETS}
+ORACLE |= {f"s9_{name}": premium_queries.ORACLE[query] for name, query in SHEETS.items()}
 ORACLE_SQL = {k: oracle(v) for k, v in ORACLE.items()}
