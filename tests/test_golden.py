@@ -73,7 +73,7 @@ def test_risk_and_decision(spark):
     assert sum(decision.WEIGHTS.values()) == pytest.approx(1) and sum(risk.WEIGHTS.values()) == pytest.approx(1)
 
 
-def test_limits(spark):
+def test_limits(spark, monkeypatch):
     from tidemark.sources.adapters import VIEWS
 
     p = spark.createDataFrame([("1", Decimal(75_000_000), Decimal(50_000_000), "x", "Houston, Texas, USA", "petrochemical manufacturing", "steel and concrete", "chemical processing"), ("2", Decimal(150_000_000), None, None, None, None, None, None)], params(spark).schema)
@@ -83,6 +83,10 @@ def test_limits(spark):
     assert rows == {("1", "catastrophe_exposure", "WARNING"), ("2", "asset_value", "ERROR")}
     passed = {x.application_id: x.passed for x in limits.summary(p, found).collect()}
     assert passed == {"1": True, "2": False}
+    monkeypatch.setattr(limits, "BLOCK_LIMITS", 3)  # in blocks of three or so
+    blocks = limits.violations(p, f, spark.sql(VIEWS["business_limits"]))
+    assert {(x.application_id, x.limit_type, x.severity) for x in blocks.collect()} == rows and blocks.count() == 2
+    assert "CartesianProduct" not in blocks._jdf.queryExecution().toString()
 
 
 def test_markets(spark):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.joins import small_side
+from tidemark.functions.shared import saved
 from tidemark.functions.text import first_class, has, lookup, low
 
 # Fixed values.
@@ -42,8 +44,12 @@ def detected(params: DataFrame) -> DataFrame:
     return params.withColumns({"region": first_class(place, REGIONS), "sector": first_class(low("industry_sector"), SECTORS), "cat_class": cat})
 
 
+#: Limits of a block, which is broadcast.
+BLOCK_LIMITS = 100_000
+
+
 def violations(params: DataFrame, fin: DataFrame, limits: DataFrame) -> DataFrame:
-    """A row for each application and active limit that it violates; a missing or zero asset value violates no amount."""
+    """A row for each application and active limit that it violates; a missing or zero asset value violates no amount. Limits are broadcast, BLOCK_LIMITS or so at a time."""
     c = F.col
     apps = detected(params).join(fin.select("application_id", "assets", "liabilities", "credit_rating"), "application_id", "left")
     asset = F.nullif("asset_value", F.lit(0))
@@ -75,7 +81,13 @@ def violations(params: DataFrame, fin: DataFrame, limits: DataFrame) -> DataFram
         severity = F.when(kind(t), level).otherwise(severity)
         message = F.when(kind(t), text).otherwise(message)
     active = limits.where("active").withColumnRenamed("industry_sector", "limit_sector")
-    return apps.join(small_side(active), matched).select("application_id", "limit_id", "limit_type", severity.alias("severity"), message.alias("message"))
+    blocks = max(1, ceil(active.count() / BLOCK_LIMITS))
+    apps, out = (saved(apps, "limit-apps") if blocks > 1 else apps), None
+    for block in range(blocks):  # most conditions are no equalities, so a block of limits goes to all applications
+        some = active if blocks == 1 else active.where(F.pmod(F.xxhash64("limit_id"), F.lit(blocks)) == block)
+        found = apps.join(F.broadcast(some), matched).select("application_id", "limit_id", "limit_type", severity.alias("severity"), message.alias("message"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def summary(applications: DataFrame, found: DataFrame) -> DataFrame:
