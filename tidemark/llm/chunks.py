@@ -6,17 +6,24 @@ are as long as the shortest span, so every passage of that length holds a chunk'
 occurrences, whatever was inserted before it. Chunk ends are matched by the digest of the hashed bytes with the first
 place that has it, and whole chunks by their digests: neighbouring chunks that are equal to neighbouring chunks of the
 same first place form a run. Only where a run begins or ends, texts are compared byte by byte with the first place, as
-far as the next chunk's end can be. Pieces that touch form a span. Spans of fewer than `least_chars` characters are left
-alone: short phrases recur by chance. Then the borders of a span leave out a part of a word whose other letters differ.
-Equal texts are one text and wholly repeated.
+far as the next chunk's end can be.
+
+A first place may stand in other surroundings than what repeats. So every chunk's end whose bytes on either side (all
+that a span of the least length around it can hold) are not those of its first place is open: of every window of the
+least length around an open end, equal windows form a class with a first place of its own, with which they are compared
+too. (Windows are looked for by digests of a little less at every STEP-th place first, so few are made at every place.)
+A passage of the least length or more that stands in two places is therefore found in both, whatever else holds parts of
+it. Pieces that touch form a span. Spans of fewer than `least_chars` characters are left alone: short phrases recur by
+chance. Then the borders of a span leave out a part of a word whose other letters differ. Equal texts are one text and
+wholly repeated.
 
 Hash and windows start anew in every text, so equal texts have equal chunks whatever stands next to them.
 
 Cases: null and empty texts have no chunks; spans never cut a character; places are code points, end exclusive; inside
 a stretch that repeats itself every PERIOD bytes or faster no chunk ends, so it repeats as a whole or at its edges;
 rows with a null id are compared with all others, each text by itself, under the id null; rows that repeat an id are
-judged each by its own text; a piece is compared with its first place only; texts of any length are used whole; an empty
-table gives an empty table; other columns are not kept by `spans`, and all are, whatever their names, by `without_repeats`.
+judged each by its own text; texts of any length are used whole, but those of fewer than `least_chars` characters hold
+no span, also as copies; an empty table gives an empty table; other columns are not kept by `spans`, and all are, whatever their names, by `without_repeats`.
 """
 
 from __future__ import annotations
@@ -41,18 +48,20 @@ LONG_WORD = 24
 PERIOD = 8
 #: Bytes that are hashed at a time: what is computed from them fits the processor's cache.
 STEP_BYTES = 200_000
+#: Places of a window, of which one in so many is looked at first.
+STEP = 8
 #: Groups of copies up to which their table is broadcast to the scan of the texts; windows that a worker cuts at a time.
 MANY_COPIES, MANY_WINDOWS = 1_000_000, 20_000
 
 _random = np.random.default_rng(20240602)
 _GEAR = _random.integers(0, 2**32, 256, dtype=np.uint32)
-_BYTES = _random.integers(0, 2**64, (2, 256), dtype=U)
+_BYTES = _random.integers(0, 2**64, (3, 256), dtype=U)
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xF8)]] = True
 _NEVER = np.uint32(2**32 - 1)
 _HASHED = 32
-#: What stands beyond a text's ends in a window; no text has these bytes, and they never agree.
-_OUTSIDE = {"own": 0xFF, "first": 0xFE}
+#: What stands beyond a text's ends in a window, and in that of a first place when both are compared; no text has these bytes.
+_OUTSIDE, _BEYOND = np.uint8(0xFF), np.uint8(0xFE)
 #: An id that stands for null: it comes after all others.
 _NO_ID = 2**63 - 1
 
@@ -103,9 +112,9 @@ def digests(flat: np.ndarray, begin: np.ndarray, end: np.ndarray, table: np.ndar
 
 
 def chunked(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """docs: doc_id, t (digest of the text), text. A row a chunk: doc_id, t, at (bytes before its end), size (its bytes), d (digest of its last hashed bytes), c (digest of all its bytes)."""
+    """docs: doc_id, t (digest of the text), text. A row a chunk: doc_id, t, at (bytes before its end), size (its bytes), d (digest of its last hashed bytes), c (digest of all its bytes), x (digest of what stands around its end)."""
     gram, window = sizes(least_chars)
-    names = ["doc_id", "t", "at", "size", "d", "c"]
+    names = ["doc_id", "t", "at", "size", "d", "c", "x"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -117,36 +126,38 @@ def chunked(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
                 owner = np.searchsorted(offsets, end - 1, side="right") - 1
                 begin = np.maximum(np.r_[0, end[:-1]], offsets[owner])
                 at, size = ((end - x).astype(np.int32) for x in (offsets[owner], begin))
-                digest = digests(flat, end - gram, end, _BYTES[0]), digests(flat, begin, end, _BYTES[1])
+                low, high = np.maximum(end - gram - window + 1, offsets[owner]), np.minimum(end + window - 1, offsets[owner + 1])
+                around = mixed(digests(flat, low, high, _BYTES[2]).view(U) + (end - low).astype(U)).view(np.int64)
+                digest = digests(flat, end - gram, end, _BYTES[0]), digests(flat, begin, end, _BYTES[1]), around
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(owner)) for c in ("doc_id", "t")), *map(pa.array, (at, size, *digest))], names=names)
 
-    return docs.select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, at int, size int, d long, c long")
+    return docs.select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, at int, size int, d long, c long, x long")
 
 
 def runs(docs: DataFrame, least_chars: int) -> DataFrame:
-    """Runs of neighbouring chunks that have the same first place: doc_id, t, head and tail (ends of the first and the last chunk), first (doc_id, t), first_head, first_tail."""
+    """Runs of neighbouring chunks that have the same first place: doc_id, t, head and tail (ends of the first and the last chunk), first (doc_id, t), first_head, first_tail, open (ends that stand in other surroundings than their first place: some at the run's ends)."""
     chunks = chunked(docs, least_chars)
     spot = F.xxhash64("t", "at")
     twice = chunks.groupBy("d").agg(F.min(spot).alias("low"), F.max(spot).alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
     twice = save(twice.select("d", "n"), "chunk-twice")
     hot = hot_keys(twice, "d", "n")
     some = save(salted_join(chunks, twice.select("d"), "d", hot, F.col("t"), "left_semi"), "chunk-some")
-    first = some.groupBy("d").agg(F.min(F.struct("doc_id", "t", "at", "c")).alias("first"))
+    first = some.groupBy("d").agg(F.min(F.struct("doc_id", "t", "at", "c", "x")).alias("first"))
     later = salted_join(some, first, "d", hot, F.col("t")).where((F.col("t") != F.col("first.t")) | (F.col("at") != F.col("first.at")))
     later = later.repartition("t").dropDuplicates(["t", "at"])  # a text has as many rows as chunks
     shift, order = F.col("at") - F.col("first.at"), Window.partitionBy("t").orderBy("at")
     before = F.lag(F.struct("at", "first.t", shift.alias("shift"))).over(order)
     goes_on = (before["at"] == F.col("at") - F.col("size")) & (before["t"] == F.col("first.t")) & (before["shift"] == shift) & (F.col("c") == F.col("first.c"))
     numbered = later.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    grouped = numbered.groupBy("t", "run").agg(F.min("at").alias("head"), F.max("at").alias("tail"), F.min("doc_id").alias("doc_id"), F.min(F.struct("first.doc_id", "first.t")).alias("first"), F.min(shift).alias("shift"))
-    return grouped.select("doc_id", "t", "head", "tail", "first", (F.col("head") - F.col("shift")).alias("first_head"), (F.col("tail") - F.col("shift")).alias("first_tail"))
+    grouped = numbered.groupBy("t", "run").agg(F.min("at").alias("head"), F.max("at").alias("tail"), F.min("doc_id").alias("doc_id"), F.min(F.struct("first.doc_id", "first.t")).alias("first"), F.min(shift).alias("shift"), F.collect_list(F.when(F.col("x") != F.col("first.x"), F.col("at"))).alias("open"))
+    return grouped.select("doc_id", "t", "head", "tail", "first", (F.col("head") - F.col("shift")).alias("first_head"), (F.col("tail") - F.col("shift")).alias("first_tail"), "open")
 
 
-SIDE = "t long, at int, back boolean, doc_id long, head int, first_doc_id long, first_t long, first_at int"
+SIDE = "t long, at int, back boolean, doc_id long, pair long, first_doc_id long, first_t long, first_at int"
 
 
 def with_windows(sides: DataFrame, texts: DataFrame, least_chars: int) -> DataFrame:
-    """sides: SIDE (those of a first place have no head). With letters (code points before the place) and bytes (what stands before it, nearest first, or after it)."""
+    """sides: SIDE (those of a first place or of an open end have no pair). With letters (code points before the place) and bytes (what stands before it, nearest first, or after it)."""
     gram, window = sizes(least_chars)
     wide = gram + window + 3  # up to four bytes more tell whether a character goes on
     names = [f.split()[0] for f in SIDE.split(", ")]
@@ -167,14 +178,67 @@ def with_windows(sides: DataFrame, texts: DataFrame, least_chars: int) -> DataFr
                     place = low + at
                     index = np.where(back[:, None], place[:, None] - 1 - np.arange(wide), place[:, None] + np.arange(wide))
                     outside = (index < low[:, None]) | (index >= high[:, None])
-                    mark = np.where(column["head"].is_null().to_numpy(zero_copy_only=False), _OUTSIDE["first"], _OUTSIDE["own"]).astype(np.uint8)
-                    cut = np.where(outside, mark[:, None], flat[np.where(outside, 0, index)])
+                    cut = np.where(outside, _OUTSIDE, flat[np.where(outside, 0, index)])
                     data = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer((np.arange(len(cut) + 1) * wide).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(cut))])
                     yield pa.RecordBatch.from_arrays([*column.values(), pa.array((letters[place] - letters[low]).astype(np.int32)), data], names=[*names, "letters", "bytes"])
 
     return both.mapInArrow(run, f"{SIDE}, letters int, bytes binary")
 
 
+def window_digests(before: np.ndarray, after: np.ndarray, wanted: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """before and after: bytes on both sides of places (rows), nearest first. Digests of windows of so many bytes on the two sides (a column each), and whether a window lies in the text."""
+    up = _powers(1 << 16)[0][: before.shape[1]]
+    zero = np.zeros((len(before), 1), dtype=np.int64)
+    sums = [np.hstack([zero.astype(U), np.cumsum(table[x] * up, axis=1, dtype=U)]) for x, table in ((before, _BYTES[0]), (after, _BYTES[1]))]
+    inside = [np.hstack([zero, np.cumsum(x == _OUTSIDE, axis=1)]) == 0 for x in (before, after)]
+    low, high = (np.array(x) for x in zip(*wanted, strict=True))
+    digest = mixed(mixed(sums[0][:, low] + low.astype(U)) + sums[1][:, high])
+    return digest.view(np.int64), inside[0][:, low] & inside[1][:, high]
+
+
+def open_links(opened: DataFrame, least_chars: int) -> DataFrame:
+    """opened: t, at, back, doc_id, bytes of open ends. Each end with the first places of the windows of the least length around it that stand around other open ends too: doc_id, t, at, first_doc_id, first_t, first_at, pair."""
+    gram, window = sizes(least_chars)
+    span = window - 1
+    of = lambda back: F.max(F.when(F.col("back") == back, F.col("bytes")))
+    places = save(opened.groupBy("t", "at", "doc_id").agg(of(True).alias("before"), of(False).alias("after")), "chunk-open")
+    rough = [(gram + a, max(0, span - a - STEP + 1)) for a in range(0, span + 1, STEP)]
+    every = [(gram + a, span - a) for a in range(span + 1)]
+
+    def windows(rows: DataFrame, exact: bool) -> DataFrame:
+        """rows: as places; if exact, with `which`: the rough windows whose exact ones are wanted."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for big in batches:
+                for batch in (big.slice(k, MANY_WINDOWS) for k in range(0, big.num_rows, MANY_WINDOWS)):
+                    before, after = (flat_text(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("before", "after"))
+                    digest, good = window_digests(before, after, every if exact else rough)
+                    if exact:
+                        wanted = np.zeros((batch.num_rows, len(rough)), dtype=bool)
+                        wanted[pc.list_parent_indices(batch.column("which")).to_numpy(), batch.column("which").flatten().to_numpy()] = True
+                        good &= np.repeat(wanted, STEP, axis=1)[:, : span + 1]
+                    row, which = np.nonzero(good)
+                    taken = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in ("t", "at", "doc_id")), pa.array(which.astype(np.int32)), pa.array(digest[row, which] ^ which)], names=["t", "at", "doc_id", "which", "w"])
+
+        return rows.mapInArrow(run, "t long, at int, doc_id long, which int, w long")
+
+    def classes(rows: DataFrame) -> tuple[DataFrame, list]:
+        spot = F.xxhash64("t", "at")
+        found = rows.groupBy("w").agg(F.min(F.struct("doc_id", "t", "at")).alias("first"), F.min(spot).alias("low"), F.max(spot).alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+        found = save(found.select("w", "first", "n"), "chunk-window-classes")
+        return found, hot_keys(found, "w", "n")
+
+    some = save(windows(places, False), "chunk-rough")
+    found, hot = classes(some)
+    near = salted_join(some, found.select("w"), "w", hot, F.col("t"), "left_semi").groupBy("t", "at").agg(F.collect_set("which").alias("which"))  # a few places of a window
+    whole = save(windows(places.join(near.hint("merge"), ["t", "at"]), True), "chunk-exact")
+    found, hot = classes(whole)
+    met = salted_join(whole, found.select("w", "first"), "w", hot, F.col("t")).where((F.col("t") != F.col("first.t")) | (F.col("at") != F.col("first.at")))
+    pair = F.xxhash64(F.lit("open"), "t", "at", "first.t", "first.at").alias("pair")
+    return met.select("doc_id", "t", "at", F.col("first.doc_id").alias("first_doc_id"), F.col("first.t").alias("first_t"), F.col("first.at").alias("first_at"), pair).distinct()
+
+
 def alike(x: np.ndarray, y: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows row by row: how many whole characters they share, and how many of these belong to a word with which one of them goes on."""
     rows, wide = np.arange(len(x)), x.shape[1]
@@ -194,19 +258,19 @@ def alike(x: np.ndarray, y: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, n
 
 def compared(met: DataFrame) -> DataFrame:
     """met: sides with o_letters and o_bytes of their first places. How far both are alike: `edge` and `inner` (without parts of words) in the text, and the same in the first place."""
-    names = ["doc_id", "t", "head", "back", "first_doc_id", "first_t", "edge", "inner", "o_edge", "o_inner"]
+    names = ["doc_id", "t", "pair", "back", "first_doc_id", "first_t", "edge", "inner", "o_edge", "o_inner"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in (big.slice(k, MANY_WINDOWS) for k in range(0, big.num_rows, MANY_WINDOWS)):
                 of = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
                 x, y = (flat_text(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("bytes", "o_bytes"))
-                back = of("back")
+                y, back = np.where(y == _OUTSIDE, _BEYOND, y), of("back")
                 count, word = alike(x, y, back)
                 moved = [np.where(back, of(c) - n, of(c) + n).astype(np.int32) for c in ("letters", "o_letters") for n in (count, count - word)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:6]), *map(pa.array, moved)], names=names)
 
-    return met.mapInArrow(run, "doc_id long, t long, head int, back boolean, first_doc_id long, first_t long, edge int, inner int, o_edge int, o_inner int")
+    return met.mapInArrow(run, "doc_id long, t long, pair long, back boolean, first_doc_id long, first_t long, edge int, inner int, o_edge int, o_inner int")
 
 
 def repeats(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -226,16 +290,23 @@ def repeats(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     held = save(held, "chunk-held") if many else held
 
     found = save(runs(held, least_chars), "chunk-runs")
-    side = lambda back, head, first_head: found.select("t", F.col(head).alias("at"), F.lit(back).alias("back"), "doc_id", "head", F.col("first.doc_id").alias("first_doc_id"), F.col("first.t").alias("first_t"), F.col(first_head).alias("first_at"))
+    side = lambda back, head, first_head: found.select("t", F.col(head).alias("at"), F.lit(back).alias("back"), "doc_id", F.xxhash64("t", "head", "first.t", "first_head").alias("pair"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.t").alias("first_t"), F.col(first_head).alias("first_at"))
     own = side(True, "head", "first_head").union(side(False, "tail", "first_tail"))
-    none = lambda kind: F.lit(None).cast(kind)
-    origin = own.select(F.col("first_t").alias("t"), F.col("first_at").alias("at"), "back").distinct().select("t", "at", "back", none("long").alias("doc_id"), none("int").alias("head"), none("long").alias("first_doc_id"), none("long").alias("first_t"), none("int").alias("first_at"))
-    cut = save(with_windows(own.union(origin), held, least_chars), "chunk-windows")
-    origin = cut.where("head is null").dropDuplicates(["t", "at", "back"]).select(F.col("t").alias("o_t"), F.col("at").alias("o_at"), F.col("back").alias("o_back"), F.col("letters").alias("o_letters"), F.col("bytes").alias("o_bytes"))
-    met = cut.where("head is not null").join(origin.hint("merge"), (F.col("first_t") == F.col("o_t")) & (F.col("first_at") == F.col("o_at")) & (F.col("back") == F.col("o_back")))
+    none = lambda *names: [F.lit(None).cast(k).alias(n) for n, k in names]
+    rest = none(("pair", "long"), ("first_doc_id", "long"), ("first_t", "long"), ("first_at", "int"))
+    origin = own.select(F.col("first_t").alias("t"), F.col("first_at").alias("at"), "back").distinct().select("t", "at", "back", *none(("doc_id", "long")), *rest)
+    still = found.select("t", F.explode("open").alias("at"), "doc_id").select("t", "at", F.explode(F.array(F.lit(True), F.lit(False))).alias("back"), "doc_id", *rest)
+    cut = save(with_windows(own.union(origin).union(still), held, least_chars), "chunk-windows")
+    opened = cut.where("pair is null and doc_id is not null")
+    links = save(open_links(opened, least_chars), "chunk-links")
+    linked = links.join(opened.select("t", "at", "back", "letters", "bytes").hint("merge"), ["t", "at"]).select(*cut.columns)
+    place = lambda df: df.dropDuplicates(["t", "at", "back"]).select(*(F.col(c).alias(f"o_{c}") for c in ("t", "at", "back", "letters", "bytes")))
+    at_first = (F.col("first_t") == F.col("o_t")) & (F.col("first_at") == F.col("o_at")) & (F.col("back") == F.col("o_back"))
+    first_of = lambda sides, others: sides.join(place(others).hint("merge"), at_first)
+    met = first_of(cut.where("pair is not null"), cut.where("doc_id is null")).union(first_of(linked, opened))
     edges = compared(met)
     at = lambda c, back: F.max(F.when(F.col("back") == back, F.col(c)))
-    pieces = edges.groupBy("doc_id", "t", "head", "first_doc_id", "first_t").agg(*(at(c, back).alias(f"{c}_{int(back)}") for c in ("edge", "inner", "o_edge", "o_inner") for back in (True, False)))
+    pieces = edges.groupBy("doc_id", "t", "pair", "first_doc_id", "first_t").agg(*(at(c, back).alias(f"{c}_{int(back)}") for c in ("edge", "inner", "o_edge", "o_inner") for back in (True, False)))
     names = ("start", "end", "inner_start", "inner_end")
     piece = lambda doc, t, o, first: F.struct(F.col(doc).alias("doc_id"), F.col(t).alias("t"), *(F.col(f"{o}{c}_{b}").alias(n) for n, (c, b) in zip(names, (("edge", 1), ("edge", 0), ("inner", 1), ("inner", 0)), strict=True)), "first_doc_id", F.lit(first).alias("first"))
     pieces = pieces.select(F.inline(F.array(piece("doc_id", "t", "", False), piece("first_doc_id", "first_t", "o_", True))))
