@@ -19,9 +19,11 @@ wholly repeated.
 
 Hash and windows start anew in every text, so equal texts have equal chunks whatever stands next to them.
 
-Cases: null and empty texts have no chunks; spans never cut a character; places are code points, end exclusive; inside
-a stretch that repeats itself every PERIOD bytes or faster no chunk ends, so it repeats as a whole or at its edges;
-rows with a null id are compared with all others, each text by itself, under the id null; rows that repeat an id are
+Inside a stretch that repeats itself every PERIOD bytes or faster no chunk ends. Such stretches of the least length or
+more are found by comparing bytes with those before them; they repeat themselves if they are a period longer, and others
+by the digests of the windows of one period.
+
+Cases: null and empty texts have no chunks; spans never cut a character; places are code points, end exclusive; rows with a null id are compared with all others, each text by itself, under the id null; rows that repeat an id are
 judged each by its own text; texts of any length are used whole, but those of fewer than `least_chars` characters hold
 no span, also as copies; an empty table gives an empty table; other columns are not kept by `spans`, and all are, whatever their names, by `without_repeats`.
 """
@@ -273,6 +275,53 @@ def compared(met: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "doc_id long, t long, pair long, back boolean, first_doc_id long, first_t long, edge int, inner int, o_edge int, o_inner int")
 
 
+def periodic(flat: np.ndarray, offsets: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Longest stretches of `least` bytes or more that repeat themselves: begin, end, period (the smallest, PERIOD at most)."""
+    out: list[tuple[int, int, int]] = []
+    for k in range(1, PERIOD + 1):
+        same = np.zeros(len(flat) + 1, dtype=np.int8)
+        same[k:-1] = flat[k:] == flat[:-k]
+        for j in range(k):  # no text goes on in the next one
+            same[np.minimum(offsets[:-1] + j, len(flat))] = 0
+        edge = np.diff(np.r_[np.int8(0), same])
+        begin, end = np.flatnonzero(edge == 1) - k, np.flatnonzero(edge == -1)
+        long = end - begin >= least
+        out += [(a, b, k) for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True) if not any(x <= a and b <= y for x, y, _ in out)]
+    return out
+
+
+STRETCH = "doc_id long, t long, start int, end int, own boolean, low int, high int, w long"
+
+
+def stretches(held: DataFrame, least_chars: int) -> DataFrame:
+    """Pieces, as of `repeats`, that repeat themselves or another such stretch."""
+    names = [f.split()[0] for f in STRETCH.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in small_batches(big, "text", size=STEP_BYTES):
+                flat, offsets = flat_text(batch.column("text"))
+                found = periodic(flat, offsets, least_chars) if len(flat) >= least_chars else []
+                if not found:
+                    continue
+                letters = np.r_[0, np.cumsum((flat & 0xC0) != 0x80)]
+                windows = [(a, b, b - a >= least_chars + k, a + r) for a, b, k in found for r in range(min(k, b - a - least_chars + 1))]
+                begin, end, own, low = (np.array(x) for x in zip(*windows, strict=True))
+                row = np.searchsorted(offsets, begin, side="right") - 1
+                place = lambda at: pa.array((letters[at] - letters[offsets[row]]).astype(np.int32))  # noqa: B023, E731
+                columns = [place(begin), place(end), pa.array(own), place(low), place(low + least_chars), pa.array(digests(flat, low, low + least_chars, _BYTES[2]))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("doc_id", "t")), *columns], names=names)
+
+    rows = save(held.mapInArrow(run, STRETCH), "chunk-stretches")
+    spot = F.xxhash64("t", "start")
+    classes = rows.groupBy("w").agg(F.min(F.struct("doc_id", "t", "start")).alias("lead"), (F.min(spot) != F.max(spot)).alias("shared"), F.count(F.lit(1)).alias("n"))
+    met = salted_join(rows, classes.drop("n"), "w", hot_keys(classes, "w", "n"), F.col("t")).where("own or shared")
+    whole = met.groupBy("doc_id", "t", "start", "end", "own").agg(F.min("lead").alias("lead"), F.min("low").alias("low"), F.max("high").alias("high"))
+    first = (F.col("lead.t") == F.col("t")) & (F.col("lead.start") == F.col("start"))
+    start, end = F.when(F.col("own"), F.col("start")).otherwise(F.col("low")), F.when(F.col("own"), F.col("end")).otherwise(F.col("high"))
+    return whole.select("doc_id", "t", start.alias("start"), end.alias("end"), start.alias("inner_start"), end.alias("inner_end"), F.col("lead.doc_id").alias("first_doc_id"), first.alias("first"))
+
+
 def repeats(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """Every piece that is met twice or more: doc_id, t (digest of the text), start, end, inner_start, inner_end (without parts of words), first_doc_id (the least id that has it), first (whether this is its first place). Null ids are the largest number."""
     long = docs.where(F.length("text") >= least_chars)
@@ -311,7 +360,7 @@ def repeats(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     piece = lambda doc, t, o, first: F.struct(F.col(doc).alias("doc_id"), F.col(t).alias("t"), *(F.col(f"{o}{c}_{b}").alias(n) for n, (c, b) in zip(names, (("edge", 1), ("edge", 0), ("inner", 1), ("inner", 0)), strict=True)), "first_doc_id", F.lit(first).alias("first"))
     pieces = pieces.select(F.inline(F.array(piece("doc_id", "t", "", False), piece("first_doc_id", "first_t", "o_", True))))
     pieces = pieces.groupBy("doc_id", "t", "start", "end", "first_doc_id").agg(F.min("inner_start").alias("inner_start"), F.max("inner_end").alias("inner_end"), F.min("first").alias("first"))
-    return pieces.unionByName(copies)
+    return pieces.unionByName(stretches(held, least_chars)).unionByName(copies)
 
 
 def spans(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
