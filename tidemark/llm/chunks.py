@@ -9,9 +9,11 @@ same first place form a run. Only where a run begins or ends, texts are compared
 far as the next chunk's end can be.
 
 A first place may stand in other surroundings than what repeats. So every chunk's end whose bytes on either side (all
-that a span of the least length around it can hold) are not those of its first place is open: of every window of the
-least length around an open end, equal windows form a class with a first place of its own, with which they are compared
-too. (Windows are looked for by digests of a little less at every STEP-th place first, so few are made at every place.)
+that a span of the least length around it can hold) are not those of its first place is open, if another one leaves the
+first place at the same distance with the same byte: only such two can share more than each shares with the first place.
+Of every window of the least length around an open end that goes beyond what the first place has, equal windows form a
+class with a first place of its own, with which they are compared too. (Windows are looked for by digests of a little
+less at every STEP-th place first, so few are made at every place.)
 A passage of the least length or more that stands in two places is therefore found in both, whatever else holds parts of
 it. Pieces that touch form a span. Spans of fewer than `least_chars` characters are left alone: short phrases recur by
 chance. Then the borders of a span leave out a part of a word whose other letters differ. Equal texts are one text and
@@ -137,7 +139,7 @@ def chunked(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
 
 
 def runs(docs: DataFrame, least_chars: int) -> DataFrame:
-    """Runs of neighbouring chunks that have the same first place: doc_id, t, head and tail (ends of the first and the last chunk), first (doc_id, t), first_head, first_tail, open (ends that stand in other surroundings than their first place: some at the run's ends)."""
+    """Runs of neighbouring chunks that have the same first place: doc_id, t, head and tail (ends of the first and the last chunk), first (doc_id, t), first_head, first_tail, open (at and d of ends that stand in other surroundings than their first place: some at the run's ends)."""
     chunks = chunked(docs, least_chars)
     spot = F.xxhash64("t", "at")
     twice = chunks.groupBy("d").agg(F.min(spot).alias("low"), F.max(spot).alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
@@ -151,7 +153,7 @@ def runs(docs: DataFrame, least_chars: int) -> DataFrame:
     before = F.lag(F.struct("at", "first.t", shift.alias("shift"))).over(order)
     goes_on = (before["at"] == F.col("at") - F.col("size")) & (before["t"] == F.col("first.t")) & (before["shift"] == shift) & (F.col("c") == F.col("first.c"))
     numbered = later.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    grouped = numbered.groupBy("t", "run").agg(F.min("at").alias("head"), F.max("at").alias("tail"), F.min("doc_id").alias("doc_id"), F.min(F.struct("first.doc_id", "first.t")).alias("first"), F.min(shift).alias("shift"), F.collect_list(F.when(F.col("x") != F.col("first.x"), F.col("at"))).alias("open"))
+    grouped = numbered.groupBy("t", "run").agg(F.min("at").alias("head"), F.max("at").alias("tail"), F.min("doc_id").alias("doc_id"), F.min(F.struct("first.doc_id", "first.t")).alias("first"), F.min(shift).alias("shift"), F.collect_list(F.when(F.col("x") != F.col("first.x"), F.struct("at", "d"))).alias("open"))
     return grouped.select("doc_id", "t", "head", "tail", "first", (F.col("head") - F.col("shift")).alias("first_head"), (F.col("tail") - F.col("shift")).alias("first_tail"), "open")
 
 
@@ -198,23 +200,43 @@ def window_digests(before: np.ndarray, after: np.ndarray, wanted: list[tuple[int
     return digest.view(np.int64), inside[0][:, low] & inside[1][:, high]
 
 
-def open_links(opened: DataFrame, least_chars: int) -> DataFrame:
-    """opened: t, at, back, doc_id, bytes of open ends. Each end with the first places of the windows of the least length around it that stand around other open ends too: doc_id, t, at, first_doc_id, first_t, first_at, pair."""
+def classes(rows: DataFrame, name: str) -> DataFrame:
+    """rows: w, doc_id, t, at. The w of several places, with their number and the first place."""
+    spot = F.xxhash64("t", "at")
+    found = rows.groupBy("w").agg(F.min(F.struct("doc_id", "t", "at")).alias("first"), F.min(spot).alias("low"), F.max(spot).alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    return save(found.select("w", "first", "n"), name)
+
+
+def still_open(ends_: DataFrame, least_chars: int) -> DataFrame:
+    """ends_: doc_id, t, at, d, l, r (bytes before and after `at` that agree with the first place), l_next, r_next (the bytes that come then). Those of which another one leaves the first place alike."""
+    gram, window = sizes(least_chars)
+    leaves = lambda side, n, then, most: F.when((F.col(n) < most) & (F.col(then) != int(_OUTSIDE)), F.xxhash64("d", F.lit(side), n, then))
+    keys = F.array_compact(F.array(leaves("l", "l", "l_next", gram + window - 1), leaves("r", "r", "r_next", window - 1)))
+    keyed = ends_.select("doc_id", "t", "at", "l", "r", F.explode(keys).alias("w"))
+    found = classes(keyed.select("doc_id", "t", "at", "w"), "chunk-leaving").select("w")
+    many = found.limit(MANY_COPIES + 1).count() > MANY_COPIES
+    return save(keyed.join(found.hint("merge") if many else F.broadcast(found), "w", "left_semi").drop("w").distinct(), "chunk-open")
+
+
+def open_links(places: DataFrame, least_chars: int) -> DataFrame:
+    """places: doc_id, t, at, l, r (as of still_open), before and after (the bytes around it). Each with the first places of the windows of the least length around it that stand around others too: doc_id, t, at, first_doc_id, first_t, first_at, pair."""
     gram, window = sizes(least_chars)
     span = window - 1
-    of = lambda back: F.max(F.when(F.col("back") == back, F.col("bytes")))
-    places = save(opened.groupBy("t", "at", "doc_id").agg(of(True).alias("before"), of(False).alias("after")), "chunk-open")
     rough = [(gram + a, max(0, span - a - STEP + 1)) for a in range(0, span + 1, STEP)]
     every = [(gram + a, span - a) for a in range(span + 1)]
 
     def windows(rows: DataFrame, exact: bool) -> DataFrame:
-        """rows: as places; if exact, with `which`: the rough windows whose exact ones are wanted."""
+        """If exact, rows have `which`: the rough windows whose exact ones are wanted. Windows that the first place has are left out; a rough one, if all its exact ones are."""
+        sides = every if exact else [(gram + min(span, a + STEP - 1), span - a) for a in range(0, span + 1, STEP)]
+        low, high = (np.array(x) for x in zip(*sides, strict=True))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for big in batches:
                 for batch in (big.slice(k, MANY_WINDOWS) for k in range(0, big.num_rows, MANY_WINDOWS)):
                     before, after = (flat_text(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("before", "after"))
                     digest, good = window_digests(before, after, every if exact else rough)
+                    left, right = (batch.column(c).to_numpy()[:, None] for c in "lr")
+                    good &= (low > left) | (high > right)
                     if exact:
                         wanted = np.zeros((batch.num_rows, len(rough)), dtype=bool)
                         wanted[pc.list_parent_indices(batch.column("which")).to_numpy(), batch.column("which").flatten().to_numpy()] = True
@@ -225,26 +247,20 @@ def open_links(opened: DataFrame, least_chars: int) -> DataFrame:
 
         return rows.mapInArrow(run, "t long, at int, doc_id long, which int, w long")
 
-    def classes(rows: DataFrame) -> tuple[DataFrame, list]:
-        spot = F.xxhash64("t", "at")
-        found = rows.groupBy("w").agg(F.min(F.struct("doc_id", "t", "at")).alias("first"), F.min(spot).alias("low"), F.max(spot).alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-        found = save(found.select("w", "first", "n"), "chunk-window-classes")
-        return found, hot_keys(found, "w", "n")
-
     some = save(windows(places, False), "chunk-rough")
-    found, hot = classes(some)
-    near = salted_join(some, found.select("w"), "w", hot, F.col("t"), "left_semi").groupBy("t", "at").agg(F.collect_set("which").alias("which"))  # a few places of a window
+    found = classes(some, "chunk-rough-classes")
+    near = salted_join(some, found.select("w"), "w", hot_keys(found, "w", "n"), F.col("t"), "left_semi").groupBy("t", "at").agg(F.collect_set("which").alias("which"))  # a few places of a window
     whole = save(windows(places.join(near.hint("merge"), ["t", "at"]), True), "chunk-exact")
-    found, hot = classes(whole)
-    met = salted_join(whole, found.select("w", "first"), "w", hot, F.col("t")).where((F.col("t") != F.col("first.t")) | (F.col("at") != F.col("first.at")))
+    found = classes(whole, "chunk-exact-classes")
+    met = salted_join(whole, found.select("w", "first"), "w", hot_keys(found, "w", "n"), F.col("t")).where((F.col("t") != F.col("first.t")) | (F.col("at") != F.col("first.at")))
     pair = F.xxhash64(F.lit("open"), "t", "at", "first.t", "first.at").alias("pair")
     return met.select("doc_id", "t", "at", F.col("first.doc_id").alias("first_doc_id"), F.col("first.t").alias("first_t"), F.col("first.at").alias("first_at"), pair).distinct()
 
 
 def alike(x: np.ndarray, y: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows row by row: how many whole characters they share, and how many of these belong to a word with which one of them goes on."""
+    """Windows row by row: how many whole characters they share, how many of these belong to a word with which one of them goes on, and how many bytes agree."""
     rows, wide = np.arange(len(x)), x.shape[1]
-    m = np.logical_and.accumulate(x == y, axis=1)[:, :-4].sum(axis=1)
+    m = same = np.logical_and.accumulate(x == y, axis=1)[:, :-4].sum(axis=1)
     starts = (x & 0xC0) != 0x80
     places = np.arange(wide)
     # going on, the character that is cut begins at the last start; going back, the last start ends a whole character
@@ -255,12 +271,12 @@ def alike(x: np.ndarray, y: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, n
     word = np.where(~_WORD[x] & inside, places + 1, 0).max(axis=1)
     inner = count - (starts & (places < word[:, None])).sum(axis=1)
     inner[(m - word > LONG_WORD) | ~(_WORD[x[rows, m]] | _WORD[y[rows, m]])] = 0
-    return count.astype(np.int32), inner.astype(np.int32)
+    return count.astype(np.int32), inner.astype(np.int32), same.astype(np.int32)
 
 
 def compared(met: DataFrame) -> DataFrame:
-    """met: sides with o_letters and o_bytes of their first places. How far both are alike: `edge` and `inner` (without parts of words) in the text, and the same in the first place."""
-    names = ["doc_id", "t", "pair", "back", "first_doc_id", "first_t", "edge", "inner", "o_edge", "o_inner"]
+    """met: sides with o_letters and o_bytes of their first places. How far both are alike: `edge` and `inner` (without parts of words) in the text, and the same in the first place; how many bytes agree (m), and which one comes then."""
+    names = ["doc_id", "t", "pair", "back", "first_doc_id", "first_t", "edge", "inner", "o_edge", "o_inner", "m", "next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -268,11 +284,11 @@ def compared(met: DataFrame) -> DataFrame:
                 of = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
                 x, y = (flat_text(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("bytes", "o_bytes"))
                 y, back = np.where(y == _OUTSIDE, _BEYOND, y), of("back")
-                count, word = alike(x, y, back)
+                count, word, same = alike(x, y, back)
                 moved = [np.where(back, of(c) - n, of(c) + n).astype(np.int32) for c in ("letters", "o_letters") for n in (count, count - word)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:6]), *map(pa.array, moved)], names=names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:6]), *map(pa.array, (*moved, same, x[np.arange(len(x)), same].astype(np.int32)))], names=names)
 
-    return met.mapInArrow(run, "doc_id long, t long, pair long, back boolean, first_doc_id long, first_t long, edge int, inner int, o_edge int, o_inner int")
+    return met.mapInArrow(run, "doc_id long, t long, pair long, back boolean, first_doc_id long, first_t long, edge int, inner int, o_edge int, o_inner int, m int, next int")
 
 
 def periodic(flat: np.ndarray, offsets: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -338,24 +354,31 @@ def repeats(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     held = held.where("first_doc_id is null or doc_id = first_doc_id").select("doc_id", "t", "text")
     held = save(held, "chunk-held") if many else held
 
-    found = save(runs(held, least_chars), "chunk-runs")
-    side = lambda back, head, first_head: found.select("t", F.col(head).alias("at"), F.lit(back).alias("back"), "doc_id", F.xxhash64("t", "head", "first.t", "first_head").alias("pair"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.t").alias("first_t"), F.col(first_head).alias("first_at"))
+    pair = F.xxhash64("t", "head", "first.t", "first_head").alias("pair")
+    found = save(runs(held, least_chars).select("*", pair), "chunk-runs")
+    side = lambda back, head, first_head: found.select("t", F.col(head).alias("at"), F.lit(back).alias("back"), "doc_id", "pair", F.col("first.doc_id").alias("first_doc_id"), F.col("first.t").alias("first_t"), F.col(first_head).alias("first_at"))
     own = side(True, "head", "first_head").union(side(False, "tail", "first_tail"))
-    none = lambda *names: [F.lit(None).cast(k).alias(n) for n, k in names]
-    rest = none(("pair", "long"), ("first_doc_id", "long"), ("first_t", "long"), ("first_at", "int"))
-    origin = own.select(F.col("first_t").alias("t"), F.col("first_at").alias("at"), "back").distinct().select("t", "at", "back", *none(("doc_id", "long")), *rest)
-    still = found.select("t", F.explode("open").alias("at"), "doc_id").select("t", "at", F.explode(F.array(F.lit(True), F.lit(False))).alias("back"), "doc_id", *rest)
-    cut = save(with_windows(own.union(origin).union(still), held, least_chars), "chunk-windows")
-    opened = cut.where("pair is null and doc_id is not null")
-    links = save(open_links(opened, least_chars), "chunk-links")
-    linked = links.join(opened.select("t", "at", "back", "letters", "bytes").hint("merge"), ["t", "at"]).select(*cut.columns)
+    rest = [F.lit(None).cast(k).alias(n) for n, k in (("doc_id", "long"), ("pair", "long"), ("first_doc_id", "long"), ("first_t", "long"), ("first_at", "int"))]
+    origin = own.select(F.col("first_t").alias("t"), F.col("first_at").alias("at"), "back").distinct().select("t", "at", "back", *rest)
+    cut = save(with_windows(own.union(origin), held, least_chars), "chunk-windows")
     place = lambda df: df.dropDuplicates(["t", "at", "back"]).select(*(F.col(c).alias(f"o_{c}") for c in ("t", "at", "back", "letters", "bytes")))
     at_first = (F.col("first_t") == F.col("o_t")) & (F.col("first_at") == F.col("o_at")) & (F.col("back") == F.col("o_back"))
-    first_of = lambda sides, others: sides.join(place(others).hint("merge"), at_first)
-    met = first_of(cut.where("pair is not null"), cut.where("doc_id is null")).union(first_of(linked, opened))
-    edges = compared(met)
+    met = cut.where("pair is not null").join(place(cut.where("pair is null")).hint("merge"), at_first)
     at = lambda c, back: F.max(F.when(F.col("back") == back, F.col(c)))
-    pieces = edges.groupBy("doc_id", "t", "pair", "first_doc_id", "first_t").agg(*(at(c, back).alias(f"{c}_{int(back)}") for c in ("edge", "inner", "o_edge", "o_inner") for back in (True, False)))
+    both_sides = lambda df, *more: df.groupBy("doc_id", "t", "pair", "first_doc_id", "first_t").agg(*(at(c, back).alias(f"{c}_{int(back)}") for c in ("edge", "inner", "o_edge", "o_inner", *more) for back in (True, False)))
+    extents = save(both_sides(compared(met), "m", "next"), "chunk-extents")
+
+    # ends at which others leave the first place alike
+    known = extents.select("t", "pair", "m_1", "m_0", F.col("next_1").alias("l_next"), F.col("next_0").alias("r_next"))
+    opened = found.where(F.size("open") > 0).join(known.hint("merge"), ["t", "pair"]).select("doc_id", "t", "head", "tail", "m_1", "m_0", "l_next", "r_next", F.inline("open"))
+    opened = opened.select("doc_id", "t", "at", "d", (F.col("at") - F.col("head") + F.col("m_1")).alias("l"), (F.col("tail") - F.col("at") + F.col("m_0")).alias("r"), "l_next", "r_next")
+    still = still_open(save(opened, "chunk-ends"), least_chars)
+    sides = still.select("t", "at", F.explode(F.array(F.lit(True), F.lit(False))).alias("back"), *rest)
+    around = save(with_windows(sides, held, least_chars), "chunk-around")
+    of = lambda back: F.max(F.when(F.col("back") == back, F.col("bytes")))
+    links = save(open_links(still.join(around.groupBy("t", "at").agg(of(True).alias("before"), of(False).alias("after")).hint("merge"), ["t", "at"]), least_chars), "chunk-links")
+    linked = links.join(around.select("t", "at", "back", "letters", "bytes").hint("merge"), ["t", "at"]).join(place(around).hint("merge"), at_first)
+    pieces = extents.drop("m_1", "m_0", "next_1", "next_0").unionByName(both_sides(compared(linked)))
     names = ("start", "end", "inner_start", "inner_end")
     piece = lambda doc, t, o, first: F.struct(F.col(doc).alias("doc_id"), F.col(t).alias("t"), *(F.col(f"{o}{c}_{b}").alias(n) for n, (c, b) in zip(names, (("edge", 1), ("edge", 0), ("inner", 1), ("inner", 0)), strict=True)), "first_doc_id", F.lit(first).alias("first"))
     pieces = pieces.select(F.inline(F.array(piece("doc_id", "t", "", False), piece("first_doc_id", "first_t", "o_", True))))
