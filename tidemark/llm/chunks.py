@@ -13,7 +13,7 @@ that a span of the least length around it can hold) are not those of its first p
 first place at the same distance with the same byte: only such two can share more than each shares with the first place.
 Of every window of the least length around an open end that goes beyond what the first place has, equal windows form a
 class with a first place of its own, with which they are compared too. (Windows are looked for by digests of a little
-less at every STEP-th place first, so few are made at every place.)
+less at every STEP-th place first; only those that these leave in doubt are made at every place.)
 A passage of the least length or more that stands in two places is therefore found in both, whatever else holds parts of
 it. Pieces that touch form a span. Spans of fewer than `least_chars` characters are left alone: short phrases recur by
 chance. Then the borders of a span leave out a part of a word whose other letters differ. Equal texts are one text and
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import flat_text, small_batches
-from tidemark.llm.common import hot_keys, salted_join, save
+from tidemark.llm.common import drop, hot_keys, salted_join, save
 from tidemark.llm.neardup import U, _powers, mixed
 
 #: Characters of the shortest span that counts as a repeat; every repeat of that length is found.
@@ -226,10 +226,23 @@ def open_links(places: DataFrame, least_chars: int) -> DataFrame:
     every = [(gram + a, span - a) for a in range(span + 1)]
 
     def windows(rows: DataFrame, exact: bool) -> DataFrame:
-        """If exact, rows have `which`: the rough windows whose exact ones are wanted. Windows that the first place has are left out; a rough one, if all its exact ones are."""
+        """If exact, rows have `near`: the rough windows that stand around others too (which), and who has them first (first). Windows that the first place has are left out (a rough one, if all its exact ones are), and exact ones that rough ones of one first place hold together."""
         sides = every if exact else [(gram + min(span, a + STEP - 1), span - a) for a in range(0, span + 1, STEP)]
         low, high = (np.array(x) for x in zip(*sides, strict=True))
 
+        def wanted(near: pa.Array, n: int) -> np.ndarray:
+            out, known = np.zeros((n, len(rough) * STEP), dtype=bool), np.zeros((n, len(rough) * STEP), dtype=bool)
+            row, each = pc.list_parent_indices(near).to_numpy(), pc.list_flatten(near)
+            which, first = (each.field(k).to_numpy() for k in range(2))
+            for j in range(STEP):
+                out[row, which * STEP + j] = True
+            order = np.lexsort((which, first, row))
+            row, which, first = row[order], which[order], first[order]
+            new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (first[1:] != first[:-1])][: len(row)])
+            for r, a, b in zip(row[new], which[new], np.r_[which[new[1:] - 1], which[-1:]], strict=True):
+                known[r, (a + 1) * STEP - 1 : b * STEP + 1] = True
+            return (out & ~known)[:, : span + 1]
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for big in batches:
                 for batch in (big.slice(k, MANY_WINDOWS) for k in range(0, big.num_rows, MANY_WINDOWS)):
@@ -238,21 +251,26 @@ def open_links(places: DataFrame, least_chars: int) -> DataFrame:
                     left, right = (batch.column(c).to_numpy()[:, None] for c in "lr")
                     good &= (low > left) | (high > right)
                     if exact:
-                        wanted = np.zeros((batch.num_rows, len(rough)), dtype=bool)
-                        wanted[pc.list_parent_indices(batch.column("which")).to_numpy(), batch.column("which").flatten().to_numpy()] = True
-                        good &= np.repeat(wanted, STEP, axis=1)[:, : span + 1]
+                        good &= wanted(batch.column("near"), batch.num_rows)
                     row, which = np.nonzero(good)
                     taken = pa.array(row)
                     yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in ("t", "at", "doc_id")), pa.array(which.astype(np.int32)), pa.array(digest[row, which] ^ which)], names=["t", "at", "doc_id", "which", "w"])
 
         return rows.mapInArrow(run, "t long, at int, doc_id long, which int, w long")
 
+    def first_of(rows: DataFrame, name: str) -> DataFrame:
+        found = classes(rows, name)
+        return salted_join(rows, found.select("w", "first"), "w", hot_keys(found, "w", "n"), F.col("t"))
+
     some = save(windows(places, False), "chunk-rough")
-    found = classes(some, "chunk-rough-classes")
-    near = salted_join(some, found.select("w"), "w", hot_keys(found, "w", "n"), F.col("t"), "left_semi").groupBy("t", "at").agg(F.collect_set("which").alias("which"))  # a few places of a window
-    whole = save(windows(places.join(near.hint("merge"), ["t", "at"]), True), "chunk-exact")
-    found = classes(whole, "chunk-exact-classes")
-    met = salted_join(whole, found.select("w", "first"), "w", hot_keys(found, "w", "n"), F.col("t")).where((F.col("t") != F.col("first.t")) | (F.col("at") != F.col("first.at")))
+    one = F.struct("which", F.xxhash64("first.t", "first.at").alias("first"), F.col("first").alias("place"))
+    near = save(first_of(some, "chunk-rough-classes").groupBy("t", "at", "doc_id").agg(F.collect_list(one).alias("near")), "chunk-near")  # a few windows of a place
+    drop(some)
+    asked = near.select("t", "at", F.transform("near", lambda x: F.struct(x["which"].alias("which"), x["first"].alias("first"))).alias("near"))
+    whole = save(windows(places.join(asked.hint("merge"), ["t", "at"]), True), "chunk-exact")
+    exact = first_of(whole, "chunk-exact-classes").select("doc_id", "t", "at", "first")
+    rough_ = near.select("doc_id", "t", "at", F.explode(F.array_distinct(F.transform("near", lambda x: x["place"]))).alias("first"))
+    met = rough_.union(exact).where((F.col("t") != F.col("first.t")) | (F.col("at") != F.col("first.at")))
     pair = F.xxhash64(F.lit("open"), "t", "at", "first.t", "first.at").alias("pair")
     return met.select("doc_id", "t", "at", F.col("first.doc_id").alias("first_doc_id"), F.col("first.t").alias("first_t"), F.col("first.at").alias("first_at"), pair).distinct()
 
@@ -367,12 +385,15 @@ def repeats(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     at = lambda c, back: F.max(F.when(F.col("back") == back, F.col(c)))
     both_sides = lambda df, *more: df.groupBy("doc_id", "t", "pair", "first_doc_id", "first_t").agg(*(at(c, back).alias(f"{c}_{int(back)}") for c in ("edge", "inner", "o_edge", "o_inner", *more) for back in (True, False)))
     extents = save(both_sides(compared(met), "m", "next"), "chunk-extents")
+    drop(cut)
 
     # ends at which others leave the first place alike
     known = extents.select("t", "pair", "m_1", "m_0", F.col("next_1").alias("l_next"), F.col("next_0").alias("r_next"))
     opened = found.where(F.size("open") > 0).join(known.hint("merge"), ["t", "pair"]).select("doc_id", "t", "head", "tail", "m_1", "m_0", "l_next", "r_next", F.inline("open"))
     opened = opened.select("doc_id", "t", "at", "d", (F.col("at") - F.col("head") + F.col("m_1")).alias("l"), (F.col("tail") - F.col("at") + F.col("m_0")).alias("r"), "l_next", "r_next")
-    still = still_open(save(opened, "chunk-ends"), least_chars)
+    opened = save(opened, "chunk-ends")
+    still = still_open(opened, least_chars)
+    drop(opened)
     sides = still.select("t", "at", F.explode(F.array(F.lit(True), F.lit(False))).alias("back"), *rest)
     around = save(with_windows(sides, held, least_chars), "chunk-around")
     of = lambda back: F.max(F.when(F.col("back") == back, F.col("bytes")))
