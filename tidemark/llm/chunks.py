@@ -11,9 +11,9 @@ far as the next chunk's end can be.
 A first place may stand in other surroundings than what repeats. So every chunk's end whose bytes on either side (all
 that a span of the least length around it can hold) are not those of its first place is open, if another one leaves the
 first place at the same distance with the same byte: only such two can share more than each shares with the first place.
-Of every window of the least length around an open end that goes beyond what the first place has, equal windows form a
-class with a first place of its own, with which they are compared too. (Windows are looked for by digests of a little
-less at every STEP-th place first; only those that these leave in doubt are made at every place.)
+Of windows of a little less than the least length around open ends, at every STEP-th place, that go beyond what the first
+place has, equal ones form a class with a first place of its own, with which they are compared too. Ends that are open
+from that one in the same way are looked for once more, by all windows of the least length.
 A passage of the least length or more that stands in two places is therefore found in both, whatever else holds parts of
 it. Pieces that touch form a span. Spans of fewer than `least_chars` characters are left alone: short phrases recur by
 chance. Then the borders of a span leave out a part of a word whose other letters differ. Equal texts are one text and
@@ -218,61 +218,31 @@ def still_open(ends_: DataFrame, least_chars: int) -> DataFrame:
     return save(keyed.join(found.hint("merge") if many else F.broadcast(found), "w", "left_semi").drop("w").distinct(), "chunk-open")
 
 
-def open_links(places: DataFrame, least_chars: int) -> DataFrame:
-    """places: doc_id, t, at, l, r (as of still_open), before and after (the bytes around it). Each with the first places of the windows of the least length around it that stand around others too: doc_id, t, at, first_doc_id, first_t, first_at, pair."""
+def open_links(places: DataFrame, least_chars: int, exact: bool) -> DataFrame:
+    """places: doc_id, t, at, l, r (as of still_open), before and after (the bytes around it). Each with the first places of the windows around it that stand around others too, and go beyond what the first place has: doc_id, t, at, first_doc_id, first_t, first_at, pair."""
     gram, window = sizes(least_chars)
-    span = window - 1
-    rough = [(gram + a, max(0, span - a - STEP + 1)) for a in range(0, span + 1, STEP)]
-    every = [(gram + a, span - a) for a in range(span + 1)]
-
-    def windows(rows: DataFrame, exact: bool) -> DataFrame:
-        """If exact, rows have `near`: the rough windows that stand around others too (which), and who has them first (first). Windows that the first place has are left out (a rough one, if all its exact ones are), and exact ones that rough ones of one first place hold together."""
-        sides = every if exact else [(gram + min(span, a + STEP - 1), span - a) for a in range(0, span + 1, STEP)]
-        low, high = (np.array(x) for x in zip(*sides, strict=True))
-
-        def wanted(near: pa.Array, n: int) -> np.ndarray:
-            out, known = np.zeros((n, len(rough) * STEP), dtype=bool), np.zeros((n, len(rough) * STEP), dtype=bool)
-            row, each = pc.list_parent_indices(near).to_numpy(), pc.list_flatten(near)
-            which, first = (each.field(k).to_numpy() for k in range(2))
-            for j in range(STEP):
-                out[row, which * STEP + j] = True
-            order = np.lexsort((which, first, row))
-            row, which, first = row[order], which[order], first[order]
-            new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (first[1:] != first[:-1])][: len(row)])
-            for r, a, b in zip(row[new], which[new], np.r_[which[new[1:] - 1], which[-1:]], strict=True):
-                known[r, (a + 1) * STEP - 1 : b * STEP + 1] = True
-            return (out & ~known)[:, : span + 1]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for big in batches:
-                for batch in (big.slice(k, MANY_WINDOWS) for k in range(0, big.num_rows, MANY_WINDOWS)):
-                    before, after = (flat_text(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("before", "after"))
-                    digest, good = window_digests(before, after, every if exact else rough)
-                    left, right = (batch.column(c).to_numpy()[:, None] for c in "lr")
-                    good &= (low > left) | (high > right)
-                    if exact:
-                        good &= wanted(batch.column("near"), batch.num_rows)
-                    row, which = np.nonzero(good)
-                    taken = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in ("t", "at", "doc_id")), pa.array(which.astype(np.int32)), pa.array(digest[row, which] ^ which)], names=["t", "at", "doc_id", "which", "w"])
-
-        return rows.mapInArrow(run, "t long, at int, doc_id long, which int, w long")
-
-    def first_of(rows: DataFrame, name: str) -> DataFrame:
-        found = classes(rows, name)
-        return salted_join(rows, found.select("w", "first"), "w", hot_keys(found, "w", "n"), F.col("t"))
-
-    some = save(windows(places, False), "chunk-rough")
-    one = F.struct("which", F.xxhash64("first.t", "first.at").alias("first"), F.col("first").alias("place"))
-    near = save(first_of(some, "chunk-rough-classes").groupBy("t", "at", "doc_id").agg(F.collect_list(one).alias("near")), "chunk-near")  # a few windows of a place
-    drop(some)
-    asked = near.select("t", "at", F.transform("near", lambda x: F.struct(x["which"].alias("which"), x["first"].alias("first"))).alias("near"))
-    whole = save(windows(places.join(asked.hint("merge"), ["t", "at"]), True), "chunk-exact")
-    exact = first_of(whole, "chunk-exact-classes").select("doc_id", "t", "at", "first")
-    rough_ = near.select("doc_id", "t", "at", F.explode(F.array_distinct(F.transform("near", lambda x: x["place"]))).alias("first"))
-    met = rough_.union(exact).where((F.col("t") != F.col("first.t")) | (F.col("at") != F.col("first.at")))
+    span, step = window - 1, 1 if exact else STEP
+    sides = [(gram + a, max(0, span - a - step + 1)) for a in range(0, span + 1, step)]
+    most = [(gram + min(span, a + step - 1), span - a) for a in range(0, span + 1, step)]  # of the windows of the least length that hold them
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = (np.array(x) for x in zip(*most, strict=True))
+        for big in batches:
+            for batch in (big.slice(k, MANY_WINDOWS) for k in range(0, big.num_rows, MANY_WINDOWS)):
+                before, after = (flat_text(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("before", "after"))
+                digest, good = window_digests(before, after, sides)
+                left, right = (batch.column(c).to_numpy()[:, None] for c in "lr")
+                row, which = np.nonzero(good & ((low > left) | (high > right)))
+                taken = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in ("t", "at", "doc_id")), pa.array(digest[row, which] ^ which)], names=["t", "at", "doc_id", "w"])
+
+    rows = save(places.mapInArrow(run, "t long, at int, doc_id long, w long"), "chunk-around-windows")
+    found = classes(rows, "chunk-window-classes")
+    met = salted_join(rows, found.select("w", "first"), "w", hot_keys(found, "w", "n"), F.col("t")).where((F.col("t") != F.col("first.t")) | (F.col("at") != F.col("first.at")))
     pair = F.xxhash64(F.lit("open"), "t", "at", "first.t", "first.at").alias("pair")
-    return met.select("doc_id", "t", "at", F.col("first.doc_id").alias("first_doc_id"), F.col("first.t").alias("first_t"), F.col("first.at").alias("first_at"), pair).distinct()
+    links = save(met.select("doc_id", "t", "at", F.col("first.doc_id").alias("first_doc_id"), F.col("first.t").alias("first_t"), F.col("first.at").alias("first_at"), pair).distinct(), "chunk-links")
+    drop(rows)
+    return links
 
 
 def alike(x: np.ndarray, y: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -384,6 +354,7 @@ def repeats(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     met = cut.where("pair is not null").join(place(cut.where("pair is null")).hint("merge"), at_first)
     at = lambda c, back: F.max(F.when(F.col("back") == back, F.col(c)))
     both_sides = lambda df, *more: df.groupBy("doc_id", "t", "pair", "first_doc_id", "first_t").agg(*(at(c, back).alias(f"{c}_{int(back)}") for c in ("edge", "inner", "o_edge", "o_inner", *more) for back in (True, False)))
+    measures = ("m_1", "m_0", "next_1", "next_0")
     extents = save(both_sides(compared(met), "m", "next"), "chunk-extents")
     drop(cut)
 
@@ -397,9 +368,15 @@ def repeats(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     sides = still.select("t", "at", F.explode(F.array(F.lit(True), F.lit(False))).alias("back"), *rest)
     around = save(with_windows(sides, held, least_chars), "chunk-around")
     of = lambda back: F.max(F.when(F.col("back") == back, F.col("bytes")))
-    links = save(open_links(still.join(around.groupBy("t", "at").agg(of(True).alias("before"), of(False).alias("after")).hint("merge"), ["t", "at"]), least_chars), "chunk-links")
-    linked = links.join(around.select("t", "at", "back", "letters", "bytes").hint("merge"), ["t", "at"]).join(place(around).hint("merge"), at_first)
-    pieces = extents.drop("m_1", "m_0", "next_1", "next_0").unionByName(both_sides(compared(linked)))
+    places = save(still.join(around.groupBy("t", "at").agg(of(True).alias("before"), of(False).alias("after")).hint("merge"), ["t", "at"]), "chunk-places")
+    linked = lambda links: links.join(around.select("t", "at", "back", "letters", "bytes").hint("merge"), ["t", "at"]).join(place(around).hint("merge"), at_first)
+    links = open_links(places, least_chars, exact=False)
+    nearer = save(both_sides(compared(linked(links)), "m", "next"), "chunk-nearer")
+    known = nearer.select("t", "pair", F.col("m_1").alias("l"), F.col("m_0").alias("r"), F.col("next_1").alias("l_next"), F.col("next_0").alias("r_next"))
+    again = links.select("doc_id", "t", "at", "pair", F.xxhash64("first_t", "first_at").alias("d")).join(known.hint("merge"), ["t", "pair"]).drop("pair")
+    doubtful = still_open(again, least_chars).select("t", "at").distinct()
+    last = both_sides(compared(linked(open_links(places.join(doubtful.hint("merge"), ["t", "at"]), least_chars, exact=True))))
+    pieces = extents.drop(*measures).unionByName(nearer.drop(*measures)).unionByName(last)
     names = ("start", "end", "inner_start", "inner_end")
     piece = lambda doc, t, o, first: F.struct(F.col(doc).alias("doc_id"), F.col(t).alias("t"), *(F.col(f"{o}{c}_{b}").alias(n) for n, (c, b) in zip(names, (("edge", 1), ("edge", 0), ("inner", 1), ("inner", 0)), strict=True)), "first_doc_id", F.lit(first).alias("first"))
     pieces = pieces.select(F.inline(F.array(piece("doc_id", "t", "", False), piece("first_doc_id", "first_t", "o_", True))))
