@@ -1,6 +1,7 @@
 """Edge cases and brute-force versions of the corpus operators on small fixtures."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -484,3 +485,54 @@ def test_language(spark, docs):
     assert all(got[n].lang == lang for n, lang in enumerate(list(words) * 20))
     assert got[900].lang == "de" and got[902].lang == "fr" and got[900].text_lang is None and got[901].lang in words
     assert language.identify(table.limit(0), model).count() == 0
+
+
+def test_a_repeat_behind_an_earlier_fragment(spark):
+    """A passage of two documents is found, though an earlier one holds its parts in other surroundings."""
+    r = random.Random(5)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(n))
+    rows, want = [], set()
+    for k in range(30):
+        p = words(40)[:140].strip()
+        rows.append((k, " ".join(f"{words(12)} # {p[j : j + 60]} # " for j in (0, 30, 60, 80))))
+        for side, (a, b) in enumerate(("<]", ">[")):
+            rows.append((1000 * (side + 1) + k, f"{words(40)} {a}{p}{b} {words(40)}"))
+            want.add((1000 * (side + 1) + k, p))
+    text = dict(rows)
+    for n in (1, 5):
+        found = {(x.doc_id, text[x.doc_id][x.start : x.end]) for x in chunks.spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()}
+        assert found == want
+
+
+def test_stretches_repeat_themselves(spark):
+    rows = [(1, "start " + "Und " * 60 + "end of it"), (2, "-" * 119), (3, "=" * 121), (4, "x " + "=" * 400), (5, "é" * 200), (6, "ab" * 60 + "!"), (7, "?" + "ba" * 60), (8, base_text(40, 3)), (9, ""), (10, None)]
+    got = {x.doc_id: (x.start, x.end) for x in chunks.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {1, 3, 4, 5} and got[3] == (0, 121) and got[5] == (0, 200) and got[4][1] == 402
+    assert got[1][0] <= 6 and got[1][1] >= 6 + 4 * 60 - 1
+
+
+def test_spans_hold_every_window_that_repeats(spark):
+    """Whatever repeats over 120 characters is in a span, but for the part of a word at its border."""
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{folder}/documents.parquet").collect() if x.text]
+    table, seen, covered = spark.createDataFrame(rows, "doc_id long, text string"), {}, {}
+    for x in chunks.spans(table).collect():
+        covered.setdefault(x.doc_id, set()).update(range(x.start, x.end))
+    for i, t in rows:
+        for k in range(len(t) - 119):
+            seen.setdefault(t[k : k + 120], []).append((i, k))
+    want = {}
+    for places in seen.values():
+        if len(places) > 1:
+            for i, k in places:
+                want.setdefault(i, set()).update(range(k, k + 120))
+    text, n = dict(rows), 0
+    for i, w in want.items():
+        run = []
+        for k in sorted(w - covered.get(i, set())):
+            run = [*run, k] if run and k == run[-1] + 1 else [k]
+            assert len(run) <= chunks.LONG_WORD and (text[i][k].isalnum() or ord(text[i][k]) > 127), (i, run)
+        n += len(w)
+    assert n > 10_000

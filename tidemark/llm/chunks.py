@@ -138,8 +138,15 @@ def chunked(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     return docs.select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, at int, size int, d long, c long, x long")
 
 
+def done(*tables: DataFrame) -> None:
+    """Deletes tables that nothing reads any more, and has the driver let go of finished jobs, so that Spark deletes their shuffle files."""
+    for table in tables:
+        drop(table)
+    tables[0].sparkSession._jvm.System.gc()
+
+
 def runs(docs: DataFrame, least_chars: int) -> DataFrame:
-    """Runs of neighbouring chunks that have the same first place: doc_id, t, head and tail (ends of the first and the last chunk), first (doc_id, t), first_head, first_tail, open (at and d of ends that stand in other surroundings than their first place: some at the run's ends)."""
+    """Runs of neighbouring chunks that have the same first place: doc_id, t, head and tail (ends of the first and the last chunk), first (doc_id, t), first_head, first_tail, pair (a number of the run), open (at and d of ends that stand in other surroundings than their first place: some at the run's ends)."""
     chunks = chunked(docs, least_chars)
     spot = F.xxhash64("t", "at")
     twice = chunks.groupBy("d").agg(F.min(spot).alias("low"), F.max(spot).alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
@@ -154,7 +161,10 @@ def runs(docs: DataFrame, least_chars: int) -> DataFrame:
     goes_on = (before["at"] == F.col("at") - F.col("size")) & (before["t"] == F.col("first.t")) & (before["shift"] == shift) & (F.col("c") == F.col("first.c"))
     numbered = later.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
     grouped = numbered.groupBy("t", "run").agg(F.min("at").alias("head"), F.max("at").alias("tail"), F.min("doc_id").alias("doc_id"), F.min(F.struct("first.doc_id", "first.t")).alias("first"), F.min(shift).alias("shift"), F.collect_list(F.when(F.col("x") != F.col("first.x"), F.struct("at", "d"))).alias("open"))
-    return grouped.select("doc_id", "t", "head", "tail", "first", (F.col("head") - F.col("shift")).alias("first_head"), (F.col("tail") - F.col("shift")).alias("first_tail"), "open")
+    found = grouped.select("doc_id", "t", "head", "tail", "first", (F.col("head") - F.col("shift")).alias("first_head"), (F.col("tail") - F.col("shift")).alias("first_tail"), "open")
+    found = save(found.select("*", F.xxhash64("t", "head", "first.t", "first_head").alias("pair")), "chunk-runs")
+    done(twice, some)
+    return found
 
 
 SIDE = "t long, at int, back boolean, doc_id long, pair long, first_doc_id long, first_t long, first_at int"
@@ -241,7 +251,7 @@ def open_links(places: DataFrame, least_chars: int, exact: bool) -> DataFrame:
     met = salted_join(rows, found.select("w", "first"), "w", hot_keys(found, "w", "n"), F.col("t")).where((F.col("t") != F.col("first.t")) | (F.col("at") != F.col("first.at")))
     pair = F.xxhash64(F.lit("open"), "t", "at", "first.t", "first.at").alias("pair")
     links = save(met.select("doc_id", "t", "at", F.col("first.doc_id").alias("first_doc_id"), F.col("first.t").alias("first_t"), F.col("first.at").alias("first_at"), pair).distinct(), "chunk-links")
-    drop(rows)
+    done(rows)
     return links
 
 
@@ -342,8 +352,7 @@ def repeats(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     held = held.where("first_doc_id is null or doc_id = first_doc_id").select("doc_id", "t", "text")
     held = save(held, "chunk-held") if many else held
 
-    pair = F.xxhash64("t", "head", "first.t", "first_head").alias("pair")
-    found = save(runs(held, least_chars).select("*", pair), "chunk-runs")
+    found = runs(held, least_chars)
     side = lambda back, head, first_head: found.select("t", F.col(head).alias("at"), F.lit(back).alias("back"), "doc_id", "pair", F.col("first.doc_id").alias("first_doc_id"), F.col("first.t").alias("first_t"), F.col(first_head).alias("first_at"))
     own = side(True, "head", "first_head").union(side(False, "tail", "first_tail"))
     rest = [F.lit(None).cast(k).alias(n) for n, k in (("doc_id", "long"), ("pair", "long"), ("first_doc_id", "long"), ("first_t", "long"), ("first_at", "int"))]
@@ -356,7 +365,7 @@ def repeats(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     both_sides = lambda df, *more: df.groupBy("doc_id", "t", "pair", "first_doc_id", "first_t").agg(*(at(c, back).alias(f"{c}_{int(back)}") for c in ("edge", "inner", "o_edge", "o_inner", *more) for back in (True, False)))
     measures = ("m_1", "m_0", "next_1", "next_0")
     extents = save(both_sides(compared(met), "m", "next"), "chunk-extents")
-    drop(cut)
+    done(cut)
 
     # ends at which others leave the first place alike
     known = extents.select("t", "pair", "m_1", "m_0", F.col("next_1").alias("l_next"), F.col("next_0").alias("r_next"))
@@ -364,12 +373,14 @@ def repeats(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     opened = opened.select("doc_id", "t", "at", "d", (F.col("at") - F.col("head") + F.col("m_1")).alias("l"), (F.col("tail") - F.col("at") + F.col("m_0")).alias("r"), "l_next", "r_next")
     opened = save(opened, "chunk-ends")
     still = still_open(opened, least_chars)
-    drop(opened)
+    done(opened)
     sides = still.select("t", "at", F.explode(F.array(F.lit(True), F.lit(False))).alias("back"), *rest)
-    around = save(with_windows(sides, held, least_chars), "chunk-around")
     of = lambda back: F.max(F.when(F.col("back") == back, F.col("bytes")))
-    places = save(still.join(around.groupBy("t", "at").agg(of(True).alias("before"), of(False).alias("after")).hint("merge"), ["t", "at"]), "chunk-places")
-    linked = lambda links: links.join(around.select("t", "at", "back", "letters", "bytes").hint("merge"), ["t", "at"]).join(place(around).hint("merge"), at_first)
+    around = with_windows(sides, held, least_chars).groupBy("t", "at").agg(F.max("letters").alias("letters"), of(True).alias("before"), of(False).alias("after"))
+    places = save(still.join(around.hint("merge"), ["t", "at"]), "chunk-places")
+    done(still)
+    both_ways = places.dropDuplicates(["t", "at"]).select("t", "at", "letters", F.inline(F.array(*(F.struct(F.lit(back).alias("back"), F.col(c).alias("bytes")) for back, c in ((True, "before"), (False, "after"))))))
+    linked = lambda links: links.join(both_ways.hint("merge"), ["t", "at"]).join(place(both_ways).hint("merge"), at_first)
     links = open_links(places, least_chars, exact=False)
     nearer = save(both_sides(compared(linked(links)), "m", "next"), "chunk-nearer")
     known = nearer.select("t", "pair", F.col("m_1").alias("l"), F.col("m_0").alias("r"), F.col("next_1").alias("l_next"), F.col("next_0").alias("r_next"))
