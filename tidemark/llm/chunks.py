@@ -139,10 +139,9 @@ def chunked(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
 
 
 def done(*tables: DataFrame) -> None:
-    """Deletes tables that nothing reads any more, and has the driver let go of finished jobs, so that Spark deletes their shuffle files."""
+    """Deletes tables that nothing reads any more."""
     for table in tables:
         drop(table)
-    tables[0].sparkSession._jvm.System.gc()
 
 
 def runs(docs: DataFrame, least_chars: int) -> DataFrame:
