@@ -9,7 +9,8 @@ learned in the same way.
 The text model is fitted on a bounded sample of documents with a known language (SAMPLE_DOCS, by a digest of their
 ids); all other counts are over all pages.
 
-Cases: null or empty html has no text and declares nothing, so the priors decide; a null url, or one without a host,
+Cases: null or empty html has no text and declares nothing, so the priors decide; a page of several articles is judged
+by the text of all of them, one without any by all its text; a null url, or one without a host,
 belongs to the empty host; long texts count less than their length, as their trigrams depend on each other; ties go to
 the language that comes first; repeated rows are judged each; without any labelled document the result is null; an
 empty table gives an empty table; other columns pass through (columns of the results' names are replaced).
@@ -102,10 +103,10 @@ def likelihoods(df: DataFrame, model: TextModel, text: str) -> DataFrame:
 
 
 def visible(html: Column) -> Column:
-    """The text of the article, or else of the page, without markup."""
+    """The text of all articles, or else of the page, without markup."""
     whole = F.coalesce(html, F.lit(""))
-    article = F.regexp_extract(whole, r"(?is)<article\b.*?</article\s*>", 0)
-    text = F.when(article != "", article).otherwise(whole)
+    articles = F.array_join(F.regexp_extract_all(whole, F.lit(r"(?is)<article\b.*?</article\s*>"), F.lit(0)), " ")
+    text = F.coalesce(F.nullif(articles, F.lit("")), whole)
     for pattern in (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->", r"(?s)<[^>]*>", r"&[#a-zA-Z0-9]{1,10};"):
         text = F.regexp_replace(text, pattern, " ")
     return text
