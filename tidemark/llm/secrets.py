@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save, small_side
+from tidemark.llm.common import save
 
 
 @dataclass(frozen=True)
@@ -52,8 +52,8 @@ RULES = (
 )
 
 SCANNED, FOUND = "blob string, rule string", "blob string, rule string, start int, end int"
-#: Blobs with findings up to which they are broadcast to the paths.
-MANY_BLOBS = 100_000
+#: Findings are broadcast to the paths up to so many blobs and spans in all (a blob takes about 150 bytes, a span 60: 45 MB).
+MANY_BLOBS, MANY_SPANS = 100_000, 500_000
 
 
 def blob(text: str) -> Column:
@@ -127,10 +127,16 @@ def summary(ledger: Ledger, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     return rows.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", F.col("known.no").alias("no"), F.col("known.kind").alias("kind"), "end"))).alias("found"))
 
 
+def small_findings(found: DataFrame, column: str = "found") -> DataFrame:
+    """Hint a summary as a join side: broadcast if both its blobs and all their spans are few, else a sort-merge join."""
+    sizes = found.agg(F.count(F.lit(1)).alias("blobs"), F.coalesce(F.sum(F.size(column)), F.lit(0)).alias("spans")).first()
+    return F.broadcast(found) if sizes["blobs"] <= MANY_BLOBS and sizes["spans"] <= MANY_SPANS else found.hint("merge")
+
+
 def join_back(versions: DataFrame, ledger: Ledger, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     """All rows of versions with the found spans of their blob (an empty array if none)."""
     found = save(summary(ledger, rules), "secret-found")
-    out = versions.join(small_side(found, MANY_BLOBS), "blob", "left")
+    out = versions.join(small_findings(found), "blob", "left")
     return out.withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType)))
 
 
