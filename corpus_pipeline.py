@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, neardup, registry, rules, secrets
-from tidemark.llm.common import count_words, new_path, save, small_side
+from tidemark.llm.common import count_words, new_path, save
 
 #: Near duplicates share so many percent of their shingles.
 PERCENT = 80
@@ -35,7 +35,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     ledger = secrets.Ledger(spark, new_path(spark, "pipeline-ledger"))
     secrets.scan_unseen(docs, ledger, path="doc_id")
     found = save(secrets.summary(ledger), "pipeline-found").select(F.col("blob").alias("_blob"), F.col("found").alias("_found"))
-    both = docs.join(small_side(found, secrets.MANY_BLOBS), secrets.blob("text") == F.col("_blob"), "left")
+    both = docs.join(secrets.small_findings(found, "_found"), secrets.blob("text") == F.col("_blob"), "left")
     clean = F.when(F.col("_found").isNotNull(), secrets.redacted(F.col("text"), F.col("_found"))).otherwise(F.col("text"))
     return both.withColumn("text", clean).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
