@@ -59,9 +59,23 @@ def test_rules(spark, docs, empty):
     a = rules.judge(docs, list(rules.RULES), of).select("kept").collect()
     assert a == rules.judge(docs, list(reversed(rules.RULES)), of).select("kept").collect()
     assert rules.cascade(empty).count() == 0
-    ranked = rules.estimate(docs)
-    per_cost = [e.rejected / max(e.cost, 1e-9) for e in ranked]
-    assert per_cost == sorted(per_cost, reverse=True)
+    assert {e.rule for e in rules.estimate(docs)} == set(rules.RULES)
+    # texts of more words than a key's low bits can tell apart are counted in another way, and alike
+    few_bits = docs.select("text", rules.repeat_words("text", 3).alias("n")).collect()
+    assert any(len(WORD.findall(r.text or "")) >= 8 and r.n for r in few_bits) and all(r.n == brute_repeats(r.text) for r in few_bits)
+
+
+def test_rules_are_ordered_by_true_costs(spark):
+    r = random.Random(8)
+    texts = spark.createDataFrame([(" ".join(r.choice("abcdefghijklmnop") * r.randint(1, 6) for _ in range(400)),) for _ in range(300)], "text string")
+    cost = {e.rule.name: e.cost for e in rules.estimate(texts)}
+    # comparing two columns that are there costs next to nothing, sorting windows much, scanning letters something between
+    assert max(cost["few_words"], cost["word_length"]) < cost["repeats"] / 50 and cost["symbols"] < cost["repeats"] / 2
+    # a rule that only rejects what an earlier one has rejected goes last, however much it rejects by itself
+    names = lambda x: rules.Rule(x, lambda f: f["n_words"] < 0)
+    rejects = [{"a": i < 60, "b": i < 50, "c": i >= 90} for i in range(100)]
+    order = rules.ranked((names("a"), names("b"), names("c")), {"a": 1.0, "b": 1.0, "c": 1.0}, rejects)
+    assert [(e.rule.name, e.rejected) for e in order] == [("a", 0.6), ("c", 0.25), ("b", 0.0)]
 
 
 def test_bpe(docs, empty):
@@ -485,6 +499,11 @@ def test_language(spark, docs):
     assert all(got[n].lang == lang for n, lang in enumerate(list(words) * 20))
     assert got[900].lang == "de" and got[902].lang == "fr" and got[900].text_lang is None and got[901].lang in words
     assert language.identify(table.limit(0), model).count() == 0
+    # all articles count, wherever the longer one stands; what stands beside them does not
+    some = lambda lang, n: "<article>" + " ".join(r.choice(words[lang].split()) for _ in range(n)) + "</article>"
+    pages = [(1, None, some("fr", 3) + "<p>the of and to</p>" + some("de", 60), ""), (2, None, some("de", 60) + some("fr", 3), "")]
+    got = language.identify(spark.createDataFrame(pages, "page_id long, url string, html string, lang string"), model).collect()
+    assert [x.text_lang for x in got] == ["de", "de"]
 
 
 def test_a_repeat_behind_an_earlier_fragment(spark):

@@ -36,8 +36,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    order = [e.rule for e in rules.estimate(docs)]
     of, base = rules.features("text"), ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    order = [e.rule for e in rules.estimate(docs, given=tuple(base))]  # the result holds these for every text
     counted = docs.select("doc_id", "text", *(of[c].alias(c) for c in base))
     judged = rules.judge(counted, order, of | {c: F.col(c) for c in base})
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

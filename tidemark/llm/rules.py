@@ -1,14 +1,15 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost (seconds a row) and selectivity (share it rejects) are estimated on a bounded sample; rules then run
-in order of rejection per cost inside one CASE, so a later rule is not computed for a text that an earlier one
-rejects. What several rules look at (SHARED) is counted once and before the CASE, and its cost is no rule's. The order
+Each rule's cost (seconds a row) and selectivity are estimated on a bounded sample; rules then run in order of
+rejection per cost inside one CASE, so a later rule is not computed for a text that an earlier one rejects. A rule's
+rate is what it rejects of the texts that the rules before it leave. What several rules look at (SHARED) is counted
+once and before the CASE, and its cost is no rule's; the same columns are given when costs are taken. A cost is the time
+over the sample, repeated until that takes long enough to tell, less the time of a job that computes nothing. The order
 never changes which texts are kept, only which rule is named for a text that several reject.
 
 Cases: a null text has no words; texts of any length are read whole; repeated rows are judged each; an empty table
 gives an empty table (and the rules keep their given order); all other columns pass through untouched, and an
-existing column of a result's name is replaced. A window's key has room for its place among 2^26 words; a text of more
-words than that (of over 134 million characters) would be counted wrongly, and fails instead.
+existing column of a result's name is replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ SPACES = " \t\n\x0b\x0c\r"
 PLACE_BITS = 26
 #: Texts on which costs and selectivities are estimated (8 MB at most), and how long they may be; one text in so many, by digest, may be of the sample.
 SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_EVERY = 400, 20_000, 8
+#: Net seconds from which a rule's time tells its cost; how often the sample is repeated at most to get there; the least
+#: cost of a row, in seconds (what can't be told from nothing).
+LONG_ENOUGH, MOST_REPEATS, LEAST_COST = 0.25, 64, 1e-7
 
 Features = dict[str, Column]
 
@@ -45,34 +49,39 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def repeat_words(text: str) -> Column:
+def repeat_words(text: str, place_bits: int = PLACE_BITS) -> Column:
     """Words that lie in a 3-word window found twice or more in the text (long).
 
-    Hashes of the windows, each with its place in the low bits, are sorted; windows whose hash has a neighbour are
-    then compared as strings, so the count is exact.
+    Hashes of the windows, each with its place, are sorted; windows whose hash has a neighbour are then compared as
+    strings, so the count is exact. The place stands in the hash's low bits, or, in texts of more words than these bits
+    can tell apart, beside the hash.
     """
-    place, high = F.lit((1 << PLACE_BITS) - 1).cast("long"), F.lit(-(1 << PLACE_BITS)).cast("long")
+    place, high = F.lit((1 << place_bits) - 1).cast("long"), F.lit(-(1 << place_bits)).cast("long")
+    hashed = lambda w, i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1))
+    starts = lambda w: F.sequence(F.lit(1), F.size(w) - 2)
 
-    def covered(w: Column) -> Column:
-        keys = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)).bitwiseAND(high).bitwiseOR(i.cast("long")))
-        return let(F.sort_array(keys), lambda k: counted(w, k))
+    def packed(w: Column) -> Column:
+        keys = F.transform(starts(w), lambda i: hashed(w, i).bitwiseAND(high).bitwiseOR(i.cast("long")))
+        return covered(w, keys, lambda x: x.bitwiseAND(high), lambda x: x.bitwiseAND(place).cast("int"))
 
-    def counted(w: Column, keys: Column) -> Column:
-        same = lambda x, j: F.coalesce(F.get(keys, j).bitwiseAND(high) == x.bitwiseAND(high), F.lit(False))
-        alike = F.filter(keys, lambda x, j: same(x, j - 1) | same(x, j + 1))
-        return let(alike, lambda a: F.when(F.size(a) == 0, F.lit(0).cast("long")).otherwise(checked(w, a)))
+    def paired(w: Column) -> Column:
+        keys = F.transform(starts(w), lambda i: F.struct(hashed(w, i).alias("hash"), i.alias("i")))
+        return covered(w, keys, lambda x: x["hash"], lambda x: x["i"])
 
-    def checked(w: Column, alike: Column) -> Column:
+    def covered(w: Column, keys: Column, hash_of: Callable[[Column], Column], at: Callable[[Column], Column]) -> Column:
+        same = lambda k, x, j: F.coalesce(hash_of(F.get(k, j)) == hash_of(x), F.lit(False))
+        alike = lambda k: F.filter(k, lambda x, j: same(k, x, j - 1) | same(k, x, j + 1))
+        return let(F.sort_array(keys), lambda k: let(alike(k), lambda a: F.when(F.size(a) == 0, F.lit(0).cast("long")).otherwise(checked(w, F.transform(a, at)))))
+
+    def checked(w: Column, places: Column) -> Column:
         window = lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i), F.get(w, i + 1))
-        at = lambda x: x.bitwiseAND(place).cast("int")
-        named = F.sort_array(F.transform(alike, lambda x: F.struct(window(at(x)).alias("window"), at(x).alias("i"))))
+        named = F.sort_array(F.transform(places, lambda i: F.struct(window(i).alias("window"), i.alias("i"))))
         equal = lambda s, x, j: F.coalesce(F.get(s, j)["window"] == x["window"], F.lit(False))
         twice = let(named, lambda s: F.filter(s, lambda x, j: equal(s, x, j - 1) | equal(s, x, j + 1)))
-        starts = F.sort_array(F.transform(twice, lambda x: x["i"]))
-        return let(starts, lambda s: F.aggregate(F.transform(s, lambda p, j: F.least(F.lit(3), p - F.coalesce(F.get(s, j - 1), F.lit(-3)))), F.lit(0).cast("long"), lambda a, x: a + x))
+        found = F.sort_array(F.transform(twice, lambda x: x["i"]))
+        return let(found, lambda s: F.aggregate(F.transform(s, lambda p, j: F.least(F.lit(3), p - F.coalesce(F.get(s, j - 1), F.lit(-3)))), F.lit(0).cast("long"), lambda a, x: a + x))
 
-    too_long = F.raise_error(F.lit(f"a text of {1 << PLACE_BITS} words or more")).cast("long")
-    return let(words(text), lambda w: F.when(F.size(w) < 4, F.lit(0).cast("long")).when(F.size(w) >= 1 << PLACE_BITS, too_long).otherwise(covered(w)))
+    return let(words(text), lambda w: F.when(F.size(w) < 4, F.lit(0).cast("long")).when(F.size(w) >= 1 << place_bits, paired(w)).otherwise(packed(w)))
 
 
 def features(text: str = "text") -> Features:
@@ -108,31 +117,61 @@ SHARED = ("n_words", "word_chars")
 
 @dataclass(frozen=True)
 class Estimate:
+    """cost: seconds a row; rejected: of the texts that the rules before this one leave, the share it rejects."""
+
     rule: Rule
     cost: float
     rejected: float
 
 
-def estimate(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Cost and selectivity of each rule on a sample of texts, best rejection per cost first."""
+def seconds(job: DataFrame) -> float:
+    began = time.perf_counter()
+    job.collect()
+    return time.perf_counter() - began
+
+
+def costs(sample: DataFrame, n: int, verdicts: dict[str, Column]) -> dict[str, float]:
+    """Seconds a row of each verdict over the sample of n rows, net of what a job itself takes."""
+    again = lambda column, repeats: sample.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).agg(F.count_if(column).alias("n"))
+    nothing, found = {}, {}
+    for name, verdict in verdicts.items():
+        repeats = 1
+        while True:
+            if repeats not in nothing:
+                nothing[repeats] = min(seconds(again(F.col("_again") < 0, repeats)) for _ in range(3))
+            job = again(verdict, repeats)
+            net = min(seconds(job) for _ in range(2)) - nothing[repeats]
+            if net >= LONG_ENOUGH or repeats >= MOST_REPEATS:
+                break
+            repeats *= 8
+        found[name] = max(net, LEAST_COST * n * repeats) / (n * repeats)
+    return found
+
+
+def ranked(rules: tuple[Rule, ...], cost: dict[str, float], rejects: list[dict[str, bool]]) -> list[Estimate]:
+    """Rules by rejection per cost, each rate among the sampled texts that all rules before leave; ties by name."""
+    left, found = list(rules), []
+    while left:
+        share = {r.name: sum(x[r.name] for x in rejects) / max(1, len(rejects)) for r in left}
+        best = min(left, key=lambda r: (-share[r.name] / cost[r.name], r.name))
+        found.append(Estimate(best, cost[best.name], share[best.name]))
+        rejects = [x for x in rejects if not x[best.name]]
+        left.remove(best)
+    return found
+
+
+def estimate(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS, given: tuple[str, ...] = SHARED) -> list[Estimate]:
+    """Cost and selectivity of each rule on a sample of texts, in the order in which they should run. given: features that are columns by then."""
     some = df.select(F.col(text).alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
     taken = some.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_EVERY)) == 0).take(sample_rows) or some.take(sample_rows)
     if not taken:
         return [Estimate(r, 0.0, 0.0) for r in rules]
-    of, found = features("text"), []
-    spark = df.sparkSession
-    counted = spark.createDataFrame(taken, "text string").select("text", *(of[c].alias(c) for c in SHARED)).collect()
-    sample = spark.createDataFrame(counted, "text string, n_words long, word_chars long").coalesce(1)
-    of |= {c: F.col(c) for c in SHARED}
-    for rule in rules:
-        query = sample.agg(F.count_if(rule.rejects(of)).alias("n"))
-        took = []
-        for _ in range(2):
-            began = time.perf_counter()
-            n = query.first()["n"]
-            took.append(time.perf_counter() - began)
-        found.append(Estimate(rule, min(took) / len(taken), n / len(taken)))
-    return sorted(found, key=lambda e: (-e.rejected / max(e.cost, 1e-9), e.rule.name))
+    of, spark = features("text"), df.sparkSession
+    counted = spark.createDataFrame(taken, "text string").select("text", *(of[c].alias(c) for c in given))
+    sample = spark.createDataFrame(counted.collect(), counted.schema).coalesce(1)
+    verdicts = {r.name: r.rejects(of | {c: F.col(c) for c in given}) for r in rules}
+    rejects = [r.asDict() for r in sample.select(*(F.coalesce(v, F.lit(False)).alias(n) for n, v in verdicts.items())).collect()]
+    return ranked(rules, costs(sample, len(taken), verdicts), rejects)
 
 
 def judge(df: DataFrame, rules: list[Rule], of: Features) -> DataFrame:
