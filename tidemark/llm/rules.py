@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, UPPER, WORD, count_words, words
+from tidemark.llm.common import LOWER, UPPER, WORD, count_words, drop, save, words
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -166,12 +166,14 @@ def estimate(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
     taken = some.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_EVERY)) == 0).take(sample_rows) or some.take(sample_rows)
     if not taken:
         return [Estimate(r, 0.0, 0.0) for r in rules]
-    of, spark = features("text"), df.sparkSession
-    counted = spark.createDataFrame(taken, "text string").select("text", *(of[c].alias(c) for c in given))
-    sample = spark.createDataFrame(counted.collect(), counted.schema).coalesce(1)
+    of = features("text")
+    counted = df.sparkSession.createDataFrame(taken, "text string").coalesce(1).select("text", *(of[c].alias(c) for c in given))
+    sample = save(counted, "rules-sample")  # read by every job that follows, a few columns at a time
     verdicts = {r.name: r.rejects(of | {c: F.col(c) for c in given}) for r in rules}
     rejects = [r.asDict() for r in sample.select(*(F.coalesce(v, F.lit(False)).alias(n) for n, v in verdicts.items())).collect()]
-    return ranked(rules, costs(sample, len(taken), verdicts), rejects)
+    cost = costs(sample, len(taken), verdicts)
+    drop(sample)
+    return ranked(rules, cost, rejects)
 
 
 def judge(df: DataFrame, rules: list[Rule], of: Features) -> DataFrame:
