@@ -86,3 +86,14 @@ def test_a_batch_that_is_run_again_replaces_itself(spark):
     assert seen and got == list(range(10))
     last = work.counters().orderBy("poll").collect()[-1]
     assert (last.total_processed, last.total_ok, last.total_errors) == (10, 5, 5)
+
+
+def test_tables_of_one_file_or_of_parts_are_streamed(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / "parts.parquet").mkdir(exist_ok=True)
+        pq.write_table(pa.table({"x": [2 * n, 2 * n + 1]}), tmp_path / "parts.parquet" / f"part-{n}.parquet")
+    pq.write_table(pa.table({"x": list(range(6))}), tmp_path / "one.parquet")
+    pq.write_table(pa.table({"x": [9]}), tmp_path / "none.parquet")  # of another table
+    for table in ("parts", "one"):
+        got = streams.drained(streams.table_stream(spark, str(tmp_path), table), "table-stream")
+        assert sorted(r.x for r in got.collect()) == list(range(6))

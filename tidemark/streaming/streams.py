@@ -24,9 +24,9 @@ NOW = {"availableNow": True}
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A driver table as a stream of files."""
+    """A driver table as a stream of files, be it one file or a folder of parts. (The path is a pattern of that one name: without a pattern, a stream takes folders only.)"""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").option("maxFilesPerTrigger", 4).parquet(sf_dir)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/{table}.parque[t]")
 
 
 def fed(rows: DataFrame, batch: Column, batches: int, run: Callable[[DataFrame], StreamingQuery], name: str) -> list:
