@@ -321,3 +321,10 @@ def test_no_near_vector_is_missed_between_groups(spark, monkeypatch):
     monkeypatch.setattr(similarity, "STEP", 256)
     got = [(p.a, p.b) for p in similarity.near_vectors(classes, 0.45).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100_000
+
+
+def test_pairs_of_copies_are_given(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 0.0]), (5, None), (6, [0.0, 0.0]), (7, [0.9, 0.1])]
+    got = sorted((p.v1, p.v2, round(p.cosine, 5)) for p in similarity.near_members(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9).collect())
+    near = round(0.9 / (0.82**0.5), 5)
+    assert got == [(0, 1, near), (0, 2, 1.0), (0, 4, 1.0), (0, 7, near), (1, 2, near), (1, 4, near), (1, 7, 1.0), (2, 4, 1.0), (2, 7, near), (4, 7, near)]

@@ -89,7 +89,7 @@ QUERIES = {
     "f9_market_filter": lambda t: markets.long_markets(classified(t)).where("market_type = 'industry_group' AND market = 'manufacturing'").select("doc_id"),
     "g1_near_texts": lambda t: similarity.near_texts(spread(t.documents)),
     "g2_cosine": lambda t: similarity.block_pairs(vectors(t, 20), "block").select("v1", "v2", F.round("cosine", 5).alias("cosine")),
-    "g2_near_pairs": lambda t: similarity.near_vectors(similarity.vector_classes(t.embeddings)[0], PAIRS, 0.9999).select(F.col("a").alias("v1"), F.col("b").alias("v2"), F.round("cosine", 5).alias("cosine")),
+    "g2_near_pairs": lambda t: similarity.near_members(t.embeddings, PAIRS).select("v1", "v2", F.round("cosine", 5).alias("cosine")),
     "g3_greedy_clusters": lambda t: similarity.greedy_clusters(vectors(t, 5), "block", NEAR).select("vec_id", "cluster"),
     "g4_density_clusters": lambda t: similarity.density_clusters(t.embeddings, EPS),
     "j18_prompt_reuse": lambda t: similarity.reused(prompts(t, 1), prompts(t, 0)).select("id", "known_id", "kind"),
