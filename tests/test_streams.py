@@ -97,3 +97,12 @@ def test_tables_of_one_file_or_of_parts_are_streamed(spark, tmp_path):
     for table in ("parts", "one"):
         got = streams.drained(streams.table_stream(spark, str(tmp_path), table), "table-stream")
         assert sorted(r.x for r in got.collect()) == list(range(6))
+
+
+def test_a_whole_rollup_has_open_windows_and_late_rows(spark):
+    at = lambda h: START + datetime.timedelta(hours=h)
+    rows = [(1, "p", 1.0, at(1), 0), (2, "p", 3.0, at(90), 0), (3, "p", 5.0, at(1.5), 1), (4, "p", 1.0, at(91), 1)]
+    df = spark.createDataFrame(rows, "event_id long, process_type string, value double, created_at timestamp, _n int")
+    out, checkpoint = new_path(spark, "whole"), new_path(spark, "whole-state")
+    streams.fed(df.drop("_n"), F.when(F.col("event_id") > 2, 1).otherwise(0), 2, lambda s: streams.written(streams.whole_rollup(s, "1 hour"), out, checkpoint, "complete"), "whole-test")
+    assert sorted((r.since, r.n, r.mean) for r in spark.read.parquet(out).collect()) == [(at(1), 2, 3.0), (at(90), 1, 3.0), (at(91), 1, 1.0)]

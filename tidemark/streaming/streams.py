@@ -1,7 +1,7 @@
 """Streams: intake of messages, rolling statistics, periodic rollups. Each has a batch twin with the same columns.
 
-All aggregates run in append mode: a window is given once, when the watermark has passed its end, and its state is then
-dropped, so state holds the open windows of the retention only. Rows older than the watermark are dropped and counted
+Aggregates run in append mode: a window is given once, when the watermark has passed its end, and its state is then
+dropped, so state holds the open windows of the retention only (but for whole_rollup, which gives open windows too). Rows older than the watermark are dropped and counted
 by the stream's progress.
 """
 
@@ -45,17 +45,17 @@ def logs_of(events: DataFrame) -> DataFrame:
     return events.select("event_id", F.col("event_type").alias("process_type"), F.col("value"), F.col("ts").cast("timestamp").alias("created_at"))
 
 
-def written(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Appends what the stream gives, up to all that is there. A batch has a folder of its own by its number, so one that is run again replaces itself."""
-    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**NOW).start()
+def written(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Appends what the stream gives, up to all that is there. A batch has a folder of its own by its number, so one that is run again replaces itself. In complete mode a batch gives all rows anew, and replaces those of the one before."""
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else n}")
+    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**NOW).start()
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
+def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs the stream over all that is there and gives what it wrote."""
     spark = stream.sparkSession
     out = new_path(spark, name)
-    written(stream, out, new_path(spark, f"{name}-state")).awaitTermination()
+    written(stream, out, new_path(spark, f"{name}-state"), mode).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
@@ -91,6 +91,11 @@ def rollup(logs: DataFrame, width: str, slide: str | None = None) -> DataFrame:
     return windowed(held_back(logs), width, slide, {n: f("value") for n, f in BASIC.items()})
 
 
+def whole_rollup(logs: DataFrame, width: str) -> DataFrame:
+    """As rollup, for streams in complete mode: open windows too, and rows however late. Their state is the result, a row for each window and process."""
+    return windowed(logs, width, None, {n: f("value") for n, f in BASIC.items()})
+
+
 def rolling_stats(logs: DataFrame, width: str, slide: str) -> DataFrame:
     """As rollup, with p50, p95 and p99: the least values that so many percent of the window's values don't exceed. What a window holds of its values is a mergeable sketch of bounded size."""
     got = windowed(held_back(logs), width, slide, {n: f("value") for n, f in BASIC.items()} | {"sketch": F.kll_sketch_agg_double(F.col("value").cast("double"), F.lit(SKETCH))})
