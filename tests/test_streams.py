@@ -106,3 +106,10 @@ def test_a_whole_rollup_has_open_windows_and_late_rows(spark):
     out, checkpoint = new_path(spark, "whole"), new_path(spark, "whole-state")
     streams.fed(df.drop("_n"), F.when(F.col("event_id") > 2, 1).otherwise(0), 2, lambda s: streams.written(streams.whole_rollup(s, "1 hour"), out, checkpoint, "complete"), "whole-test")
     assert sorted((r.since, r.n, r.mean) for r in spark.read.parquet(out).collect()) == [(at(1), 2, 3.0), (at(90), 1, 3.0), (at(91), 1, 1.0)]
+
+
+def test_exact_percentiles_of_many_values(spark):
+    rows = spark.range(30_000).select(F.lit("p").alias("process_type"), F.pmod(F.xxhash64("id"), F.lit(9973)).cast("double").alias("value"), F.lit(START).alias("created_at"))
+    held = sorted(r.value for r in rows.collect())
+    got = streams.exact_percentiles(rows.unionByName(rows.limit(1).withColumn("value", F.lit(None).cast("double"))), "6 hours", "6 hours").first()
+    assert [got.p50, got.p95, got.p99] == [held[15_000 - 1], held[28_500 - 1], held[29_700 - 1]]

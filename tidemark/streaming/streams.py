@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -103,6 +103,17 @@ def rolling_stats(logs: DataFrame, width: str, slide: str) -> DataFrame:
     return got.select("since", "until", "process_type", *BASIC, *map(percentile, (50, 95, 99)))
 
 
+def exact_percentiles(logs: DataFrame, width: str, slide: str) -> DataFrame:
+    """logs: a table. The least values that 50, 95 and 99 percent of a window's values don't exceed, exactly: equal values are counted first, then running sums over the sorted ones (which spill) hold each rank."""
+    key = ["w", "process_type"]
+    counted = logs.where("value IS NOT NULL").groupBy(F.window("created_at", width, slide).alias("w"), "process_type", "value").agg(F.count(F.lit(1)).alias("many"))
+    totals = counted.groupBy(*key).agg(F.sum("many").alias("n"))
+    upto = F.sum("many").over(Window.partitionBy(*key).orderBy("value"))
+    ranked = counted.join(totals.hint("merge"), key).withColumn("upto", upto)
+    percentile = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.lit(p / 100) * F.col("n")), F.col("value"))).alias(f"p{p}")
+    return ranked.groupBy(*key).agg(*map(percentile, (50, 95, 99))).select(F.col("w.start").alias("since"), "process_type", "p50", "p95", "p99")
+
+
 def counted_once(logs: DataFrame) -> DataFrame:
     """Each event once, however often it arrives; events older than the retention are dropped row by row, so progress counts them."""
     return held_back(logs).dropDuplicatesWithinWatermark(["event_id"]) if logs.isStreaming else logs.dropDuplicates(["event_id"])
