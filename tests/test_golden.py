@@ -328,3 +328,24 @@ def test_pairs_of_copies_are_given(spark):
     got = sorted((p.v1, p.v2, round(p.cosine, 5)) for p in similarity.near_members(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9).collect())
     near = round(0.9 / (0.82**0.5), 5)
     assert got == [(0, 1, near), (0, 2, 1.0), (0, 4, 1.0), (0, 7, near), (1, 2, near), (1, 4, near), (1, 7, 1.0), (2, 4, 1.0), (2, 7, near), (4, 7, near)]
+
+
+def test_period_means_do_not_depend_on_the_order_of_rows(spark):
+    """A mean of eight scores that ends in half a ten-thousandth: sums of doubles come out above or below it, as rows come."""
+    import functools
+    import operator
+    import random
+
+    r = random.Random(3)
+    scores = [30.45, 33.6, 54.05, 39.0, 34.64, 32.41, 37.49, 32.09]  # sum 293.73, mean 36.71625
+    orders = [r.sample(scores, 8) for _ in range(200)]
+    assert len({functools.reduce(operator.add, o) for o in orders}) > 1  # sum() makes up for it
+    at = dt.datetime(2024, 1, 1)
+    rows = [(at + dt.timedelta(days=k), "APPROVE", at + dt.timedelta(days=k, hours=1), x, 0.1) for k, o in enumerate(orders) for x in o] + [(at - dt.timedelta(days=1), None, None, None, float("nan"))]
+    df = spark.createDataFrame(rows, "created_at timestamp, decision string, decided_at timestamp, overall_score double, premium_adjustment double").coalesce(1)
+    got = {}
+    for r in metrics.metric_trends(df, "day").where(F.col("period") >= F.lit(at)).collect():
+        got.setdefault(r.metric, set()).add((r.value, r.n))
+    assert got["risk_scores"] == {(36.71625, 8)} and got["premium_adjustments"] == {(0.1, 8)} and got["processing_time"] == {(1.0, 8)}
+    empty = {r.metric: r.value for r in metrics.metric_trends(df, "day").where(F.col("period") < F.lit(at)).collect()}
+    assert empty["risk_scores"] is None and empty["processing_time"] is None and empty["premium_adjustments"] != empty["premium_adjustments"]

@@ -130,13 +130,19 @@ def trend(df: DataFrame, at: str, grain: str) -> DataFrame:
     return by.withColumns({"change": F.col("n") - before, "growth": (F.col("n") - before) / before})
 
 
+def exact_mean(name: str) -> Column:
+    """The mean of a double column of 12 decimals at most, summed and divided as decimals: the same for any order of rows, and exact at a tie of rounding. Where a value is no such decimal (not finite, 1e12 or more), a sum of doubles."""
+    own = F.col(name).try_cast("decimal(24,12)")
+    return F.when(F.count(own) == F.count(name), (F.sum(own) / F.nullif(F.count(own), F.lit(0)).cast("decimal(20,0)")).cast("double")).otherwise(F.avg(name))
+
+
 def metric_trends(df: DataFrame, grain: str, at: str = "created_at") -> DataFrame:
     """df: applications with decision, decided_at, overall_score and premium_adjustment. Six metrics a period, in one pass: metric, period, value (null if nothing was measured), n (what was counted or measured)."""
-    waited = hours(at, "decided_at")
+    waited = F.unix_timestamp("decided_at") - F.unix_timestamp(at)
     chosen = lambda d: F.count_if(F.col("decision") == d)
     six = {
         "applications": (F.count(F.lit(1)).cast("double"), F.count(F.lit(1))), "approvals": (chosen("APPROVE").cast("double"), chosen("APPROVE")), "rejections": (chosen("REJECT").cast("double"), chosen("REJECT")),
-        "processing_time": (F.avg(waited), F.count(waited)), "risk_scores": (F.avg("overall_score"), F.count("overall_score")), "premium_adjustments": (F.avg("premium_adjustment"), F.count("premium_adjustment")),
+        "processing_time": (F.sum(waited) / F.nullif(3600 * F.count(waited), F.lit(0)), F.count(waited)), "risk_scores": (exact_mean("overall_score"), F.count("overall_score")), "premium_adjustments": (exact_mean("premium_adjustment"), F.count("premium_adjustment")),
     }
     rows = df.groupBy(F.date_trunc(grain, at).alias("period")).agg(F.array(*(F.struct(F.lit(m).alias("metric"), v.alias("value"), n.alias("n")) for m, (v, n) in six.items())).alias("six"))
     return rows.select("period", F.inline("six")).select("metric", "period", "value", "n")
