@@ -40,3 +40,13 @@ def spread(df: DataFrame) -> DataFrame:
     """A scan in fewer parts than the cluster has cores (a small file, few row groups), dealt to all cores; larger tables stay as they are read. For rows that cost much more to compute than to send."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+#: Tasks to which dealt deals a larger table, for each core or part of its scan.
+DEALT = 4
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A scan of few columns dealt evenly, whatever its size, for rows that cost much more to compute than to send: a file's rows lie in its row groups, so a scan of many parts may have all rows in few of them."""
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores if parts < cores else DEALT * parts)

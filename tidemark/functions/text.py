@@ -44,9 +44,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def cores(keywords: list[str]) -> tuple[list[str], list[int]]:
+    """Words that several keywords contain, those of most keywords first, and of each keyword the place of such a word (-1: none)."""
+    found, of = [], [-1] * len(keywords)
+    words = dict.fromkeys(w for k in keywords for w in k.split() if len(w) > 2)
+    while True:
+        left = {w: [n for n, k in enumerate(keywords) if of[n] < 0 and w in k] for w in words}
+        best = max(left, key=lambda w: len(left[w]), default=None)
+        if best is None or len(left[best]) < 2:
+            return found, of
+        for n in left[best]:
+            of[n] = len(found)
+        found.append(best)
+
+
 def hits(text: Column, keywords: list[str]) -> Column:
-    """The keywords that the text contains, in their order."""
-    return let(text, lambda t: F.filter(F.array(*map(F.lit, keywords)), lambda k: t.contains(k)))
+    """The keywords that the text contains, in their order. Where several share a word that the text doesn't contain, none of them is looked for."""
+    shared, of = cores(keywords)
+    if not shared:
+        return let(text, lambda t: F.filter(F.array(*map(F.lit, keywords)), lambda k: t.contains(k)))
+    table = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in zip(keywords, of, strict=True)))
+    tested = lambda t, there: F.transform(F.filter(table, lambda x: ((x["n"] < 0) | F.get(there, x["n"])) & t.contains(x["k"])), lambda x: x["k"])
+    return let(text, lambda t: let(F.transform(F.array(*map(F.lit, shared)), lambda w: t.contains(w)), lambda there: tested(t, there)))
 
 
 def lookup(key: Column, table: dict[str, float], default: float) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,9 +86,23 @@ FORMATS = {"pdf": ["pdf"], "docx": ["docx", "doc"], "excel": ["xlsx", "xls", "xl
 SECONDS = {"pdf": 30, "docx": 20, "excel": 15, "powerpoint": 25, "image": 45, "other": 10}
 
 
+#: Patterns that Java's engine is slow on, in forms that find the same: a line is searched from its start only, not from each of its characters; amounts are tried where one of their letters stands.
+QUICK = {"survey": r"(?i)(?<![^\n])([^\n]*?\bsurvey[^\n]*)", "amount": r"(?=[UEGK])\b(?:USD|EUR|GBP|KES)\s*[0-9][0-9,]*+(?:\.[0-9]+)?"}
+
+
+def quick(name: str) -> str:
+    return QUICK.get(name, PATTERNS[name])
+
+
+def led(pattern: str) -> str:
+    """A pattern (?i)(?:words)rest that is tried only where a first letter of its words stands."""
+    words = re.match(r"\(\?i\)\(\?:(.*?)\)", pattern)[1].split("|")
+    return f"(?i)(?=[{''.join(sorted({w[0] for w in words}))}]){pattern[4:]}"
+
+
 def first(text: Column, name: str) -> Column:
     """The first match of a pattern's group, or null."""
-    return F.nullif(F.trim(F.regexp_extract(text, PATTERNS[name], 1)), F.lit(""))
+    return F.nullif(F.trim(F.regexp_extract(text, quick(name), 1)), F.lit(""))
 
 
 def number(text: Column) -> Column:
@@ -95,10 +111,11 @@ def number(text: Column) -> Column:
 
 def parsed_money(text: Column) -> Column:
     """A number in US or European notation: of a comma and a point the later one marks decimals; a lone comma does if at most two digits follow."""
-    digits = F.regexp_replace(text, r"[^0-9.,]", "")
+    digits = F.regexp_replace(text, r"[^0-9.,]+", "")
+    plain = F.translate(digits, ",", "")
     comma, point = F.length(F.substring_index(digits, ",", -1)), F.length(F.substring_index(digits, ".", -1))
-    european = F.when(digits.contains(",") & digits.contains("."), comma < point).when(digits.contains(","), (comma <= 2) & (F.length(F.regexp_replace(digits, "[^,]", "")) == 1)).otherwise(False)
-    return F.when(european, F.regexp_replace(F.regexp_replace(digits, r"\.", ""), ",", ".")).otherwise(F.regexp_replace(digits, ",", "")).try_cast("double")
+    european = F.when(digits.contains(",") & digits.contains("."), comma < point).when(digits.contains(","), (comma <= 2) & (F.length(digits) - F.length(plain) == 1)).otherwise(False)
+    return F.when(european, F.translate(digits, ",.", ".")).otherwise(plain).try_cast("double")
 
 
 def percentage(text: str) -> Column:
@@ -116,7 +133,7 @@ def currency_of(text: Column) -> Column:
 def basic_fields(docs: DataFrame, text: str = "text") -> DataFrame:
     """Reference, date, mails, location, amounts with their currency (the last of those named wins), by order of appearance."""
     t = F.coalesce(F.col(text), F.lit(""))
-    amounts = F.regexp_extract_all(t, F.lit(PATTERNS["amount"]), F.lit(0))
+    amounts = F.regexp_extract_all(t, F.lit(quick("amount")), F.lit(0))
     named = F.filter(F.array(*map(F.lit, CURRENCIES)), lambda c: t.contains(c))
     at = lambda n: number(F.regexp_replace(F.get("amounts", F.lit(n)), "[A-Z ]", ""))
     out = docs.withColumns({"amounts": amounts, "reference": first(t, "reference"), "first_date": first(t, "date"), "location": first(t, "location"), "currency": F.get(F.reverse(named), F.lit(0)), "mails": F.array_join(F.regexp_extract_all(t, F.lit(PATTERNS["email"]), F.lit(1)), "|")})
@@ -273,14 +290,18 @@ SLIP_PATTERNS = {
     "period": r"(?i)(?:period|from|effective)[\s:]*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", "cedant": r"(?i)(?:cedant|reinsured|ceding company|original insurer)[\s:]*([A-Z][a-zA-Z\s&.,]+)",
 }
 
+#: More than 50 words.
+MORE_WORDS = r"\A\s*+(?:\S++\s++){50}\S"
+
 
 def slips(docs: DataFrame, text: str = "text", filename: str = "filename") -> DataFrame:
     """Indicators, confidence, type, quality, issues, priority and validity of each document as a reinsurance slip. A primary phrase that the list holds twice scores twice."""
     c = F.col
-    lower = low(text)
-    columns = {f"n_{n}": F.regexp_count(F.coalesce(c(text), F.lit("")), F.lit(p)) for n, p in SLIP_PATTERNS.items()}
+    lower, whole = low(text), F.coalesce(c(text), F.lit(""))
+    # matches are counted for the columns n_ only; all else needs the first one
+    columns = {f"n_{n}": F.regexp_count(whole, F.lit(led(p))) for n, p in SLIP_PATTERNS.items()} | {f"has_{n}": whole.rlike(led(p)) for n, p in SLIP_PATTERNS.items()}
     out = docs.withColumns(columns | {"primary": hits(lower, PRIMARY), "secondary": hits(lower, SECONDARY), "format": document_format(filename)})
-    patterns = sum((F.when(c(f"n_{n}") > 0, 0.1 if n in ("reference", "sum_insured") else 0.05).otherwise(0.0) for n in SLIP_PATTERNS), F.lit(0.0))
+    patterns = sum((F.when(c(f"has_{n}"), 0.1 if n in ("reference", "sum_insured") else 0.05).otherwise(0.0) for n in SLIP_PATTERNS), F.lit(0.0))
     bonus = F.when(c("format").isin("pdf", "docx"), 0.1).when(c("format").isin("excel", "powerpoint", "image"), 0.05).otherwise(0.0)
     sure = F.least(F.lit(1.0), F.least(F.size("primary") * 0.3, F.lit(0.6)) + F.least(F.size("secondary") * 0.05, F.lit(0.2)) + F.least(patterns, F.lit(0.25)) + bonus)
     kind = None
@@ -289,21 +310,22 @@ def slips(docs: DataFrame, text: str = "text", filename: str = "filename") -> Da
         kind = F.when(test, t) if kind is None else kind.when(test, t)
     kind = kind.when(F.size("primary") > 0, "unknown")
     checks = [
-        (c("n_reference") > 0, 0.2, "No reference number found"), ((c("n_sum_insured") > 0) | (c("n_percentage") > 0), 0.25, "No financial data (sum insured/percentages) found"), ((c("n_cedant") > 0) | lower.contains("reinsurer"), 0.2, "No party information (cedant/reinsurer) found"),
-        (has(lower, "coverage", "perils", "risks covered", "policy"), 0.15, "No coverage details found"), (c("n_period") > 0, 0.1, "No period/date information found"), (F.size(F.filter(F.split(lower, r"\s+"), lambda w: w != "")) > 50, 0.1, "Document appears too short or poorly structured"),
+        (c("has_reference"), 0.2, "No reference number found"), (c("has_sum_insured") | c("has_percentage"), 0.25, "No financial data (sum insured/percentages) found"), (c("has_cedant") | lower.contains("reinsurer"), 0.2, "No party information (cedant/reinsurer) found"),
+        (has(lower, "coverage", "perils", "risks covered", "policy"), 0.15, "No coverage details found"), (c("has_period"), 0.1, "No period/date information found"), (whole.rlike(MORE_WORDS), 0.1, "Document appears too short or poorly structured"),
     ]
     quality = sum((F.when(a, w).otherwise(0.0) for a, w, _ in checks), F.lit(0.0))
     issues = F.array_compact(F.array(*(F.when(~a, F.lit(i)) for a, _, i in checks)))
     out = out.withColumns({"confidence": F.round(sure, 4), "kind": kind, "quality": F.round(quality, 4), "issues": issues})
     is_slip = c("confidence") >= 0.3
     priority = F.when(~is_slip, 4).when((c("confidence") >= 0.7) & (c("quality") >= 0.6), 1).when(c("confidence") >= 0.5, 2).otherwise(3)
-    matched = sum((F.when(c(f"n_{n}") > 0, 1).otherwise(0) for n in SLIP_PATTERNS), F.lit(0))
+    matched = sum((F.when(c(f"has_{n}"), 1).otherwise(0) for n in SLIP_PATTERNS), F.lit(0))
     reasons = F.array_compact(F.array(
         F.when(F.size("primary") > 0, F.concat(F.lit("Primary RI keywords found: "), F.array_join(F.slice("primary", 1, 3), ", "))), F.when(matched > 0, F.concat(F.lit("RI patterns detected: "), matched.cast("string"), F.lit(" types"))),
         F.when(c("format").isin("pdf", "docx"), F.concat(F.lit("Primary document format: "), c("format"))),
     ))
     out = out.withColumn("reasons", reasons)
-    return out.withColumns({"is_slip": is_slip, "priority": priority, "valid": is_slip & (c("quality") >= 0.5) & (F.size("issues") <= 3)})
+    out = out.withColumns({"is_slip": is_slip, "priority": priority, "valid": is_slip & (c("quality") >= 0.5) & (F.size("issues") <= 3)})
+    return out.drop(*(f"has_{n}" for n in SLIP_PATTERNS))
 
 
 def plan(docs: DataFrame, message: str, index: str) -> DataFrame:

@@ -88,8 +88,9 @@ def written_dates(t):
 
 def written_amounts(t):
     """The amounts of each slip, every second one in European notation."""
-    each = t.slips.select("doc_id", "text", F.posexplode(F.regexp_extract_all("text", F.lit(P["amount"]), F.lit(0))).alias("place", "amount"))
-    return each.select("doc_id", "place", "text", F.when((F.col("doc_id") + F.col("place")) % 2 == 1, F.translate("amount", ",.", ".,")).otherwise(F.col("amount")).alias("given"))
+    once = t.slips.select("doc_id", "text", extract.percentage("text").alias("percentage"))
+    each = once.select("doc_id", "percentage", F.posexplode(F.regexp_extract_all("text", F.lit(extract.quick("amount")), F.lit(0))).alias("place", "amount"))
+    return each.select("doc_id", "place", "percentage", F.when((F.col("doc_id") + F.col("place")) % 2 == 1, F.translate("amount", ",.", ".,")).otherwise(F.col("amount")).alias("given"))
 
 
 
@@ -99,7 +100,7 @@ QUERIES = {
     "x1_basic_fields": lambda t: extract.basic_fields(t.slips).select("doc_id", "reference", "first_date", "location", "mails"),
     "x2_amounts": lambda t: extract.basic_fields(t.slips).select("doc_id", "amount_1", "amount_2", "amount_3", "currency"),
     "x3_dates": lambda t: t.slips.select("doc_id", written_dates(t).alias("given")).select("doc_id", "given", extract.parsed_date(F.col("given")).alias("parsed")),
-    "x4_money": lambda t: written_amounts(t).select("doc_id", "place", "given", extract.parsed_money(F.col("given")).alias("amount"), extract.currency_of(F.col("given")).alias("currency"), extract.percentage("text").alias("percentage")),
+    "x4_money": lambda t: written_amounts(t).select("doc_id", "place", "given", extract.parsed_money(F.col("given")).alias("amount"), extract.currency_of(F.col("given")).alias("currency"), "percentage"),
     "x5_parties": lambda t: extract.labelled_fields(t.slips).select("doc_id", "insured", "cedant", "broker", "insured_company", "cedant_company", "broker_company"),
     "x6_coverage": lambda t: extract.labelled_fields(t.slips).select("doc_id", "coverage", "line_of_business", "treaty"),
     "x7_clean_names": lambda t: extract.labelled_fields(t.slips).select("doc_id", extract.clean_name(F.concat(F.lit(" "), F.lower("insured"), F.lit(" ,"))).alias("name")),
@@ -126,7 +127,7 @@ QUERIES = {
     "x29_slip_priority": lambda t: slips_of(t).select("doc_id", "is_slip", "priority", F.array_join("reasons", "; ").alias("reasons")),
     "x30_format": lambda t: t.slips.select("doc_id", extract.document_format("filename").alias("format"), extract.document_type("text", "filename").alias("type")),
     "x31_plan_summary": lambda t: extract.plan_summary(planned_of(t), MESSAGE).select(MESSAGE, "documents", "slips", "seconds", "advice"),
-    "x32_mail_extraction": lambda t: consolidate.first_values(extract.labelled_fields(planned_of(t)), MESSAGE, ["place"], ["insured", "cedant", "broker", "sum_insured", "premium"]),
+    "x32_mail_extraction": lambda t: consolidate.first_values(extract.plan(extract.labelled_fields(slips_of(t)), MESSAGE, "doc_id"), MESSAGE, ["place"], ["insured", "cedant", "broker", "sum_insured", "premium"]),
     "x33_section_scores": lambda t: extract.section_scores(t.documents, SECTION_WORDS, separator="\n").select("doc_id", "place", "score"),
     "x34_truncation": lambda t: extract.truncated(t.documents, BEST_WORDS, 2000, separator="\n").select("doc_id", F.length("truncated").alias("n"), F.sha2("truncated", 256).alias("truncated_sha256")),
     "x35_migration": lambda t: extract.labelled_fields(t.slips).select("doc_id", F.coalesce("insured", "broker").alias("insured_name"), F.coalesce("sum_insured", "premium").alias("total_sums_insured")),

@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.functions.shared import spread
+from tidemark.functions.shared import dealt
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -177,7 +177,7 @@ def inputs(view: str) -> set[str]:
 def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in inputs(name)}
     if name in TEXT_VIEWS:
-        tables = {t: spread(df) for t, df in tables.items()}
+        tables = {t: dealt(df) for t, df in tables.items()}
     return spark.sql(VIEWS[name], **tables)
 
 
