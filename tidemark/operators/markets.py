@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.joins import hot_keys, salted_join
 from tidemark.functions.shared import saved
 from tidemark.functions.text import class_words, has, hits, low
-from tidemark.operators.similarity import cosine
+from tidemark.operators.similarity import dot
 
 # Fixed values.
 GEOGRAPHY = {
@@ -130,16 +130,16 @@ SIMILAR = 0.5
 def relations(docs: DataFrame, block: str = "application_id") -> DataFrame:
     """docs: doc_id, subject, text, entities (array), and embedding (array, may be null; without the column no pair is similar). Pairs within a block that relate, by similarity, by an entity or by type; the type is the first that fits.
 
-    What is looked for in a text is looked for once a document, not once a pair. Blocks of many documents are dealt to
+    What is looked for in a text is looked for once a document, not once a pair, and so is a vector's norm. Blocks of many documents are dealt to
     many tasks, so pairs are made in parallel whatever block they are of.
     """
     embedding = F.col("embedding") if "embedding" in docs.columns else F.lit(None).cast("array<double>")
     flags = {"follow": has(low("subject"), *FOLLOW_UP), "broker": has(low("text"), *BROKER), "amended": has(low("subject"), *AMENDMENT)}
-    rows = saved(docs.select(F.col(block).alias("block"), "doc_id", "entities", embedding.alias("embedding"), *(c.alias(n) for n, c in flags.items())).where(F.col(block).isNotNull()), "relation-rows")
-    side = lambda n: rows.select("block", *(F.col(c).alias(f"{c}_{n}") for c in ("doc_id", "entities", "embedding", *flags)))
+    rows = saved(docs.select(F.col(block).alias("block"), "doc_id", "entities", embedding.alias("embedding"), F.sqrt(dot(embedding, embedding)).alias("norm"), *(c.alias(n) for n, c in flags.items())).where(F.col(block).isNotNull()), "relation-rows")
+    side = lambda n: rows.select("block", *(F.col(c).alias(f"{c}_{n}") for c in ("doc_id", "entities", "embedding", "norm", *flags)))
     pairs = salted_join(side(1), side(2), "block", hot_keys(rows, "block"), F.col("doc_id_1")).where(F.col("doc_id_1") < F.col("doc_id_2"))
     either = lambda f: F.col(f"{f}_1") | F.col(f"{f}_2")
-    out = pairs.withColumn("common", F.array_sort(F.array_intersect("entities_1", "entities_2"))).withColumn("similarity", F.coalesce(cosine(F.col("embedding_1"), F.col("embedding_2")), F.lit(0.0)))
+    out = pairs.withColumn("common", F.array_sort(F.array_intersect("entities_1", "entities_2"))).withColumn("similarity", F.coalesce(dot(F.col("embedding_1"), F.col("embedding_2")) / F.nullif(F.col("norm_1") * F.col("norm_2"), F.lit(0.0)), F.lit(0.0)))
     kind = F.when(either("follow"), "follow_up").when(F.size("common") > 2, "same_client").when(either("broker"), "same_broker").when(either("amended"), "amendment").otherwise("unrelated")
-    kept = out.withColumn("kind", kind).where((F.col("similarity") > SIMILAR) | (F.size("common") > 0) | (F.col("kind") != "unrelated"))
+    kept = out.withColumn("kind", kind).where((F.col("kind") != "unrelated") | (F.size("common") > 0) | (F.col("similarity") > SIMILAR))  # the dearest last
     return kept.select("block", "doc_id_1", "doc_id_2", "kind", F.array_join("common", "|").alias("common"), "similarity")
