@@ -83,7 +83,8 @@ def decided(risk: DataFrame, limits: DataFrame, context: dict = CONTEXT) -> Data
 def explained(decisions: DataFrame) -> DataFrame:
     """Rationale, and the lists of the explanation: factors sorted by what they weigh in (ties in their order)."""
     c = F.col
-    by_weight = F.array_sort("factors", lambda x, y: F.when(x["score"] * x["weight"] > y["score"] * y["weight"], -1).when(x["score"] * x["weight"] < y["score"] * y["weight"], 1).otherwise(x["place"] - y["place"]))
+    # sorted as structs: a comparator would weigh both factors anew at each comparison
+    by_weight = F.transform(F.array_sort(F.transform("factors", lambda x: F.struct((-(x["score"] * x["weight"])).alias("by"), x["place"].alias("place"), x.alias("factor")))), lambda x: x["factor"])
     out = decisions.withColumn("ranked", by_weight)
     text = lambda xs: F.transform(xs, lambda f: f["rationale"])
     good, bad = text(F.filter("factors", lambda f: f["score"] >= 70)), text(F.filter("factors", lambda f: f["score"] < 50))

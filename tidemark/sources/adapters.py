@@ -166,8 +166,8 @@ VIEWS: dict[str, str] = {
 }
 
 
-#: Views whose texts cost more to search than their columns to send.
-TEXT_VIEWS = {"slips"}
+#: Views whose rows cost more to compute than their columns to send, and the table that is dealt out for it.
+DEALT_VIEWS = {"slips": "orders", "risk_parameters": "orders"}
 
 
 def inputs(view: str) -> set[str]:
@@ -176,8 +176,8 @@ def inputs(view: str) -> set[str]:
 
 def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in inputs(name)}
-    if name in TEXT_VIEWS:
-        tables = {t: dealt(df) for t, df in tables.items()}
+    if name in DEALT_VIEWS:
+        tables[DEALT_VIEWS[name]] = dealt(tables[DEALT_VIEWS[name]])
     return spark.sql(VIEWS[name], **tables)
 
 
