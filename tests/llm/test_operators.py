@@ -554,3 +554,22 @@ def test_spans_hold_every_window_that_repeats(spark):
             assert len(run) <= chunks.LONG_WORD and (text[i][k].isalnum() or ord(text[i][k]) > 127), (i, run)
         n += len(w)
     assert n > 10_000
+
+
+def test_chunks_leave_no_shuffled_files(spark, docs, monkeypatch):
+    """What is shuffled for a table leaves the disk with it, and the session's setting is as before; spans don't depend on the turns."""
+    import glob
+    import time
+
+    files = lambda: set(glob.glob(f"{spark.conf.get('spark.local.dir')}/blockmgr-*/*/shuffle_*.data"))
+    before = files()
+    table = chunks.save(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "test-cleanup")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and table.count() == 100 and spark.conf.get(chunks.CLEANUP, "false") == "false"
+    found = lambda: sorted((x.doc_id, x.t, x.start, x.end, x.n_chunks, x.n_first) for x in chunks.spans(docs).collect())
+    several = found()
+    monkeypatch.setattr(chunks, "TURNS", 1)
+    assert several and found() == several

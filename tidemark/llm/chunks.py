@@ -33,15 +33,17 @@ no span, also as copies; an empty table gives an empty table; other columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import flat_text, small_batches
-from tidemark.llm.common import drop, hot_keys, salted_join, save
+from tidemark.llm.common import drop, hot_keys, salted_join
+from tidemark.llm.common import save as written
 from tidemark.llm.neardup import U, _powers, mixed
 
 #: Characters of the shortest span that counts as a repeat; every repeat of that length is found.
@@ -54,6 +56,8 @@ PERIOD = 8
 STEP_BYTES = 200_000
 #: Places of a window, of which one in so many is looked at first.
 STEP = 8
+#: Turns in which all windows of the least length are looked at: so many take their places on disk one after the other.
+TURNS = 4
 #: Groups of copies up to which their table is broadcast to the scan of the texts; windows that a worker cuts at a time.
 MANY_COPIES, MANY_WINDOWS = 1_000_000, 20_000
 
@@ -138,6 +142,21 @@ def chunked(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     return docs.select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, at int, size int, d long, c long, x long")
 
 
+#: Deletes what a write has shuffled as soon as it ends; else that stays until the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """As common.save; what is shuffled for the table leaves the disk with it."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def done(*tables: DataFrame) -> None:
     """Deletes tables that nothing reads any more."""
     for table in tables:
@@ -209,11 +228,11 @@ def window_digests(before: np.ndarray, after: np.ndarray, wanted: list[tuple[int
     return digest.view(np.int64), inside[0][:, low] & inside[1][:, high]
 
 
-def classes(rows: DataFrame, name: str) -> DataFrame:
-    """rows: w, doc_id, t, at. The w of several places, with their number and the first place."""
+def classes(rows: DataFrame, name: str, *more: Column) -> DataFrame:
+    """rows: w, t, at. The w of several places, and more of each."""
     spot = F.xxhash64("t", "at")
-    found = rows.groupBy("w").agg(F.min(F.struct("doc_id", "t", "at")).alias("first"), F.min(spot).alias("low"), F.max(spot).alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-    return save(found.select("w", "first", "n"), name)
+    found = rows.groupBy("w").agg(F.min(spot).alias("low"), F.max(spot).alias("high"), *more).where("low < high")
+    return save(found.drop("low", "high"), name)
 
 
 def still_open(ends_: DataFrame, least_chars: int) -> DataFrame:
@@ -222,7 +241,7 @@ def still_open(ends_: DataFrame, least_chars: int) -> DataFrame:
     leaves = lambda side, n, then, most: F.when((F.col(n) < most) & (F.col(then) != int(_OUTSIDE)), F.xxhash64("d", F.lit(side), n, then))
     keys = F.array_compact(F.array(leaves("l", "l", "l_next", gram + window - 1), leaves("r", "r", "r_next", window - 1)))
     keyed = ends_.select("doc_id", "t", "at", "l", "r", F.explode(keys).alias("w"))
-    found = classes(keyed.select("doc_id", "t", "at", "w"), "chunk-leaving").select("w")
+    found = classes(keyed.select("t", "at", "w"), "chunk-leaving")
     many = found.limit(MANY_COPIES + 1).count() > MANY_COPIES
     return save(keyed.join(found.hint("merge") if many else F.broadcast(found), "w", "left_semi").drop("w").distinct(), "chunk-open")
 
@@ -233,6 +252,17 @@ def open_links(places: DataFrame, least_chars: int, exact: bool) -> DataFrame:
     span, step = window - 1, 1 if exact else STEP
     sides = [(gram + a, max(0, span - a - step + 1)) for a in range(0, span + 1, step)]
     most = [(gram + min(span, a + step - 1), span - a) for a in range(0, span + 1, step)]  # of the windows of the least length that hold them
+    turns = TURNS if exact else 1  # windows at different places around an end are never equal
+    parts = [window_links(places, sides[k::turns], most[k::turns]) for k in range(min(turns, len(sides)))]
+    pair = F.xxhash64(F.lit("open"), "t", "at", "first.t", "first.at").alias("pair")
+    links = reduce(DataFrame.unionByName, parts).distinct()
+    links = save(links.select("doc_id", "t", "at", F.col("first.doc_id").alias("first_doc_id"), F.col("first.t").alias("first_t"), F.col("first.at").alias("first_at"), pair), "chunk-links")
+    done(*parts)
+    return links
+
+
+def window_links(places: DataFrame, sides: list[tuple[int, int]], most: list[tuple[int, int]]) -> DataFrame:
+    """As of open_links, by windows of so many bytes before and after the place, with the bytes up to which they may be of one with the first place: doc_id, t, at, first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high = (np.array(x) for x in zip(*most, strict=True))
@@ -246,11 +276,10 @@ def open_links(places: DataFrame, least_chars: int, exact: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in ("t", "at", "doc_id")), pa.array(digest[row, which] ^ which)], names=["t", "at", "doc_id", "w"])
 
     rows = save(places.mapInArrow(run, "t long, at int, doc_id long, w long"), "chunk-around-windows")
-    found = classes(rows, "chunk-window-classes")
+    found = classes(rows, "chunk-window-classes", F.min(F.struct("doc_id", "t", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
     met = salted_join(rows, found.select("w", "first"), "w", hot_keys(found, "w", "n"), F.col("t")).where((F.col("t") != F.col("first.t")) | (F.col("at") != F.col("first.at")))
-    pair = F.xxhash64(F.lit("open"), "t", "at", "first.t", "first.at").alias("pair")
-    links = save(met.select("doc_id", "t", "at", F.col("first.doc_id").alias("first_doc_id"), F.col("first.t").alias("first_t"), F.col("first.at").alias("first_at"), pair).distinct(), "chunk-links")
-    done(rows)
+    links = save(met.select("doc_id", "t", "at", "first").distinct(), "chunk-window-links")  # two places share many windows
+    done(rows, found)
     return links
 
 
@@ -288,6 +317,27 @@ def compared(met: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "doc_id long, t long, pair long, back boolean, first_doc_id long, first_t long, edge int, inner int, o_edge int, o_inner int, m int, next int")
 
 
+def compared_around(met: DataFrame) -> DataFrame:
+    """met: links with letters, before and after of the place, and the same of its first place (o_). As compared, both sides in one row: _1 before the place, _0 after it."""
+    names = ["doc_id", "t", "pair", "first_doc_id", "first_t"]
+    found = ["edge", "inner", "o_edge", "o_inner", "m", "next"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in (big.slice(k, MANY_WINDOWS) for k in range(0, big.num_rows, MANY_WINDOWS)):
+                of = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                measured = {}
+                for back, side in ((1, "before"), (0, "after")):
+                    x, y = (flat_text(batch.column(c))[0].reshape(batch.num_rows, -1) for c in (side, f"o_{side}"))
+                    y = np.where(y == _OUTSIDE, _BEYOND, y)
+                    count, word, same = alike(x, y, np.full(len(x), bool(back)))
+                    moved = [(of(c) - n if back else of(c) + n).astype(np.int32) for c in ("letters", "o_letters") for n in (count, count - word)]
+                    measured |= dict(zip((f"{c}_{back}" for c in found), (*moved, same, x[np.arange(len(x)), same].astype(np.int32)), strict=True))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, measured.values())], names=[*names, *measured])
+
+    return met.mapInArrow(run, "doc_id long, t long, pair long, first_doc_id long, first_t long, " + ", ".join(f"{c}_{back} int" for back in (1, 0) for c in found))
+
+
 def periodic(flat: np.ndarray, offsets: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Longest stretches of `least` bytes or more that repeat themselves: begin, end, period (the smallest, PERIOD at most)."""
     out: list[tuple[int, int, int]] = []
@@ -378,14 +428,21 @@ def repeats(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     around = with_windows(sides, held, least_chars).groupBy("t", "at").agg(F.max("letters").alias("letters"), of(True).alias("before"), of(False).alias("after"))
     places = save(still.join(around.hint("merge"), ["t", "at"]), "chunk-places")
     done(still)
-    both_ways = places.dropDuplicates(["t", "at"]).select("t", "at", "letters", F.inline(F.array(*(F.struct(F.lit(back).alias("back"), F.col(c).alias("bytes")) for back, c in ((True, "before"), (False, "after"))))))
-    linked = lambda links: links.join(both_ways.hint("merge"), ["t", "at"]).join(place(both_ways).hint("merge"), at_first)
+    around = places.dropDuplicates(["t", "at"]).select("t", "at", "letters", "before", "after")
+    other = around.select(*(F.col(c).alias(f"o_{c}") for c in around.columns))
+    linked = lambda links: links.join(around.hint("merge"), ["t", "at"]).join(other.hint("merge"), (F.col("first_t") == F.col("o_t")) & (F.col("first_at") == F.col("o_at")))
     links = open_links(places, least_chars, exact=False)
-    nearer = save(both_sides(compared(linked(links)), "m", "next"), "chunk-nearer")
+    nearer = save(compared_around(linked(links)), "chunk-nearer")
     known = nearer.select("t", "pair", F.col("m_1").alias("l"), F.col("m_0").alias("r"), F.col("next_1").alias("l_next"), F.col("next_0").alias("r_next"))
     again = links.select("doc_id", "t", "at", "pair", F.xxhash64("first_t", "first_at").alias("d")).join(known.hint("merge"), ["t", "pair"]).drop("pair")
-    doubtful = still_open(again, least_chars).select("t", "at").distinct()
-    last = both_sides(compared(linked(open_links(places.join(doubtful.hint("merge"), ["t", "at"]), least_chars, exact=True))))
+    again = save(again, "chunk-again")
+    done(links)
+    doubtful = still_open(again, least_chars)
+    done(again)
+    asked = save(places.join(doubtful.select("t", "at").distinct().hint("merge"), ["t", "at"]), "chunk-asked")
+    links = open_links(asked, least_chars, exact=True)
+    last = save(compared_around(linked(links)).drop(*measures), "chunk-last")
+    done(places, doubtful, asked, links)
     pieces = extents.drop(*measures).unionByName(nearer.drop(*measures)).unionByName(last)
     names = ("start", "end", "inner_start", "inner_end")
     piece = lambda doc, t, o, first: F.struct(F.col(doc).alias("doc_id"), F.col(t).alias("t"), *(F.col(f"{o}{c}_{b}").alias(n) for n, (c, b) in zip(names, (("edge", 1), ("edge", 0), ("inner", 1), ("inner", 0)), strict=True)), "first_doc_id", F.lit(first).alias("first"))
