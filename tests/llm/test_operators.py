@@ -573,3 +573,30 @@ def test_chunks_leave_no_shuffled_files(spark, docs, monkeypatch):
     several = found()
     monkeypatch.setattr(chunks, "TURNS", 1)
     assert several and found() == several
+
+
+def test_spans_are_exactly_what_repeats(spark, monkeypatch):
+    """Near copies, short passages that touch, and periods behind another letter, whatever is compared by Spark or dealt to many tasks."""
+    r = random.Random(31)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(n))
+    rows, line = [], words(14)
+    for k in range(12):
+        w = words(90).split()
+        for c in range(4):  # near copies
+            rows.append((100 * k + c, " ".join(x if r.random() > 0.03 else x + "#" for x in w)))
+    for k in range(30):  # two passages of 80 characters each stand elsewhere, but not together
+        p, q = f"[{words(16)[:78]}]", f"<{words(16)[:78]}>"
+        rows += [(2000 + k, f"{words(20)} {p}{q} {words(20)}"), (3000 + k, f"{words(20)} #{p}# {words(20)}"), (4000 + k, f"{words(20)} ={q}= {words(20)}")]
+    for k, word in enumerate(("pas", "un", "ab", "e", "longer")):  # one letter, and 119 that repeat themselves
+        p = "n" + f" {word}" * 120
+        rows += [(5000 + 2 * k + c, f"{words(20)} {'<>'[c]}{p[:120]}{'-='[c]} {words(20)}") for c in (0, 1)]
+    rows += [(6000 + k, f"{words(9)} {line} {line if k % 3 else words(3)} {words(9)}") for k in range(40)]  # a common line
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(brute_spans(rows, 120))
+    found = lambda: sorted((x.doc_id, x.start, x.end, x.n_chunks, x.n_first, tuple(x.first_doc_ids)) for x in chunks.spans(table).collect())
+    got = found()
+    assert len(got) == len(want) > 100
+    assert all(i == x[0] and a <= x[1] <= a + chunks.LONG_WORD and b - chunks.LONG_WORD <= x[2] <= b for (i, a, b), x in zip(want, got, strict=True))
+    for name, value in (("CROWD", 3), ("SOME_CLASSES", 7), ("HINT_ROWS", 1)):
+        monkeypatch.setattr(chunks, name, value)
+    assert found() == got
