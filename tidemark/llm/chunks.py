@@ -52,7 +52,7 @@ PERIOD = 8
 #: Bytes that are hashed at a time: what is computed from them fits the processor's cache.
 STEP_BYTES = 200_000
 #: Classes of one digest up to which one task compares them all, and classes that a worker takes at a time.
-CROWD, SOME_CLASSES = 50_000, 5_000
+CROWD, SOME_CLASSES = 50_000, 2_000
 #: Turns in which the windows of larger groups are looked at: so many take their places on disk one after the other.
 TURNS = 4
 #: Texts whose digests are counted, and rows that are many there: what has more is dealt to many tasks, with the same results.
@@ -251,7 +251,7 @@ def with_bytes(leads: DataFrame, texts: DataFrame, least_chars: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for batch in small_batches(big, "text"):
+            for batch in small_batches(big, "text", size=STEP_BYTES):
                 flat, offsets = flat_text(batch.column("text"))
                 flat = np.r_[_OUTSIDE, flat, _OUTSIDE]
                 owner, each = pc.list_parent_indices(batch.column("leads")), pc.list_flatten(batch.column("leads"))
@@ -389,7 +389,7 @@ def pieces(places: DataFrame, found: DataFrame, texts: DataFrame, least_chars: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for batch in small_batches(big, "text"):
+            for batch in small_batches(big, "text", size=STEP_BYTES):
                 flat, offsets = flat_text(batch.column("text"))
                 letters = np.r_[0, np.cumsum((flat & 0xC0) != 0x80)]
                 owner, part = pc.list_parent_indices(batch.column("pieces")), pc.list_flatten(batch.column("pieces"))
